@@ -1,0 +1,5 @@
+"""DuckDB SQL of the named queries."""
+
+from __future__ import annotations
+
+ORACLES: dict[str, str] = {}
