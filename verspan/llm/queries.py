@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verspan.llm import chat, line_dedup
+from verspan.llm import chat, jaccard_join, line_dedup
 
-QUERIES = {"op8_line_dedup": line_dedup.op8_line_dedup, "op9_chat_format": chat.op9_chat_format}
-ORACLES = {"op8_line_dedup": line_dedup.ORACLE, "op9_chat_format": chat.ORACLE}
+QUERIES = {"op2_jaccard_join": jaccard_join.op2_jaccard_join, "op8_line_dedup": line_dedup.op8_line_dedup, "op9_chat_format": chat.op9_chat_format}
+ORACLES = {"op2_jaccard_join": jaccard_join.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op9_chat_format": chat.ORACLE}
