@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from verspan.llm import chat, jaccard_join, line_dedup
+from verspan.llm import chat, jaccard_join, line_dedup, packing, topk
 
-QUERIES = {"op2_jaccard_join": jaccard_join.op2_jaccard_join, "op8_line_dedup": line_dedup.op8_line_dedup, "op9_chat_format": chat.op9_chat_format}
-ORACLES = {"op2_jaccard_join": jaccard_join.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op9_chat_format": chat.ORACLE}
+QUERIES = {
+    "op2_jaccard_join": jaccard_join.op2_jaccard_join,
+    "op4_packing": packing.op4_packing,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_chat_format": chat.op9_chat_format,
+    "op10_topk": topk.op10_topk,
+}
+ORACLES = {
+    "op2_jaccard_join": jaccard_join.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
+    "op9_chat_format": chat.ORACLE,
+    "op10_topk": topk.ORACLE,
+}
