@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from verspan.llm import chat, jaccard_join, line_dedup, packing, topk
+from verspan.llm import chat, html_extract, jaccard_join, line_dedup, packing, topk, warc
 
 QUERIES = {
     "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op4_packing": packing.op4_packing,
+    "op6_warc": warc.op6_warc,
+    "op7_html_extract": html_extract.op7_html_extract,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_chat_format": chat.op9_chat_format,
     "op10_topk": topk.op10_topk,
 }
 ORACLES = {
     "op2_jaccard_join": jaccard_join.ORACLE,
+    "op6_warc": warc.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
     "op9_chat_format": chat.ORACLE,
     "op10_topk": topk.ORACLE,
