@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from verspan.llm import chat, html_extract, jaccard_join, langid, line_dedup, packing, topk, warc
+from verspan.llm import chat, html_extract, jaccard_join, langid, line_dedup, lm_score, packing, topk, warc
 
 QUERIES = {
     "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_langid": langid.op3_langid,
     "op4_packing": packing.op4_packing,
+    "op5_lm_score": lm_score.op5_lm_score,
     "op6_warc": warc.op6_warc,
     "op7_html_extract": html_extract.op7_html_extract,
     "op8_line_dedup": line_dedup.op8_line_dedup,
