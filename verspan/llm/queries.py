@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from verspan.llm import chat, html_extract, jaccard_join, langid, line_dedup, lm_score, packing, topk, warc
+from verspan.llm import chat, decontaminate, html_extract, jaccard_join, langid, line_dedup, lm_score, packing, topk, warc
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_langid": langid.op3_langid,
     "op4_packing": packing.op4_packing,
