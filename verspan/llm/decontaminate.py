@@ -157,18 +157,38 @@ def _scan(bench_b):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE, cover: float = COVER, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """One row for each (document, item) with a verified overlap."""
-    spark = docs.sparkSession
-    items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[item_text_col].alias("text")).where("text is not null")
+def _clean(bench_b, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bench = bench_b.value
+        for b in batches:
+            yield b.filter(pa.array([not bench.found(tokens(t)) for t in b.column(text_col).to_pylist()], pa.bool_()))
+    return run
+
+
+def _chunks(benchmark: DataFrame, item_col: str, text_col: str, share: float, cover: float, min_tokens: int) -> Iterator:
+    """Broadcast chunks of the benchmark, each of about CHUNK_BYTES of text at most; one at least."""
+    items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[text_col].alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = -(-size // CHUNK_BYTES) or 1
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    out = None
     for c in range(chunks):
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(chunks)) == c) if chunks > 1 else items
-        bench = Benchmark([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()], share, cover, min_tokens)
-        one = rows.mapInArrow(_scan(spark.sparkContext.broadcast(bench)), SPANS)
+        rows = [(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()]
+        yield benchmark.sparkSession.sparkContext.broadcast(Benchmark(rows, share, cover, min_tokens))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE, cover: float = COVER, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """The rows of ``docs``, whatever their columns, that hold no overlap with any item."""
+    for bench in _chunks(benchmark, item_col, item_text_col, share, cover, min_tokens):
+        docs = docs.mapInArrow(_clean(bench, text_col), docs.schema)
+    return docs
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE, cover: float = COVER, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """One row for each (document, item) with a verified overlap."""
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    out = None
+    for bench in _chunks(benchmark, item_col, item_text_col, share, cover, min_tokens):
+        one = rows.mapInArrow(_scan(bench), SPANS)
         out = one if out is None else out.union(one)
     best = F.max(F.struct("equal_tokens", "overlap_tokens", (-F.col("start_token")).alias("neg"), "item_tokens")).alias("b")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.equal_tokens", "b.overlap_tokens", (-F.col("b.neg")).alias("start_token"), "b.item_tokens")

@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verspan.llm.common import table
 
@@ -184,14 +185,12 @@ def classify(texts: list[str | None], model: Automata) -> list[tuple[str, float]
     return out
 
 
-def _predict(model_b):
+def _predict(model_b, text_col: str, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_b.value
         for b in batches:
-            found = classify(b.column("text").to_pylist(), model)
-            keep = [b.column(i) for i, n in enumerate(b.schema.names) if n != "text"]
-            names = [n for n in b.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*names, "lang_pred", "score"])
+            found = classify(b.column(text_col).to_pylist(), model)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*kept, "lang_pred", "score"])
     return run
 
 
@@ -207,11 +206,13 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return Automata(samples, sample_chars)
 
 
-def identify(docs: DataFrame, model: Automata, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) of each document."""
+def identify(docs: DataFrame, model: Automata, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(id, lang_pred, score) of each document, or the columns in ``keep`` with these two; columns of their names give way."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(_predict(sent), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
+    kept = [c for c in keep or [id_col] if c not in ("lang_pred", "score")]
+    rows = docs.select(*dict.fromkeys([*kept, text_col]))
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_predict(sent, text_col, kept), schema)
 
 
 def held_out(id_col: Column, of: int = 4) -> Column:
