@@ -1,9 +1,9 @@
-"""Named queries over the provided tables."""
+"""All named queries of the reference's operators over the provided tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from verspan.plans import graph_queries, history_queries, join_queries, search_queries, text_queries  # noqa: F401
+from verspan.plans.diff_queries import *  # noqa: F403
+from verspan.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+__all__ = ["ORACLES", "QUERIES"]
