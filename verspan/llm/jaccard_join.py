@@ -18,7 +18,8 @@ class. The steps:
    the leader than the allowed distance plus the set's own distance to it cannot be an
    answer (triangle inequality over bitmaps), so the set looks only at the leader's
    answers, widened by that distance.
-4. The remaining pairs are verified on the whole sets.
+4. Candidate pairs pass a wider bitmap, then the whole sets decide: first each set
+   against one near set, then all pairs that those links don't connect yet.
 5. Components of the verified links by large and small stars.
 
 Index lists travel as packed blobs, one for each task and bucket of shingles, with a
@@ -52,6 +53,10 @@ FLUSH = 1_500_000
 #: Most document ids (8 bytes each) in a broadcast; beyond it the join shuffles.
 MAX_BROADCAST_IDS = 1_000_000
 BITMAP_WORDS = 4
+#: Bits of the bitmaps that candidate pairs are checked with, and how many bitmaps a broadcast may hold.
+WIDE_BITS, MAX_BROADCAST_BITMAPS = 4096, 100_000
+#: Sets that one tile of a star holds.
+STAR = 256
 #: Lists longer than this are read by blocks with leaders.
 LONG_LIST, LEADER_BLOCK = 96, 48
 
@@ -259,17 +264,105 @@ def _sets(k: int):
 
 
 def _verified(percent: int):
+    """Links among the pairs of each tile; rows come ordered by tile, a tile's sets before its pairs.
+
+    A pair whose ends the tile's links already connect needs no look: its class is
+    known from the answers of the sets between them.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, sets, parent = None, {}, {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
+        for b in batches:
+            links = ([], [])
+            for t, u, v, m in zip(*(b.column(c).to_pylist() for c in ("tile", "u", "v", "members"))):
+                if t != tile:
+                    tile, sets, parent = t, {}, {}
+                if m is not None:
+                    sets[u] = np.frombuffer(m, np.uint64)
+                elif (x := root(u)) != (y := root(v)):
+                    p, q = sets[u], sets[v]
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    if 100 * both >= percent * (len(p) + len(q) - both):
+                        parent[x] = y
+                        links[0].append(u)
+                        links[1].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], ["u", "v"])
+    return run
+
+
+def _wide(k: int):
+    """Parity bitmaps of WIDE_BITS, wide enough for long texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = []
-            for x, y in zip(b.column("m1").to_pylist(), b.column("m2").to_pylist()):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+            ss = [shingle_set(t, k) for t in texts(b.column("text"))]
+            bits = [np.packbits((np.bincount((s % np.uint64(WIDE_BITS)).astype(np.int64), minlength=WIDE_BITS) & 1).astype(np.uint8)).tobytes() for s in ss]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([digest(s) for s in ss], pa.int64()), pa.array([len(s) for s in ss], pa.int64()), pa.array(bits, pa.binary())], ["id", "digest", "n", "bits"])
+    return run
+
+
+def _near(percent: int):
+    """Pairs whose bitmaps differ in no more bits than the sets may in members."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("b1", "b2"))
+            n = b.column("s1").to_numpy() + b.column("s2").to_numpy()
+            far = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            yield b.select(["u", "v"]).filter(pa.array(far <= n - 2 * _least_overlap(n, percent)))
     return run
 
 
+def _of(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """Documents with their ids among ``ends``; broadcast only what is counted to be small."""
+    ids = ends.select("id").distinct()
+    return rows.join(F.broadcast(ids) if ends.count() <= MAX_BROADCAST_IDS else ids, "id", "left_semi")
+
+
+def _checked(rows: DataFrame, pairs: DataFrame, ends: DataFrame, k: int, percent: int) -> DataFrame:
+    """Verified links (u, v) among pairs (u, v), star by star: the sets that u is compared with go to u's tiles.
+
+    A star of very many is dealt to several tiles.
+    """
+    spark = rows.sparkSession
+    stars = pairs.groupBy("u").agg(F.ceil(F.count("*") / STAR).alias("tiles"))
+    tiled = stored(pairs.join(stars, "u").select("u", "v", F.xxhash64("u", F.pmod(F.xxhash64("v"), F.col("tiles"))).alias("tile")), "tiles")
+    need = tiled.select("tile", F.col("u").alias("id")).union(tiled.select("tile", F.col("v").alias("id"))).distinct()
+    need = stored(need.join(ends, "id"), "needed")
+    held = F.broadcast(need) if need.count() <= MAX_BROADCAST_IDS else need
+    sets = _of(rows, need).mapInArrow(_sets(k), "id long, digest long, members binary")
+    sets = sets.join(held, ["id", "digest"]).select("tile", F.col("id").alias("u"), F.lit(None).cast("long").alias("v"), "members")
+    both = sets.union(tiled.select("tile", "u", "v", F.lit(None).cast("binary")))
+    links = both.repartition(max(partitions(spark), 8), "tile").sortWithinPartitions("tile", F.col("v").asc_nulls_first()).mapInArrow(_verified(percent), "u long, v long")
+    return stored(links, "links")
+
+
+def _classes(rows: DataFrame, pairs: DataFrame, ends: DataFrame, k: int, percent: int) -> DataFrame:
+    """Components (node, component) of the links among candidate pairs.
+
+    First each set is verified against one near set only, its smallest; the pairs that
+    these links connect anyway are settled by them, and all others are verified then.
+    """
+    wide = stored(_of(rows, ends).mapInArrow(_wide(k), "id long, digest long, n long, bits binary").join(ends, ["id", "digest"]).dropDuplicates(["id"]), "bitmaps")
+    small = wide.count() <= MAX_BROADCAST_BITMAPS
+    one = lambda c, i: wide.select(F.col("id").alias(c), F.col("n").alias(f"s{i}"), F.col("bits").alias(f"b{i}"))
+    held = lambda d: F.broadcast(d) if small else d
+    near = stored(pairs.join(held(one("u", 1)), "u").join(held(one("v", 2)), "v").mapInArrow(_near(percent), "u long, v long"), "near")
+    ordered_ = near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    first = _checked(rows, ordered_.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), ends, k, percent)
+    part = stored(components(first), "components")
+    of = lambda c: part.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+    rest = ordered_.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")).select("u", "v")
+    more = _checked(rows, rest.join(ordered_.groupBy("v").agg(F.min("u").alias("u")), ["u", "v"], "left_anti"), ends, k, percent)
+    return components(first.union(more))
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
     """(id, n_shingles, component_id) for each document."""
     spark = docs.sparkSession
@@ -290,15 +383,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = sized.where("n > 0 and id is not null").groupBy("digest", "n").agg(F.min("id").alias("rep"))
     ends = pairs.select(F.col("d1").alias("digest"), F.col("n1").alias("n")).union(pairs.select("d2", "n2")).distinct()
     wanted = stored(reps.join(ends, ["digest", "n"]), "ends")
-    ids = wanted.select(F.col("rep").alias("id"))
-    ids = F.broadcast(ids) if wanted.count() <= MAX_BROADCAST_IDS else ids
-    sets = rows.join(ids, "id", "left_semi").mapInArrow(_sets(k), "id long, digest long, members binary")
-    sets = stored(sets.join(wanted.select(F.col("rep").alias("id"), "digest"), ["id", "digest"]).dropDuplicates(["id"]), "sets")
     one = lambda i: wanted.select(F.col("digest").alias(f"d{i}"), F.col("n").alias(f"n{i}"), F.col("rep").alias("uv"[i - 1]))
-    both = pairs.join(one(1), ["d1", "n1"]).join(one(2), ["d2", "n2"]).select("u", "v")
-    both = both.join(sets.select(F.col("id").alias("v"), F.col("members").alias("m2")), "v").join(sets.select(F.col("id").alias("u"), F.col("members").alias("m1")), "u")
-    links = both.select("u", "v", "m1", "m2").mapInArrow(_verified(percent), "u long, v long")
-    comp = components(links)
+    both = stored(pairs.join(one(1), ["d1", "n1"]).join(one(2), ["d2", "n2"]).select("u", "v"), "pairs")
+    comp = _classes(rows, both, wanted.select(F.col("rep").alias("id"), "digest"), k, percent)
     named = reps.join(comp, reps["rep"] == comp["node"], "left").select("digest", "n", F.coalesce("component", "rep").alias("component"))
     out = sized.join(named, ["digest", "n"], "left")
     cid = F.when(F.col("id").isNotNull(), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")))
