@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ from verspan.llm.common import stored, table
 CAPACITY, END_ID = 2048, 0
 TOKENIZER = "byte_bpe_50k.json"
 #: Parts whose ids a worker keeps, and documents tokenised at once; only speed depends on them.
-PART_CACHE, AT_ONCE = 700_000, 400
+PART_CACHE, AT_ONCE = 1_300_000, 400
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
 
 _ODD = re.compile(r" (?=\s|$)")
@@ -61,8 +62,8 @@ def tokenizer(path: str):
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
-        _state.update(path=path, tok=tok, parts={})
-    return _state["tok"], _state["parts"]
+        _state.update(path=path, tok=tok, known={})
+    return _state["tok"], _state["known"]
 
 
 def ids_of(docs: list[str | None], path: str) -> list[bytes]:
@@ -71,19 +72,16 @@ def ids_of(docs: list[str | None], path: str) -> list[bytes]:
     if len(known) > PART_CACHE:
         known.clear()
     encode = getattr(tok, "encode_batch_fast", tok.encode_batch)
+
+    def asked(parts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in encode(parts, add_special_tokens=False)]
+
     cut = [[] if not t else _CUT.split(t) if _ODD.search(t) else t.split(" ") for t in docs]
     # the first part has no space before it; others are keyed without theirs
-    first = [c[0] if c else "" for c in cut]
-    heads = [np.array(e.ids, "<u4").tobytes() for e in encode(first, add_special_tokens=False)]
-    found, missing = [], set()
-    for c in cut:
-        f = list(map(known.get, c[1:]))
-        found.append(f)
-        if None in f:
-            missing.update(p for p, i in zip(c[1:], f) if i is None)
-    todo = list(missing)
-    known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(todo, encode([" " + p for p in todo], add_special_tokens=False)))
-    return [h + b"".join(f if None not in f else map(known.__getitem__, c[1:])) for h, f, c in zip(heads, found, cut)]
+    heads = asked([c[0] if c else "" for c in cut])
+    new = list({p for c in cut for p in c[1:] if p not in known})
+    known.update(zip(new, asked([" " + p for p in new])))
+    return [h + b"".join(map(known.__getitem__, c[1:])) for h, c in zip(heads, cut)]
 
 
 def _pieces(path: str, capacity: int, end_id: int):
