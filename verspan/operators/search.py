@@ -29,32 +29,41 @@ def corpus_stats(rows: DataFrame, row_id: str, text: str) -> DataFrame:
     return row_stats(rows, row_id, text).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def phrase_tf(rows: DataFrame, row_id: str, text: str, phrase: str, prefix: bool = False) -> DataFrame:
-    """(row, tf) of rows that hold the phrase; ``prefix``: its last token is a prefix.
+def term_frequency(text: Column, phrase: str, prefix: bool = False) -> Column:
+    """How often the text holds the phrase; ``prefix``: its last token is a prefix.
 
-    Counted inside each row, so only matching rows go on; nothing is exploded.
+    Shifted copies of the tokens are zipped, so that a phrase is one pass over them.
     """
-    words = [w for w in re.findall(r"[^\W_]+", phrase.lower())]
-    ts = tokens(F.col(text))
-    near = F.transform(ts, lambda t, i: F.array(*[F.get(ts, i + j) for j in range(len(words))]))
-    hit = lambda a: reduce(lambda x, y: x & y, [F.coalesce(a[j].startswith(w) if prefix and j == len(words) - 1 else a[j] == w, F.lit(False)) for j, w in enumerate(words)])
-    tf = F.size(F.filter(near, hit) if len(words) > 1 else F.filter(ts, lambda t: t.startswith(words[0]) if prefix else t == words[0]))
-    return rows.select(F.col(row_id).alias("row"), tf.cast("long").alias("tf")).where("tf > 0")
+    words = re.findall(r"[^\W_]+", phrase.lower())
+    last = len(words) - 1
+    one = lambda t, j: F.coalesce(t.startswith(words[j]) if prefix and j == last else t == words[j], F.lit(False))
+    if last == 0:
+        return F.size(F.filter(tokens(text), lambda t: one(t, 0))).cast("long")
+    shifted = F.arrays_zip(*[F.slice(tokens(text), j + 1, 1 << 30).alias(f"t{j}") for j in range(len(words))])
+    return F.size(F.filter(shifted, lambda z: reduce(lambda x, y: x & y, [one(z[f"t{j}"], j) for j in range(len(words))]))).cast("long")
+
+
+def phrase_tf(rows: DataFrame, row_id: str, text: str, phrase: str, prefix: bool = False) -> DataFrame:
+    """(row, tf) of the rows that hold the phrase."""
+    return rows.select(F.col(row_id).alias("row"), term_frequency(F.coalesce(F.col(text), F.lit("")), phrase, prefix).alias("tf")).where("tf > 0")
 
 
 def bm25(rows: DataFrame, row_id: str, text: str, phrases: list[tuple[str, bool]]) -> DataFrame:
-    """(row, score) of rows that hold all phrases (text, prefix)."""
-    stats = row_stats(rows, row_id, text)
-    corpus = stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    out = None
-    for phrase, prefix in phrases:
-        tf = phrase_tf(rows, row_id, text, phrase, prefix)
-        df = tf.agg(F.count("*").alias("df"))
-        idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-        part = tf.join(stats, "row").join(F.broadcast(corpus)).join(F.broadcast(df))
-        part = part.select("row", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("s"))
-        out = part if out is None else out.join(part.withColumnRenamed("s", "s2"), "row").select("row", (F.col("s") + F.col("s2")).alias("s"))
-    return out.withColumnRenamed("s", "score")
+    """(row, score) of rows that hold all phrases (text, prefix).
+
+    One projection gives lengths and frequencies, one aggregation of it the corpus
+    figures, a single row that is broadcast; nothing is shuffled by row or token.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    hits = rows.select(F.col(row_id).alias("row"), F.size(tokens(t)).cast("long").alias("dl"), *[term_frequency(t, p, prefix).alias(f"tf{i}") for i, (p, prefix) in enumerate(phrases)])
+    corpus = hits.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))])
+    score = F.lit(0.0)
+    for i in range(len(phrases)):
+        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
+        idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    found = reduce(lambda x, y: x & y, [F.col(f"tf{i}") > 0 for i in range(len(phrases))])
+    return hits.where(found).join(F.broadcast(corpus)).select("row", score.alias("score"))
 
 
 def squash(score: Column) -> Column:

@@ -1,0 +1,91 @@
+"""Queries on texts, files and ingestion."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from verspan.operators import linediff as L
+from verspan.operators import search as X
+from verspan.plans.bindings import table
+from verspan.plans.registry import query
+
+
+def _successive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consecutive documents of one source and language as versions of one text."""
+    d = table(spark, sf_dir, "documents").where("n_chars < 4000")
+    w = Window.partitionBy("source", "lang").orderBy("doc_id")
+    return d.select("doc_id", F.concat_ws("/", "source", "lang").alias("path"), F.lag("text").over(w).alias("old"), F.col("text").alias("new"))
+
+
+@query()
+def line_diff_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _successive(spark, sf_dir)
+    return d.select("doc_id", L.patch_column(F.col("path"), F.col("old"), F.col("new")).alias("patch"))
+
+
+@query()
+def function_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("@Override\nvoid run("), F.col("lang"), F.lit(") {\n"), F.replace("text", F.lit("("), F.lit("[")), F.lit("\n}\nvoid other() { }\n")).alias("code"))
+    return d.select("doc_id", F.length(L.slice_column(F.col("code"), "a/B#run")).alias("chars"))
+
+
+@query()
+def blame_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").where("n_chars < 4000")
+    return L.blame_lines(d.withColumn("path", F.concat_ws("/", "source", "lang")), "path", "doc_id", "text").groupBy("path", "version").agg(F.count("*").alias("lines"))
+
+
+@query("""
+WITH p AS (SELECT page_id, split_part(split_part(url, '://', 2), '?', 1) AS path FROM pages), s AS (SELECT page_id, string_split(path, '/') AS parts FROM p)
+SELECT prefix, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest([array_to_string(parts[1:i], '/') FOR i IN generate_series(1, len(parts))]) AS prefix FROM s) GROUP BY prefix""", model=False)
+def package_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prefix of every path with the pages below it."""
+    parts = F.split(F.substring_index(F.substring_index("url", "://", -1), "?", 1), "/", -1)
+    p = table(spark, sf_dir, "pages").select("page_id", parts.alias("parts"))
+    prefixes = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.array_join(F.slice("parts", 1, i), "/"))
+    return p.select("page_id", F.explode(prefixes).alias("prefix")).groupBy("prefix").agg(F.countDistinct("page_id").alias("pages"))
+
+
+@query("""
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ts FROM documents WHERE doc_id % 10 = 0),
+o AS (SELECT doc_id, ts[i] AS token, list_sum([length(x) FOR x IN ts[1:i - 1]])::BIGINT AS before, length(ts[i]) AS len, i FROM t, generate_series(1, 5) g(i) WHERE i <= len(ts))
+SELECT doc_id, token, coalesce(before, 0) + i - 1 AS start, coalesce(before, 0) + i - 1 + len AS stop FROM o WHERE 12 BETWEEN coalesce(before, 0) + i - 1 AND coalesce(before, 0) + i - 1 + len""", model=False)
+def token_at_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens that hold a position, ends included; offsets over tokens joined by single blanks."""
+    d = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select("doc_id", F.slice(X.tokens(F.col("text")), 1, 5).alias("ts"))
+    d = d.select("doc_id", "ts", F.posexplode("ts").alias("i", "token"))
+    start = F.aggregate(F.slice("ts", 1, F.col("i")), F.lit(0).cast("long"), lambda a, x: a + F.length(x)) + F.col("i")
+    d = d.select("doc_id", "token", start.alias("start")).withColumn("stop", F.col("start") + F.length("token"))
+    return d.where("12 between start and stop")
+
+
+@query()
+def classfile_decls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class files made of the nation table: owner, supertypes and members read back from their bytes."""
+    from verspan.sources.classfile import read_declarations, simple_class
+
+    @F.udf("binary")
+    def make(name: str, region: int) -> bytes:
+        return simple_class(f"g/{name}", f"g/R{region}", [("area", "I")], [("rule", "(I)V")])
+
+    n = table(spark, sf_dir, "nation").select(make(F.replace("n_name", F.lit(" "), F.lit("_")), "n_regionkey").alias("content"))
+    return read_declarations(n, "content")
+
+
+@query()
+def tiny_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mapping text made of the nation table, parsed by lines with the class carried forward."""
+    from verspan.sources.tiny import parse_tiny
+
+    n = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list(F.format_string("\tm\t()I\tm%s\tmethod_%s\t%s", F.col("n_nationkey").cast("string"), F.col("n_nationkey").cast("string"), "n_name"))), "\n").alias("ms"))
+    t = n.select(F.concat(F.lit("file"), F.col("n_regionkey").cast("string")).alias("path"), F.concat(F.lit("tiny\t2\t0\tofficial\tintermediary\tnamed\n"), F.format_string("c\tr%s\tclass_%s\tgeo/R%s\n", *[F.col("n_regionkey").cast("string")] * 3), F.col("ms")).alias("value"))
+    return parse_tiny(t)
+
+
+@query()
+def ingest_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders ingested by a file stream with replaced partitions, read back and counted by year."""
+    from verspan.streaming.ingest import ingest
+
+    return ingest(spark, sf_dir).groupBy("v").agg(F.count("*").alias("n"))
