@@ -30,8 +30,11 @@ def engine(spark):
     decls = [("1.21.1", "mojmap", o, 0, s, [], m) for o, s, m in [("A", ["java/lang/Object"], [("foo", "(I)V")]), ("I", [], []), ("B", ["A", "I"], [("x", "I"), ("foo", "()V")]), ("C", ["B"], []), ("D", ["B"], [])]]
     refs = [("1.21.1", "mojmap", "B", "foo:()V", "A", "m", "()V", "call", None, 2), ("1.21.1", "mojmap", "A", "m:()V", "D", "start", "()V", "call", None, 1), ("1.21.1", "mojmap", "B", "x:I", "A", "m", "()V", "get", None, 1)]
     runs = [("a.txt", "s1", "text", 1, 0, 1), ("a.txt", "s2", "text", 1, 2, 2), ("d/b.txt", "s3", "text", 1, 1, 1)]
+    texts = [("1.21", "yarn", "B.java", "class B {\n  void a() { x(); }\n}\n"), ("1.21.1", "yarn", "B.java", "class B {\n  void a() { y(); }\n}\n"), ("1.21.1", "yarn", "C.java", "class C {}\n")]
+    bodies = [("1.21", "mojmap", "B", "foo", "()V", "call x"), ("1.21.1", "mojmap", "B", "foo", "()V", "call  x"), ("1.21", "mojmap", "B", "bar", "()V", "1"), ("1.21", "mojmap", "B", "bar", "(I)V", "2")]
+    code = [("1.21.1", "mojmap", "B", "run", "()V", t) for t in ("T:foo:()V", "T:foo:()V", "U:bar:()V")] + [("1.21.1", "mojmap", "B", "helper", "()V", "T:only:()V")]
     make = spark.createDataFrame
-    return Engine(spark, make(versions, schema.VERSIONS), make(classes, schema.CLASSES), make(members, schema.MEMBERS), make(decls, schema.DECLS), make(refs, schema.REFS), make(runs, schema.RUNS))
+    return Engine(spark, make(versions, schema.VERSIONS), make(classes, schema.CLASSES), make(members, schema.MEMBERS), make(decls, schema.DECLS), make(refs, schema.REFS), make(runs, schema.RUNS), None, make(texts, schema.SOURCE_TEXT), make(bodies, schema.BODIES), make(code, schema.INSTRUCTIONS))
 
 
 def rows(df, *cols):
@@ -94,3 +97,30 @@ def test_graphs(engine):
 def test_resources(engine):
     assert rows(engine.resource_tree(1), "name", "is_dir") == [("d", True), ("a.txt", False)]
     assert rows(engine.resource_diff(1, 2), "path", "change") == [("a.txt", "modified"), ("d/b.txt", "removed")]
+
+
+def test_diff_class(engine):
+    assert rows(engine.diff_class("1.21", "1.21.1", "net/minecraft/block/Block"), "bucket", "kind", "old_name", "new_name") == [("renamed", "method", "getDefaultStateOld", "getDefaultState")]
+    assert rows(engine.diff_class("1.21", "1.21.1", "net/minecraft/block/NewBlock"), "bucket", "kind") == [("added", "class")]
+    assert engine.diff_class("1.21", "1.21.1", "no/Such").count() == 0
+
+
+def test_patch_and_blame(engine):
+    got = dict(rows(engine.diff_patch("1.21", "1.21.1", "yarn"), "path", "patch"))
+    assert got["B.java"].endswith("-  void a() { x(); }\n+  void a() { y(); }\n }") and "new file mode" in got["C.java"]
+    assert list(dict(rows(engine.diff_patch("1.21", "1.21.1", "yarn", function="B#a"), "path", "patch"))) == ["B.java"]
+    assert rows(engine.blame("1.21.1", "yarn", "B.java"), "version_id") == [("1.21",), ("1.21.1",), ("1.21",)]
+
+
+def test_body_hash(engine):
+    spans = rows(engine.body_hash("mojmap", ["B:foo", "B:bar:(I)V"]), "query", "from", "to", "versions")
+    assert spans == [("B:bar:(I)V", "1.21", "1.21", 1), ("B:bar:(I)V", "1.21.1", "1.21.1", 1), ("B:foo", "1.21", "1.21", 1), ("B:foo", "1.21.1", "1.21.1", 1)]
+    assert rows(engine.body_hash("mojmap", ["B:foo"], normalize=True), "from", "to", "versions") == [("1.21", "1.21.1", 2)]
+
+
+def test_validate(engine):
+    v = lambda *a: rows(engine.validate("mojmap", "B", *a, "1.21", "1.21.1"), "version_id", "status", "at_count", "moved_to", "closest")
+    assert v("run", "()V", "T:foo") == [("1.21", "missing", None, None, None), ("1.21.1", "ok", 2, None, None)]
+    assert v("run", None, "T:only:()V")[1] == ("1.21.1", "call_moved", None, "helper", None)
+    assert v("run", "(J)V", None)[1] == ("1.21.1", "renamed", None, None, None)
+    assert v("foo", "(I)V", None)[1] == ("1.21.1", "inherited", None, None, "A")

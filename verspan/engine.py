@@ -65,6 +65,9 @@ class Engine:
     refs: DataFrame | None = None
     runs: DataFrame | None = None
     source_files: DataFrame | None = None
+    source_text: DataFrame | None = None
+    bodies: DataFrame | None = None
+    instructions: DataFrame | None = None
 
     # versions
 
@@ -186,6 +189,83 @@ class Engine:
         side = lambda v: f.where(F.col("version_id") == v)
         return D.changed_files(side(old), side(new), "relative_path", "content_hash").select("path", "change").orderBy("path")
 
+    def diff_class(self, old: str, new: str, class_name: str, ns: str = "yarn", limit: int = 200) -> DataFrame:
+        """Members of one class on both sides, followed over a rename of the class: (bucket, kind, key, old_name, new_name, truncated).
+
+        Keys are ``name#descriptor`` by the first naming there is; of duplicates the
+        last stays. A class on one side only pairs with the one class of its identity.
+        """
+        name, key = column_of(ns, "yarn"), self.identity(old, new)
+        sides = {v: self._classes(v).where(F.col(name) == class_name).limit(1).collect() for v in (old, new)}
+        if key and key != name:
+            for here, there in ((old, new), (new, old)):
+                if sides[here] and not sides[there] and sides[here][0][key] is not None:
+                    found = self._classes(there).where(F.col(key) == sides[here][0][key]).limit(2).collect()
+                    sides[there] = found if len(found) == 1 else []
+
+        def members(v: str) -> DataFrame:
+            m = self._members(v).where(F.col("class_id") == (sides[v][0]["class_id"] if sides[v] else -1))
+            k = F.concat("kind", F.lit("#"), F.coalesce("intermediary_name", "mojmap_name", "obf_name"), F.lit("#"), F.coalesce("stable_desc", "obf_desc", F.lit("")))
+            return C.first_wins(m.withColumn("key", k).withColumn("_n", -F.col("member_id")), ["key"], ["_n"]).select("key", "kind", F.col(name).alias("name"))
+
+        a, b = members(old), members(new)
+        d = D.diff_by_key(a, b, ["key", "kind"], "name")
+        own = [(x[0][key] if key else class_name, x[0][name]) if x else (None, None) for x in (sides[old], sides[new])]
+        if own[0] != own[1]:
+            bucket = "renamed" if all(x[0] for x in own) else "added" if own[1][0] else "removed"
+            c = self.spark.createDataFrame([(bucket, str(own[0][0] or own[1][0]), "class", own[0][1], own[1][1])], "bucket string, key string, kind string, old_name string, new_name string")
+            d = d.unionByName(c)
+        return D.cut_buckets(d, ["kind", "key"], limit).drop("pos")
+
+    def diff_patch(self, old: str, new: str, mapping: str, path: str | None = None, function: str | None = None, context: int = 3, ignore_space: bool = False) -> DataFrame:
+        """(path, patch) of all changed files, or of one function of them."""
+        from verspan.operators.linediff import patch_column, slice_column
+
+        t = self.source_text.where(F.col("mapping_type") == mapping)
+        t = t.where(F.col("relative_path").startswith(path)) if path else t
+        text = slice_column(F.col("text"), function) if function else F.col("text")
+        side = lambda v, c: t.where(F.col("version_id") == v).select(F.col("relative_path").alias("path"), text.alias(c))
+        both = side(old, "old").join(side(new, "new"), "path", "full").where(~F.col("old").eqNullSafe(F.col("new")))
+        return both.select("path", patch_column(F.col("path"), F.col("old"), F.col("new"), context, ignore_space).alias("patch")).where("patch <> ''").orderBy("path")
+
+    def blame(self, version_id: str, mapping: str, path: str) -> DataFrame:
+        """(line_no, line, version_id): the version that brought each line; variants count as their base."""
+        from verspan.operators.linediff import blame_lines
+
+        v = self.version_range(None, version_id).select("version_id", "rank", F.coalesce("variant_of", "version_id").alias("base"))
+        t = self.source_text.where((F.col("mapping_type") == mapping) & (F.col("relative_path") == path)).join(F.broadcast(v), "version_id")
+        return blame_lines(t, "relative_path", "rank", "text").join(v.select(F.col("rank").cast("long").alias("version"), F.col("base").alias("version_id")), "version").select("line_no", "line", "version_id").orderBy("line_no")
+
+    def body_hash(self, ns: str, queries: list[str], start: str | None = None, end: str | None = None, normalize: bool = False) -> DataFrame:
+        """Spans of equal body hashes of ``owner:name[:descriptor]``; without a descriptor all overloads count."""
+        from verspan.functions.text import body_hash, squeeze, strip_lambda_index
+
+        q = self.spark.createDataFrame([(x, *(x.split(":", 2) + [None, None])[:3]) for x in queries], "query string, owner string, member string, d string")
+        b = self.bodies.where(F.col("ns") == ns).join(F.broadcast(q), ["owner", "member"]).where("d is null or d = descriptor")
+        text = squeeze(strip_lambda_index(F.col("body"))) if normalize else F.col("body")
+        h = b.groupBy("query", "version_id").agg(body_hash(F.collect_list(text)).alias("hash"))
+        grid = self.version_range(start, end).select("version_id", "rank").join(F.broadcast(q.select("query")))
+        ends = [F.min_by("version_id", "rank").alias("from"), F.max_by("version_id", "rank").alias("to")]
+        return S.collapse(grid.join(h, ["query", "version_id"], "left"), ["query"], "rank", ["hash"], ends).orderBy("query", "from_v").drop("from_v", "to_v")
+
+    def validate(self, ns: str, owner: str, method: str, descriptor: str | None, at: str | None, start: str, end: str) -> DataFrame:
+        """(version_id, status, at_count, moved_to) for an injection point over a range of versions."""
+        v = self.version_range(start, end).select("version_id", "rank")
+        i = self.instructions.where((F.col("ns") == ns) & (F.col("owner") == owner))
+        wanted = F.col("method") == method
+        wanted = wanted & (F.col("descriptor") == descriptor) if descriptor else wanted
+        hit = F.col("target").eqNullSafe(at) | F.coalesce(F.startswith("target", F.lit(f"{at}:")), F.lit(False)) if at else F.lit(False)
+        found = i.groupBy("version_id").agg(F.bool_or(wanted).alias("has"), F.bool_or(F.col("method") == method).alias("named"), F.count_if(wanted & hit).alias("hits"), F.collect_set(F.when(hit, F.col("method"))).alias("holders"))
+        up = self.decls.where(F.col("ns") == ns).select("version_id", "owner", F.explode("supertypes").alias("parent"), F.lit(True).alias("x"))
+        declared = self.decls.where(F.col("ns") == ns).select("version_id", F.col("owner").alias("parent"), F.explode("members").alias("m")).where((F.col("m.name") == method) & ((F.col("m.descriptor") == descriptor) if descriptor else F.lit(True)))
+        inherited = up.where(F.col("owner") == owner).join(declared, ["version_id", "parent"]).groupBy("version_id").agg(F.min("parent").alias("above"))
+        known = self.decls.where((F.col("ns") == ns) & (F.col("owner") == owner)).select("version_id", F.lit(True).alias("known")).distinct()
+        all_ = v.join(found, "version_id", "left").join(inherited, "version_id", "left").join(known, "version_id", "left")
+        has, hits = F.coalesce("has", F.lit(False)), F.coalesce("hits", F.lit(0))
+        status = F.when(F.col("known").isNull(), "missing").when(has & (F.lit(at is None) | (hits > 0)), "ok").when(has, "call_moved").when(F.coalesce("named", F.lit(False)), "renamed").when(F.col("above").isNotNull(), "inherited").otherwise("missing")
+        moved = F.when(status.isin("call_moved", "missing") & (F.size("holders") == 1), F.get("holders", F.lit(0)))
+        return all_.orderBy("rank").select("version_id", status.alias("status"), F.when((status == "ok") & F.lit(at is not None), hits).alias("at_count"), moved.alias("moved_to"), F.when(status == "inherited", F.col("above")).alias("closest"))
+
     # history
 
     def history(self, query: str, ns: str = "mojmap", start: str | None = None, end: str | None = None, releases_only: bool = False, include_variants: bool = True) -> DataFrame:

@@ -9,3 +9,6 @@ SOURCE_FILES = "version_id string, mapping_type string, class_id bigint, relativ
 DECLS = "version_id string, ns string, owner string, access int, supertypes array<string>, subtypes array<string>, members array<struct<name: string, descriptor: string>>"
 REFS = "version_id string, ns string, owner string, member string, ref_owner string, ref_member string, ref_descriptor string, ref_kind string, ref_synthetic string, cnt int"
 RUNS = "path string, blob string, kind string, size bigint, from_ord int, to_ord int"
+SOURCE_TEXT = "version_id string, mapping_type string, relative_path string, text string"
+BODIES = "version_id string, ns string, owner string, member string, descriptor string, body string"
+INSTRUCTIONS = "version_id string, ns string, owner string, method string, descriptor string, target string"
