@@ -306,16 +306,25 @@ def _wide(k: int):
     return run
 
 
-def _near(percent: int):
-    """Pairs whose bitmaps differ in no more bits than the sets may in members."""
+def _near(percent: int, smallest: bool):
+    """Pairs whose bitmaps differ in no more bits than the sets may in members; or for each v the smallest such u of the task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[int, int] = {}
         for b in batches:
             if not b.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("b1", "b2"))
             n = b.column("s1").to_numpy() + b.column("s2").to_numpy()
             far = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-            yield b.select(["u", "v"]).filter(pa.array(far <= n - 2 * _least_overlap(n, percent)))
+            found = b.select(["u", "v"]).filter(pa.array(far <= n - 2 * _least_overlap(n, percent)))
+            if not smallest:
+                yield found
+                continue
+            for u, v in zip(found.column("u").to_pylist(), found.column("v").to_pylist()):
+                if u < least.get(v, u + 1):
+                    least[v] = u
+        if least:
+            yield pa.RecordBatch.from_arrays([pa.array(list(least.values()), pa.int64()), pa.array(list(least), pa.int64())], ["u", "v"])
     return run
 
 
@@ -349,18 +358,19 @@ def _classes(rows: DataFrame, pairs: DataFrame, ends: DataFrame, k: int, percent
     First each set is verified against one near set only, its smallest; the pairs that
     these links connect anyway are settled by them, and all others are verified then.
     """
+    spark = rows.sparkSession
     wide = stored(_of(rows, ends).mapInArrow(_wide(k), "id long, digest long, n long, bits binary").join(ends, ["id", "digest"]).dropDuplicates(["id"]), "bitmaps")
-    small = wide.count() <= MAX_BROADCAST_BITMAPS
-    one = lambda c, i: wide.select(F.col("id").alias(c), F.col("n").alias(f"s{i}"), F.col("bits").alias(f"b{i}"))
-    held = lambda d: F.broadcast(d) if small else d
-    near = stored(pairs.join(held(one("u", 1)), "u").join(held(one("v", 2)), "v").mapInArrow(_near(percent), "u long, v long"), "near")
-    ordered_ = near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    first = _checked(rows, ordered_.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), ends, k, percent)
-    part = stored(components(first), "components")
-    of = lambda c: part.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
-    rest = ordered_.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")).select("u", "v")
-    more = _checked(rows, rest.join(ordered_.groupBy("v").agg(F.min("u").alias("u")), ["u", "v"], "left_anti"), ends, k, percent)
-    return components(first.union(more))
+    held = (lambda d: F.broadcast(d)) if wide.count() <= MAX_BROADCAST_BITMAPS else (lambda d: d)
+    one = lambda d, c, i: held(d.select(F.col("id").alias(c), F.col("n").alias(f"s{i}"), F.col("bits").alias(f"b{i}"), *([F.col("part").alias(f"p{i}")] if "part" in d.columns else [])))
+    near = pairs.repartition(max(partitions(spark), 8), "v").join(one(wide, "u", 1), "u").join(one(wide, "v", 2), "v")
+    near = stored(near.mapInArrow(_near(percent, True), "u long, v long").groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "near")
+    first = _checked(rows, near, ends, k, percent)
+    parts = components(first).select(F.col("node").alias("id"), F.col("component").alias("part"))
+    wide = stored(wide.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")), "bitmaps")
+    second = one(wide, "v2", 2)
+    rest = pairs.join(one(wide, "u", 1), "u").join(second, (F.col("v") == F.col("v2")) & (F.col("p1") != F.col("p2")))
+    rest = stored(rest.mapInArrow(_near(percent, False), "u long, v long").join(near, ["u", "v"], "left_anti"), "near")
+    return components(first.union(_checked(rows, rest, ends, k, percent)))
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
@@ -384,7 +394,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends = pairs.select(F.col("d1").alias("digest"), F.col("n1").alias("n")).union(pairs.select("d2", "n2")).distinct()
     wanted = stored(reps.join(ends, ["digest", "n"]), "ends")
     one = lambda i: wanted.select(F.col("digest").alias(f"d{i}"), F.col("n").alias(f"n{i}"), F.col("rep").alias("uv"[i - 1]))
-    both = stored(pairs.join(one(1), ["d1", "n1"]).join(one(2), ["d2", "n2"]).select("u", "v"), "pairs")
+    both = stored(pairs.join(one(1), ["d1", "n1"]).join(one(2), ["d2", "n2"]).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), "pairs")
     comp = _classes(rows, both, wanted.select(F.col("rep").alias("id"), "digest"), k, percent)
     named = reps.join(comp, reps["rep"] == comp["node"], "left").select("digest", "n", F.coalesce("component", "rep").alias("component"))
     out = sized.join(named, ["digest", "n"], "left")
