@@ -18,6 +18,8 @@ class. The steps:
    the leader than the allowed distance plus the set's own distance to it cannot be an
    answer (triangle inequality over bitmaps), so the set looks only at the leader's
    answers, widened by that distance.
+   Before the whole index an early one of each set's first shingles links each set to
+   one near set; pairs inside a class known from it are settled and go no further.
 4. Candidate pairs pass a wider bitmap, then the whole sets decide: first each set
    against one near set, then all pairs that those links don't connect yet.
 5. Components of the verified links by large and small stars.
@@ -57,6 +59,8 @@ BITMAP_WORDS = 4
 WIDE_BITS, MAX_BROADCAST_BITMAPS = 4096, 100_000
 #: Sets that one tile of a star holds.
 STAR = 256
+#: Least number of buckets of shingles; shingles of each set that the early look takes.
+BUCKETS, EARLY = 64, 6
 #: Lists longer than this are read by blocks with leaders.
 LONG_LIST, LEADER_BLOCK = 96, 48
 
@@ -122,8 +126,8 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def _index(k: int, percent: int, buckets: int, frequent_b):
-    """Blobs of index lists by bucket; equal sets of a task are taken once."""
+def _index(k: int, percent: int, buckets: int, frequent_b, most: int | None = None):
+    """Blobs of index lists by bucket, of the first ``most`` shingles of the prefix; equal sets of a task are taken once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, rank = frequent_b.value
         seen: set[tuple[int, int]] = set()
@@ -149,16 +153,16 @@ def _index(k: int, percent: int, buckets: int, frequent_b):
             return pa.RecordBatch.from_arrays([pa.array(bs, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
         for b in batches:
-            for i, t in zip(b.column("id").to_pylist(), texts(b.column("text"))):
+            for i, t, part in zip(b.column("id").to_pylist(), texts(b.column("text")), b.column("part").to_pylist()):
                 s = shingle_set(t, k) if i is not None else ()
                 if not len(s) or (key := (len(s), digest(s))) in seen:
                     continue
                 seen.add(key)
-                p = ordered(s, frequent, rank)[: prefix_length(len(s), percent)]
+                p = ordered(s, frequent, rank)[: prefix_length(len(s), percent)][:most]
                 first = [int(p[0]), int(p[min(1, len(p) - 1)])]
                 toks.append(p)
                 poss.append(np.arange(len(p)))
-                rows.append([key[1] % (1 << 64), len(s), *first, *_bitmap(s).tolist()])
+                rows.append([key[1] % (1 << 64), len(s), *first, (0 if part is None else part + 1) % (1 << 64), *_bitmap(s).tolist()])
                 held += len(p)
                 if held >= FLUSH:
                     yield flushed()
@@ -173,9 +177,12 @@ def _least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     return (percent * n + 99 + percent) // (100 + percent)
 
 
-def list_pairs(tok, size, pos, first, bits, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of lists ordered by (token, size) that no filter can rule out."""
+def list_pairs(tok, size, pos, first, part, bits, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of lists ordered by (token, size) that no filter can rule out; part: class known so far, 0 for none."""
     def passed(a, b, far=None):
+        new = (part[a] != part[b]) | (part[a] == 0)
+        a, b = a[new], b[new]
+        far = far if far is None else far[new]
         need = _least_overlap(size[a] + size[b], percent)
         room = 1 + np.minimum(size[a] - pos[a], size[b] - pos[b]) - 1
         ok = (room >= need) & ~((first[a, 0] == first[b, 0]) & (first[a, 0] != tok[a]))
@@ -219,8 +226,8 @@ def list_pairs(tok, size, pos, first, bits, percent: int) -> tuple[np.ndarray, n
     return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64),) * 2
 
 
-def _pairs(percent: int):
-    """Candidate pairs of each bucket's index lists."""
+def _pairs(percent: int, one_each: bool):
+    """Candidate pairs of each bucket's index lists; or for each set one of them, with the smallest digest."""
     names = ["d1", "n1", "d2", "n2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +242,7 @@ def _pairs(percent: int):
                 toks.append(unpacked(x[16 : 16 + 8 * n]))
                 docs.append(np.frombuffer(x, np.uint32, n, 16 + 8 * n).astype(np.int64) + shift)
                 poss.append(np.frombuffer(x, np.uint32, n, 16 + 12 * n))
-                infos.append(np.frombuffer(x, np.uint64, m * (4 + BITMAP_WORDS), 16 + 16 * n).reshape(m, -1))
+                infos.append(np.frombuffer(x, np.uint64, m * (5 + BITMAP_WORDS), 16 + 16 * n).reshape(m, -1))
                 shift += m
             tok, doc, pos, info = np.concatenate(toks), np.concatenate(docs), np.concatenate(poss).astype(np.int64), np.concatenate(infos)
             _, code = np.unique(info[:, :2], axis=0, return_inverse=True)  # equal sets of several tasks
@@ -246,11 +253,13 @@ def _pairs(percent: int):
             more = np.r_[tok[1:] == tok[:-1], False] | np.r_[False, tok[1:] == tok[:-1]]
             tok, doc, pos = tok[more], doc[more], pos[more]
             size = info[doc, 1].astype(np.int64)
-            a, b = list_pairs(tok, size, pos, info[doc, 2:4], info[doc, 4:], percent)
+            a, b = list_pairs(tok, size, pos, info[doc, 2:4], info[doc, 4], info[doc, 5:], percent)
             a, b = info[doc[a], :2].astype(np.uint64), info[doc[b], :2].astype(np.uint64)
             swap = a[:, 0] > b[:, 0]
             a[swap], b[swap] = b[swap], a[swap].copy()
-            both = np.unique(np.concatenate([a, b], axis=1), axis=0)
+            both = np.unique(np.concatenate([b, a], axis=1), axis=0)[:, [2, 3, 0, 1]]  # by the larger digest
+            if one_each and len(both):
+                both = both[np.r_[True, (both[1:, 2:] != both[:-1, 2:]).any(1)]]
             yield pa.RecordBatch.from_arrays([signed(np.ascontiguousarray(both[:, i])) for i in range(4)], names)
     return run
 
@@ -352,8 +361,8 @@ def _checked(rows: DataFrame, pairs: DataFrame, ends: DataFrame, k: int, percent
     return stored(links, "links")
 
 
-def _classes(rows: DataFrame, pairs: DataFrame, ends: DataFrame, k: int, percent: int) -> DataFrame:
-    """Components (node, component) of the links among candidate pairs.
+def _classes(rows: DataFrame, pairs: DataFrame, ends: DataFrame, links: DataFrame, k: int, percent: int) -> DataFrame:
+    """Components (node, component) of the links known and those among candidate pairs.
 
     First each set is verified against one near set only, its smallest; the pairs that
     these links connect anyway are settled by them, and all others are verified then.
@@ -364,7 +373,7 @@ def _classes(rows: DataFrame, pairs: DataFrame, ends: DataFrame, k: int, percent
     one = lambda d, c, i: held(d.select(F.col("id").alias(c), F.col("n").alias(f"s{i}"), F.col("bits").alias(f"b{i}"), *([F.col("part").alias(f"p{i}")] if "part" in d.columns else [])))
     near = pairs.repartition(max(partitions(spark), 8), "v").join(one(wide, "u", 1), "u").join(one(wide, "v", 2), "v")
     near = stored(near.mapInArrow(_near(percent, True), "u long, v long").groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "near")
-    first = _checked(rows, near, ends, k, percent)
+    first = stored(links.union(_checked(rows, near, ends, k, percent)), "links")
     parts = components(first).select(F.col("node").alias("id"), F.col("component").alias("part"))
     wide = stored(wide.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")), "bitmaps")
     second = one(wide, "v2", 2)
@@ -385,17 +394,35 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rank = np.array([r["c"] for r in hot], np.int64)[by]
     frequent_b = spark.sparkContext.broadcast((frequent[by], rank))
 
-    buckets = max(partitions(spark), 8)
-    blobs = rows.mapInArrow(_index(k, percent, buckets, frequent_b), "bucket int, blob binary")
-    pairs = blobs.repartition(buckets, "bucket").mapInArrow(_pairs(percent), "d1 long, n1 long, d2 long, n2 long")
-    pairs = stored(pairs.distinct(), "pairs")
-
     reps = sized.where("n > 0 and id is not null").groupBy("digest", "n").agg(F.min("id").alias("rep"))
-    ends = pairs.select(F.col("d1").alias("digest"), F.col("n1").alias("n")).union(pairs.select("d2", "n2")).distinct()
-    wanted = stored(reps.join(ends, ["digest", "n"]), "ends")
-    one = lambda i: wanted.select(F.col("digest").alias(f"d{i}"), F.col("n").alias(f"n{i}"), F.col("rep").alias("uv"[i - 1]))
-    both = stored(pairs.join(one(1), ["d1", "n1"]).join(one(2), ["d2", "n2"]).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), "pairs")
-    comp = _classes(rows, both, wanted.select(F.col("rep").alias("id"), "digest"), k, percent)
+    buckets = max(partitions(spark), BUCKETS)
+
+    def candidates(docs_: DataFrame, most: int | None) -> DataFrame:
+        blobs = docs_.mapInArrow(_index(k, percent, buckets, frequent_b, most), "bucket int, blob binary")
+        return blobs.repartition(buckets, "bucket").mapInArrow(_pairs(percent, most is not None), "d1 long, n1 long, d2 long, n2 long")
+
+    def with_ids(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(pairs of representatives u < v, their ids and digests)"""
+        ends = pairs.select(F.col("d1").alias("digest"), F.col("n1").alias("n")).union(pairs.select("d2", "n2")).distinct()
+        wanted = stored(reps.join(ends, ["digest", "n"]), "ends")
+        one = lambda i: wanted.select(F.col("digest").alias(f"d{i}"), F.col("n").alias(f"n{i}"), F.col("rep").alias("uv"[i - 1]))
+        both = stored(pairs.join(one(1), ["d1", "n1"]).join(one(2), ["d2", "n2"]).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), "pairs")
+        return both, wanted.select(F.col("rep").alias("id"), "digest")
+
+    # first each set and one near set that shares a first shingle: their links make most classes
+    early = candidates(rows.withColumn("part", F.lit(None).cast("long")), EARLY)
+    early = stored(early.groupBy("d2", "n2").agg(F.min(F.struct("d1", "n1")).alias("x")).select("x.d1", "x.n1", "d2", "n2"), "pairs")
+    links = _checked(rows, *with_ids(early), k, percent)
+    known = reps.join(components(links), F.col("rep") == F.col("node")).select("digest", "n", F.col("component").alias("part"))
+    # of ids that several different sets share no class is told
+    same = (F.min("digest") == F.max("digest")) & (F.min("n") == F.max("n"))
+    parts = sized.where("id is not null").join(known, ["digest", "n"], "left").groupBy("id").agg(F.min("part").alias("part"), same.alias("same"))
+    parts = stored(parts.where("same and part is not null").drop("same"), "parts")
+    # then all others: pairs inside a class known so far are settled
+    small = parts.count() <= MAX_BROADCAST_IDS
+    classed = rows.join(F.broadcast(parts), "id", "left") if small else rows.withColumn("part", F.lit(None).cast("long"))
+    pairs = stored(candidates(classed, None).distinct(), "pairs")
+    comp = _classes(rows, *with_ids(pairs), links, k, percent)
     named = reps.join(comp, reps["rep"] == comp["node"], "left").select("digest", "n", F.coalesce("component", "rep").alias("component"))
     out = sized.join(named, ["digest", "n"], "left")
     cid = F.when(F.col("id").isNotNull(), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")))
