@@ -13,7 +13,7 @@ from verspan.plans.registry import query
 
 def _successive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consecutive documents of one source and language as versions of one text."""
-    d = table(spark, sf_dir, "documents").where("n_chars < 4000")
+    d = table(spark, sf_dir, "documents")
     w = Window.partitionBy("source", "lang").orderBy("doc_id")
     return d.select("doc_id", F.concat_ws("/", "source", "lang").alias("path"), F.lag("text").over(w).alias("old"), F.col("text").alias("new"))
 
@@ -32,7 +32,7 @@ def function_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def blame_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("n_chars < 4000")
+    d = table(spark, sf_dir, "documents")
     return L.blame_lines(d.withColumn("path", F.concat_ws("/", "source", "lang")), "path", "doc_id", "text").groupBy("path", "version").agg(F.count("*").alias("lines"))
 
 
