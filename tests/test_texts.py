@@ -8,6 +8,7 @@ import re
 import pandas as pd
 import pytest
 
+from verspan.operators import linediff as L
 from verspan.plans.queries import QUERIES
 
 
@@ -78,3 +79,44 @@ def test_blame_lines_whole(spark, texts):
             k = (f"{source}/{lang}", 10 * first + int(source[1:]))
             want[k] = want.get(k, 0) + 1
     assert {(r["path"], r["version"]): r["lines"] for r in QUERIES["blame_lines"](spark, path).collect()} == want
+
+
+def by_table(x, y):
+    """The reference's alignment over the full table of suffix lengths."""
+    n, m = len(x), len(y)
+    dp = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            dp[i][j] = dp[i + 1][j + 1] + 1 if x[i] == y[j] else max(dp[i + 1][j], dp[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < n and j < m:
+        if x[i] == y[j]:
+            out, i, j = [*out, (" ", i, j)], i + 1, j + 1
+        elif dp[i + 1][j] >= dp[i][j + 1]:
+            out, i = [*out, ("-", i, j)], i + 1
+        else:
+            out, j = [*out, ("+", i, j)], j + 1
+    return out + [("-", k, j) for k in range(i, n)] + [("+", n, k) for k in range(j, m)]
+
+
+def test_script_beyond_the_trace_equals_the_table(monkeypatch):
+    monkeypatch.setattr(L, "TRACE", 0)
+    r = random.Random(3)
+    for _ in range(300):
+        a, b = (["<", *(r.choice("abcd") for _ in range(r.randint(1, 20))), ">"] for _ in range(2))
+        lo = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        end = next((k for k, (x, y) in enumerate(zip(a[lo:][::-1], b[lo:][::-1])) if x != y), min(len(a), len(b)) - lo)
+        script = L.edits(a, b)
+        assert script[lo : len(script) - end] == [(t, lo + i, lo + j) for t, i, j in by_table(a[lo : len(a) - end], b[lo : len(b) - end])]
+
+
+@pytest.mark.parametrize("lines", [3000, 7000])
+def test_more_than_2000_edits(lines):
+    """3000 lines: beyond the trace; 7000: also beyond 40,000,000 cells."""
+    a = [f"line {i}" for i in range(lines)]
+    b = [x if i % 3 else f"new {i}" for i, x in enumerate(a)]
+    script = L.edits(a, b)
+    assert sum(t != " " for t, _, _ in script) == 2 * -(-lines // 3) >= 2000
+    assert [a[i] for t, i, _ in script if t != "+"] == a and [b[j] for t, _, j in script if t != "-"] == b
+    held = L.blame([(1, "\n".join(a)), (2, "\n".join(b))])
+    assert held == [(x, 1 if i % 3 else 2) for i, x in enumerate(b)]

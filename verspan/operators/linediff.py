@@ -1,19 +1,23 @@
 """Line differences, unified patches, function slices and blame.
 
-Plain Python on lists of lines, run in Arrow batches: one text pair is one row. The
-greedy shortest edit script (Myers) is used within a budget of steps; beyond it the
-common beginning and end are kept and the middle is replaced.
+Lists of lines in Arrow batches: one text pair is one row. The greedy shortest edit
+script (Myers) is used within a budget of its trace; beyond it the middle between the
+common beginning and end is aligned by a longest common subsequence of any size.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from array import array
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUDGET = 4_000_000
+#: Numbers of a trace, as the reference bounds it: its rounds are this by 2 (n + m) + 1.
+TRACE = 16_000_000
 
 
 def split_lines(text: str | None) -> list[str]:
@@ -24,6 +28,88 @@ def split_lines(text: str | None) -> list[str]:
     return out[:-1] if out[-1] == "" else out
 
 
+def _myers(x: list[str], y: list[str], rounds: int) -> list[tuple[str, int, int]] | None:
+    """Greedy shortest edit script; null if it takes more edits than ``rounds``."""
+    n, m = len(x), len(y)
+    off = min(n + m, rounds) + 1
+    v, trace = [0] * (2 * off + 1), []
+    for d in range(off):
+        trace.append(array("q", v[off - d - 1 : off + d + 2]))
+        for k in range(-d, d + 1, 2):
+            i = v[off + k + 1] if k == -d or k != d and v[off + k - 1] < v[off + k + 1] else v[off + k - 1] + 1
+            j = i - k
+            while i < n and j < m and x[i] == y[j]:
+                i, j = i + 1, j + 1
+            v[off + k] = i
+            if i >= n and j >= m:
+                break
+        else:
+            continue
+        break
+    else:
+        return None
+    out, i, j = [], n, m
+    for d in range(len(trace) - 1, 0, -1):
+        w, k = trace[d], i - j
+        at = k + d + 1
+        before = k + 1 if k == -d or k != d and w[at - 1] < w[at + 1] else k - 1
+        pi = w[before + d + 1]
+        pj = pi - before
+        while i > pi and j > pj:
+            i, j = i - 1, j - 1
+            out.append((" ", i, j))
+        out.append(("+", i, pj) if i == pi else ("-", pi, j))
+        i, j = pi, pj
+    while i > 0 and j > 0:
+        i, j = i - 1, j - 1
+        out.append((" ", i, j))
+    return out[::-1]
+
+
+def _common(x: list[str], y: list[str]) -> list[tuple[str, int, int]]:
+    """Edit script by a longest common subsequence, removals first where both ways are as long.
+
+    Lengths are of suffixes. Every ``step``-th row is held and the rows between are made
+    again as the script passes them, so memory grows with the root of the rows only.
+    """
+    n, m, ids = len(x), len(y), {}
+    a = np.array([ids.setdefault(s, len(ids)) for s in x], np.int64)
+    b = np.array([ids.setdefault(s, len(ids)) for s in y], np.int64)
+    back = b[::-1]
+
+    def above(row: np.ndarray, i: int) -> np.ndarray:
+        """Row i from row i + 1; place t is of the last t lines of y."""
+        out = row.copy()
+        np.maximum(out[1:], row[:-1] + (back == a[i]), out=out[1:])
+        return np.maximum.accumulate(out, out=out)
+
+    step = math.isqrt(n) + 1
+    held, row = {n: np.zeros(m + 1, np.int32)}, np.zeros(m + 1, np.int32)
+    for i in range(n - 1, -1, -1):
+        row = above(row, i)
+        if i % step == 0:
+            held[i] = row
+    out, j = [], 0
+    for lo in range(0, n, step):
+        hi = min(lo + step, n)
+        own = {hi: held[hi]}
+        for i in range(hi - 1, lo - 1, -1):
+            own[i] = above(own[i + 1], i)
+        i = lo
+        while i < hi and j < m:
+            if a[i] == b[j]:
+                out.append((" ", i, j))
+                i, j = i + 1, j + 1
+            elif own[i + 1][m - j] >= own[i][m - j - 1]:
+                out.append(("-", i, j))
+                i += 1
+            else:
+                out.append(("+", i, j))
+                j += 1
+        out += [("-", k, j) for k in range(i, hi)]
+    return out + [("+", n, k) for k in range(j, m)]
+
+
 def edits(a: list[str], b: list[str], key=lambda s: s) -> list[tuple[str, int, int]]:
     """Edit script: (' ', i, j) same, ('-', i, j) removed, ('+', i, j) added; i, j count from 0."""
     x, y = [key(s) for s in a], [key(s) for s in b]
@@ -34,39 +120,12 @@ def edits(a: list[str], b: list[str], key=lambda s: s) -> list[tuple[str, int, i
     while end < min(len(x), len(y)) - lo and x[-1 - end] == y[-1 - end]:
         end += 1
     n, m = len(x) - lo - end, len(y) - lo - end
-    mid: list[tuple[str, int, int]] = []
-    trace, v, found = [], {1: 0}, n + m == 0
-    d = 0
-    while not found and d <= n + m and d * d <= BUDGET:
-        trace.append(dict(v))
-        for k in range(-d, d + 1, 2):
-            i = v[k + 1] if k == -d or k != d and v[k - 1] < v[k + 1] else v[k - 1] + 1
-            j = i - k
-            while i < n and j < m and x[lo + i] == y[lo + j]:
-                i, j = i + 1, j + 1
-            v[k] = i
-            if i >= n and j >= m:
-                found = True
-                break
-        d += 1
-    if not found:
-        mid = [("-", lo + i, lo) for i in range(n)] + [("+", lo + n, lo + j) for j in range(m)]
-    elif n + m:
-        i, j = n, m
-        for d in range(len(trace) - 1, -1, -1):
-            w, k = trace[d], i - j
-            before = k + 1 if k == -d or k != d and w.get(k - 1, -1) < w.get(k + 1, -1) else k - 1
-            pi = w.get(before, 0)
-            pj = pi - before
-            while i > pi and j > pj and i > 0 and j > 0:
-                i, j = i - 1, j - 1
-                mid.append((" ", lo + i, lo + j))
-            if d:
-                mid.append(("+", lo + i, lo + pj) if i == pi else ("-", lo + pi, lo + j))
-                i, j = pi, pj
-        mid.reverse()
+    own, other = x[lo : lo + n], y[lo : lo + m]
+    mid = _myers(own, other, TRACE // (2 * (len(x) + len(y)) + 1))
+    if mid is None:
+        mid = _common(own, other)
     head = [(" ", i, i) for i in range(lo)]
-    return head + mid + [(" ", lo + n + i, lo + m + i) for i in range(end)]
+    return head + [(t, lo + i, lo + j) for t, i, j in mid] + [(" ", lo + n + i, lo + m + i) for i in range(end)]
 
 
 def patch(path: str, old: str | None, new: str | None, context: int = 3, ignore_space: bool = False) -> str:
