@@ -7,9 +7,11 @@ text length, the punctuation, the text inside links and the number of nodes are
 summed; length and punctuation for each node are the two ratios. The ratios are
 smoothed over similar paths (longer common beginning, larger weight), fused by their
 product, and thresholded by their standard deviation over the page. Paths over the
-threshold are seeds; the element that holds the most seed text is the article's, and
-all of its paths are content, so that a short paragraph or a heading isn't lost. An
-<article> or <main> that holds text confines the seeds.
+threshold are seeds; their text is added up at all elements around them, and the lowest
+container that holds nearly all of it is the article's. All of its paths are content, so
+that a short paragraph, a list or a heading isn't lost; where that is the whole page, only
+its parts that hold seeds. An <article> or <main> that holds text is taken as a whole: the
+seeds only choose between the two, as nothing of the article may be dropped.
 
 A block element begins and ends a block; ``br`` counts as white space. Character
 references are decoded; white space is that of ASCII, so a no-break space stays.
@@ -40,6 +42,10 @@ NOISE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising ads
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "tbody", "thead")}
 CLOSES_P = BLOCK - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "legend"}
 SCOPE = frozenset("html body article main section div td th ul ol dl table aside nav footer header form blockquote".split())
+#: Elements that can be an article's; sections, lists, tables and quotes are parts of one.
+CONTAINERS = frozenset("html body main article div td".split())
+#: The share of the seeds' text that the article's element holds.
+NEARLY_ALL = 0.9
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(>|$|(?=<))", re.S)
@@ -151,6 +157,18 @@ def common_start(a: tuple[str, ...], b: tuple[str, ...]) -> int:
     return n
 
 
+def _tag(step: str) -> str:
+    return step.split(".")[0]
+
+
+def block_of(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The path of the block that a text is in."""
+    k = len(path)
+    while k and _tag(path[k - 1]) not in BLOCK:
+        k -= 1
+    return path[:k]
+
+
 def content_paths(nodes: list[Node]) -> set[tuple[str, ...]]:
     """Paths whose nodes are article text."""
     sums: dict[tuple[str, ...], list[float]] = {}
@@ -172,21 +190,34 @@ def content_paths(nodes: list[Node]) -> set[tuple[str, ...]]:
     near /= near.sum(1, keepdims=True)
     fused = (near @ length) * (near @ punctuation) * (1 - v[:, 3] / np.maximum(v[:, 0], 1))
     seeds = fused >= min(fused.std(), fused.max())
-    # the element with the most seed text, counted at each seed's parents with less weight further up
-    weight: dict[tuple[str, ...], float] = {}
+    # text of the seeds at every container around them; a cell with text of its own is data, not a container
+    weight: dict[tuple[str, ...], float] = {(): 0.0}
     for p, w, s in zip(paths, v[:, 0], seeds):
         if s:
-            inline = len(p)
-            while inline > 1 and p[inline - 1].split(".")[0] not in SCOPE:
-                inline -= 1
-            weight[p[:inline]] = weight.get(p[:inline], 0) + w
-    root = max(weight, key=lambda p: (weight[p], -len(p)))
+            block = block_of(p)
+            for k in range(len(block) + 1):
+                if not k or _tag(block[k - 1]) in CONTAINERS and (k < len(block) or _tag(block[k - 1]) != "td"):
+                    weight[block[:k]] = weight.get(block[:k], 0) + w
+    root = max((p for p in weight if weight[p] >= NEARLY_ALL * weight[()]), key=lambda p: (len(p), weight[p]))
     if in_article:
-        name = "article" if "article" in root else "main"
-        root = root[: root.index(name) + 1]
-        return {p for p in paths if "article" in p or "main" in p if name in p}
+        name = max(("article", "main"), key=lambda x: sum(w for p, w, s in zip(paths, v[:, 0], seeds) if s and x in p))
+        return {p for p in paths if name in p}
+    page = all(x in ("html", "body") for x in root)
+    held = {p[: len(root) + 1] for p, s in zip(paths, seeds) if s}
+    # a block that is mostly links isn't text, a link within a sentence is
+    links: dict[tuple[str, ...], list[float]] = {}
+    for p, x in zip(paths, v):
+        own = links.setdefault(block_of(p), [0, 0])
+        own[0], own[1] = own[0] + x[0], own[1] + x[3]
+
+    def content(p: tuple[str, ...]) -> bool:
+        if p[: len(root)] != root or page and len(p) > len(root) and _tag(p[len(root)]) in CONTAINERS and p[: len(root) + 1] not in held:
+            return False
+        own = links[block_of(p)]
+        return own[1] <= 0.5 * own[0]
+
     title = lambda p: p[-1:] == ("h1",) and root[: len(p) - 1] == p[:-1]  # noqa: E731  above the text, in an element around it
-    return {p for p, x in zip(paths, v) if title(p) or p[: len(root)] == root and x[3] <= 0.5 * x[0]}
+    return {p for p in paths if title(p) or content(p)}
 
 
 def main_text(page: str | None) -> str:
