@@ -99,20 +99,29 @@ def test_seeds_pass_any_substitution_in_a_window():
 # 2
 
 def brute_classes(rows, k, percent):
-    sets = {}
-    for i, t in rows:
+    """(set size, smallest id reachable, documents linked) of each row; rows are told apart, classes go by ids."""
+    sets = []
+    for _, t in rows:
         w = words(t)
-        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
-    parent = {i: i for i in sets}
+        sets.append({tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set()))
+    parent = {i: i for i, _ in rows}
     find = lambda x: x if parent[x] == x else find(parent[x])
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and sets[b]:
+    links = [0] * len(rows)
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b]:
                 both = len(sets[a] & sets[b])
                 if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
-                    x, y = find(a), find(b)
+                    links[a] += 1
+                    links[b] += 1
+                    x, y = find(rows[a][0]), find(rows[b][0])
                     parent[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), find(i)) for i in sets}
+    return sorted((i, len(s), find(i), n) for (i, _), s, n in zip(rows, sets, links))
+
+
+def found_classes(spark, rows, k, percent):
+    out = jaccard_join.jaccard_classes(docs_of(spark, rows), k=k, percent=percent).collect()
+    return sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in out)
 
 
 @pytest.mark.parametrize("k, percent", [(3, 90), (5, 80)])
@@ -134,13 +143,48 @@ def test_jaccard_classes(spark, k, percent):
             w[rng.randrange(len(w))] = rng.choice(vocab)
         rows.append((len(rows), " ".join(w)))
     rows += [(1000, None), (1001, ""), (1002, " \n"), (1003, "one TWO"), (1004, "One two"), (1005, "one"), (1006, "A a a a a a a a")]
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_classes(docs_of(spark, rows), k=k, percent=percent).collect()}
-    assert got == brute_classes(rows, k, percent)
+    assert found_classes(spark, rows, k, percent) == brute_classes(rows, k, percent)
+
+
+def test_jaccard_tiles_and_shared_ids(spark, monkeypatch):
+    """A cluster over several tiles, loose clusters that meet, ids that different texts share."""
+    monkeypatch.setattr(jaccard_join, "TILE", 40)
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(4000)]
+    rows = []
+    for edits in (3, 9):
+        base = rng.choices(vocab, k=150)
+        for _ in range(90):
+            w = list(base)
+            for _ in range(rng.randint(0, edits)):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            rows.append((len(rows) + 100, " ".join(w[: rng.choice([150, 150, 140])])))
+    rows += rows[:5]
+    a, b = (" ".join(rng.choices(vocab, k=30)) for _ in "ab")
+    rows += [(5, a), (3, a), (5, b), (7, b), (5, None), (9, None), (9, "")]
+    got = found_classes(spark, rows, 3, 90)
+    assert got == brute_classes(rows, 3, 90)
+    assert {r[2] for r in got if r[0] in (3, 5, 7)} == {3}
+
+
+def test_tile_links_derive_from_differences():
+    rng = np.random.default_rng(2)
+    leader = np.unique(rng.integers(0, 1 << 40, 200).astype(np.uint64))
+    sets = []
+    for _ in range(60):
+        s = leader[rng.random(len(leader)) > 0.04]
+        sets.append(np.unique(np.r_[s, rng.choice(leader[:3] + np.uint64(1), 2), rng.integers(0, 1 << 40, rng.integers(0, 5)).astype(np.uint64)]))
+    own, side = rng.random(60) < 0.7, np.zeros(60, np.int64)
+    links, label = jaccard_join.tile_links(np.array([len(s) for s in sets]), np.ones(60, np.int64), own, side, [np.setxor1d(s, leader) for s in sets], 90)
+    want = np.array([[a != b and (own[a] or own[b]) and 100 * len(np.intersect1d(x, y)) >= 90 * len(np.union1d(x, y)) for b, y in enumerate(sets)] for a, x in enumerate(sets)])
+    assert (links == want.sum(1)).all() and 0 < links.sum() < 60 * 59
+    assert all(label[a] == label[b] for a, b in zip(*np.nonzero(want)))
 
 
 def test_jaccard_corner_rows(spark):
     out = jaccard_join.jaccard_classes(docs_of(spark, [(5, "a b c d"), (5, "a b c d"), (2, "a b c d"), (None, "a b c d")])).collect()
     assert sorted((r[0] or 0, r[2] or 0) for r in out) == [(0, 0), (2, 2), (5, 2), (5, 2)]
+    assert sorted((r["doc_id"] is None, r["n_links"]) for r in out) == [(False, 2)] * 3 + [(True, 0)]
     assert jaccard_join.jaccard_classes(docs_of(spark, [])).count() == 0
 
 
