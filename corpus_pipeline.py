@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from verspan.llm.common import stored, table
 from verspan.llm.decontaminate import without_contaminated
-from verspan.llm.jaccard_join import MAX_BROADCAST_IDS, jaccard_classes
+from verspan.llm.jaccard_join import jaccard_classes
 from verspan.llm.langid import UND, fit, identify
 from verspan.llm.line_dedup import dedup_lines
 from verspan.llm.packing import pack
@@ -34,14 +34,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest id stays; of rows that share an id one."""
-    classes = jaccard_classes(docs, k=SHINGLE, percent=PERCENT)
-    drop = stored(classes.where("doc_id <> component_id").select("doc_id").distinct(), "drop")
-    held = F.broadcast(drop) if drop.count() <= MAX_BROADCAST_IDS else drop
-    out = docs.join(held, "doc_id", "left_anti")
-    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).union(out.where("doc_id is null"))
-    return out.select(*docs.columns)
+    """Of each class of near duplicates the document with the smallest id stays.
+
+    Rows that share an id are one class: of those of the smallest id the first in order
+    of text and then of the other columns stays, nulls first.
+    """
+    classes = stored(jaccard_classes(docs, k=SHINGLE, percent=PERCENT).where("doc_id is not null"), "classes")
+    drop = classes.where("doc_id <> component_id").select("doc_id").distinct()
+    out = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    again = stored(classes.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return out
+    order = ["text", *(c for c in docs.columns if c not in ("text", "doc_id"))]
+    first = out.join(again, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*order)).alias("first")).select("doc_id", "first.*").select(*docs.columns)
+    return out.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(first)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
