@@ -65,6 +65,8 @@ LIST_BLOCK = 64
 LONG_LIST = 96
 #: Answers and bytes of differences that one tile of a cluster holds.
 TILE, TILE_BYTES = 4096, 32 << 20
+#: Most ids (16 bytes each) that are broadcast to find their texts; beyond it texts are shuffled by id.
+MAX_BROADCAST_IDS = 1_000_000
 #: Rows of a batch where rows hold whole sets.
 SET_ROWS = 256
 
@@ -276,13 +278,13 @@ def _pairs(percent: int):
     return run
 
 
-def _sets(k: int, bits: int = 0):
-    """The set of each row whose text has the digest asked for, with a bitmap if ``bits``."""
+def _sets(k: int, keep: list[str], bits: int = 0):
+    """The set of each row whose text has the digest asked for beside the columns kept; or its bitmap if ``bits``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ss = [shingle_set(t, k) for t in texts(b.column("text"))]
-            cols = [b.column("sid"), pa.array([s.tobytes() for s in ss], pa.binary())] + ([pa.array([_bitmap(s, bits).tobytes() for s in ss], pa.binary())] if bits else [])
-            out = pa.RecordBatch.from_arrays(cols, ["sid", "members", *["bits"] * bool(bits)])
+            body = pa.array([(_bitmap(s, bits) if bits else s).tobytes() for s in ss], pa.binary())
+            out = pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), body], [*keep, "body"])
             yield out.filter(pa.array([digest(s) == d for s, d in zip(ss, b.column("sid").to_pylist())], pa.bool_()))
     return run
 
@@ -415,14 +417,18 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     real = told.where("kind = 0 and n > 0 and a is not null")
     sets = stored(real.groupBy("sid").agg(F.min("a").alias("rep"), F.count("*").alias("copies"), *[F.min(c).alias(c) for c in ["n", *_HASHES, *_BITS]]), "sets")
-    texts_of = lambda ids: rows.join(ids, rows["id"] == ids["rep"]).drop("rep", "id")
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        ids = stored(ids, "ids")
+        held = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+        return rows.join(held, rows["id"] == held["rep"]).drop("rep", "id")
 
     # members as differences to their leaders; one that is too far leads itself
     joined = stored(_leaders(sets), "joined")
-    both = joined.select("sid").union(joined.select("leader")).distinct().join(sets.select("sid", "rep"), "sid")
+    both = joined.union(joined.select("leader", "leader").distinct()).join(sets.select("sid", "rep"), "sid")
     with small_batches(spark, SET_ROWS):
-        bodies = stored(texts_of(both).mapInArrow(_sets(k), "sid long, members binary"), "bodies")
-        pairs = joined.join(bodies.withColumnRenamed("members", "x"), "sid").join(bodies.select(F.col("sid").alias("leader"), F.col("members").alias("y")), "leader")
+        bodies = stored(texts_of(both).mapInArrow(_sets(k, ["sid", "leader"]), "sid long, leader long, body binary"), "bodies")
+        pairs = bodies.where("sid <> leader").withColumnRenamed("body", "x").join(bodies.where("sid = leader").select("leader", F.col("body").alias("y")), "leader")
         diffs = stored(pairs.select("sid", "leader", "x", "y").mapInArrow(_differences(["sid", "leader"]), "sid long, leader long, far long, diff binary"), "differences")
     close = diffs.join(sets.select("sid", "n"), "sid").where("3 * far <= 2 * n").dropDuplicates(["sid"]).drop("n")
     leader = F.coalesce("leader", "sid").alias("leader")
@@ -433,21 +439,28 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # leaders that meet in the index
     postings = sets.agg(F.sum(F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)).first()[0] or 0
     buckets = max(partitions(spark), -(-int(postings) // BUCKET))
-    indexed = texts_of(homes.select("sid", "rep", "leader").join(clusters.select("leader", "radius", *_BITS), "leader"))
+    indexed = homes.select("sid", "rep", "leader").join(clusters.select("leader", "radius", *_BITS), "leader")
+    indexed = rows.join(indexed, rows["id"] == indexed["rep"]).drop("rep", "id")
     blobs = indexed.mapInArrow(_index(k, percent, buckets, frequent_b), "bucket int, blob binary")
     met = stored(blobs.repartition(buckets, "bucket").mapInArrow(_pairs(percent), "u long, v long").distinct(), "met")
 
     # what two leaders differ in
-    ends = met.select("u").union(met.select("v")).distinct().join(clusters, F.col("u") == F.col("leader")).drop("u")
+    def bodies_of(pairs: DataFrame, bits: int) -> DataFrame:
+        ends = pairs.select("u").union(pairs.select("v")).distinct().join(clusters.select("leader", "rep"), F.col("u") == F.col("leader"))
+        return stored(texts_of(ends.select(F.col("leader").alias("sid"), "rep")).mapInArrow(_sets(k, ["sid"], bits), "sid long, body binary"), "bodies")
+
+    def with_bodies(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+        one = lambda end, name: bodies.select(F.col("sid").alias(end), F.col("body").alias(name))
+        return pairs.join(one("u", "x"), "u").join(one("v", "y"), "v").select("u", "v", "most", "x", "y")
+
+    told_of = lambda i, end: clusters.select(F.col("leader").alias(end), F.col("radius").alias(f"r{i}"), F.col("high").alias(f"h{i}"), F.col("size").alias(f"size{i}"))
+    most = F.expr(f"(h1 + h2) * {100 - percent} div {100 + percent} + r1 + r2").alias("most")
+    met = stored(met.join(told_of(1, "u"), "u").join(told_of(2, "v"), "v").select("u", "v", most), "met")
     with small_batches(spark, SET_ROWS):
-        bodies = stored(texts_of(ends.select(F.col("leader").alias("sid"), "rep")).mapInArrow(_sets(k, WIDE_BITS), "sid long, members binary, bits binary").dropDuplicates(["sid"]), "bodies")
-        told_of = lambda i, end: clusters.select(F.col("leader").alias(end), F.col("radius").alias(f"r{i}"), F.col("high").alias(f"h{i}"), F.col("size").alias(f"size{i}"))
-        most = F.expr(f"(h1 + h2) * {100 - percent} div {100 + percent} + r1 + r2").alias("most")
-        body = lambda end, what, name: bodies.select(F.col("sid").alias(end), F.col(what).alias(name))
-        near = met.join(told_of(1, "u"), "u").join(told_of(2, "v"), "v").select("u", "v", most)
-        near = stored(near.join(body("u", "bits", "x"), "u").join(body("v", "bits", "y"), "v").select("u", "v", "most", "x", "y").mapInArrow(_near(percent), "u long, v long, most long"), "near")
-        far = near.join(body("u", "members", "x"), "u").join(body("v", "members", "y"), "v").select("u", "v", "most", "x", "y")
-        far = stored(far.mapInArrow(_differences(["u", "v", "most"]), "u long, v long, most long, far long, diff binary").where("far <= most").drop("most").join(told_of(1, "u"), "u").join(told_of(2, "v"), "v"), "apart")
+        near = stored(with_bodies(met, bodies_of(met, WIDE_BITS)).mapInArrow(_near(percent), "u long, v long, most long").distinct(), "near")
+        far = with_bodies(near, bodies_of(near, 0)).mapInArrow(_differences(["u", "v", "most"]), "u long, v long, most long, far long, diff binary")
+        far = far.where("far <= most").dropDuplicates(["u", "v"]).drop("most")
+        far = stored(far.join(told_of(1, "u"), "u").join(told_of(2, "v"), "v"), "apart")
 
     # sets without members: the difference decides; else the smaller cluster's members are answers of the larger one
     single = far.where("size1 = 1 and size2 = 1").where(_linked(F.col("h1") + F.col("h2"), F.col("far"), percent)).select("u", "v")
@@ -476,7 +489,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lowest = named.groupBy("component").agg(F.min("rep").alias("lowest"))
     answer = named.join(lowest, "component").join(links, "sid", "left").select("sid", F.col("lowest"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     empty = same.join(answer.select(F.col("sid").alias("u"), F.col("lowest").alias("class_of_id")), "u").select("id", "class_of_id").distinct()
-    out = sized.join(answer, "sid", "left").join(empty, "id", "left")
+    out = sized.join(stored(answer, "answer"), "sid", "left").join(empty, "id", "left")
     some = F.col("id").isNotNull()
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                       F.when(some, F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.coalesce("class_of_id", "id"))).alias("component_id"),
