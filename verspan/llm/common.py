@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -49,6 +49,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """``stored`` for what nothing reads after the block: its folder is deleted at the end."""
+    folder = new_path(spark, "scratch")
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        path = f"{folder}/{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        remove(spark, folder)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path below the shared folder by Hadoop's file system."""
     jvm = spark.sparkContext._jvm
@@ -138,7 +154,7 @@ def unpacked(b: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+def components(edges: DataFrame, u: str = "u", v: str = "v", stored: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
     """Connected components: (node, component), component the smallest node reachable.
 
     Large star and small star in turn until nothing changes; each round is written

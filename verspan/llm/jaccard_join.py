@@ -38,7 +38,7 @@ no link and has a null class. Extra columns are ignored; an empty table gives no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,14 +46,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verspan.llm.common import components, hashed, mixed, multipliers, ngrams, packed, partitions, signed, small_batches, stored, table, texts, unpacked, words
+from verspan.llm.common import components, hashed, mixed, multipliers, ngrams, packed, partitions, scratch, signed, small_batches, stored, table, texts, unpacked, words
 
 #: Most shingles that count as frequent; 8 bytes each are sent to all workers.
 MAX_FREQUENT = 1 << 17
 #: Shingles of a window, and how often one has to occur in it to be reported.
 WINDOW, WINDOW_MIN = 2_000_000, 4
 #: Postings that a task gathers before it sends its blobs, and those of a bucket of the index.
-FLUSH, BUCKET = 1_000_000, 300_000
+FLUSH, BUCKET = 500_000, 300_000
 BITMAP_WORDS = 4
 #: Bits of the bitmaps that pairs of leaders are checked with before their sets are brought together.
 WIDE_BITS = 4096
@@ -387,7 +387,7 @@ def _tiles(percent: int):
     return run
 
 
-def _leaders(sets: DataFrame) -> DataFrame:
+def _leaders(sets: DataFrame, stored: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """(sid, leader) of sets that share enough min-hashes with one of smaller digest that leads itself."""
     own = sets.select("sid", F.posexplode(F.array(*_HASHES)).alias("j", "m"))
     least = own.groupBy("j", "m").agg(F.min("sid").alias("leader"), F.count("*").alias("c")).where("c > 1").drop("c")
@@ -403,18 +403,9 @@ def _linked(n: Column, far: Column, percent: int) -> Column:
     return 100 * (n - far) >= percent * (n + far)
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
-    """(id, n_shingles, component_id, n_links) for each document; n_links: documents that it links with."""
-    spark = docs.sparkSession
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    schema = "kind int, a long, n long, sid long, " + ", ".join(f"{c} long" for c in [*_HASHES, *_BITS])
-    told = stored(rows.mapInArrow(_signatures(k), schema), "signatures")
-    sized = told.where("kind = 0").select(F.col("a").alias("id"), "n", "sid")
-    hot = told.where("kind = 1").groupBy("a").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "a").limit(MAX_FREQUENT).collect()
-    frequent = np.array([r["a"] for r in hot], np.int64).view(np.uint64)
-    by = np.argsort(frequent)
-    frequent_b = spark.sparkContext.broadcast((frequent[by], np.array([r["c"] for r in hot], np.int64)[by]))
-
+def _answers(rows: DataFrame, told: DataFrame, frequent_b, k: int, percent: int, stored: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(sid, lowest, links) of each set; (id, class_of_id) of ids that several sets share."""
+    spark, sized = rows.sparkSession, told.where("kind = 0").select(F.col("a").alias("id"), "n", "sid")
     real = told.where("kind = 0 and n > 0 and a is not null")
     sets = stored(real.groupBy("sid").agg(F.min("a").alias("rep"), F.count("*").alias("copies"), *[F.min(c).alias(c) for c in ["n", *_HASHES, *_BITS]]), "sets")
 
@@ -424,7 +415,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return rows.join(held, rows["id"] == held["rep"]).drop("rep", "id")
 
     # members as differences to their leaders; one that is too far leads itself
-    joined = stored(_leaders(sets), "joined")
+    joined = stored(_leaders(sets, stored), "joined")
     both = joined.union(joined.select("leader", "leader").distinct()).join(sets.select("sid", "rep"), "sid")
     with small_batches(spark, SET_ROWS):
         bodies = stored(texts_of(both).mapInArrow(_sets(k, ["sid", "leader"]), "sid long, leader long, body binary"), "bodies")
@@ -483,13 +474,29 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = stored(real.groupBy("id").agg(F.min("sid").alias("least"), F.max("sid").alias("most")).where("least <> most").select("id"), "shared")
     own = real.join(shared, "id").where("n > 0").select("id", F.col("sid").alias("v")).distinct()
     same = stored(own.join(own.groupBy("id").agg(F.min("v").alias("u")), "id"), "same")
-    comp = components(found.select(F.col("sid").alias("u"), F.col("root").alias("v")).union(single).union(same.select("u", "v")))
+    comp = components(found.select(F.col("sid").alias("u"), F.col("root").alias("v")).union(single).union(same.select("u", "v")), stored=stored)
     named = sets.select("sid", "rep", "copies").join(comp, F.col("sid") == F.col("node"), "left").select("sid", "rep", "copies", F.coalesce("component", "sid").alias("component"))
     named = stored(named, "named")
     lowest = named.groupBy("component").agg(F.min("rep").alias("lowest"))
     answer = named.join(lowest, "component").join(links, "sid", "left").select("sid", F.col("lowest"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     empty = same.join(answer.select(F.col("sid").alias("u"), F.col("lowest").alias("class_of_id")), "u").select("id", "class_of_id").distinct()
-    out = sized.join(stored(answer, "answer"), "sid", "left").join(empty, "id", "left")
+    return answer, empty
+
+
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
+    """(id, n_shingles, component_id, n_links) for each document; n_links: documents that it links with."""
+    spark = docs.sparkSession
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    schema = "kind int, a long, n long, sid long, " + ", ".join(f"{c} long" for c in [*_HASHES, *_BITS])
+    told = stored(rows.mapInArrow(_signatures(k), schema), "signatures")
+    sized = told.where("kind = 0").select(F.col("a").alias("id"), "n", "sid")
+    hot = told.where("kind = 1").groupBy("a").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "a").limit(MAX_FREQUENT).collect()
+    frequent = np.array([r["a"] for r in hot], np.int64).view(np.uint64)
+    by = np.argsort(frequent)
+    frequent_b = spark.sparkContext.broadcast((frequent[by], np.array([r["c"] for r in hot], np.int64)[by]))
+    with scratch(spark) as short:
+        answer, empty = (stored(d, "answer") for d in _answers(rows, told, frequent_b, k, percent, short))
+    out = sized.join(answer, "sid", "left").join(empty, "id", "left")
     some = F.col("id").isNotNull()
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                       F.when(some, F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.coalesce("class_of_id", "id"))).alias("component_id"),
