@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words whose hashes a Python worker keeps; only speed depends on it.
-WORD_CACHE = 600_000
+WORD_CACHE = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,16 +72,29 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of an Arrow batch that holds texts.
+TEXT_ROWS = 2000
+_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def map_texts(df: DataFrame, f: Callable, schema) -> DataFrame:
+    """``mapInArrow`` over rows that hold texts of any length: where the session leaves the rows of an Arrow batch at
+    their default, it is set to ``TEXT_ROWS``, so that neither side holds 10,000 texts at once."""
+    conf = df.sparkSession.conf
+    if conf.get(_ROWS_KEY, None) is None:
+        conf.set(_ROWS_KEY, str(TEXT_ROWS))
+    return df.mapInArrow(f, schema)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of few rows for what runs inside, where a row can be as large as a whole text."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, str(rows))
+    old = spark.conf.get(_ROWS_KEY, None)
+    spark.conf.set(_ROWS_KEY, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(key, old) if old is not None else spark.conf.unset(key)
+        spark.conf.set(_ROWS_KEY, old) if old is not None else spark.conf.unset(_ROWS_KEY)
 
 
 def lower_ascii(c: Column) -> Column:

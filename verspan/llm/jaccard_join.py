@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verspan.llm.common import components, hashed, mixed, multipliers, ngrams, packed, partitions, scratch, signed, small_batches, stored, table, texts, unpacked, words
+from verspan.llm.common import components, hashed, map_texts, mixed, multipliers, ngrams, packed, partitions, scratch, signed, small_batches, stored, table, texts, unpacked, words
 
 #: Most shingles that count as frequent; 8 bytes each are sent to all workers.
 MAX_FREQUENT = 1 << 17
@@ -432,7 +432,7 @@ def _answers(rows: DataFrame, told: DataFrame, frequent_b, k: int, percent: int,
     buckets = max(partitions(spark), -(-int(postings) // BUCKET))
     indexed = homes.select("sid", "rep", "leader").join(clusters.select("leader", "radius", *_BITS), "leader")
     indexed = rows.join(indexed, rows["id"] == indexed["rep"]).drop("rep", "id")
-    blobs = indexed.mapInArrow(_index(k, percent, buckets, frequent_b), "bucket int, blob binary")
+    blobs = map_texts(indexed, _index(k, percent, buckets, frequent_b), "bucket int, blob binary")
     met = stored(blobs.repartition(buckets, "bucket").mapInArrow(_pairs(percent), "u long, v long").distinct(), "met")
 
     # what two leaders differ in
@@ -488,7 +488,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     schema = "kind int, a long, n long, sid long, " + ", ".join(f"{c} long" for c in [*_HASHES, *_BITS])
-    told = stored(rows.mapInArrow(_signatures(k), schema), "signatures")
+    told = stored(map_texts(rows, _signatures(k), schema), "signatures")
     sized = told.where("kind = 0").select(F.col("a").alias("id"), "n", "sid")
     hot = told.where("kind = 1").groupBy("a").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "a").limit(MAX_FREQUENT).collect()
     frequent = np.array([r["a"] for r in hot], np.int64).view(np.uint64)
