@@ -3,22 +3,26 @@
 For each language the suffix automaton of a bounded sample of its labelled text is
 built; a text is parsed greedily into the longest phrases that occur in that sample
 (each phrase is a longest match, walked along the automaton's transitions). The fewer
-phrases a text needs for its letters, the closer its source is to the sample's; the
-language needing fewest wins. Samples have equal length, so that counts compare; a
-phrase costs about the logarithm of the sample's length.
+phrases a text needs for its letters, the closer its source is to the sample's. A
+phrase points into the sample, which takes the logarithm of the sample's length; counts
+are normalised by it, as samples can be of unlike length, and the language with the
+fewest normalised phrases wins.
 
 Whole texts are parsed, all languages at once: texts are cut into lanes of ``LANE``
-symbols that advance together, one array step for each position; a phrase also ends
-at a lane's end. Symbols are lower-case letters that the samples hold; any run of
-other characters is one blank.
+symbols that advance together, one array step for each position. Every lane is first
+parsed as if a phrase began with it; then the phrase that is open at the end of the lane
+before is carried on into it until both parses stand in the same state, from where on
+they are one. A phrase may run over any number of lanes. Symbols are lower-case letters
+that the samples hold; any run of other characters is one blank.
 
 The sample is the classifier's only bound: of each language the ``sample_docs``
-documents first by a hash of their id, to ``sample_chars`` symbols together.
+texts first by a hash of their document's id, to ``sample_chars`` symbols together;
+null texts and the label ``und`` are no part of it.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; texts of
 letters that no sample holds get the first language in order of name with score
 1/languages; with no labelled text all is ``und``; ties go to the first name; extra
-columns are ignored.
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,11 +36,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verspan.llm.common import table
+from verspan.llm.common import map_texts, table
 
 #: Bounds of the sample of a language: documents, and symbols of them together.
 SAMPLE_DOCS, SAMPLE_CHARS = 40, 20_000
-LANE, LANES = 256, 20_000
+LANE, LANES = 256, 6_000
 UND = "und"
 _tables: dict = {}
 
@@ -69,7 +73,8 @@ class Automata:
         self.symbols = np.full(sys.maxunicode + 1, 0, np.int16)
         self.symbols[letters] = self.width - 1
         self.symbols[known] = np.arange(1, len(known) + 1)
-        self.size = max((len(c) for c in clean.values()), default=0)
+        #: Cost of a phrase in each language.
+        self.cost = np.log([max(len(clean[x]), 2) for x in self.langs])
         tables, self.roots, shift = [], [], 0
         for lang in self.langs:
             t = self._build(self.symbols[clean[lang]].tolist(), self.width)
@@ -112,30 +117,67 @@ class Automata:
             out[i, list(d)] = list(d.values())
         return out
 
-    def phrases(self, lanes: np.ndarray) -> np.ndarray:
-        """Phrases that each lane needs for each language; lanes: (lanes, LANE) of symbols, -1 beyond the end."""
+    def _step(self, state, root, symbol):
+        """(next state, phrases that end) of one symbol."""
+        to, again = self.next[state * self.width + symbol], self.next[root * self.width + symbol]
+        ends = to == 0
+        lost = again == 0  # an unknown symbol is a phrase of its own
+        return np.where(ends, np.where(lost, root, again), to), ends * ((state != root) + lost.astype(np.int32))
+
+    def phrases(self, lanes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Phrases that end in each lane, for each language; lanes: (lanes, LANE) of symbols, -1 beyond the end.
+
+        begins: whether a lane is the first of its text; only a text's last lane is shorter
+        than LANE, and a phrase open at its end counts.
+        """
         roots = np.array(self.roots, np.int32)
-        n = len(lanes)
-        state = np.repeat(roots[None, :], n, 0)
-        count = np.zeros(state.shape, np.int32)
+        n, k = len(lanes), len(roots)
         lasts = (lanes >= 0).sum(1)
         order = np.argsort(-lasts, kind="stable")
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
         lanes, lasts = np.ascontiguousarray(lanes[order].T), lasts[order]
-        for i in range(int(lasts[0]) if n else 0):
+        # every lane as if a phrase began with it; states and counts after each symbol
+        states, counts = np.empty((LANE + 1, n, k), np.int32), np.zeros((LANE + 1, n, k), np.int32)
+        states[0] = roots
+        for i in range(LANE):
             m = int(np.searchsorted(-lasts, -i))  # lanes that are longer than i
-            c = lanes[i, :m, None]
-            s = state[:m]
-            to = self.next[s * self.width + c]
-            ends = to == 0
-            count[:m] += ends & (s != roots)
-            again = self.next[roots * self.width + c]
-            lost = again == 0
-            count[:m] += ends & lost  # an unknown symbol is a phrase
-            state[:m] = np.where(ends, np.where(lost, roots, again), to)
-        count += state != roots
-        out = np.empty_like(count)
-        out[order] = count
-        return out
+            states[i + 1], counts[i + 1] = states[i], counts[i]
+            if m:
+                states[i + 1, :m], more = self._step(states[i, :m], roots, lanes[i, :m, None])
+                counts[i + 1, :m] += more
+        total, end = counts[LANE].copy(), states[LANE].copy()
+        # then the open phrase of the lane before, until both parses agree
+        follow = np.flatnonzero(~begins)
+        row, col = np.repeat(place[follow], k), np.tile(np.arange(k), len(follow))
+        prior = np.repeat(place[follow - 1], k)
+        came = np.repeat(roots[None, :], n, 0)  # the state that each lane was last parsed from
+        while len(row):
+            new = end[prior, col] != came[row, col]
+            r, c, s = row[new], col[new], end[prior[new], col[new]]
+            if not len(r):
+                break
+            came[r, c] = s
+            total[r, c], end[r, c] = counts[LANE][r, c], states[LANE][r, c]
+            own = np.zeros(len(r), np.int32)
+            for i in range(LANE):
+                on = (s != states[i, r, c]) & (lasts[r] > i)
+                met = s == states[i, r, c]
+                total[r[met], c[met]] += own[met] - counts[i, r[met], c[met]]
+                out = ~met & ~on  # the lane is over
+                total[r[out], c[out]], end[r[out], c[out]] = own[out], s[out]
+                r, c, s, own = r[on], c[on], s[on], own[on]
+                if not len(r):
+                    break
+                s, more = self._step(s, roots[c], lanes[i, r])
+                own = own + more
+            met = s == states[LANE, r, c]
+            total[r, c] = np.where(met, total[r, c] + own - counts[LANE, r, c], own)
+            end[r, c] = s
+        total, end = total[place], end[place]
+        final = np.r_[begins[1:], True] if n else begins
+        total[final] += end[final] != roots
+        return total
 
 
 def _lanes(sym: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -159,11 +201,12 @@ def classify(texts: list[str | None], model: Automata) -> list[tuple[str, float]
 
     def done() -> None:
         lanes, each = _lanes(sym)
-        per_lane = model.phrases(lanes)
-        counts = np.add.reduceat(per_lane, np.cumsum(each) - each, axis=0)
-        cost = (counts - counts.min(1, keepdims=True)) * np.log(max(model.size, 2))
-        share = 1 / np.exp(-cost).sum(1)
-        for i, k, p in zip(which, counts.argmin(1).tolist(), share.tolist()):
+        first = np.cumsum(each) - each
+        begins = np.zeros(len(lanes), np.bool_)
+        begins[first] = True
+        cost = np.add.reduceat(model.phrases(lanes, begins), first, axis=0) * model.cost
+        share = 1 / np.exp(cost.min(1, keepdims=True) - cost).sum(1)
+        for i, k, p in zip(which, cost.argmin(1).tolist(), share.tolist()):
             out[i] = (model.langs[k], p)
 
     for i, t in enumerate(texts):
@@ -173,6 +216,9 @@ def classify(texts: list[str | None], model: Automata) -> list[tuple[str, float]
         if not letters[c].any():
             continue
         s = model.symbols[c]
+        if not ((s > 0) & (s < model.width - 1)).any():
+            out[i] = (model.langs[0], 1 / len(model.langs))
+            continue
         s = s[np.r_[True, (s[1:] != 0) | (s[:-1] != 0)]]
         which.append(i)
         sym.append(s)
@@ -195,13 +241,16 @@ def _predict(model_b, text_col: str, kept: list[str]):
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Automata:
-    """Automata of a bounded sample: of each language the first documents by a hash of their id."""
-    rows = labelled.select(labelled[lang_col].alias("lang"), labelled[text_col].alias("text"), F.xxhash64(labelled[id_col].cast("string")).alias("h")).where("lang is not null and lang <> 'und'")
+    """Automata of a bounded sample: of each language the first texts by a hash of their document's id."""
+    rows = labelled.select(labelled[lang_col].alias("lang"), labelled[text_col].alias("text"), F.xxhash64(labelled[id_col].cast("string")).alias("h"))
+    rows = rows.where(f"lang is not null and lang <> '{UND}' and text is not null")
     r = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     chosen = rows.select("lang", "h").distinct().withColumn("r", r).where(F.col("r") <= sample_docs)  # narrow rows, limited in each task before the shuffle
-    first = rows.join(F.broadcast(chosen), ["lang", "h"]).where("text is not null").orderBy("lang", "r", "text")
+    first = rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "r", F.substring("text", 1, sample_chars).alias("text"))
+    # an id can have any number of rows: of them, too, each task keeps the first ones only
+    first = first.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("r", "text"))).where(F.col("at") <= sample_docs)
     samples: dict[str, list[str]] = {}
-    for r in first.select("lang", F.substring("text", 1, sample_chars).alias("text")).collect():  # at most sample_docs of each language
+    for r in first.orderBy("lang", "at").collect():  # at most sample_docs of each language
         samples.setdefault(r["lang"], []).append(r["text"])
     return Automata(samples, sample_chars)
 
@@ -212,7 +261,7 @@ def identify(docs: DataFrame, model: Automata, id_col: str = "doc_id", text_col:
     kept = [c for c in keep or [id_col] if c not in ("lang_pred", "score")]
     rows = docs.select(*dict.fromkeys([*kept, text_col]))
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_predict(sent, text_col, kept), schema)
+    return map_texts(rows, _predict(sent, text_col, kept), schema)
 
 
 def held_out(id_col: Column, of: int = 4) -> Column:
