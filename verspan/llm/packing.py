@@ -13,7 +13,9 @@ together.
 Tokenising: text is cut before each space that a non-space follows, where the
 tokenizer's own pattern always begins a new piece; a part's ids are looked up in a
 cache of the worker and else asked of the tokenizer, so that repeated words are
-tokenised once. The ids are those of the whole text.
+tokenised once; the worker keeps the parts of two generations, so that frequent ones
+stay. A text that holds one of the tokenizer's added tokens goes to the tokenizer whole.
+The ids are those of the whole text.
 
 Defined cases: a null or empty text is the end id alone; longer documents are cut
 into pieces of ``capacity`` with the shorter piece first; documents that share an id
@@ -34,12 +36,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verspan.llm.common import stored, table
+from verspan.llm.common import map_texts, stored, table
 
 CAPACITY, END_ID = 2048, 0
 TOKENIZER = "byte_bpe_50k.json"
-#: Parts whose ids a worker keeps, and documents tokenised at once; only speed depends on them.
-PART_CACHE, AT_ONCE = 1_300_000, 400
+#: Parts of a generation whose ids a worker keeps, and documents tokenised at once; only speed depends on them.
+PART_CACHE, AT_ONCE = 250_000, 400
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
 
 _ODD = re.compile(r" (?=\s|$)")
@@ -61,27 +63,31 @@ def tokenizer(path: str):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
-        _state.update(path=path, tok=tok, known={})
-    return _state["tok"], _state["known"]
+        added = [re.escape(t.content) for t in tok.get_added_tokens_decoder().values()]
+        _state.update(path=path, tok=tok, added=re.compile("|".join(added)) if added else None, young={}, old={})
+    return _state["tok"]
 
 
 def ids_of(docs: list[str | None], path: str) -> list[bytes]:
     """Token ids of each text as little-endian unsigned 32-bit integers."""
-    tok, known = tokenizer(path)
-    if len(known) > PART_CACHE:
-        known.clear()
+    tok = tokenizer(path)
+    young, old, added = _state["young"], _state["old"], _state["added"]
     encode = getattr(tok, "encode_batch_fast", tok.encode_batch)
 
     def asked(parts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in encode(parts, add_special_tokens=False)]
 
-    cut = [[] if not t else _CUT.split(t) if _ODD.search(t) else t.split(" ") for t in docs]
+    cut = [[] if not t else [t] if added and added.search(t) else _CUT.split(t) if _ODD.search(t) else t.split(" ") for t in docs]
     # the first part has no space before it; others are keyed without theirs
     heads = asked([c[0] if c else "" for c in cut])
-    new = list({p for c in cut for p in c[1:] if p not in known})
-    known.update(zip(new, asked([" " + p for p in new])))
-    return [h + b"".join(map(known.__getitem__, c[1:])) for h, c in zip(heads, cut)]
+    need = {p for c in cut for p in c[1:] if p not in young}
+    young.update((p, old[p]) for p in need if p in old)
+    new = [p for p in need if p not in old]
+    young.update(zip(new, asked([" " + p for p in new])))
+    out = [h + b"".join(map(young.__getitem__, c[1:])) for h, c in zip(heads, cut)]
+    if len(young) > PART_CACHE:
+        _state.update(young={}, old=young)
+    return out
 
 
 def _pieces(path: str, capacity: int, end_id: int):
@@ -188,7 +194,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     """One row for each piece with its place in a sequence."""
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    pieces = stored(rows.mapInArrow(_pieces(path or tokenizer_path(), capacity, end_id), PIECES), "pieces")
+    pieces = stored(map_texts(rows, _pieces(path or tokenizer_path(), capacity, end_id), PIECES), "pieces")
     by_part = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = by_part.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).drop("n")
     counts = np.zeros(capacity + 1, np.int64)
