@@ -11,8 +11,9 @@ or more are equal and it covers ``MIN_TOKENS`` tokens, or the whole item if that
 shorter, and ``cover`` of the item. Items shorter than a window have one seed, their
 whole text.
 
-The benchmark is joined in chunks of bounded size, each broadcast and each against all
-documents; documents are not shuffled.
+The benchmark's distinct texts are joined in chunks of bounded size, each broadcast and
+each against all documents; documents are not shuffled. Items of equal text share their
+seeds; the ids are joined to what was found.
 
 Defined cases: a null or empty text holds nothing; an item without words matches
 nothing; a null id of a document or an item is carried as null; rows that repeat are
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verspan.llm.common import hashed, mixed, multipliers, table
+from verspan.llm.common import hashed, map_texts, mixed, multipliers, table
 
 #: Fixed masks: positions that count in a window of SPAN tokens.
 SPAN = 8
@@ -37,7 +38,7 @@ MASKS = ("11101101", "10110111", "11011011", "01111110")
 #: An overlap's least length in tokens, its least share of equal tokens, and its least part of an item.
 MIN_TOKENS, SHARE, COVER = 13, 0.8, 0.5
 #: Bytes of benchmark text in a broadcast chunk.
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 8 << 20
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _KEPT = [np.flatnonzero(np.frombuffer(m.encode(), np.uint8) == ord("1")) for m in MASKS]
 
@@ -50,7 +51,7 @@ def tokens(text: str | None) -> np.ndarray:
 
 
 def seeds(w: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(hashes, positions) for each mask; tokens fewer than a window give none."""
+    """(hashes, positions of the first token that counts) for each mask; tokens fewer than a window give none."""
     n = len(w) - SPAN + 1
     if n < 1:
         return
@@ -60,7 +61,7 @@ def seeds(w: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         h = np.full(n, i + 1, np.uint64)
         for j in kept:
             h += w[j : j + n] * m[j]
-        yield mixed(h), at
+        yield mixed(h), at + int(kept[0])
 
 
 def short_seed(w: np.ndarray) -> int:
@@ -101,13 +102,13 @@ class Benchmark:
                 self.short.setdefault(len(w), {}).setdefault(short_seed(w), []).append(k)
             for h, p in seeds(w):
                 hashes.append(h)
-                which.append(np.full(len(h), k))
-                at.append(p)
+                which.append(np.full(len(h), k, np.int32))
+                at.append(p.astype(np.int32))
         h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         by = np.argsort(h, kind="stable")
         self.hashes = h[by]
-        self.which = (np.concatenate(which) if which else np.empty(0, np.int64))[by]
-        self.at = (np.concatenate(at) if at else np.empty(0, np.int64))[by]
+        self.which = (np.concatenate(which) if which else np.empty(0, np.int32))[by]
+        self.at = (np.concatenate(at) if at else np.empty(0, np.int32))[by]
         #: A bit for each hash's low 22 bits: most training windows end here.
         self.maybe = np.zeros(1 << 22, np.bool_)
         self.maybe[(self.hashes & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
@@ -165,21 +166,27 @@ def _clean(bench_b, text_col: str):
     return run
 
 
+def _keyed(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """Items with the hash of their text; items without text are left out."""
+    items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[text_col].alias("text")).where("text is not null")
+    return items.withColumn("key", F.xxhash64("text"))
+
+
 def _chunks(benchmark: DataFrame, item_col: str, text_col: str, share: float, cover: float, min_tokens: int) -> Iterator:
     """Broadcast chunks of the benchmark, each of about CHUNK_BYTES of text at most; one at least."""
-    items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[text_col].alias("text")).where("text is not null")
+    items = _keyed(benchmark, item_col, text_col).select("key", "text").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = -(-size // CHUNK_BYTES) or 1
     for c in range(chunks):
-        part = items.where(F.pmod(F.xxhash64("text"), F.lit(chunks)) == c) if chunks > 1 else items
-        rows = [(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()]
+        part = items.where(F.pmod("key", F.lit(chunks)) == c) if chunks > 1 else items
+        rows = [(r["key"], r["text"]) for r in part.orderBy("key").collect()]
         yield benchmark.sparkSession.sparkContext.broadcast(Benchmark(rows, share, cover, min_tokens))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE, cover: float = COVER, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """The rows of ``docs``, whatever their columns, that hold no overlap with any item."""
     for bench in _chunks(benchmark, item_col, item_text_col, share, cover, min_tokens):
-        docs = docs.mapInArrow(_clean(bench, text_col), docs.schema)
+        docs = map_texts(docs, _clean(bench, text_col), docs.schema)
     return docs
 
 
@@ -188,9 +195,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     out = None
     for bench in _chunks(benchmark, item_col, item_text_col, share, cover, min_tokens):
-        one = rows.mapInArrow(_scan(bench), SPANS)
+        one = map_texts(rows, _scan(bench), SPANS)
         out = one if out is None else out.union(one)
     best = F.max(F.struct("equal_tokens", "overlap_tokens", (-F.col("start_token")).alias("neg"), "item_tokens")).alias("b")
+    ids = _keyed(benchmark, item_col, item_text_col).select("key", F.col("item_id").alias("item")).distinct()
+    out = out.withColumnRenamed("item_id", "key").join(ids, "key").withColumnRenamed("item", "item_id")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.equal_tokens", "b.overlap_tokens", (-F.col("b.neg")).alias("start_token"), "b.item_tokens")
 
 
