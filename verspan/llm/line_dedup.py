@@ -1,10 +1,10 @@
 """Line deduplication by DataFrame functions only.
 
-Lines are normalised, hashed and exploded; distinct documents are counted for each
-hash; lines over the threshold go, but for those of one keeper document; the rest is
-put together again by position. Only hashes are shuffled for the counts, never lines:
-a document's own hashes are made distinct before the explode, and a very common line
-is summed in each task first.
+Lines are normalised, hashed and exploded with their position; distinct documents are
+counted for each hash; lines over the threshold go, but for those of one keeper document;
+the rest is put together again by position. Only hashes are shuffled for the counts,
+never lines. Common lines are broadcast where they are counted to be few, else joined by
+shuffles that Spark can split, so that a line found in every document is no task's load.
 
 Defined cases: a null or empty text is one empty line. Documents that share an id
 count once, and all of them keep the lines if they are the keeper. A document without
@@ -17,9 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verspan.llm.common import SPACE, lower_ascii, table
+from verspan.llm.common import SPACE, lower_ascii, stored, table
 
 MIN_CHARS, MIN_DOCS = 40, 5
+#: Most common lines (20 bytes each) that are broadcast.
+MAX_BROADCAST_LINES = 1_000_000
 
 
 def line_key(line: Column) -> Column:
@@ -35,17 +37,19 @@ def _long_keys(lines: Column, min_chars: int) -> Column:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
                 out_col: str = "kept_text", lines_col: str = "n_lines", dropped_col: str = "n_dropped") -> DataFrame:
     """Add the text without its repeated lines, the number of lines, and of those dropped."""
-    lines = F.split(F.coalesce(docs[text_col], F.lit("")), "\n", -1)
-    keyed = docs.select(docs[id_col].alias("id"), F.explode(F.array_distinct(F.filter(_long_keys(lines, min_chars), lambda k: k.isNotNull()))).alias("k")).where("id is not null")
-    keyed = keyed.select("id", "k.h", "k.g")
-    common = keyed.distinct().groupBy("h", "g").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).drop("n")
-    drops = keyed.join(common, ["h", "g"]).where("id <> keeper").groupBy("id").agg(F.collect_set(F.struct("h", "g")).alias("drop"))
-    row = docs.select(F.struct(*docs.columns).alias("doc"), docs[id_col].alias("id"))
-    joined = row.join(drops, "id", "left")
+    text = F.coalesce(docs[text_col], F.lit(""))
+    # rows that share an id are told apart by their text
+    keyed = docs.where(docs[id_col].isNotNull()).select(docs[id_col].alias("id"), F.xxhash64(text).alias("t"), F.posexplode(_long_keys(F.split(text, "\n", -1), min_chars)).alias("pos", "k")).where("k is not null")
+    keyed = stored(keyed.select("id", "t", "pos", "k.h", "k.g"), "line-keys")
+    common = keyed.select("id", "h", "g").distinct().groupBy("h", "g").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).drop("n")
+    common = stored(common, "common-lines")
+    held = F.broadcast(common) if common.count() <= MAX_BROADCAST_LINES else common
+    drops = keyed.join(held, ["h", "g"]).where("id <> keeper").groupBy("id", "t").agg(F.collect_set("pos").alias("drop"))
+    row = docs.select(F.struct(*docs.columns).alias("doc"), docs[id_col].alias("id"), F.xxhash64(text).alias("t"))
+    joined = row.join(drops, ["id", "t"], "left")
     lines = F.split(F.coalesce(F.col(f"doc.`{text_col}`"), F.lit("")), "\n", -1)
-    keys = _long_keys(lines, min_chars)
-    kept = F.when(F.col("drop").isNull(), lines).otherwise(
-        F.transform(F.filter(F.arrays_zip(lines.alias("line"), keys.alias("key")), lambda x: x["key"].isNull() | ~F.array_contains(F.col("drop"), x["key"])), lambda x: x["line"]))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop"))  # by hash, in order
+    kept = F.when(F.col("drop").isNull(), lines).otherwise(F.transform(left, lambda i: F.get(lines, i)))
     out = joined.select("doc", lines.alias("lines"), kept.alias("kept"))
     return out.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in (out_col, lines_col, dropped_col)],
                       F.array_join("kept", "\n").alias(out_col), F.size("lines").cast("long").alias(lines_col), (F.size("lines") - F.size("kept")).cast("long").alias(dropped_col))
