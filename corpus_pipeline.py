@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from verspan.llm.common import stored, table
 from verspan.llm.decontaminate import without_contaminated
-from verspan.llm.jaccard_join import jaccard_classes
+from verspan.llm.jaccard_join import MAX_BROADCAST_IDS, jaccard_classes
 from verspan.llm.langid import UND, fit, identify
 from verspan.llm.line_dedup import dedup_lines
 from verspan.llm.packing import pack
@@ -40,7 +40,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     of text and then of the other columns stays, nulls first.
     """
     classes = stored(jaccard_classes(docs, k=SHINGLE, percent=PERCENT).where("doc_id is not null"), "classes")
-    drop = classes.where("doc_id <> component_id").select("doc_id").distinct()
+    drop = stored(classes.where("doc_id <> component_id").select("doc_id").distinct(), "drop")
+    drop = F.broadcast(drop) if drop.count() <= MAX_BROADCAST_IDS else drop
     out = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
     again = stored(classes.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     if again.isEmpty():
