@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verspan.llm.common import components, hashed, map_texts, mixed, multipliers, ngrams, packed, partitions, scratch, signed, small_batches, stored, table, texts, unpacked, words
+from verspan.llm.common import components, hashed, mixed, multipliers, ngrams, packed, partitions, scratch, signed, small_batches, stored, table, texts, unpacked, words
 
 #: Most shingles that count as frequent; 8 bytes each are sent to all workers.
 MAX_FREQUENT = 1 << 17
@@ -67,8 +67,8 @@ LONG_LIST = 96
 TILE, TILE_BYTES = 4096, 32 << 20
 #: Most ids (16 bytes each) that are broadcast to find their texts; beyond it texts are shuffled by id.
 MAX_BROADCAST_IDS = 1_000_000
-#: Rows of a batch where rows hold whole sets.
-SET_ROWS = 256
+#: Rows of a batch, of texts, whole sets or blobs.
+BATCH_ROWS = 128
 
 _SALTS = mixed(np.arange(1, MINHASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _HASHES = [f"m{i}" for i in range(MINHASHES)]
@@ -182,7 +182,8 @@ def _index(k: int, percent: int, buckets: int, frequent_b):
                 x = slice(edges[i], edges[i + 1])
                 own, at = np.unique(who[x], return_inverse=True)
                 head = np.array([x.stop - x.start, len(own)], np.uint64).tobytes()
-                blobs.append(head + packed(tok[x]) + np.stack([at, room[x], low[x], high[x]]).astype(np.uint32).tobytes() + info[own].tobytes())
+                rest = np.concatenate([at, room[x], low[x], high[x] - low[x]]).astype(np.uint32)
+                blobs.append(head + packed(tok[x]) + rest.view(np.uint8).reshape(-1, 4).T.tobytes() + info[own].tobytes())  # byte plane by byte plane
                 bs.append(i)
             return pa.RecordBatch.from_arrays([pa.array(bs, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
@@ -258,8 +259,10 @@ def _pairs(percent: int):
             for x in by.pop(next(iter(by))):
                 n, m = np.frombuffer(x, np.uint64, 2).astype(np.int64)
                 toks.append(unpacked(x[16 : 16 + 8 * n]))
-                postings.append(np.frombuffer(x, np.uint32, 4 * n, 16 + 8 * n).reshape(4, -1).astype(np.int64))
+                planes = np.frombuffer(x, np.uint8, 16 * n, 16 + 8 * n).reshape(4, -1)
+                postings.append(np.ascontiguousarray(planes.T).view(np.uint32).reshape(4, -1).astype(np.int64))
                 postings[-1][0] += shift
+                postings[-1][3] += postings[-1][2]
                 infos.append(np.frombuffer(x, np.uint64, m * (2 + BITMAP_WORDS), 16 + 24 * n).reshape(m, -1))
                 shift += m
             info = np.concatenate(infos)
@@ -417,10 +420,9 @@ def _answers(rows: DataFrame, told: DataFrame, frequent_b, k: int, percent: int,
     # members as differences to their leaders; one that is too far leads itself
     joined = stored(_leaders(sets, stored), "joined")
     both = joined.union(joined.select("leader", "leader").distinct()).join(sets.select("sid", "rep"), "sid")
-    with small_batches(spark, SET_ROWS):
-        bodies = stored(texts_of(both).mapInArrow(_sets(k, ["sid", "leader"]), "sid long, leader long, body binary"), "bodies")
-        pairs = bodies.where("sid <> leader").withColumnRenamed("body", "x").join(bodies.where("sid = leader").select("leader", F.col("body").alias("y")), "leader")
-        diffs = stored(pairs.select("sid", "leader", "x", "y").mapInArrow(_differences(["sid", "leader"]), "sid long, leader long, far long, diff binary"), "differences")
+    bodies = stored(texts_of(both).mapInArrow(_sets(k, ["sid", "leader"]), "sid long, leader long, body binary"), "bodies")
+    pairs = bodies.where("sid <> leader").withColumnRenamed("body", "x").join(bodies.where("sid = leader").select("leader", F.col("body").alias("y")), "leader")
+    diffs = stored(pairs.select("sid", "leader", "x", "y").mapInArrow(_differences(["sid", "leader"]), "sid long, leader long, far long, diff binary"), "differences")
     close = diffs.join(sets.select("sid", "n"), "sid").where("3 * far <= 2 * n").dropDuplicates(["sid"]).drop("n")
     leader = F.coalesce("leader", "sid").alias("leader")
     homes = stored(sets.select("sid", "rep", "copies", "n").join(close, "sid", "left").select("sid", "rep", "copies", "n", leader, F.coalesce("far", F.lit(0)).alias("far"), "diff"), "homes")
@@ -432,7 +434,7 @@ def _answers(rows: DataFrame, told: DataFrame, frequent_b, k: int, percent: int,
     buckets = max(partitions(spark), -(-int(postings) // BUCKET))
     indexed = homes.select("sid", "rep", "leader").join(clusters.select("leader", "radius", *_BITS), "leader")
     indexed = rows.join(indexed, rows["id"] == indexed["rep"]).drop("rep", "id")
-    blobs = map_texts(indexed, _index(k, percent, buckets, frequent_b), "bucket int, blob binary")
+    blobs = indexed.mapInArrow(_index(k, percent, buckets, frequent_b), "bucket int, blob binary")
     met = stored(blobs.repartition(buckets, "bucket").mapInArrow(_pairs(percent), "u long, v long").distinct(), "met")
 
     # what two leaders differ in
@@ -447,11 +449,10 @@ def _answers(rows: DataFrame, told: DataFrame, frequent_b, k: int, percent: int,
     told_of = lambda i, end: clusters.select(F.col("leader").alias(end), F.col("radius").alias(f"r{i}"), F.col("high").alias(f"h{i}"), F.col("size").alias(f"size{i}"))
     most = F.expr(f"(h1 + h2) * {100 - percent} div {100 + percent} + r1 + r2").alias("most")
     met = stored(met.join(told_of(1, "u"), "u").join(told_of(2, "v"), "v").select("u", "v", most), "met")
-    with small_batches(spark, SET_ROWS):
-        near = stored(with_bodies(met, bodies_of(met, WIDE_BITS)).mapInArrow(_near(percent), "u long, v long, most long").distinct(), "near")
-        far = with_bodies(near, bodies_of(near, 0)).mapInArrow(_differences(["u", "v", "most"]), "u long, v long, most long, far long, diff binary")
-        far = far.where("far <= most").dropDuplicates(["u", "v"]).drop("most")
-        far = stored(far.join(told_of(1, "u"), "u").join(told_of(2, "v"), "v"), "apart")
+    near = stored(with_bodies(met, bodies_of(met, WIDE_BITS)).mapInArrow(_near(percent), "u long, v long, most long").distinct(), "near")
+    far = with_bodies(near, bodies_of(near, 0)).mapInArrow(_differences(["u", "v", "most"]), "u long, v long, most long, far long, diff binary")
+    far = far.where("far <= most").dropDuplicates(["u", "v"]).drop("most")
+    far = stored(far.join(told_of(1, "u"), "u").join(told_of(2, "v"), "v"), "apart")
 
     # sets without members: the difference decides; else the smaller cluster's members are answers of the larger one
     single = far.where("size1 = 1 and size2 = 1").where(_linked(F.col("h1") + F.col("h2"), F.col("far"), percent)).select("u", "v")
@@ -488,13 +489,14 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     schema = "kind int, a long, n long, sid long, " + ", ".join(f"{c} long" for c in [*_HASHES, *_BITS])
-    told = stored(map_texts(rows, _signatures(k), schema), "signatures")
+    with small_batches(spark, BATCH_ROWS):
+        told = stored(rows.mapInArrow(_signatures(k), schema), "signatures")
     sized = told.where("kind = 0").select(F.col("a").alias("id"), "n", "sid")
     hot = told.where("kind = 1").groupBy("a").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "a").limit(MAX_FREQUENT).collect()
     frequent = np.array([r["a"] for r in hot], np.int64).view(np.uint64)
     by = np.argsort(frequent)
     frequent_b = spark.sparkContext.broadcast((frequent[by], np.array([r["c"] for r in hot], np.int64)[by]))
-    with scratch(spark) as short:
+    with scratch(spark) as short, small_batches(spark, BATCH_ROWS):
         answer, empty = (stored(d, "answer") for d in _answers(rows, told, frequent_b, k, percent, short))
     out = sized.join(answer, "sid", "left").join(empty, "id", "left")
     some = F.col("id").isNotNull()

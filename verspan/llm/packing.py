@@ -41,7 +41,7 @@ from verspan.llm.common import map_texts, stored, table
 CAPACITY, END_ID = 2048, 0
 TOKENIZER = "byte_bpe_50k.json"
 #: Parts of a generation whose ids a worker keeps, and documents tokenised at once; only speed depends on them.
-PART_CACHE, AT_ONCE = 250_000, 400
+PART_CACHE, AT_ONCE = 500_000, 400
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
 
 _ODD = re.compile(r" (?=\s|$)")
