@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words whose hashes a Python worker keeps; only speed depends on it.
-WORD_CACHE = 200_000
+WORD_CACHE = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,13 +78,26 @@ TEXT_ROWS = 2000
 _ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def tidy(f: Callable) -> Callable:
+    """At a task's end the worker gives freed memory back, as it lives on for tasks of other kinds."""
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+    return run
+
+
 def map_texts(df: DataFrame, f: Callable, schema) -> DataFrame:
     """``mapInArrow`` over rows that hold texts of any length: where the session leaves the rows of an Arrow batch at
     their default, it is set to ``TEXT_ROWS``, so that neither side holds 10,000 texts at once."""
     conf = df.sparkSession.conf
     if conf.get(_ROWS_KEY, None) is None:
         conf.set(_ROWS_KEY, str(TEXT_ROWS))
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(tidy(f), schema)
 
 
 @contextmanager

@@ -46,14 +46,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verspan.llm.common import components, hashed, mixed, multipliers, ngrams, packed, partitions, scratch, signed, small_batches, stored, table, texts, unpacked, words
+from verspan.llm.common import components, hashed, mixed, multipliers, ngrams, packed, partitions, scratch, signed, small_batches, stored, table, texts, tidy, unpacked, words
 
 #: Most shingles that count as frequent; 8 bytes each are sent to all workers.
 MAX_FREQUENT = 1 << 17
 #: Shingles of a window, and how often one has to occur in it to be reported.
-WINDOW, WINDOW_MIN = 2_000_000, 4
+WINDOW, WINDOW_MIN = 1_000_000, 4
 #: Postings that a task gathers before it sends its blobs, and those of a bucket of the index.
-FLUSH, BUCKET = 500_000, 300_000
+FLUSH, BUCKET = 200_000, 150_000
 BITMAP_WORDS = 4
 #: Bits of the bitmaps that pairs of leaders are checked with before their sets are brought together.
 WIDE_BITS = 4096
@@ -420,7 +420,7 @@ def _answers(rows: DataFrame, told: DataFrame, frequent_b, k: int, percent: int,
     # members as differences to their leaders; one that is too far leads itself
     joined = stored(_leaders(sets, stored), "joined")
     both = joined.union(joined.select("leader", "leader").distinct()).join(sets.select("sid", "rep"), "sid")
-    bodies = stored(texts_of(both).mapInArrow(_sets(k, ["sid", "leader"]), "sid long, leader long, body binary"), "bodies")
+    bodies = stored(texts_of(both).mapInArrow(tidy(_sets(k, ["sid", "leader"])), "sid long, leader long, body binary"), "bodies")
     pairs = bodies.where("sid <> leader").withColumnRenamed("body", "x").join(bodies.where("sid = leader").select("leader", F.col("body").alias("y")), "leader")
     diffs = stored(pairs.select("sid", "leader", "x", "y").mapInArrow(_differences(["sid", "leader"]), "sid long, leader long, far long, diff binary"), "differences")
     close = diffs.join(sets.select("sid", "n"), "sid").where("3 * far <= 2 * n").dropDuplicates(["sid"]).drop("n")
@@ -434,13 +434,13 @@ def _answers(rows: DataFrame, told: DataFrame, frequent_b, k: int, percent: int,
     buckets = max(partitions(spark), -(-int(postings) // BUCKET))
     indexed = homes.select("sid", "rep", "leader").join(clusters.select("leader", "radius", *_BITS), "leader")
     indexed = rows.join(indexed, rows["id"] == indexed["rep"]).drop("rep", "id")
-    blobs = indexed.mapInArrow(_index(k, percent, buckets, frequent_b), "bucket int, blob binary")
-    met = stored(blobs.repartition(buckets, "bucket").mapInArrow(_pairs(percent), "u long, v long").distinct(), "met")
+    blobs = indexed.mapInArrow(tidy(_index(k, percent, buckets, frequent_b)), "bucket int, blob binary")
+    met = stored(blobs.repartition(buckets, "bucket").mapInArrow(tidy(_pairs(percent)), "u long, v long").distinct(), "met")
 
     # what two leaders differ in
     def bodies_of(pairs: DataFrame, bits: int) -> DataFrame:
         ends = pairs.select("u").union(pairs.select("v")).distinct().join(clusters.select("leader", "rep"), F.col("u") == F.col("leader"))
-        return stored(texts_of(ends.select(F.col("leader").alias("sid"), "rep")).mapInArrow(_sets(k, ["sid"], bits), "sid long, body binary"), "bodies")
+        return stored(texts_of(ends.select(F.col("leader").alias("sid"), "rep")).mapInArrow(tidy(_sets(k, ["sid"], bits)), "sid long, body binary"), "bodies")
 
     def with_bodies(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
         one = lambda end, name: bodies.select(F.col("sid").alias(end), F.col("body").alias(name))
@@ -465,7 +465,7 @@ def _answers(rows: DataFrame, told: DataFrame, frequent_b, k: int, percent: int,
     dealt = answers.join(sides, "home").withColumn("side", F.pmod(F.xxhash64("sid"), F.col("sides"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
     tile = F.xxhash64("home", F.least("side", "other"), F.greatest("side", "other")).alias("tile")
     dealt = dealt.select(tile, "sid", "n", "copies", "own", "side", "diff", "shift")
-    found = stored(dealt.repartition(max(partitions(spark), 8), "tile").sortWithinPartitions("tile").mapInArrow(_tiles(percent), "sid long, links long, root long"), "found")
+    found = stored(dealt.repartition(max(partitions(spark), 8), "tile").sortWithinPartitions("tile").mapInArrow(tidy(_tiles(percent)), "sid long, links long, root long"), "found")
 
     # links and classes
     copies = homes.select("sid", "copies")
@@ -490,7 +490,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     schema = "kind int, a long, n long, sid long, " + ", ".join(f"{c} long" for c in [*_HASHES, *_BITS])
     with small_batches(spark, BATCH_ROWS):
-        told = stored(rows.mapInArrow(_signatures(k), schema), "signatures")
+        told = stored(rows.mapInArrow(tidy(_signatures(k)), schema), "signatures")
     sized = told.where("kind = 0").select(F.col("a").alias("id"), "n", "sid")
     hot = told.where("kind = 1").groupBy("a").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "a").limit(MAX_FREQUENT).collect()
     frequent = np.array([r["a"] for r in hot], np.int64).view(np.uint64)
