@@ -44,7 +44,6 @@ TOKENIZER = "byte_bpe_50k.json"
 PART_CACHE, AT_ONCE = 250_000, 400
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
 
-_ODD = re.compile(r" (?=\s|$)")
 _CUT = re.compile(r" (?=\S)")
 _state: dict = {}
 
@@ -77,14 +76,21 @@ def ids_of(docs: list[str | None], path: str) -> list[bytes]:
     def asked(parts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in encode(parts, add_special_tokens=False)]
 
-    cut = [[] if not t else [t] if added and added.search(t) else _CUT.split(t) if _ODD.search(t) else t.split(" ") for t in docs]
     # the first part has no space before it; others are keyed without theirs
-    heads = asked([c[0] if c else "" for c in cut])
-    need = {p for c in cut for p in c[1:] if p not in young}
+    cut = [[""] if not t else [t] if added and added.search(t) else t.split(" ") for t in docs]
+    tails = [c[1:] for c in cut]
+    need = set().union(*tails).difference(young)
+    odd = {p for p in need if not p or p[0].isspace()}  # a space before white space or the end begins no piece
+    if odd:
+        for i, c in enumerate(tails):
+            if not odd.isdisjoint(c):
+                cut[i] = _CUT.split(docs[i])
+                tails[i] = cut[i][1:]
+        need = set().union(*tails).difference(young)
     young.update((p, old[p]) for p in need if p in old)
     new = [p for p in need if p not in old]
     young.update(zip(new, asked([" " + p for p in new])))
-    out = [h + b"".join(map(young.__getitem__, c[1:])) for h, c in zip(heads, cut)]
+    out = [h + b"".join(map(young.__getitem__, c)) for h, c in zip(asked([c[0] for c in cut]), tails)]
     if len(young) > PART_CACHE:
         _state.update(young={}, old=young)
     return out
