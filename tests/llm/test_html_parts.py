@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import random
+import time
+
+import numpy as np
 import pytest
 
+from verspan.llm import html_extract
 from verspan.llm.html_extract import main_text
 
 WORDS = "Some words, and more of them; the end of it. "
@@ -33,3 +38,41 @@ def test_parts_are_kept(name):
 def test_sibling_divisions():
     page = f'<html><body>{SIDE}<div class="first"><p>{WORDS * 9}</p></div><div class="second"><p>{WORDS * 6}</p></div></body></html>'
     assert main_text(page) == wanted(f"<p>{WORDS * 9}</p><p>{WORDS * 6}</p>")
+
+
+NEUTRAL = f"<html><body><div class=\"k1\"><span>one</span> <span>two</span></div><div class=\"k2\"><p>{WORDS * 9}</p><p>{WORDS * 4}</p></div><div class=\"k3\"><span>Box</span> <span>Tag</span></div></body></html>"
+
+
+def test_ratios_select_without_telling_names():
+    assert main_text(NEUTRAL) == wanted(f"<p>{WORDS * 9}</p><p>{WORDS * 4}</p>")
+
+
+def test_constant_ratios_select_nothing(monkeypatch):
+    """Without the ratios every path is a seed, and what is not the article stays in."""
+    monkeypatch.setattr(html_extract, "fused_ratios", lambda sums, paths: np.ones(len(sums)))
+    assert "Box" in main_text(NEUTRAL)
+
+
+def test_smoothing_is_the_sum_over_all_pairs():
+    rng = random.Random(3)
+    paths = html_extract.Paths()
+    for i in range(60):
+        paths.child(rng.randrange(len(paths.parent)), str(i), "b")
+    own = {v: rng.random() for v in rng.sample(range(len(paths.parent)), 20)}
+
+    def up(v):
+        return [v, *(up(paths.parent[v]) if v else [])]
+
+    def steps(u, v):
+        a, b = up(u), up(v)
+        return len(a) + len(b) - 2 * len(set(a) & set(b))
+
+    got = html_extract.smoothed(own, paths)
+    assert all(abs(got[v] - sum(x * 0.5 ** steps(u, v) for u, x in own.items())) < 1e-9 for v in range(len(got)))
+
+
+@pytest.mark.parametrize("part", ["<b>x ", "<div><p>x ", "</i><p>x ", "<ul><li>x "])
+def test_broken_pages_take_linear_time(part):
+    began = time.time()
+    assert main_text(part * 50_000).count("x") in (0, 50_000)
+    assert time.time() - began < 20

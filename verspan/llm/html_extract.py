@@ -5,13 +5,15 @@ div, section or span with its first class or id). Nodes below elements that are
 article text by their tag, role, class or id are left out at once. For each path the
 text length, the punctuation, the text inside links and the number of nodes are
 summed; length and punctuation for each node are the two ratios. The ratios are
-smoothed over similar paths (longer common beginning, larger weight), fused by their
-product, and thresholded by their standard deviation over the page. Paths over the
-threshold are seeds; their text is added up at all elements around them, and the lowest
-container that holds nearly all of it is the article's. All of its paths are content, so
-that a short paragraph, a list or a heading isn't lost; where that is the whole page, only
-its parts that hold seeds. An <article> or <main> that holds text is taken as a whole: the
-seeds only choose between the two, as nothing of the article may be dropped.
+smoothed over similar paths (a path's weight halves with each step from one to the
+other), fused by their product, and thresholded by their standard deviation over the
+page. Paths over the threshold are seeds; their text is added up at all elements around
+them, and the lowest container that holds nearly all of it is the article's. All of its
+paths are content but blocks of links, so that a short paragraph, a list or a heading
+isn't lost; where that is the whole page, only its parts that hold seeds.
+
+Paths are nodes of a tree; smoothing and sums go up and down it once, so that the work is
+linear in the page whatever its depth.
 
 A block element begins and ends a block; ``br`` counts as white space. Character
 references are decoded; white space is that of ASCII, so a no-break space stays.
@@ -31,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from verspan.llm.common import table
+from verspan.llm.common import map_texts, table
 
 # HTML's element kinds, and names that mark what is not article text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,12 +56,29 @@ _WORD = re.compile(r"[a-z0-9]+")
 _WHITE = re.compile(r"[ \t\n\x0b\x0c\r]+")
 
 
+class Paths:
+    """The tree of paths: for each its parent, step, tag, depth and the path of the block around it."""
+
+    def __init__(self):
+        self.parent, self.tag, self.depth, self.block, self._known = [0], [""], [0], [0], {}
+
+    def child(self, parent: int, step: str, tag: str) -> int:
+        known = self._known.get((parent, step))
+        if known is None:
+            known = self._known[parent, step] = len(self.parent)
+            self.parent.append(parent)
+            self.tag.append(tag)
+            self.depth.append(self.depth[parent] + 1)
+            self.block.append(known if tag in BLOCK else self.block[parent])
+        return known
+
+
 class Node:
     """A text node: its block's number, path, text and whether it is in a link."""
 
     __slots__ = ("block", "link", "path", "text")
 
-    def __init__(self, block: int, path: tuple[str, ...], text: str, link: bool):
+    def __init__(self, block: int, path: int, text: str, link: bool):
         self.block, self.path, self.text, self.link = block, path, text, link
 
 
@@ -77,23 +96,26 @@ def _step(tag: str, attrs: str, within_article: bool) -> tuple[str, bool]:
     return step, noise
 
 
-def text_nodes(page: str) -> list[Node]:
-    """Text nodes outside noise, in page order."""
+def text_nodes(page: str) -> tuple[list[Node], Paths]:
+    """Text nodes outside noise, in page order, and their paths."""
     out: list[Node] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, step, noise
-    noisy, links, block, at, size = 0, 0, 0, 0, len(page)
-    path: tuple[str, ...] = ()
+    paths = Paths()
+    stack: list[tuple[str, int, bool]] = []  # tag, path, noise
+    open_tags: dict[str, int] = {}
+    noisy, block, at, size, path = 0, 0, 0, len(page), 0
 
     def pop(k: int) -> None:
-        nonlocal noisy, links, block, path
+        nonlocal noisy, block, path
         for tag, _, noise in stack[k:]:
             noisy -= noise
-            links -= tag == "a"
+            open_tags[tag] -= 1
             block += tag in BLOCK
         del stack[k:]
-        path = path[:k]
+        path = stack[-1][1] if stack else 0
 
-    def close_open(tags: tuple[str, ...] | frozenset[str]) -> None:
+    def close_open(tags: tuple[str, ...]) -> None:
+        if not any(open_tags.get(t) for t in tags):
+            return
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in tags:
                 pop(k)
@@ -106,10 +128,7 @@ def text_nodes(page: str) -> list[Node]:
         end = m.start() if m else size
         if end > at and not noisy:
             text = page[at:end]
-            if not text.isspace():
-                out.append(Node(block, path, text, links > 0))
-            else:
-                out.append(Node(block, path, " ", links > 0))
+            out.append(Node(block, path, " " if text.isspace() else text, open_tags.get("a", 0) > 0))
         if not m:
             break
         at = m.end()
@@ -118,10 +137,11 @@ def text_nodes(page: str) -> list[Node]:
             continue
         tag = tag.lower()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
+            if open_tags.get(tag):
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == tag:
+                        pop(k)
+                        break
             if tag in BLOCK:
                 block += 1
             continue
@@ -133,45 +153,49 @@ def text_nodes(page: str) -> list[Node]:
                 close_open(CLOSES[tag])
         if tag in VOID:
             if tag == "br" and not noisy:
-                out.append(Node(block, path, " ", links > 0))
+                out.append(Node(block, path, " ", open_tags.get("a", 0) > 0))
             continue
         if tag in RAW:
             found = re.compile(f"</{tag}", re.I).search(page, at)
             stop = page.find(">", found.end()) if found else -1
             at = stop + 1 if stop >= 0 else size
             continue
-        step, noise = _step(tag, m[3], any(t in ("article", "main") for t, _, _ in stack))
-        stack.append((tag, step, noise))
+        step, noise = _step(tag, m[3], bool(open_tags.get("article") or open_tags.get("main")))
+        path = paths.child(path, step, tag)
+        stack.append((tag, path, noise))
+        open_tags[tag] = open_tags.get(tag, 0) + 1
         noisy += noise
-        links += tag == "a"
-        path = (*path, step)
-    return out
-
+    return out, paths
 
-def common_start(a: tuple[str, ...], b: tuple[str, ...]) -> int:
-    n = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        n += 1
-    return n
 
+def smoothed(own: dict[int, float], paths: Paths) -> list[float]:
+    """For each path the sum over all paths of their value, halved with each step from one to the other.
 
-def _tag(step: str) -> str:
-    return step.split(".")[0]
+    below[v] is that sum over what lies at or below v, seen from v; around[v] over all other paths.
+    """
+    n = len(paths.parent)
+    below, around = [0.0] * n, [0.0] * n
+    for v, x in own.items():
+        below[v] = x
+    for v in range(n - 1, 0, -1):  # parents come before their children
+        below[paths.parent[v]] += below[v] / 2
+    for v in range(1, n):
+        p = paths.parent[v]
+        around[v] = (around[p] + below[p]) / 2 - below[v] / 4
+    return [a + b for a, b in zip(below, around)]
 
 
-def block_of(path: tuple[str, ...]) -> tuple[str, ...]:
-    """The path of the block that a text is in."""
-    k = len(path)
-    while k and _tag(path[k - 1]) not in BLOCK:
-        k -= 1
-    return path[:k]
+def fused_ratios(sums: dict[int, list[float]], paths: Paths) -> np.ndarray:
+    """The score of each path: smoothed length times smoothed punctuation, less what is links."""
+    weight = smoothed(dict.fromkeys(sums, 1.0), paths)
+    length = smoothed({p: s[0] / s[2] for p, s in sums.items()}, paths)
+    punctuation = smoothed({p: (1 + s[1]) / s[2] for p, s in sums.items()}, paths)
+    return np.array([length[p] / weight[p] * (punctuation[p] / weight[p]) * (1 - s[3] / max(s[0], 1)) for p, s in sums.items()])
 
 
-def content_paths(nodes: list[Node]) -> set[tuple[str, ...]]:
+def content_paths(nodes: list[Node], paths: Paths) -> set[int]:
     """Paths whose nodes are article text."""
-    sums: dict[tuple[str, ...], list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for n in nodes:
         if n.text != " ":
             s = sums.setdefault(n.path, [0, 0, 0, 0])
@@ -182,49 +206,49 @@ def content_paths(nodes: list[Node]) -> set[tuple[str, ...]]:
             s[3] += k if n.link else 0
     if not sums:
         return set()
-    in_article = [p for p in sums if "article" in p or "main" in p]
-    paths = in_article or list(sums)
-    v = np.array([sums[p] for p in paths], float)
-    length, punctuation = v[:, 0] / v[:, 2], (1 + v[:, 1]) / v[:, 2]
-    near = np.array([[2.0 ** (2 * common_start(p, q) - len(p) - len(q)) for q in paths] for p in paths])
-    near /= near.sum(1, keepdims=True)
-    fused = (near @ length) * (near @ punctuation) * (1 - v[:, 3] / np.maximum(v[:, 0], 1))
-    seeds = fused >= min(fused.std(), fused.max())
+    fused = fused_ratios(sums, paths)
+    seeds = {p for p, ok in zip(sums, fused >= min(fused.std(), fused.max())) if ok}
     # text of the seeds at every container around them; a cell with text of its own is data, not a container
-    weight: dict[tuple[str, ...], float] = {(): 0.0}
-    for p, w, s in zip(paths, v[:, 0], seeds):
-        if s:
-            block = block_of(p)
-            for k in range(len(block) + 1):
-                if not k or _tag(block[k - 1]) in CONTAINERS and (k < len(block) or _tag(block[k - 1]) != "td"):
-                    weight[block[:k]] = weight.get(block[:k], 0) + w
-    root = max((p for p in weight if weight[p] >= NEARLY_ALL * weight[()]), key=lambda p: (len(p), weight[p]))
-    if in_article:
-        name = max(("article", "main"), key=lambda x: sum(w for p, w, s in zip(paths, v[:, 0], seeds) if s and x in p))
-        return {p for p in paths if name in p}
-    page = all(x in ("html", "body") for x in root)
-    held = {p[: len(root) + 1] for p, s in zip(paths, seeds) if s}
+    size = len(paths.parent)
+    direct, held = [0.0] * size, [0.0] * size
+    for p in seeds:
+        direct[paths.block[p]] += sums[p][0]
+    for v in range(size - 1, -1, -1):
+        held[v] += direct[v]
+        if v:
+            held[paths.parent[v]] += held[v]
+    around = [v for v in range(size) if not v or paths.tag[v] in CONTAINERS]
+    weight = {v: held[v] - direct[v] * (paths.tag[v] == "td") for v in around}
+    root = max((v for v in around if weight[v] >= NEARLY_ALL * held[0]), key=lambda v: (paths.depth[v], weight[v]))
+    above = {root}
+    while above and (v := min(above)):
+        above.add(paths.parent[v])
+    page = all(paths.tag[v] in ("", "html", "body") for v in above)
+    part = [0] * size  # for what lies below the root: the root's child that it is in
+    for v in range(1, size):
+        p = paths.parent[v]
+        part[v] = v if p == root and v != root else part[p]
     # a block that is mostly links isn't text, a link within a sentence is
-    links: dict[tuple[str, ...], list[float]] = {}
-    for p, x in zip(paths, v):
-        own = links.setdefault(block_of(p), [0, 0])
-        own[0], own[1] = own[0] + x[0], own[1] + x[3]
+    links: dict[int, list[float]] = {}
+    for p, s in sums.items():
+        own = links.setdefault(paths.block[p], [0, 0])
+        own[0], own[1] = own[0] + s[0], own[1] + s[3]
 
-    def content(p: tuple[str, ...]) -> bool:
-        if p[: len(root)] != root or page and len(p) > len(root) and _tag(p[len(root)]) in CONTAINERS and p[: len(root) + 1] not in held:
+    def content(p: int) -> bool:
+        if p != root and not part[p] or page and p != root and paths.tag[part[p]] in CONTAINERS and not held[part[p]]:
             return False
-        own = links[block_of(p)]
+        own = links[paths.block[p]]
         return own[1] <= 0.5 * own[0]
 
-    title = lambda p: p[-1:] == ("h1",) and root[: len(p) - 1] == p[:-1]  # noqa: E731  above the text, in an element around it
-    return {p for p in paths if title(p) or content(p)}
+    title = lambda p: paths.tag[p] == "h1" and paths.parent[p] in above  # noqa: E731  above the text, in an element around it
+    return {p for p in sums if title(p) or content(p)}
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    nodes = text_nodes(page)
-    keep = content_paths(nodes)
+    nodes, paths = text_nodes(page)
+    keep = content_paths(nodes, paths)
     blocks: dict[int, list[str]] = {}
     for n in nodes:
         if n.path in keep:
@@ -244,7 +268,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of each page."""
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
-    return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return map_texts(rows, _extract, "page_id long, url string, text string, n_chars long")
 
 
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
