@@ -40,7 +40,7 @@ def test_sibling_divisions():
     assert main_text(page) == wanted(f"<p>{WORDS * 9}</p><p>{WORDS * 6}</p>")
 
 
-NEUTRAL = f"<html><body><div class=\"k1\"><span>one</span> <span>two</span></div><div class=\"k2\"><p>{WORDS * 9}</p><p>{WORDS * 4}</p></div><div class=\"k3\"><span>Box</span> <span>Tag</span></div></body></html>"
+NEUTRAL = f"<html><body><div class=\"k1\"><span>one</span> <span>two</span></div><div class=\"k2\"><p>{WORDS * 9}</p><p>{WORDS * 4}</p></div><div class=\"k3\">{'<span>Box tag</span> ' * 30}</div></body></html>"
 
 
 def test_ratios_select_without_telling_names():
