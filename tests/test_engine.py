@@ -7,32 +7,49 @@ import pytest
 from verspan import schema
 from verspan.engine import Engine, QueryError, split_owner_member
 
+#: versions, obfuscated, intermediary and the two named spellings
 CLASSES = [
-    (("1.21", "1.21.1"), "dnv", "net/game/class_2248", "net/game/block/Block", "net/game/world/level/block/Block"),
-    (("1.21", "1.21.1"), "dpb", "net/game/class_2680", "net/game/block/BlockState", "net/game/world/level/block/state/BlockState"),
-    (("1.21.1",), "abc", "net/game/class_9999", "net/game/block/NewBlock", "net/game/world/level/block/NewBlock"),
-    (("1.21",), "xyz", "net/game/class_8888", "net/game/block/OldBlock", "net/game/world/level/block/OldBlock"),
+    ("2.0 2.1 3.0", "ka", "orchard/c_1", "orchard/plant/Tree", "org/orchard/flora/Tree"),
+    ("2.0 2.1 3.0", "kb", "orchard/c_2", "orchard/fruit/Apple", "org/orchard/flora/fruit/Pome"),
+    ("2.1 3.0", "kc", "orchard/c_3", "orchard/tool/Press", "org/orchard/gear/Squeezer"),
+    ("2.0", "kd", "orchard/c_4", "orchard/tool/Barrel", "org/orchard/gear/Cask"),
+    ("2.0 2.1", "ke", "orchard/c_5", "orchard/place/Cellar", "org/orchard/site/Cellar"),
+    ("3.0", "ke", "orchard/c_5", "orchard/place/Vault", "org/orchard/site/Vault"),
+    ("2.1", "kg", "orchard/c_7", "orchard/misc/Twin", "org/orchard/TwinA"),
+    ("2.1", "kh", "orchard/c_8", "orchard/misc/Twin", "org/orchard/TwinB"),
+]
+#: versions, kind, obfuscated name and descriptor, intermediary name and descriptor, names; all of the class kb
+MEMBERS = [
+    ("2.0", "method", "a", "(Lka;)Lkb;", "m_11", "(Lorchard/c_1;)Lorchard/c_2;", "pick", "pluck"),
+    ("2.1 3.0", "method", "a", "(Lka;)Lkb;", "m_11", "(Lorchard/c_1;)Lorchard/c_2;", "harvest", "pluck"),
+    ("2.0 2.1 3.0", "method", "b", "()V", "m_12", "()V", "rot", "rot"),
+    ("3.0", "method", "d", "()Z", "m_13", "()Z", "peel", "peeled"),
+    ("2.0 2.1", "field", "c", "I", "f_21", "I", "weight", "mass"),
+]
+DECLS = [
+    ("g/Plant", ["java/lang/Object"], [("grow", "(I)V"), ("age", "I")]), ("g/Edible", [], []), ("g/Fruit", ["g/Plant", "g/Edible"], [("seed", "J"), ("grow", "()V")]),
+    ("g/Apple", ["g/Fruit"], [("core", "I")]), ("g/Pear", ["g/Fruit"], []), ("g/Granny", ["g/Apple"], []),
+    ("g/Root", [], [("close", "()V"), ("open", "(I)V")]), ("g/Place", ["g/Root"], [("open", "(I)V")]), ("g/Farm", ["g/Place"], [("water", "()V"), ("dig", "()V")]),
 ]
 
 
 @pytest.fixture(scope="module")
 def engine(spark):
-    versions = [(v, "release", None, None, "now", True, True, True, i, None, None, None, None) for i, v in enumerate(("1.21", "1.21.1"))]
-    classes, ids = [], {}
+    versions = [(v, "release", None, None, "now", True, True, True, i, None, None, None, None) for i, v in enumerate(("2.0", "2.1", "3.0"))]
+    classes, ids, members = [], {}, []
     for vs, obf, im, yarn, moj in CLASSES:
-        for v in vs:
+        for v in vs.split():
             ids[v, obf] = len(classes) + 1
             classes.append((v, len(classes) + 1, obf, im, yarn, moj, yarn.rpartition("/")[0], yarn.rpartition("/")[2], "both"))
-    members = []
-    for v in ("1.21", "1.21.1"):
-        members.append((v, "method", len(members) + 1, ids[v, "dnv"], "n", "()Ldpb;", "method_9564", "()Lnet/game/class_2680;", "()Lnet/game/class_2680;", "getDefaultStateOld" if v == "1.21" else "getDefaultState", "defaultBlockState", "getDefaultState"))
-        members.append((v, "field", len(members) + 1, ids[v, "dnv"], "j", "Lgs;", "field_10651", "Lnet/game/class_2378;", "Lgs;", "STATE_IDS", "BLOCK_STATE_REGISTRY", "STATE_IDS"))
-    decls = [("1.21.1", "mojmap", o, 0, s, [], m) for o, s, m in [("A", ["java/lang/Object"], [("foo", "(I)V")]), ("I", [], []), ("B", ["A", "I"], [("x", "I"), ("foo", "()V")]), ("C", ["B"], []), ("D", ["B"], [])]]
-    refs = [("1.21.1", "mojmap", "B", "foo:()V", "A", "m", "()V", "call", None, 2), ("1.21.1", "mojmap", "A", "m:()V", "D", "start", "()V", "call", None, 1), ("1.21.1", "mojmap", "B", "x:I", "A", "m", "()V", "get", None, 1)]
-    runs = [("a.txt", "s1", "text", 1, 0, 1), ("a.txt", "s2", "text", 1, 2, 2), ("d/b.txt", "s3", "text", 1, 1, 1)]
-    texts = [("1.21", "yarn", "B.java", "class B {\n  void a() { x(); }\n}\n"), ("1.21.1", "yarn", "B.java", "class B {\n  void a() { y(); }\n}\n"), ("1.21.1", "yarn", "C.java", "class C {}\n")]
-    bodies = [("1.21", "mojmap", "B", "foo", "()V", "call x"), ("1.21.1", "mojmap", "B", "foo", "()V", "call  x"), ("1.21", "mojmap", "B", "bar", "()V", "1"), ("1.21", "mojmap", "B", "bar", "(I)V", "2")]
-    code = [("1.21.1", "mojmap", "B", "run", "()V", t) for t in ("T:foo:()V", "T:foo:()V", "U:bar:()V")] + [("1.21.1", "mojmap", "B", "helper", "()V", "T:only:()V")]
+    for vs, kind, obf, desc, im, im_desc, yarn, moj in MEMBERS:
+        members += [(v, kind, 100 + len(members) + i, ids[v, "kb"], obf, desc, im, im_desc, im_desc, yarn, moj, yarn) for i, v in enumerate(vs.split())]
+    decls = [("3.0", "mojmap", o, 0, s, [], m) for o, s, m in DECLS]
+    refs = [("3.0", "mojmap", "g/Fruit", "grow:()V", "g/Farm", "water", "()V", "call", None, 3), ("3.0", "mojmap", "g/Farm", "water:()V", "g/Day", "dawn", "()V", "call", None, 1), ("3.0", "mojmap", "g/Fruit", "seed:J", "g/Farm", "water", "()V", "get", None, 1)]
+    runs = [("fruit.csv", "h1", "text", 1, 0, 0), ("fruit.csv", "h2", "text", 1, 1, 2), ("img/leaf.png", "h3", "binary", 1, 0, 1), ("img/bark.png", "h4", "binary", 1, 2, 2)]
+    apple = "class Apple {\n  int w;\n  void rot() { %s; }\n}\n"
+    texts = [("2.0", "yarn", "Apple.java", apple % "w--"), ("2.1", "yarn", "Apple.java", apple % "w = 0"), ("2.1", "yarn", "Press.java", "class Press {}\n")]
+    bodies = [("2.0", "mojmap", "g/Farm", "till", "()V", "call lambda$till$3 x"), ("2.1", "mojmap", "g/Farm", "till", "()V", "call lambda$till$7 x"), ("2.0", "mojmap", "g/Farm", "sow", "()V", "1"), ("2.0", "mojmap", "g/Farm", "sow", "(I)V", "2"), ("2.1", "mojmap", "g/Farm", "sow", "(I)V", "2")]
+    code = [("3.0", "mojmap", "g/Farm", "water", "()V", t) for t in ("g/Sun:shine:()V", "g/Sun:shine:()V", "g/Rain:fall:()V")] + [("3.0", "mojmap", "g/Farm", "dig", "()V", "g/Sun:set:()V")]
     make = spark.createDataFrame
     return Engine(spark, make(versions, schema.VERSIONS), make(classes, schema.CLASSES), make(members, schema.MEMBERS), make(decls, schema.DECLS), make(refs, schema.REFS), make(runs, schema.RUNS), None, make(texts, schema.SOURCE_TEXT), make(bodies, schema.BODIES), make(code, schema.INSTRUCTIONS))
 
@@ -46,81 +63,94 @@ def keys(spark, *ks):
 
 
 def test_versions(engine):
-    assert rows(engine.list_versions(), "version_id", "class_count", "method_count", "field_count") == [("1.21", 3, 1, 1), ("1.21.1", 3, 1, 1)]
-    assert engine.latest_release() == "1.21.1"
-    assert rows(engine.version_range("1.21.1", "1.21"), "version_id") == [("1.21",), ("1.21.1",)]
+    assert rows(engine.list_versions(), "version_id", "class_count", "method_count", "field_count") == [("2.0", 4, 2, 1), ("2.1", 6, 2, 1), ("3.0", 4, 3, 0)]
+    assert engine.latest_release() == "3.0"
+    assert rows(engine.version_range("3.0", "2.1"), "version_id") == [("2.1",), ("3.0",)]
     with pytest.raises(QueryError):
         engine.version_range("nope")
 
 
 def test_diff(engine):
-    d = sorted(rows(engine.diff("1.21", "1.21.1"), "bucket", "kind", "old_name", "new_name"), key=str)
-    assert d == [("added", "class", None, "net/game/block/NewBlock"), ("removed", "class", "net/game/block/OldBlock", None), ("renamed", "method", "getDefaultStateOld", "getDefaultState")]
-    assert engine.diff("1.21", "1.21.1", package="net/other").count() == 0
-    assert engine.diff("1.21", "1.21.1", package="net/game/block", kind="class").count() == 2
-    assert sorted(rows(engine.diff_summary("1.21", "1.21.1"), "kind", "bucket", "n")) == [("class", "added", 1), ("class", "removed", 1), ("method", "renamed", 1)]
+    one = sorted(rows(engine.diff("2.0", "2.1"), "bucket", "kind", "old_name", "new_name"), key=str)
+    assert one == [("added", "class", None, "orchard/misc/Twin"), ("added", "class", None, "orchard/misc/Twin"), ("added", "class", None, "orchard/tool/Press"), ("removed", "class", "orchard/tool/Barrel", None), ("renamed", "method", "pick", "harvest")]
+    two = sorted(rows(engine.diff("2.1", "3.0"), "bucket", "kind", "old_name", "new_name"), key=str)
+    assert two == [("added", "method", None, "peel"), ("removed", "class", "orchard/misc/Twin", None), ("removed", "class", "orchard/misc/Twin", None), ("removed", "field", "weight", None), ("renamed", "class", "orchard/place/Cellar", "orchard/place/Vault")]
+    assert engine.diff("2.0", "2.1", package="orchard/none").count() == 0
+    assert engine.diff("2.0", "2.1", package="orchard/tool", kind="class").count() == 2
+    assert sorted(rows(engine.diff_summary("2.0", "2.1"), "kind", "bucket", "n")) == [("class", "added", 3), ("class", "removed", 1), ("method", "renamed", 1)]
 
 
 def test_search(engine):
-    found = rows(engine.search("Block", "1.21.1", ns="yarn"), "kind", "yarn_name")
-    assert {n for _, n in found[:2]} <= {c[3] for c in CLASSES} and found[0][0] == "class"
-    assert rows(engine.search("Block#getDef", "1.21.1", ns="yarn"), "yarn_name") == [("net/game/block/Block#getDefaultState",)]
-    assert engine.search("lockSta", "1.21.1", ns="yarn").count() == 1 and engine.search("lockSta", "1.21.1", ns="yarn", exact=True).count() == 0
-    assert split_owner_member("a/b/Class") is None and split_owner_member("Block.state") == ("Block", "state")
+    found = rows(engine.search("orchard", "3.0", ns="yarn"), "kind", "yarn_name")
+    assert [k for k, _ in found] == ["class"] * 4 + ["method"] * 3
+    assert rows(engine.search("Apple#har", "3.0", ns="yarn"), "yarn_name") == [("orchard/fruit/Apple#harvest",)]
+    assert engine.search("rchar", "3.0", ns="yarn").count() == 7 and engine.search("rchar", "3.0", ns="yarn", exact=True).count() == 0
+    assert split_owner_member("a/b/Class") is None and split_owner_member("Tree.leaf") == ("Tree", "leaf") and split_owner_member("a.b#c.d") == ("a.b#c", "d")
+
+
+def test_search_ranks_over_the_whole_version(engine):
+    """A filter by kind hides rows; it doesn't change the figures that the others are ranked by."""
+    everything = {r["id"]: r["score"] for r in engine.search("orchard fruit", "2.1", ns="yarn").collect() if r["kind"] == "class"}
+    assert everything == {r["id"]: r["score"] for r in engine.search("orchard fruit", "2.1", kind="class", ns="yarn").collect()} and everything
 
 
 def test_translate_and_compare(engine, spark):
-    got = dict(rows(engine.translate("1.21.1", keys(spark, "net/game/block/Block", "net/game/block/Block:getDefaultState", "net/game/block/Block:getDefaultState:()Lnet/game/block/BlockState;", "no/Such", "net/game/block/Block:none"), "yarn", "mojmap"), "key", "result"))
-    b = "net/game/world/level/block/Block"
-    assert got == {"net/game/block/Block": b, "net/game/block/Block:getDefaultState": f"{b}:defaultBlockState", "net/game/block/Block:getDefaultState:()Lnet/game/block/BlockState;": f"{b}:defaultBlockState:()Lnet/game/world/level/block/state/BlockState;", "no/Such": None, "net/game/block/Block:none": None}
-    assert rows(engine.compare("1.21.1", "net/game/block/Block"), "kind", "status") == [("method", "different"), ("field", "different")]
+    apple, pome = "orchard/fruit/Apple", "org/orchard/flora/fruit/Pome"
+    asked = [apple, f"{apple}:harvest", f"{apple}:harvest:(Lorchard/plant/Tree;)Lorchard/fruit/Apple;", "no/Such", f"{apple}:none", "orchard/misc/Twin"]
+    got = dict(rows(engine.translate("2.1", keys(spark, *asked), "yarn", "mojmap"), "key", "result"))
+    assert got == dict(zip(asked, [pome, f"{pome}:pluck", f"{pome}:pluck:(Lorg/orchard/flora/Tree;)L{pome};", None, None, None]))
+    assert rows(engine.compare("2.1", apple), "kind", "yarn_name", "status") == [("method", "harvest", "different"), ("method", "rot", "same"), ("field", "weight", "different")]
 
 
 def test_history(engine):
-    spans = rows(engine.history("net/game/block/NewBlock", "yarn"), "from", "to", "present", "versions")
-    assert spans == [("1.21", "1.21", False, 1), ("1.21.1", "1.21.1", True, 1)]
-    assert rows(engine.history("net.game.block.Block", "yarn"), "present", "versions") == [(True, 2)]
-    assert rows(engine.history("no/Such", "yarn"), "present", "versions") == [(False, 2)]
+    assert rows(engine.history("orchard/tool/Press", "yarn"), "from", "to", "present", "versions") == [("2.0", "2.0", False, 1), ("2.1", "3.0", True, 2)]
+    assert rows(engine.history("orchard/place/Vault", "yarn"), "from", "to", "present", "yarn_name") == [("2.0", "2.1", True, "orchard/place/Cellar"), ("3.0", "3.0", True, "orchard/place/Vault")]
+    assert rows(engine.history("orchard.plant.Tree", "yarn"), "present", "versions") == [(True, 3)]
+    assert rows(engine.history("no/Such", "yarn"), "present", "versions") == [(False, 3)]
 
 
 def test_exists(engine, spark):
-    got = {r[0]: r[1:] for r in rows(engine.exists("1.21.1", "mojmap", keys(spark, "B", "Z", "B:x:I", "B:foo:(I)V", "C:x:I", "B:foo", "B:x:()V", "Z:a:I")), "key", "exists", "reason", "nearest")}
-    assert got == {"B": (True, None, None), "Z": (False, None, None), "B:x:I": (True, None, None), "B:foo:(I)V": (False, "inherited", "A:foo:(I)V"), "C:x:I": (False, "inherited", "B:x:I"), "B:foo": (False, "candidate", "B:foo:()V"), "B:x:()V": (False, "kind", "B:x:I"), "Z:a:I": (False, None, None)}
+    want = {
+        "g/Apple": (True, None, None), "g/None": (False, None, None), "g/Fruit:seed:J": (True, None, None), "g/Fruit:grow:(I)V": (False, "inherited", "g/Plant:grow:(I)V"), "g/Granny:age:I": (False, "inherited", "g/Plant:age:I"),
+        "g/Apple:core": (False, "candidate", "g/Apple:core:I"), "g/Apple:core:()V": (False, "kind", "g/Apple:core:I"), "g/Fruit:grow:(J)V": (False, "descriptor", "g/Fruit:grow:()V"), "g/None:a:I": (False, None, None),
+    }
+    assert {r[0]: r[1:] for r in rows(engine.exists("3.0", "mojmap", keys(spark, *want)), "key", "exists", "reason", "nearest")} == want
 
 
 def test_graphs(engine):
-    assert sorted(rows(engine.hierarchy("1.21.1", "mojmap", "B"), "parent", "child")) == [("A", "B"), ("B", "C"), ("B", "D"), ("I", "B")]
-    assert rows(engine.references(["1.21.1"], ["B:foo:()V"], "mojmap"), "ref_owner", "cnt") == [("A", 2)]
-    assert rows(engine.call_chains("1.21.1", "mojmap", "B:foo:()V"), "chain") == [("D:start:()V > A:m:()V",)]
+    assert sorted(rows(engine.hierarchy("3.0", "mojmap", "g/Fruit"), "parent", "child")) == [("g/Apple", "g/Granny"), ("g/Edible", "g/Fruit"), ("g/Fruit", "g/Apple"), ("g/Fruit", "g/Pear"), ("g/Plant", "g/Fruit")]
+    assert rows(engine.references(["3.0"], ["g/Fruit:grow:()V"], "mojmap"), "ref_owner", "cnt") == [("g/Farm", 3)]
+    assert rows(engine.call_chains("3.0", "mojmap", "g/Fruit:grow:()V"), "chain") == [("g/Day:dawn:()V > g/Farm:water:()V",)]
 
 
 def test_resources(engine):
-    assert rows(engine.resource_tree(1), "name", "is_dir") == [("d", True), ("a.txt", False)]
-    assert rows(engine.resource_diff(1, 2), "path", "change") == [("a.txt", "modified"), ("d/b.txt", "removed")]
+    assert rows(engine.resource_tree(2), "name", "is_dir") == [("img", True), ("fruit.csv", False)]
+    assert sorted(rows(engine.resource_diff(0, 2), "path", "change")) == [("fruit.csv", "modified"), ("img/bark.png", "added"), ("img/leaf.png", "removed")]
 
 
 def test_diff_class(engine):
-    assert rows(engine.diff_class("1.21", "1.21.1", "net/game/block/Block"), "bucket", "kind", "old_name", "new_name") == [("renamed", "method", "getDefaultStateOld", "getDefaultState")]
-    assert rows(engine.diff_class("1.21", "1.21.1", "net/game/block/NewBlock"), "bucket", "kind") == [("added", "class")]
-    assert engine.diff_class("1.21", "1.21.1", "no/Such").count() == 0
+    assert rows(engine.diff_class("2.0", "2.1", "orchard/fruit/Apple"), "bucket", "kind", "old_name", "new_name") == [("renamed", "method", "pick", "harvest")]
+    assert rows(engine.diff_class("2.0", "2.1", "orchard/tool/Press"), "bucket", "kind") == [("added", "class")]
+    assert engine.diff_class("2.0", "2.1", "no/Such").count() == 0
 
 
 def test_patch_and_blame(engine):
-    got = dict(rows(engine.diff_patch("1.21", "1.21.1", "yarn"), "path", "patch"))
-    assert got["B.java"].endswith("-  void a() { x(); }\n+  void a() { y(); }\n }") and "new file mode" in got["C.java"]
-    assert list(dict(rows(engine.diff_patch("1.21", "1.21.1", "yarn", function="B#a"), "path", "patch"))) == ["B.java"]
-    assert rows(engine.blame("1.21.1", "yarn", "B.java"), "version_id") == [("1.21",), ("1.21.1",), ("1.21",)]
+    got = dict(rows(engine.diff_patch("2.0", "2.1", "yarn"), "path", "patch"))
+    assert got["Apple.java"].endswith("-  void rot() { w--; }\n+  void rot() { w = 0; }\n }") and "new file mode" in got["Press.java"]
+    assert list(dict(rows(engine.diff_patch("2.0", "2.1", "yarn", function="Apple#rot"), "path", "patch"))) == ["Apple.java"]
+    assert rows(engine.blame("2.1", "yarn", "Apple.java"), "version_id") == [("2.0",), ("2.0",), ("2.1",), ("2.0",)]
 
 
 def test_body_hash(engine):
-    spans = rows(engine.body_hash("mojmap", ["B:foo", "B:bar:(I)V"]), "query", "from", "to", "versions")
-    assert spans == [("B:bar:(I)V", "1.21", "1.21", 1), ("B:bar:(I)V", "1.21.1", "1.21.1", 1), ("B:foo", "1.21", "1.21", 1), ("B:foo", "1.21.1", "1.21.1", 1)]
-    assert rows(engine.body_hash("mojmap", ["B:foo"], normalize=True), "from", "to", "versions") == [("1.21", "1.21.1", 2)]
+    """The index of a lambda is no change of a body; a lost overload is."""
+    spans = rows(engine.body_hash("mojmap", ["g/Farm:till", "g/Farm:sow:(I)V", "g/Farm:sow"], "2.0", "2.1"), "query", "from", "to", "versions")
+    assert spans == [("g/Farm:sow", "2.0", "2.0", 1), ("g/Farm:sow", "2.1", "2.1", 1), ("g/Farm:sow:(I)V", "2.0", "2.1", 2), ("g/Farm:till", "2.0", "2.1", 2)]
 
 
 def test_validate(engine):
-    v = lambda *a: rows(engine.validate("mojmap", "B", *a, "1.21", "1.21.1"), "version_id", "status", "at_count", "moved_to", "closest")
-    assert v("run", "()V", "T:foo") == [("1.21", "missing", None, None, None), ("1.21.1", "ok", 2, None, None)]
-    assert v("run", None, "T:only:()V")[1] == ("1.21.1", "call_moved", None, "helper", None)
-    assert v("run", "(J)V", None)[1] == ("1.21.1", "renamed", None, None, None)
-    assert v("foo", "(I)V", None)[1] == ("1.21.1", "inherited", None, None, "A")
+    v = lambda *a: rows(engine.validate("mojmap", "g/Farm", *a, "2.1", "3.0"), "version_id", "status", "at_count", "moved_to", "closest")
+    assert v("water", "()V", "g/Sun:shine") == [("2.1", "missing", None, None, None), ("3.0", "ok", 2, None, None)]
+    assert v("water", None, "g/Sun:set:()V")[1] == ("3.0", "call_moved", None, "dig", None)
+    assert v("water", "(J)V", None)[1] == ("3.0", "renamed", None, None, None)
+    assert v("open", "(I)V", None)[1] == ("3.0", "inherited", None, None, "g/Place")
+    assert v("close", "()V", None)[1] == ("3.0", "inherited", None, None, "g/Root")

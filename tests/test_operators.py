@@ -156,3 +156,10 @@ def test_stream_replaces_partitions(spark, tmp_path):
     run_stream(stream(), out, str(tmp_path / "state"), "v")
     assert rows(spark.read.parquet(out), "v", "x") == [(1, "a"), (2, "c")]
     assert rows(missing(spark.createDataFrame([(2,), (3,)], "v int"), spark.read.parquet(out), "v"), "v") == [(3,)]
+
+
+def test_closure_of_any_depth(spark):
+    """A chain of 70 and a cycle; each node once, nearest first."""
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(70)] + [("n70", "n60"), ("n0", "n5"), (None, "n1")], "a string, b string")
+    got = dict(rows(G.closure(e, spark.createDataFrame([("n0",)], "r string"), "a", "b"), "node", "depth"))
+    assert got == {f"n{i}": i if i < 5 else i - 4 for i in range(71) if i < 5 or i >= 5} | {f"n{i}": i for i in range(1, 4)} | {"n4": 4}

@@ -43,10 +43,9 @@ def column_of(ns: str, fallback: str | None = None) -> str:
 
 def split_owner_member(q: str) -> tuple[str, str] | None:
     """owner#member, owner.member or owner/Member; None for a plain query or a class path."""
-    for sep in ("#", "."):
-        at = q.rfind(sep)
-        if 0 < at < len(q) - 1 and (sep == "#" or "#" not in q):
-            return q[:at], q[at + 1 :]
+    at = max(q.rfind("#"), q.rfind("."))
+    if 0 < at < len(q) - 1:
+        return q[:at], q[at + 1 :]
     at = q.rfind("/")
     if 0 < at < len(q) - 1:
         owner, member = q[:at], q[at + 1 :]
@@ -238,12 +237,12 @@ class Engine:
 
     def body_hash(self, ns: str, queries: list[str], start: str | None = None, end: str | None = None, normalize: bool = False) -> DataFrame:
         """Spans of equal body hashes of ``owner:name[:descriptor]``; without a descriptor all overloads count."""
-        from verspan.functions.text import body_hash, squeeze, strip_lambda_index
+        from verspan.functions.text import body_hash, squeeze
 
         q = self.spark.createDataFrame([(x, *(x.split(":", 2) + [None, None])[:3]) for x in queries], "query string, owner string, member string, d string")
         b = self.bodies.where(F.col("ns") == ns).join(F.broadcast(q), ["owner", "member"]).where("d is null or d = descriptor")
-        text = squeeze(strip_lambda_index(F.col("body"))) if normalize else F.col("body")
-        h = b.groupBy("query", "version_id").agg(body_hash(F.collect_list(text)).alias("hash"))
+        text = squeeze(F.col("body")) if normalize else F.col("body")
+        h = b.groupBy("query", "version_id").agg(body_hash(F.collect_list(F.struct("descriptor", text.alias("body")))).alias("hash"))
         grid = self.version_range(start, end).select("version_id", "rank").join(F.broadcast(q.select("query")))
         ends = [F.min_by("version_id", "rank").alias("from"), F.max_by("version_id", "rank").alias("to")]
         return S.collapse(grid.join(h, ["query", "version_id"], "left"), ["query"], "rank", ["hash"], ends).orderBy("query", "from_v").drop("from_v", "to_v")
@@ -256,9 +255,13 @@ class Engine:
         wanted = wanted & (F.col("descriptor") == descriptor) if descriptor else wanted
         hit = F.col("target").eqNullSafe(at) | F.coalesce(F.startswith("target", F.lit(f"{at}:")), F.lit(False)) if at else F.lit(False)
         found = i.groupBy("version_id").agg(F.bool_or(wanted).alias("has"), F.bool_or(F.col("method") == method).alias("named"), F.count_if(wanted & hit).alias("hits"), F.collect_set(F.when(hit, F.col("method"))).alias("holders"))
-        up = self.decls.where(F.col("ns") == ns).select("version_id", "owner", F.explode("supertypes").alias("parent"), F.lit(True).alias("x"))
-        declared = self.decls.where(F.col("ns") == ns).select("version_id", F.col("owner").alias("parent"), F.explode("members").alias("m")).where((F.col("m.name") == method) & ((F.col("m.descriptor") == descriptor) if descriptor else F.lit(True)))
-        inherited = up.where(F.col("owner") == owner).join(declared, ["version_id", "parent"]).groupBy("version_id").agg(F.min("parent").alias("above"))
+        # supertypes of every version at once, nearest first; a node is a class of a version
+        at_version = lambda c: F.concat_ws("\n", "version_id", c)
+        d = self.decls.where(F.col("ns") == ns).join(F.broadcast(v.select("version_id")), "version_id", "left_semi")
+        edges = d.select(at_version("owner").alias("child"), F.explode("supertypes").alias("s"), "version_id").select("child", at_version("s").alias("parent"))
+        up = G.closure(edges, d.where(F.col("owner") == owner).select(at_version("owner").alias("root")).distinct(), "child", "parent").where("depth > 0")
+        declared = d.select("version_id", "owner", F.explode("members").alias("m")).where((F.col("m.name") == method) & ((F.col("m.descriptor") == descriptor) if descriptor else F.lit(True)))
+        inherited = up.join(declared.select(at_version("owner").alias("node"), "version_id", "owner").distinct(), "node").groupBy("version_id").agg(F.min_by("owner", F.struct("depth", "owner")).alias("above"))
         known = self.decls.where((F.col("ns") == ns) & (F.col("owner") == owner)).select("version_id", F.lit(True).alias("known")).distinct()
         all_ = v.join(found, "version_id", "left").join(inherited, "version_id", "left").join(known, "version_id", "left")
         has, hits = F.coalesce("has", F.lit(False)), F.coalesce("hits", F.lit(0))
@@ -332,7 +335,7 @@ class Engine:
         """Ranked page of names: kind, then BM25; a substring search where no token matches."""
         version_id = version_id or self.latest_release()
         self.version(version_id)
-        e = self._elements(version_id)
+        e = whole = self._elements(version_id)
         if kind != "all":
             e = e.where(F.col("kind") == kind)
         cols = ["yarn_name", "mojmap_name", "intermediary_name", "obf_name"] if ns == "all" else [column_of(ns)]
@@ -349,7 +352,8 @@ class Engine:
             words = [member]
         else:
             words = [query] if exact else query.replace("/", " ").split()
-        hits = X.bm25(keyed, "row", "text", [(w, not exact and i == len(words) - 1) for i, w in enumerate(words)]) if words and all(re.search(r"[^\W_]", w) for w in words) else None
+        # ranked over all of the version's names, whatever is asked to be seen of them
+        hits = X.bm25(whole.withColumn("row", F.struct("kind_rank", "id")).withColumn("text", text), "row", "text", [(w, not exact and i == len(words) - 1) for i, w in enumerate(words)]) if words and all(re.search(r"[^\W_]", w) for w in words) else None
         found = keyed.join(hits, "row") if hits is not None else None
         if not exact:
             like = keyed.where(F.concat_ws("\n", *cols).ilike(f"%{words[-1] if split else query}%")).withColumn("score", F.lit(0.0))
@@ -365,9 +369,9 @@ class Engine:
         """(key, result): class or member keys ``owner[:name[:descriptor]]`` in another namespace; null if ambiguous or unknown."""
         a, b = column_of(source), column_of(target)
         c = self._classes(version_id)
-        types = c.where(F.col(a).isNotNull() & F.col("obf_name").isNotNull()).agg(F.map_from_entries(F.collect_set(F.struct(a, "obf_name")))).first()[0] or {}  # classes of one version
-        back = c.where(F.col(b).isNotNull() & F.col("obf_name").isNotNull()).agg(F.map_from_entries(F.collect_set(F.struct("obf_name", b)))).first()[0] or {}
-        maps = self.spark.createDataFrame([(types, back)], "fwd map<string,string>, back map<string,string>")
+        # names of the classes of one version; a name that two of them share translates to nothing
+        pairs = lambda x, y: C.unique_or_null(c.where(F.col(x).isNotNull() & F.col(y).isNotNull()), [x], y, "to").where("to is not null").agg(F.map_from_entries(F.collect_list(F.struct(F.col(x), F.col("to")))).alias("m"))
+        maps = pairs(a, "obf_name").withColumnRenamed("m", "fwd").join(pairs("obf_name", b).withColumnRenamed("m", "back"))
         parts = F.split("key", ":", 3)
         k = keys.select(F.col(keys.columns[0]).alias("key")).distinct().select("key", F.get(parts, F.lit(0)).alias("owner"), F.get(parts, F.lit(1)).alias("name"), F.get(parts, F.lit(2)).alias("d")).join(F.broadcast(maps))
         k = k.withColumn("od", map_types(F.col("d"), F.col("fwd")))

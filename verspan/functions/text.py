@@ -40,8 +40,9 @@ def lambda_owner(name: Column) -> Column:
     return F.when(inner == "new", "<init>").when(inner == "static", "<clinit>").when(inner != "", inner).otherwise(name)
 
 
-def strip_lambda_index(name: Column) -> Column:
-    return F.regexp_replace(name, r"^(lambda\$.*)\$\d+$", "$1")
+def strip_lambda_index(text: Column) -> Column:
+    """Lambda names anywhere in a text without their index, which any lambda added before them shifts."""
+    return F.regexp_replace(text, r"lambda\$([^$\s()]+)\$\d+", r"lambda\$$1")
 
 
 def squeeze(text: Column) -> Column:
@@ -55,8 +56,9 @@ def lines(text: Column) -> Column:
 
 
 def body_hash(bodies: Column) -> Column:
-    """16 hexadecimal digits of SHA-256 over the ordered bodies."""
-    return F.substring(F.sha2(F.concat_ws("\n", F.sort_array(bodies)), 256), 1, 16)
+    """16 hexadecimal digits of SHA-256 over an array of (descriptor, body) in order of the descriptors."""
+    texts = F.transform(F.array_sort(bodies), lambda b: F.concat(b["descriptor"], F.lit("\n"), strip_lambda_index(b["body"])))
+    return F.substring(F.sha2(F.concat_ws("\n", texts), 256), 1, 16)
 
 
 def semver(version: Column) -> Column:
@@ -78,7 +80,8 @@ def semver(version: Column) -> Column:
 
 def release_type(version: Column) -> Column:
     v = F.lower(version)
-    return F.when(v.rlike(r"(^|[-_ .])rc"), "rc").when(v.rlike(r"(^|[-_ .])pre"), "pre").when(v.rlike(r"snapshot|\dw\d"), "snapshot").when(v.rlike(r"alpha|beta"), "experimental").when(v.rlike(r"^\d+(\.\d+){1,2}$"), "release").otherwise("other")
+    kind = F.when(v.contains("rc"), "release-candidate").when(v.contains("pre"), "pre-release").when(version.rlike(r"^\d+w\d+[a-z]?$"), "snapshot")
+    return kind.when(version.rlike(r"^\d+\.\d+(\.\d+)?$"), "release").otherwise("snapshot")
 
 
 def content_type(path: Column) -> Column:

@@ -1,7 +1,7 @@
 """Closures and bounded walks over edge tables, by joins of a frontier.
 
-Each step joins the frontier with the edges and drops what is known by an anti join;
-every few steps the state goes to the checkpoint folder, so that plans stay short.
+Each step joins the frontier with the edges and drops what is known by an anti join; what
+is new is checkpointed to the shared folder, so that plans stay short at any depth.
 """
 
 from __future__ import annotations
@@ -9,18 +9,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verspan.shared import ready
 
-def closure(edges: DataFrame, roots: DataFrame, src: str, dst: str, most: int = 64, keep: str | None = None) -> DataFrame:
-    """(root, node, depth) of all nodes reachable along src -> dst, each once, nearest first."""
-    e = edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).where("node is not null and next is not null").distinct()
-    seen = roots.select(F.col(roots.columns[0]).alias("root"), F.col(roots.columns[0]).alias("node"), F.lit(0).cast("long").alias("depth")).distinct()
-    frontier = seen
-    for d in range(1, most + 1):
+
+#: Steps after which the parts of a closure are put together in one checkpoint.
+COMPACT = 16
+
+
+def closure(edges: DataFrame, roots: DataFrame, src: str, dst: str) -> DataFrame:
+    """(root, node, depth) of all nodes reachable along src -> dst, each once, nearest first, to any depth."""
+    ready(edges.sparkSession)
+    e = edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).where("node is not null and next is not null").distinct().checkpoint()
+    seen = frontier = roots.select(F.col(roots.columns[0]).alias("root"), F.col(roots.columns[0]).alias("node"), F.lit(0).cast("long").alias("depth")).distinct().checkpoint()
+    depth = 0
+    while not frontier.isEmpty():
+        depth += 1
         step = frontier.join(e, "node").select("root", F.col("next").alias("node")).distinct().join(seen.select("root", "node"), ["root", "node"], "left_anti")
-        step = step.withColumn("depth", F.lit(d).cast("long")).persist()
-        if step.isEmpty():
-            break
-        seen, frontier = seen.unionByName(step), step
+        frontier = step.withColumn("depth", F.lit(depth).cast("long")).checkpoint()
+        seen = seen.unionByName(frontier)
+        if depth % COMPACT == 0:
+            seen = seen.checkpoint()
     return seen
 
 

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verspan.shared import shared_dir
+
 
 def replace_partitions(batch: DataFrame, target: str, by: str) -> None:
     """Idempotent: a version that comes again replaces its own partition only."""
@@ -25,13 +27,7 @@ def run_stream(source: DataFrame, target: str, checkpoint: str, by: str) -> None
 
 
 def work_dir(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = f"file://{tempfile.mkdtemp(prefix='verspan-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
 
 
 def ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
