@@ -103,9 +103,9 @@ def diff_single_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.diff_by_key(*_records(spark, sf_dir, F.col("owner") == 70), ["key"], "name")
 
 
-@query(_RECORDS.format("owner % 50 = 0") + "SELECT bucket, owner, count(*) AS n FROM d WHERE bucket IS NOT NULL GROUP BY ALL")
+@query(_RECORDS.format("true") + "SELECT bucket, owner, count(*) AS n FROM d WHERE bucket IS NOT NULL GROUP BY ALL")
 def diff_multi_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = D.diff_by_key(*_records(spark, sf_dir, F.col("owner") % 50 == 0), ["key"], "name")
+    d = D.diff_by_key(*_records(spark, sf_dir, F.lit(True)), ["key"], "name")
     return d.groupBy("bucket", F.substring_index("key", "#", 1).cast("long").alias("owner")).agg(F.count("*").alias("n"))
 
 

@@ -19,11 +19,11 @@ def hierarchy_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-, c AS (SELECT child AS root, child AS node, 0::BIGINT AS depth FROM tree WHERE child LIKE 'C%7' UNION ALL SELECT c.root, t.parent, c.depth + 1 FROM c JOIN tree t ON t.child = c.node)
+, c AS (SELECT child AS root, child AS node, 0::BIGINT AS depth FROM tree UNION ALL SELECT c.root, t.parent, c.depth + 1 FROM c JOIN tree t ON t.child = c.node)
 SELECT root, node, min(depth) AS depth FROM c GROUP BY root, node""", recursive=True)
 def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = hierarchy(spark, sf_dir)
-    return G.bounded_closure(t, t.where("child like 'C%7'").select(F.col("child").alias("root")), "child", "parent", 2)
+    return G.bounded_closure(t, t.select(F.col("child").alias("root")), "child", "parent", 2)
 
 
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def references_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SITES = """
-, s AS (SELECT v, owner, l_linenumber::BIGINT AS method, string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) AS targets FROM lines WHERE l_partkey <= 60 AND v IN (1995, 1996) GROUP BY v, owner, l_linenumber),
+, s AS (SELECT v, owner, l_linenumber::BIGINT AS method, string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) AS targets FROM lines WHERE v IN (1995, 1996) GROUP BY v, owner, l_linenumber),
 r0 AS (SELECT * FROM s a WHERE v = 1995 AND NOT EXISTS (SELECT 1 FROM s b WHERE b.v = 1996 AND b.owner = a.owner AND b.method = a.method)),
 a0 AS (SELECT * FROM s a WHERE v = 1996 AND NOT EXISTS (SELECT 1 FROM s b WHERE b.v = 1995 AND b.owner = a.owner AND b.method = a.method)),
 p1 AS (SELECT r.owner AS old_owner, r.method AS old_method, a.owner AS new_owner, a.method AS new_method, 1::BIGINT AS round FROM (SELECT * FROM r0 QUALIFY count(*) OVER (PARTITION BY targets, method) = 1) r JOIN (SELECT * FROM a0 QUALIFY count(*) OVER (PARTITION BY targets, method) = 1) a USING (targets, method)),
@@ -63,7 +63,7 @@ SELECT * FROM p1 UNION ALL SELECT * FROM q2 UNION ALL SELECT * FROM p3"""
 
 @query(_SITES)
 def references_diff_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = lines_of(spark, sf_dir).where("l_partkey <= 60 and v in (1995, 1996)").select("v", "owner", F.col("l_linenumber").cast("long").alias("method"), F.col("l_partkey").cast("string").alias("t"))
+    li = lines_of(spark, sf_dir).where("v in (1995, 1996)").select("v", "owner", F.col("l_linenumber").cast("long").alias("method"), F.col("l_partkey").cast("string").alias("t"))
     s = R.sites(li, ["v", "owner", "method"], "t")
     removed, added = R.site_diff(s.where("v = 1995").drop("v"), s.where("v = 1996").drop("v"), ["owner", "method"])
     pairs = R.pair_moves(removed, added, ["owner", "method"], [["targets", "method"], ["targets", "owner"], ["targets"]])
@@ -94,18 +94,18 @@ def inherited_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-, k AS (SELECT v.v, p.part, p.sup FROM versions v, (SELECT DISTINCT l_partkey AS part, l_suppkey AS sup FROM lineitem WHERE l_partkey < 20) p),
-e AS (SELECT v, l_partkey AS part, l_suppkey AS sup, count(*) AS hits FROM lines WHERE l_partkey < 20 GROUP BY ALL), n AS (SELECT v, part, count(*) AS others, min(sup) AS moved FROM e GROUP BY v, part)
+, k AS (SELECT v.v, p.part, p.sup FROM versions v, (SELECT DISTINCT l_partkey AS part, l_suppkey AS sup FROM lineitem) p),
+e AS (SELECT v, l_partkey AS part, l_suppkey AS sup, count(*) AS hits FROM lines GROUP BY ALL), n AS (SELECT v, part, count(*) AS others, min(sup) AS moved FROM e GROUP BY v, part)
 SELECT k.v, k.part, k.sup, CASE WHEN e.hits > 0 THEN 'ok' WHEN n.others = 1 THEN 'call_moved' WHEN n.others > 1 THEN 'renamed' ELSE 'missing' END AS verdict, e.hits AS at_count, CASE WHEN e.hits IS NULL AND n.others = 1 THEN n.moved END AS moved_to
 FROM k LEFT JOIN e ON e.v = k.v AND e.part = k.part AND e.sup = k.sup LEFT JOIN n ON n.v = k.v AND n.part = k.part""")
 def validate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict ladder for stated targets: hits, a single other holder, several, none."""
     from verspan.plans.bindings import versions
 
-    li = lines_of(spark, sf_dir).where("l_partkey < 20").select("v", F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("sup"))
+    li = lines_of(spark, sf_dir).select("v", F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("sup"))
     e = R.multiplicity(li, ["v", "part", "sup"], "at_count")
     n = e.groupBy("v", "part").agg(F.count("*").alias("others"), F.min("sup").alias("moved"))
     all_v = versions(spark, sf_dir).agg(F.collect_set("v").alias("vs"))
-    k = table(spark, sf_dir, "lineitem").where("l_partkey < 20").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("sup")).distinct().join(F.broadcast(all_v)).select(F.explode("vs").alias("v"), "part", "sup")
+    k = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("sup")).distinct().join(F.broadcast(all_v)).select(F.explode("vs").alias("v"), "part", "sup")
     verdict = F.when(F.col("at_count") > 0, "ok").when(F.col("others") == 1, "call_moved").when(F.col("others") > 1, "renamed").otherwise("missing")
     return k.join(e, ["v", "part", "sup"], "left").join(n, ["v", "part"], "left").select("v", "part", "sup", verdict.alias("verdict"), "at_count", F.when(F.col("at_count").isNull() & (F.col("others") == 1), F.col("moved")).alias("moved_to"))

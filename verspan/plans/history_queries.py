@@ -12,7 +12,7 @@ from verspan.plans.bindings import classes, members, orders, table, versions
 from verspan.plans.registry import query
 
 _ISLANDS = """
-grid AS (SELECT e.k, v.v FROM (SELECT DISTINCT k FROM classes WHERE k % 20 = 0) e, versions v),
+grid AS (SELECT e.k, v.v FROM (SELECT DISTINCT k FROM classes) e, versions v),
 s AS (SELECT g.k, g.v, c.name, c.k IS NOT NULL AS present FROM grid g LEFT JOIN classes c ON c.k = g.k AND c.v = g.v),
 m AS (SELECT *, CASE WHEN lag(1) OVER w IS NULL OR (present, name) IS DISTINCT FROM (lag(present) OVER w, lag(name) OVER w) THEN 1 ELSE 0 END AS new FROM s WINDOW w AS (PARTITION BY k ORDER BY v)),
 i AS (SELECT *, sum(new) OVER (PARTITION BY k ORDER BY v) AS island FROM m)
@@ -22,7 +22,7 @@ i AS (SELECT *, sum(new) OVER (PARTITION BY k ORDER BY v) AS island FROM m)
 @query("," + _ISLANDS + "SELECT k, present, name, min(v) AS from_v, max(v) AS to_v, count(*) AS versions FROM i GROUP BY k, island, present, name")
 def history_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = classes(spark, sf_dir).withColumn("present", F.lit(True))
-    g = S.dense(c.where("k % 20 = 0").select("k").distinct(), versions(spark, sf_dir).select("v"), c, ["k", "v"])
+    g = S.dense(c.select("k").distinct(), versions(spark, sf_dir).select("v"), c, ["k", "v"])
     return S.collapse(g.withColumn("present", F.coalesce("present", F.lit(False))), ["k"], "v", ["present", "name"])
 
 
@@ -82,12 +82,13 @@ def translation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-, anchor AS (SELECT name AS q, arg_max(k, row(v, k)) AS anchor FROM classes WHERE k % 30 = 0 GROUP BY name),
-uniq AS (SELECT v, name, CASE WHEN count(*) = 1 THEN max(k) END AS only FROM classes WHERE k % 30 = 0 GROUP BY v, name)
-SELECT c.v, a.q, count(*) AS rows, max(u.only) AS only FROM anchor a JOIN classes c ON c.k % 30 = 0 AND (c.name = a.q OR c.k = a.anchor) LEFT JOIN uniq u ON u.v = c.v AND u.name = a.q GROUP BY c.v, a.q""")
+, anchor AS (SELECT name AS q, arg_max(k, row(v, k)) AS anchor FROM classes GROUP BY name),
+uniq AS (SELECT v, name, CASE WHEN count(*) = 1 THEN max(k) END AS only FROM classes GROUP BY v, name),
+met AS (SELECT c.v, c.k, a.q FROM anchor a JOIN classes c ON c.name = a.q UNION SELECT c.v, c.k, a.q FROM anchor a JOIN classes c ON c.k = a.anchor)
+SELECT c.v, c.q, count(*) AS rows, max(u.only) AS only FROM met c LEFT JOIN uniq u ON u.v = c.v AND u.name = c.q GROUP BY c.v, c.q""")
 def history_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a name or of the key that bore it last; the key if the name is unique in its version."""
-    c = classes(spark, sf_dir).where("k % 30 = 0")
+    c = classes(spark, sf_dir)
     anchor = c.groupBy(F.col("name").alias("q")).agg(F.max_by("k", F.struct("v", "k")).alias("anchor"))
     by_name = c.join(anchor, F.col("name") == F.col("q")).select("v", "k", "q")
     by_key = c.join(anchor, F.col("k") == F.col("anchor")).select("v", "k", "q")
@@ -144,23 +145,25 @@ def stored_or_scanned_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-, h AS (SELECT owner AS k, v, substr(sha256(string_agg(name || ':' || bucket, chr(10) ORDER BY name || ':' || bucket)), 1, 16) AS hash FROM members WHERE owner % 25 = 0 GROUP BY owner, v),
+, h AS (SELECT owner AS k, v, substr(sha256(string_agg(slot || ':' || bucket || chr(10) || regexp_replace('call lambda$' || name || '$' || v, 'lambda\\$([^$\\s()]+)\\$\\d+', 'lambda$\\1', 'g'), chr(10) ORDER BY slot || ':' || bucket)), 1, 16) AS hash FROM members GROUP BY owner, v),
 m AS (SELECT *, CASE WHEN lag(1) OVER w IS NULL OR hash IS DISTINCT FROM lag(hash) OVER w THEN 1 ELSE 0 END AS new FROM h WINDOW w AS (PARTITION BY k ORDER BY v)),
 i AS (SELECT *, sum(new) OVER (PARTITION BY k ORDER BY v) AS island FROM m)
 SELECT k, hash, min(v) AS from_v, max(v) AS to_v, count(*) AS versions FROM i GROUP BY k, island, hash""")
 def body_hash_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = members(spark, sf_dir).where("owner % 25 = 0")
-    h = m.groupBy(F.col("owner").alias("k"), "v").agg(body_hash(F.collect_list(F.concat_ws(":", "name", "bucket"))).alias("hash"))
+    m = members(spark, sf_dir)
+    h = m.groupBy(F.col("owner").alias("k"), "v").agg(body_hash(F.collect_list(F.struct(F.concat_ws(":", "slot", "bucket").alias("descriptor"), F.concat(F.lit("call lambda$"), "name", F.lit("$"), F.col("v").cast("string")).alias("body")))).alias("hash"))
     return S.collapse(h, ["k"], "v", ["hash"])
 
 
 @query("""
-WITH t AS (SELECT DISTINCT (p_size % 3 + 1) || '.' || (p_size % 9) || CASE p_partkey % 6 WHEN 0 THEN '-rc1' WHEN 1 THEN '-pre2' WHEN 2 THEN '-snapshot' WHEN 3 THEN '-beta' WHEN 4 THEN '' ELSE '~x' END AS version FROM part)
-SELECT version, CASE WHEN regexp_matches(lower(version), '(^|[-_ .])rc') THEN 'rc' WHEN regexp_matches(lower(version), '(^|[-_ .])pre') THEN 'pre' WHEN regexp_matches(lower(version), 'snapshot|\\dw\\d') THEN 'snapshot'
-  WHEN regexp_matches(lower(version), 'alpha|beta') THEN 'experimental' WHEN regexp_matches(lower(version), '^\\d+(\\.\\d+){1,2}$') THEN 'release' ELSE 'other' END AS kind FROM t""".replace("\\\\", "\\"), model=False)
+WITH t AS (SELECT DISTINCT CASE p_partkey % 7 WHEN 6 THEN (20 + p_size % 5) || 'w' || (10 + p_size % 9) || 'a' ELSE (p_size % 3 + 1) || '.' || (p_size % 9) || CASE p_partkey % 7 WHEN 0 THEN '-RC1' WHEN 1 THEN '-pre2' WHEN 2 THEN '-snapshot' WHEN 3 THEN '-beta' WHEN 4 THEN '' ELSE '~x' END END AS version FROM part)
+SELECT version, CASE WHEN contains(lower(version), 'rc') THEN 'release-candidate' WHEN contains(lower(version), 'pre') THEN 'pre-release' WHEN regexp_full_match(version, '\\d+w\\d+[a-z]?') THEN 'snapshot'
+  WHEN regexp_full_match(version, '\\d+\\.\\d+(\\.\\d+)?') THEN 'release' ELSE 'snapshot' END AS kind FROM t""", model=False)
 def release_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tails = F.element_at(F.array(*[F.lit(x) for x in ("-rc1", "-pre2", "-snapshot", "-beta", "", "~x")]), (F.col("p_partkey") % 6 + 1).cast("int"))
-    t = table(spark, sf_dir, "part").select(F.concat((F.col("p_size") % 3 + 1).cast("string"), F.lit("."), (F.col("p_size") % 9).cast("string"), tails).alias("version")).distinct()
+    tails = F.element_at(F.array(*[F.lit(x) for x in ("-RC1", "-pre2", "-snapshot", "-beta", "", "~x", "")]), (F.col("p_partkey") % 7 + 1).cast("int"))
+    weekly = F.concat((20 + F.col("p_size") % 5).cast("string"), F.lit("w"), (10 + F.col("p_size") % 9).cast("string"), F.lit("a"))
+    numbered = F.concat((F.col("p_size") % 3 + 1).cast("string"), F.lit("."), (F.col("p_size") % 9).cast("string"), tails)
+    t = table(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 7 == 6, weekly).otherwise(numbered).alias("version")).distinct()
     return t.select("version", release_type(F.col("version")).alias("kind"))
 
 

@@ -27,12 +27,12 @@ def corr_full_outer3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-, x AS (SELECT owner, slot, CASE WHEN bucket > 0 THEN bucket END AS bucket, min(name) AS a FROM members WHERE v = 1995 AND owner % 4 = 0 GROUP BY ALL),
-y AS (SELECT owner, slot, CASE WHEN bucket > 0 THEN bucket END AS bucket, min(name) AS b FROM members WHERE v = 1996 AND owner % 4 = 0 GROUP BY ALL)
+, x AS (SELECT owner, slot, CASE WHEN bucket > 0 THEN bucket END AS bucket, min(name) AS a FROM members WHERE v = 1995 GROUP BY ALL),
+y AS (SELECT owner, slot, CASE WHEN bucket > 0 THEN bucket END AS bucket, min(name) AS b FROM members WHERE v = 1996 GROUP BY ALL)
 SELECT coalesce(x.owner, y.owner) AS owner, coalesce(x.slot, y.slot) AS slot, coalesce(x.bucket, y.bucket) AS bucket, a, b
 FROM x FULL JOIN y ON x.owner = y.owner AND x.slot = y.slot AND x.bucket IS NOT DISTINCT FROM y.bucket""")
 def corr_member_nullsafe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = members(spark, sf_dir).where("owner % 4 = 0").withColumn("bucket", F.when(F.col("bucket") > 0, F.col("bucket")))
+    m = members(spark, sf_dir).withColumn("bucket", F.when(F.col("bucket") > 0, F.col("bucket")))
     one = lambda v, c: C.first_wins(m.where(F.col("v") == v), ["owner", "slot", "bucket"], ["name"]).select("owner", "slot", "bucket", F.col("name").alias(c))
     return C.null_safe_join(one(1995, "a"), one(1996, "b"), ["owner", "slot"], ["bucket"])
 
@@ -50,7 +50,7 @@ def merge_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-, keys AS (SELECT DISTINCT owner, slot, (slot + owner) % 4 AS bucket FROM members WHERE v = 1996 AND owner % 10 = 0),
+, keys AS (SELECT DISTINCT owner, slot, (slot + owner) % 4 AS bucket FROM members WHERE v = 1996),
 m AS (SELECT DISTINCT owner, slot, bucket FROM members WHERE v = 1996),
 x AS (SELECT k.*, e.slot IS NOT NULL AS found,
   (SELECT min(m.bucket) FROM m WHERE m.owner = k.owner AND m.slot = k.slot) AS same, (SELECT min(m.slot) FROM m WHERE m.owner = k.owner AND m.bucket = k.bucket) AS other
@@ -60,7 +60,7 @@ SELECT owner, slot, bucket, found, CASE WHEN found THEN NULL WHEN same IS NOT NU
 def exists_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether keys are declared, else the nearest declaration: same name first, then any other."""
     m = members(spark, sf_dir).where("v = 1996").select("owner", "slot", "bucket").distinct()
-    keys = m.where("owner % 10 = 0").select("owner", "slot", ((F.col("slot") + F.col("owner")) % 4).alias("bucket")).distinct()
+    keys = m.select("owner", "slot", ((F.col("slot") + F.col("owner")) % 4).alias("bucket")).distinct()
     hit = keys.join(m.withColumn("found", F.lit(True)), ["owner", "slot", "bucket"], "left")
     same = m.groupBy("owner", "slot").agg(F.min("bucket").alias("same"))
     other = m.groupBy("owner", "bucket").agg(F.min("slot").alias("other"))
@@ -115,13 +115,13 @@ def entity_link(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH n AS (SELECT p_partkey AS k, p_brand || '/' || p_name AS name FROM part), s AS (SELECT split_part(name, '/', 2) AS simple, CASE WHEN count(*) = 1 THEN max(k) END AS only, count(*) AS n FROM n GROUP BY 1),
-q AS (SELECT DISTINCT name AS q FROM n WHERE k % 50 = 0 UNION SELECT DISTINCT split_part(name, '/', 2) FROM n WHERE k % 50 = 1)
+q AS (SELECT DISTINCT name AS q FROM n UNION SELECT DISTINCT split_part(name, '/', 2) FROM n UNION SELECT DISTINCT split_part(name, '/', 1) FROM n)
 SELECT q, CASE WHEN e.k IS NOT NULL THEN e.k ELSE s.only END AS k, CASE WHEN e.k IS NOT NULL THEN 'exact' WHEN s.only IS NOT NULL THEN 'simple' ELSE 'none' END AS how
 FROM q LEFT JOIN (SELECT name, min(k) AS k FROM n GROUP BY name) e ON e.name = q LEFT JOIN s ON s.simple = q""", model=False)
 def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A name resolved exactly, else by a simple name that only one row bears."""
     n = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.concat_ws("/", "p_brand", "p_name").alias("name"))
-    q = n.where("k % 50 = 0").select(F.col("name").alias("q")).union(n.where("k % 50 = 1").select(simple_name(F.col("name")))).distinct()
+    q = n.select(F.col("name").alias("q")).union(n.select(simple_name(F.col("name")))).union(n.select(F.substring_index("name", "/", 1))).distinct()
     exact = n.groupBy(F.col("name").alias("q")).agg(F.min("k").alias("e"))
     only = C.unique_or_null(n.withColumn("q", simple_name(F.col("name"))), ["q"], "k", "only")
     return q.join(exact, "q", "left").join(only, "q", "left").select("q", F.coalesce("e", "only").alias("k"), F.when(F.col("e").isNotNull(), "exact").when(F.col("only").isNotNull(), "simple").otherwise("none").alias("how"))
@@ -168,12 +168,12 @@ def export_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-, e AS (SELECT owner, ref_owner, cnt, 'P' || owner || ':S' || ref_owner AS key FROM refs WHERE owner % 20 = 0)
+, e AS (SELECT owner, ref_owner, cnt, 'P' || owner || ':S' || ref_owner AS key FROM refs)
 SELECT e.key, coalesce(s.s_name, 'S' || ref_owner) AS name, cnt FROM e LEFT JOIN supplier s ON s.s_suppkey = ref_owner AND s_suppkey % 2 = 0""")
 def remap_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names looked up by key parts, falling back to themselves."""
     s = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("ref_owner"), "s_name")
-    e = references(spark, sf_dir).where("owner % 20 = 0").join(s, "ref_owner", "left")
+    e = references(spark, sf_dir).join(s, "ref_owner", "left")
     mine = F.concat(F.lit("S"), F.col("ref_owner").cast("string"))
     return e.select(F.concat(F.lit("P"), F.col("owner").cast("string"), F.lit(":"), mine).alias("key"), F.coalesce("s_name", mine).alias("name"), "cnt")
 

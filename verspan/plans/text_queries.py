@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +11,9 @@ from verspan.operators import search as X
 from verspan.plans.bindings import table
 from verspan.plans.registry import query
 
+#: The position that tokens are looked up at, in characters.
+POSITION = 1200
+
 
 def _successive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consecutive documents of one source and language as versions of one text."""
@@ -48,16 +52,20 @@ def package_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ts FROM documents WHERE doc_id % 10 = 0),
-o AS (SELECT doc_id, ts[i] AS token, list_sum([length(x) FOR x IN ts[1:i - 1]])::BIGINT AS before, length(ts[i]) AS len, i FROM t, generate_series(1, 5) g(i) WHERE i <= len(ts))
-SELECT doc_id, token, coalesce(before, 0) + i - 1 AS start, coalesce(before, 0) + i - 1 + len AS stop FROM o WHERE 12 BETWEEN coalesce(before, 0) + i - 1 AND coalesce(before, 0) + i - 1 + len""", model=False)
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ts FROM documents),
+o AS (SELECT doc_id, unnest(ts) AS token, generate_subscripts(ts, 1) AS i FROM t),
+p AS (SELECT doc_id, token, coalesce(sum(length(token) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM o)
+SELECT doc_id, token, start, start + length(token) AS stop FROM p WHERE 1200 BETWEEN start AND start + length(token)""", model=False)
 def token_at_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens that hold a position, ends included; offsets over tokens joined by single blanks."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select("doc_id", F.slice(X.tokens(F.col("text")), 1, 5).alias("ts"))
-    d = d.select("doc_id", "ts", F.posexplode("ts").alias("i", "token"))
-    start = F.aggregate(F.slice("ts", 1, F.col("i")), F.lit(0).cast("long"), lambda a, x: a + F.length(x)) + F.col("i")
-    d = d.select("doc_id", "token", start.alias("start")).withColumn("stop", F.col("start") + F.length("token"))
-    return d.where("12 between start and stop")
+    d = table(spark, sf_dir, "documents").select("doc_id", X.tokens(F.col("text")).alias("ts"))
+    empty = F.struct(F.lit(0).cast("long").alias("at"), F.lit(None).cast("array<struct<token:string,start:bigint>>").alias("hit"))
+    # one pass over the tokens that keeps the few which hold the position
+    found = F.aggregate("ts", empty, lambda a, t: F.struct(
+        (a["at"] + F.length(t) + 1).alias("at"),
+        F.when((a["at"] <= POSITION) & (a["at"] + F.length(t) >= POSITION), F.concat(F.coalesce(a["hit"], F.array()), F.array(F.struct(t.alias("token"), a["at"].alias("start"))))).otherwise(a["hit"]).alias("hit")))
+    d = d.select("doc_id", F.explode(found["hit"]).alias("x")).select("doc_id", "x.token", "x.start")
+    return d.withColumn("stop", F.col("start") + F.length("token"))
 
 
 @query()
@@ -65,11 +73,12 @@ def classfile_decls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class files made of the nation table: owner, supertypes and members read back from their bytes."""
     from verspan.sources.classfile import read_declarations, simple_class
 
-    @F.udf("binary")
-    def make(name: str, region: int) -> bytes:
-        return simple_class(f"g/{name}", f"g/R{region}", [("area", "I")], [("rule", "(I)V")])
+    def made(batches):
+        for b in batches:
+            files = [simple_class(f"g/{name}", f"g/R{region}", [("area", "I")], [("rule", "(I)V")]) for name, region in zip(b.column("name").to_pylist(), b.column("region").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.binary())], ["content"])
 
-    n = table(spark, sf_dir, "nation").select(make(F.replace("n_name", F.lit(" "), F.lit("_")), "n_regionkey").alias("content"))
+    n = table(spark, sf_dir, "nation").select(F.replace("n_name", F.lit(" "), F.lit("_")).alias("name"), F.col("n_regionkey").alias("region")).mapInArrow(made, "content binary")
     return read_declarations(n, "content")
 
 
