@@ -12,8 +12,8 @@ together.
 
 Tokenising: text is cut before each space that a non-space follows, where the
 tokenizer's own pattern always begins a new piece; a part's ids are looked up in a
-cache of the worker and else asked of the tokenizer, so that repeated words are
-tokenised once; the worker keeps the parts of two generations, so that frequent ones
+cache of the worker and else asked of the tokenizer, all new ones of a few texts at once,
+so that repeated words are tokenised once; the worker keeps the parts of two generations, so that frequent ones
 stay. A text that holds one of the tokenizer's added tokens goes to the tokenizer whole.
 The ids are those of the whole text.
 
@@ -41,7 +41,7 @@ from verspan.llm.common import map_texts, stored, table
 CAPACITY, END_ID = 2048, 0
 TOKENIZER = "byte_bpe_50k.json"
 #: Parts of a generation whose ids a worker keeps, and documents tokenised at once; only speed depends on them.
-PART_CACHE, AT_ONCE = 250_000, 400
+PART_CACHE, AT_ONCE = 500_000, 400
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
 
 _CUT = re.compile(r" (?=\S)")
@@ -63,7 +63,10 @@ def tokenizer(path: str):
 
         tok = Tokenizer.from_file(path)
         added = [re.escape(t.content) for t in tok.get_added_tokens_decoder().values()]
-        _state.update(path=path, tok=tok, added=re.compile("|".join(added)) if added else None, young={}, old={})
+        bytes_of = np.zeros(tok.get_vocab_size(), np.int64)
+        for token, i in tok.get_vocab().items():
+            bytes_of[i] = len(token)  # a token is written with one character for each byte
+        _state.update(path=path, tok=tok, bytes_of=bytes_of, added=re.compile("|".join(added)) if added else None, young={}, old={})
     return _state["tok"]
 
 
@@ -76,6 +79,14 @@ def ids_of(docs: list[str | None], path: str) -> list[bytes]:
     def asked(parts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in encode(parts, add_special_tokens=False)]
 
+    def asked_at_once(parts: list[str]) -> list[bytes]:
+        """As one text, a blank before each part; their ids are told apart by the bytes that tokens stand for."""
+        ids = np.array(encode([" " + " ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum([len(p.encode()) + 1 for p in parts])
+        cuts = (4 * np.searchsorted(np.cumsum(_state["bytes_of"][ids]), ends, side="left") + 4).tolist()
+        whole = ids.tobytes()
+        return [whole[a:b] for a, b in zip([0, *cuts], cuts)]
+
     # the first part has no space before it; others are keyed without theirs
     cut = [[""] if not t else [t] if added and added.search(t) else t.split(" ") for t in docs]
     tails = [c[1:] for c in cut]
@@ -89,7 +100,8 @@ def ids_of(docs: list[str | None], path: str) -> list[bytes]:
         need = set().union(*tails).difference(young)
     young.update((p, old[p]) for p in need if p in old)
     new = [p for p in need if p not in old]
-    young.update(zip(new, asked([" " + p for p in new])))
+    if new:
+        young.update(zip(new, asked_at_once(new)))
     out = [h + b"".join(map(young.__getitem__, c)) for h, c in zip(asked([c[0] for c in cut]), tails)]
     if len(young) > PART_CACHE:
         _state.update(young={}, old=young)
