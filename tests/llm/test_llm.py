@@ -293,11 +293,14 @@ def test_langid_corner_rows(spark):
 # 4
 
 def test_token_ids_are_the_tokenizers():
-    texts = [None, "", "  a  b\n\n  c", "x \n y", " lead", "trail ", "a b, c  d", "don't we'll  'S", "1,2 3.5\n\n4", "é́,\n\nA <|endoftext|> b", "\n", "a²,b \x1c c", "😀 x\t\ty"]
+    texts = [None, "", "  a  b\n\n  c", "x \n y", " lead", "trail ", "a b, c  d", "don't we'll  'S", "1,2 3.5\n\n4", "é́,\n\nA <|endoftext|> b", "\n", "a²,b \x1c c", "😀 x\t\ty", "a\nb", "\nb c", "a\n", "a\t\nb c\nd", "x \ny", "x\n y\nz", "a\r\nb", "foo\t bar\nbaz", "foo\t\nbar", "\0a \0b\nc", "\t\nq r", "a  ", " ", "\n\n", "a b\n c"]
     tok = Tokenizer.from_file(packing.tokenizer_path())
     assert tok.encode("A <|endoftext|> b", add_special_tokens=False).ids == [32, 220, 50256, 275]
     want = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     assert packing.ids_of(texts, packing.tokenizer_path()) == want == packing.ids_of(texts, packing.tokenizer_path())
+    assert [packing.ids_of([t], packing.tokenizer_path())[0] for t in texts] == want
+    packing._state.update(young={}, old={})
+    assert [packing.ids_of([t], packing.tokenizer_path())[0] for t in texts] == want
 
 
 def test_packing(spark):

@@ -10,8 +10,9 @@ their place by their rank among the pieces of their length: rank in the task, pl
 what earlier tasks have of the length. No group of equal lengths is ever brought
 together.
 
-Tokenising: text is cut before each space that a non-space follows, where the
-tokenizer's own pattern always begins a new piece; a part's ids are looked up in a
+Tokenising: text is cut before each space or line feed that stands between two characters
+which are no white space, or, where white space meets white space, before each space that
+a non-space follows; there the tokenizer's own pattern always begins a new piece; a part's ids are looked up in a
 cache of the worker and else asked of the tokenizer, all new ones of a few texts at once,
 so that repeated words are tokenised once; the worker keeps the parts of two generations, so that frequent ones
 stay. A text that holds one of the tokenizer's added tokens goes to the tokenizer whole.
@@ -80,28 +81,36 @@ def ids_of(docs: list[str | None], path: str) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in encode(parts, add_special_tokens=False)]
 
     def asked_at_once(parts: list[str]) -> list[bytes]:
-        """As one text, a blank before each part; their ids are told apart by the bytes that tokens stand for."""
-        ids = np.array(encode([" " + " ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.cumsum([len(p.encode()) + 1 for p in parts])
+        """As one text; their ids are told apart by the bytes that tokens stand for."""
+        ids = np.array(encode(["".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum([len(p.encode()) for p in parts])
         cuts = (4 * np.searchsorted(np.cumsum(_state["bytes_of"][ids]), ends, side="left") + 4).tolist()
         whole = ids.tobytes()
         return [whole[a:b] for a, b in zip([0, *cuts], cuts)]
 
-    # the first part has no space before it; others are keyed without theirs
-    cut = [[""] if not t else [t] if added and added.search(t) else t.split(" ") for t in docs]
+    def learned(keys: list[str], parts: list[str]) -> None:
+        if parts:
+            young.update(zip(keys, asked_at_once(parts)))
+
+    # the first part has nothing before it; others are keyed without their blank, or by their line feed
+    cut = [[""] if not t else [t] if "\0" in t or added and added.search(t) else t.replace("\n", " \n").split(" ") for t in docs]
     tails = [c[1:] for c in cut]
     need = set().union(*tails).difference(young)
-    odd = {p for p in need if not p or p[0].isspace()}  # a space before white space or the end begins no piece
-    if odd:
-        for i, c in enumerate(tails):
-            if not odd.isdisjoint(c):
-                cut[i] = _CUT.split(docs[i])
-                tails[i] = cut[i][1:]
+    odd = {p for p in need if not p or p[-1].isspace() or p[0].isspace() and (p[0] != "\n" or p[1].isspace())}  # white space that meets other white space
+    again = False
+    for i, c in enumerate(tails):
+        if c and (cut[i][0][-1:].isspace() or odd and not odd.isdisjoint(c)):
+            cut[i] = _CUT.split(docs[i])
+            tails[i] = ["\0" + p for p in cut[i][1:]]  # parts with white space in them have keys of their own
+            again = True
+    if again:
         need = set().union(*tails).difference(young)
     young.update((p, old[p]) for p in need if p in old)
     new = [p for p in need if p not in old]
-    if new:
-        young.update(zip(new, asked_at_once(new)))
+    rough_new, lines, plain = ([p for p in new if p[0] == "\0"], [p for p in new if p[0] == "\n"], [p for p in new if p[0] not in "\0\n"])
+    learned(rough_new, [" " + p[1:] for p in rough_new])
+    learned(lines, lines)
+    learned(plain, [" " + p for p in plain])
     out = [h + b"".join(map(young.__getitem__, c)) for h, c in zip(asked([c[0] for c in cut]), tails)]
     if len(young) > PART_CACHE:
         _state.update(young={}, old=young)
