@@ -105,10 +105,12 @@ def ids_of(docs: list[str | None], path: str) -> list[bytes]:
             again = True
     if again:
         need = set().union(*tails).difference(young)
-    young.update((p, old[p]) for p in need if p in old)
-    new = [p for p in need if p not in old]
-    rough_new, lines, plain = ([p for p in new if p[0] == "\0"], [p for p in new if p[0] == "\n"], [p for p in new if p[0] not in "\0\n"])
-    learned(rough_new, [" " + p[1:] for p in rough_new])
+    known = need & old.keys()
+    young.update(zip(known, map(old.__getitem__, known)))
+    need -= known
+    lines, rough = [p for p in need if p[0] == "\n"], [p for p in need if p[0] == "\0"] if again else []
+    plain = list(need.difference(lines, rough))
+    learned(rough, [" " + p[1:] for p in rough])
     learned(lines, lines)
     learned(plain, [" " + p for p in plain])
     out = [h + b"".join(map(young.__getitem__, c)) for h, c in zip(asked([c[0] for c in cut]), tails)]
