@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verspan.llm.common import hashed, mixed, multipliers, packed, partitions, signed, stored, table, texts, unpacked, words
+from verspan.llm.common import hashed, map_texts, mixed, multipliers, packed, partitions, signed, stored, table, texts, tidy, unpacked, words
 
 END = xxhash.xxh3_64_intdigest(b"\n")
 SHARE = 0.2
@@ -40,7 +40,7 @@ BITS_PER_ITEM, PROBES = 12, 6
 #: Bytes of all shards that are broadcast; decides the way of the probes, not their results.
 MAX_BYTES = 128 << 20
 FREQUENT = 1 << 17
-WINDOW = 2_000_000
+WINDOW = 1_000_000
 #: Tokens scored at once.
 SCORE_AT_ONCE = 400_000
 MAX_LEVEL = 48
@@ -358,8 +358,8 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
     """(id, n_tokens, n_known, train_tokens, base_score, score) of each document."""
     spark = docs.sparkSession
     buckets = max(partitions(spark), 8)
-    blobs = train.select(train[text_col].alias("text")).mapInArrow(_counted(buckets), "bucket int, ord int, keys binary, counts binary")
-    reduced = stored(blobs.repartition(buckets, "bucket").mapInArrow(_reduced(max(1, FREQUENT // buckets)), "bucket int, kind string, data binary, counts binary, n long, v long"), "counts")
+    blobs = map_texts(train.select(train[text_col].alias("text")), _counted(buckets), "bucket int, ord int, keys binary, counts binary")
+    reduced = stored(blobs.repartition(buckets, "bucket").mapInArrow(tidy(_reduced(max(1, FREQUENT // buckets))), "bucket int, kind string, data binary, counts binary, n long, v long"), "counts")
     shards = reduced.where("kind = 'filter'")
     whole = (shards.agg(F.sum(F.length("data"))).first()[0] or 0) <= MAX_BYTES
     data = F.col("data") if whole else F.when(F.col("kind") == "frequent", F.col("data")).otherwise(F.lit(b""))
@@ -367,16 +367,16 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
     model_b = spark.sparkContext.broadcast(model)
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     if whole:
-        scored = stored(rows.mapInArrow(_scored(model_b), SCORED), "scored")
+        scored = stored(map_texts(rows, _scored(model_b), SCORED), "scored")
     else:
-        asked = stored(rows.mapInArrow(_asked(buckets), ASKED), "asked")
+        asked = stored(map_texts(rows, _asked(buckets), ASKED), "asked")
         probes = shards.select(F.lit(-1).cast("long").alias("part"), "bucket", F.lit(0).alias("ord"), "data").union(asked.where("ord > 0").select("part", "bucket", "ord", "data"))
         answers = probes.repartition(buckets, "bucket").sortWithinPartitions("bucket", "ord").mapInArrow(_answered, "part long, bucket int, ord int, data binary")
         back = asked.where("ord = 0").unionByName(answers, allowMissingColumns=True).repartition(buckets, "part").sortWithinPartitions("part", "ord", "bucket")
         scored = stored(back.mapInArrow(_joined(model_b, buckets), SCORED), "scored")
     n, v = model.n, model.v
     rest = reduced.where("kind = 'rest'").select("data", "counts").mapInArrow(_unigrams, "h long, c long")
-    others = scored.select("rid", "others").mapInArrow(_others, "rid long, h long").groupBy("rid", "h").agg(F.count("*").alias("tf"))
+    others = scored.select("rid", "others").mapInArrow(tidy(_others), "rid long, h long").groupBy("rid", "h").agg(F.count("*").alias("tf"))
     found = others.join(rest, "h").groupBy("rid").agg(F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("more"), F.sum("tf").alias("more_known"))
     out = scored.drop("others").join(found, "rid", "left")
     return out.select(F.col("id").alias(id_col), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
