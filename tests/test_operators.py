@@ -131,11 +131,22 @@ def test_class_files(spark):
     assert rows(d.select("owner", F.get("supertypes", F.lit(0)).alias("s")), "owner", "s") == [("p/A", "java/lang/Object"), ("p/B", "p/A")]
     assert rows(subtypes(d), "parent", "subtypes") == [("p/A", ["p/B"])]
     r = read_references(files).groupBy("ref_owner", "ref_member", "ref_synthetic", "owner", "member").count()
-    assert rows(r, "ref_member", "ref_synthetic", "owner", "member", "count") == [("run", "lambda$run$0", "p/B", "foo", 2), ("run", None, "p/B", "foo", 2)]
+    method = [("p/A", "run", s, "p/B", m, 2) for s in ("lambda$run$0", None) for m in ("foo", None)]
+    assert rows(r, "ref_owner", "ref_member", "ref_synthetic", "owner", "member", "count") == sorted([*method, ("p/B", None, None, "p/A", None, 1)], key=str)
     c = ClassFile(a)
     assert body_hash(list(c.bodies.values())) == body_hash(list(reversed(c.bodies.values()))) and len(body_hash(["x"])) == 16
 
 
+def test_method_references_hide_in_bootstraps():
+    """A lambda's handle is a call of the method that makes it; another bootstrap's is none."""
+    make = lambda **k: ClassFile(simple_class("p/A", "p/P", [], [("run", "()V"), ("run", "(I)V"), ("lambda$run$0", "()V"), ("lambda$new$1", "()V")], **k))
+    c = make(handles=[("p/B", "bar", "()V"), ("p/A", "run", "()V")])
+    assert [r[2:] for r in c.refs if r[0] == "lambda$run$0"] == [("p/B", "bar", "()V", "call"), ("p/B", None, None, "call"), ("p/A", "run", "()V", "call")]
+    assert c.refs[0] == (None, None, "p/P", None, None, "class")
+    assert c.fold("lambda$run$0", "()V") == ("run", None, "lambda$run$0") and c.fold("lambda$new$1", "()V") == ("lambda$new$1", "()V", None)
+    assert make(handles=[("p/B", "bar", "()V")], factory="java/lang/runtime/ObjectMethods").refs == c.refs[:1]
+
+
 def test_tiny_both_versions(spark):
     two = "tiny\t2\t0\tofficial\tintermediary\tnamed\nc\tdnv\tn/class_1\tn/Block\n\tm\t()Ldpb;\tn\tmethod_1\tgetState\n\t\tp\t1\t\t\tx\n\tf\tLgs;\tj\tfield_1\t\n"
     one = "v1\tofficial\tintermediary\nCLASS\ta\tn/class_2\nMETHOD\ta\t()V\tb\tmethod_100\nFIELD\ta\t[F\tc\tfield_5\n"

@@ -82,6 +82,44 @@ def classfile_decls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_declarations(n, "content")
 
 
+def _linked_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class files made of the nation table: each extends another, calls a third's method and makes a lambda of its own."""
+    from verspan.sources.classfile import simple_class
+
+    def made(batches):
+        for b in batches:
+            files = [simple_class(f"g/N{k}", f"g/N{k // 5}", [], [("rule", "(I)V"), ("lambda$rule$0", "()V")], [(f"g/N{(k + 1) % 25}", "rule", "(I)V")], handles=[(f"g/N{k}", "rule", "(I)V")]) for k in b.column("n_nationkey").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.binary())], ["content"])
+
+    return table(spark, sf_dir, "nation").select("n_nationkey").mapInArrow(made, "content binary")
+
+
+_NATIONS = "WITH n AS (SELECT 'g/N' || n_nationkey AS c, 'g/N' || n_nationkey // 5 AS p, 'g/N' || (n_nationkey + 1) % 25 AS t FROM nation)"
+
+
+@query(_NATIONS + """, s AS (SELECT unnest([NULL, 'lambda$rule$0']) AS syn)
+SELECT c AS ref_owner, NULL::VARCHAR AS ref_member, NULL::VARCHAR AS ref_descriptor, p AS owner, NULL::VARCHAR AS member, NULL::VARCHAR AS descriptor, 'class' AS kind, NULL::VARCHAR AS ref_synthetic FROM n WHERE p <> c
+UNION ALL SELECT c, 'rule', '(I)V', t, 'rule', '(I)V', 'call', syn FROM n, s
+UNION ALL SELECT c, 'rule', '(I)V', t, NULL, NULL, 'call', syn FROM n, s
+UNION ALL SELECT c, 'rule', '(I)V', c, 'rule', '(I)V', 'call', syn FROM n, s""", model=False)
+def classfile_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of class files: headers, calls, method references; a lambda's count as its method's."""
+    from verspan.sources.classfile import read_references
+
+    return read_references(_linked_classes(spark, sf_dir))
+
+
+@query(_NATIONS + """, d AS (SELECT * FROM (VALUES ('rule', '(I)V'), ('lambda$rule$0', '()V')) x(member, descriptor))
+SELECT c AS owner, member, substr(sha256(concat_ws(chr(10), descriptor, '184 ' || t || ' rule (I)V', '186 run ()Ljava/lang/Runnable;', '177')), 1, 16) AS hash FROM n, d""", model=False)
+def classfile_body_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash of each method of class files over its instructions by name."""
+    from verspan.functions.text import body_hash
+    from verspan.sources.classfile import read_bodies
+
+    b = read_bodies(_linked_classes(spark, sf_dir))
+    return b.groupBy("owner", "member").agg(body_hash(F.collect_list(F.struct("descriptor", "body"))).alias("hash"))
+
+
 @query()
 def tiny_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mapping text made of the nation table, parsed by lines with the class carried forward."""
@@ -92,7 +130,7 @@ def tiny_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_tiny(t)
 
 
-@query()
+@query("SELECT year(o_orderdate)::BIGINT AS v, count(*) AS n FROM orders GROUP BY 1", model=False)
 def ingest_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders ingested by a file stream with replaced partitions, read back and counted by year."""
     from verspan.streaming.ingest import ingest

@@ -21,6 +21,7 @@ POOL_SIZE = {3: 4, 4: 4, 5: 8, 6: 8, 7: 2, 8: 2, 9: 4, 10: 4, 11: 4, 12: 4, 15:
 ONE_BYTE = {16, 18, *range(21, 26), *range(54, 59), 169, 188}
 TWO_BYTES = {17, 19, 20, 132, *range(153, 169), *range(178, 185), 187, 189, 192, 193, 198, 199}
 FOUR_BYTES = {185, 186, 200, 201}
+LAMBDAS = "java/lang/invoke/LambdaMetafactory"
 KINDS = {178: "get", 179: "put", 180: "get", 181: "put", 182: "call", 183: "call", 184: "call", 185: "call", 187: "new", 189: "type", 192: "type", 193: "type"}
 
 
@@ -50,7 +51,9 @@ class ClassFile:
         parent = self._u2()
         self.supertypes = ([self._class(parent)] if parent else []) + [self._class(self._u2()) for _ in range(self._u2())]
         self.members: list[tuple[str, str, str]] = []
-        self.refs: list[tuple[str, str, str, str | None, str | None, str]] = []  # method, descriptor, owner, name, descriptor, kind
+        # method and descriptor (null: the class header), owner, name and descriptor (null: the class itself), kind
+        self.refs: list[tuple[str | None, str | None, str, str | None, str | None, str]] = [(None, None, s, None, None, "class") for s in self.supertypes if s != self.name]
+        self.dynamic: list[tuple[str, str, int]] = []
         self.bodies: dict[tuple[str, str], str] = {}
         for kind in ("field", "method"):
             for _ in range(self._u2()):
@@ -64,6 +67,53 @@ class ClassFile:
                         code = struct.unpack_from(">I", data, self.at + 4)[0]
                         self._code(name, desc, data[self.at + 8 : self.at + 8 + code])
                     self.at += size
+        if self.dynamic:
+            self._handles()
+
+    def _handles(self) -> None:
+        """Method references hide in the bootstrap arguments of lambdas; other bootstraps are no calls."""
+        for _ in range(self._u2()):
+            attr, size = self._utf(self._u2()), struct.unpack_from(">I", self.data, self.at)[0]
+            self.at += 4
+            if attr != "BootstrapMethods":
+                self.at += size
+                continue
+            methods = []
+            for _ in range(self._u2()):
+                factory = self._u2()
+                methods.append((factory, [self._u2() for _ in range(self._u2())]))
+            for name, desc, i in self.dynamic:
+                factory, args = methods[i]
+                if self._handle(factory)[0] == LAMBDAS:
+                    for a in args:
+                        if self.pool[a][0] == 15:
+                            self._refer(name, desc, *self._handle(a), "call")
+
+    def _handle(self, i: int) -> tuple[str, str, str]:
+        return self._member(struct.unpack(">BH", self.pool[i][1])[1])
+
+    def _refer(self, name: str, desc: str, owner: str, member: str, descriptor: str, kind: str) -> None:
+        """A member refers to its own class's members too; the class as a whole only to others."""
+        self.refs.append((name, desc, owner, member, descriptor, kind))
+        if owner != self.name:
+            self.refs.append((name, desc, owner, None, None, kind))
+
+    def _constant(self, i: int) -> str:
+        tag, value = self.pool[i]
+        return self._class(i) if tag in (7, 8, 16) else value.hex() if tag in (3, 4, 5, 6) else str(tag)
+
+    def fold(self, name: str | None, desc: str | None) -> tuple[str | None, str | None, str | None]:
+        """(method, descriptor, synthetic name): a lambda's body belongs to the method that it is written in.
+
+        The descriptor is null where that method is overloaded; a lambda whose method
+        the class doesn't declare stays as it is.
+        """
+        if name is None or not name.startswith("lambda$"):
+            return name, desc, None
+        inner = name[7:].rpartition("$")[0] or name[7:]
+        inner = {"new": "<init>", "static": "<clinit>"}.get(inner, inner)
+        descs = [d for kind, n, d in self.members if kind == "method" and n == inner]
+        return (inner, descs[0] if len(descs) == 1 else None, name) if descs else (name, desc, None)
 
     def _u2(self) -> int:
         self.at += 2
@@ -100,13 +150,21 @@ class ClassFile:
             if op in KINDS:
                 k = struct.unpack_from(">H", code, start + 1)[0]
                 if op >= 187:
-                    owner = self._class(k)
-                    operand = owner
-                    self.refs.append((name, desc, owner, None, None, KINDS[op]))
+                    operand = owner = self._class(k)
+                    if owner != self.name:
+                        self.refs.append((name, desc, owner, None, None, KINDS[op]))
                 else:
                     operand = self._member(k)
-                    self.refs.append((name, desc, *operand, KINDS[op]))
-            text.append(f"{op} {operand}")
+                    self._refer(name, desc, *operand, KINDS[op])
+            elif op == 186:
+                i_, nt = struct.unpack(">HH", self.pool[struct.unpack_from(">H", code, start + 1)[0]][1])
+                operand = tuple(map(self._utf, struct.unpack(">HH", self.pool[nt][1])))
+                self.dynamic.append((name, desc, i_))
+            elif op in (18, 19, 20):  # constants by value: their places in the pool differ between builds
+                op, operand = 18, self._constant(code[start + 1] if op == 18 else struct.unpack_from(">H", code, start + 1)[0])
+            elif op == 197:
+                operand = f"{self._class(struct.unpack_from('>H', code, start + 1)[0])} {code[start + 3]}"
+            text.append(f"{op} {operand if isinstance(operand, str) else ' '.join(operand)}".rstrip())
         self.bodies[name, desc] = "\n".join(text)
 
 
@@ -115,8 +173,8 @@ def body_hash(bodies: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(bodies)).encode()).hexdigest()[:16]
 
 
-def simple_class(name: str, parent: str, fields: list[tuple[str, str]] = (), methods: list[tuple[str, str]] = (), calls: list[tuple[str, str, str]] = (), access: int = 0x421) -> bytes:
-    """A class file; each method calls all of ``calls`` (owner, name, descriptor) in order and returns."""
+def simple_class(name: str, parent: str, fields: list[tuple[str, str]] = (), methods: list[tuple[str, str]] = (), calls: list[tuple[str, str, str]] = (), access: int = 0x421, handles: list[tuple[str, str, str]] = (), factory: str = LAMBDAS) -> bytes:
+    """A class file; each method calls all of ``calls`` (owner, name, descriptor) in order, makes lambdas of ``handles`` and returns."""
     pool: list[bytes] = []
     known: dict[bytes, int] = {}
 
@@ -129,13 +187,18 @@ def simple_class(name: str, parent: str, fields: list[tuple[str, str]] = (), met
     utf = lambda s: add(b"\x01" + struct.pack(">H", len(s.encode())) + s.encode())
     cls = lambda s: add(b"\x07" + struct.pack(">H", utf(s)))
     ref = lambda o, n, d: add(b"\x0a" + struct.pack(">HH", cls(o), add(b"\x0c" + struct.pack(">HH", utf(n), utf(d)))))
-    body = b"".join(b"\xb8" + struct.pack(">H", ref(*c)) for c in calls) + b"\xb1"
+    body = b"".join(b"\xb8" + struct.pack(">H", ref(*c)) for c in calls)
+    handle = lambda o, n, d: add(b"\x0f" + struct.pack(">BH", 6, ref(o, n, d)))
+    made = add(b"\x0c" + struct.pack(">HH", utf("run"), utf("()Ljava/lang/Runnable;"))) if handles else 0
+    body += b"".join(b"\xba" + struct.pack(">HH", add(b"\x12" + struct.pack(">HH", i, made)), 0) for i in range(len(handles))) + b"\xb1"
+    boot = struct.pack(">H", len(handles)) + b"".join(struct.pack(">HHH", handle(factory, "metafactory", "()V"), 1, handle(*h)) for h in handles)
+    last = struct.pack(">HHI", 1, utf("BootstrapMethods"), len(boot)) + boot if handles else struct.pack(">H", 0)
     attr = struct.pack(">HI", utf("Code"), 12 + len(body)) + struct.pack(">HHI", 1, 1, len(body)) + body + struct.pack(">HH", 0, 0)
     this, base = cls(name), cls(parent)
     fs = b"".join(struct.pack(">HHHH", 1, utf(n), utf(d), 0) for n, d in fields)
     ms = b"".join(struct.pack(">HHHH", 1, utf(n), utf(d), 1) + attr for n, d in methods)
     head = b"\xca\xfe\xba\xbe" + struct.pack(">HH", 0, 61)
-    return head + struct.pack(">H", len(pool) + 1) + b"".join(pool) + struct.pack(">HHHH", access, this, base, 0) + struct.pack(">H", len(fields)) + fs + struct.pack(">H", len(methods)) + ms + struct.pack(">H", 0)
+    return head + struct.pack(">H", len(pool) + 1) + b"".join(pool) + struct.pack(">HHHH", access, this, base, 0) + struct.pack(">H", len(fields)) + fs + struct.pack(">H", len(methods)) + ms + last
 
 
 def classes_in(content: bytes) -> Iterator[bytes]:
@@ -150,7 +213,7 @@ def classes_in(content: bytes) -> Iterator[bytes]:
 
 
 DECLARATIONS = "owner string, access int, supertypes array<string>, members array<struct<kind: string, name: string, descriptor: string>>"
-REFERENCES = "ref_owner string, ref_member string, ref_descriptor string, owner string, member string, descriptor string, kind string"
+REFERENCES = "ref_owner string, ref_member string, ref_descriptor string, owner string, member string, descriptor string, kind string, ref_synthetic string"
 
 
 def read_declarations(files: DataFrame, content: str = "content") -> DataFrame:
@@ -165,18 +228,37 @@ def read_declarations(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def read_references(files: DataFrame, content: str = "content") -> DataFrame:
-    """One row for each reference of an instruction; lambdas fold into their method, unknown owners are dropped."""
-    from verspan.functions.text import lambda_owner
+    """One row for each reference of an instruction or a class header; unknown owners are dropped.
+
+    A lambda's body counts as its method, its own name is ``ref_synthetic``. ``member`` is
+    null where a class as a whole is referred to, ``ref_member`` in a header.
+    """
+    names = [f.split()[0] for f in REFERENCES.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                for c in map(ClassFile, classes_in(x) if x else ()):
+                    rows = []
+                    for m, d, *target in c.refs:
+                        method, descriptor, synthetic = c.fold(m, d)
+                        rows.append((c.name, method, descriptor, *target, synthetic))
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(len(names))], names)
+
+    known = read_declarations(files, content).select("owner").distinct()
+    return files.select(content).mapInArrow(run, REFERENCES).join(known, "owner", "left_semi")
+
 
+def read_bodies(files: DataFrame, content: str = "content") -> DataFrame:
+    """(owner, member, descriptor, body): the instructions of each method with the names that they use."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(c.name, m, d, o, n, e, k) for x in b.column(0).to_pylist() if x for c in map(ClassFile, classes_in(x)) for m, d, o, n, e, k in c.refs]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(7)], ["ref_owner", "ref_member", "ref_descriptor", "owner", "member", "descriptor", "kind"])
+            for x in b.column(0).to_pylist():
+                for c in map(ClassFile, classes_in(x) if x else ()):
+                    rows = [(c.name, *k, text) for k, text in c.bodies.items()]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], ["owner", "member", "descriptor", "body"])
 
-    refs = files.select(content).mapInArrow(run, REFERENCES)
-    known = read_declarations(files, content).select("owner")
-    folded = lambda_owner(F.col("ref_member"))
-    return refs.join(known, "owner", "left_semi").withColumn("ref_synthetic", F.when(folded != F.col("ref_member"), F.col("ref_member"))).withColumn("ref_member", folded)
+    return files.select(content).mapInArrow(run, "owner string, member string, descriptor string, body string")
 
 
 def subtypes(decls: DataFrame) -> DataFrame:
