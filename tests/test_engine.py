@@ -148,9 +148,91 @@ def test_body_hash(engine):
 
 
 def test_validate(engine):
-    v = lambda *a: rows(engine.validate("mojmap", "g/Farm", *a, "2.1", "3.0"), "version_id", "status", "at_count", "moved_to", "closest")
-    assert v("water", "()V", "g/Sun:shine") == [("2.1", "missing", None, None, None), ("3.0", "ok", 2, None, None)]
-    assert v("water", None, "g/Sun:set:()V")[1] == ("3.0", "call_moved", None, "dig", None)
-    assert v("water", "(J)V", None)[1] == ("3.0", "renamed", None, None, None)
-    assert v("open", "(I)V", None)[1] == ("3.0", "inherited", None, None, "g/Place")
-    assert v("close", "()V", None)[1] == ("3.0", "inherited", None, None, "g/Root")
+    v = lambda *a: rows(engine.validate("mojmap", "g/Farm", *a, "2.1", "3.0"), "version_id", "status", "at_count", "moved_to", "closest", "reason")
+    assert v("water", "()V", "g/Sun:shine") == [("2.1", "missing", None, None, None, "unknown-owner"), ("3.0", "ok", 2, None, None, None)]
+    assert v("water", None, "g/Sun:set:()V")[1] == ("3.0", "call_moved", None, "g/Farm#dig", None, None)
+    assert v("water", None, "g/Moon:rise:()V")[1] == ("3.0", "call_moved", None, None, None, "no-baseline")
+    assert v("water", "(J)V", None)[1] == ("3.0", "renamed", None, None, "g/Farm:water:()V", None)
+    assert v("open", "(I)V", None)[1] == ("3.0", "inherited", None, None, "g/Place:open:(I)V", None)
+    assert v("close", "()V", None)[1] == ("3.0", "inherited", None, None, "g/Root:close:()V", None)
+    assert v("open", "()V", None)[1] == ("3.0", "renamed", None, None, "g/Place:open:(I)V", None)
+    assert v("gone", "()V", "g/Sun:set:()V")[1] == ("3.0", "missing", None, "g/Farm#dig", None, "unknown-target")
+
+
+@pytest.fixture(scope="module")
+def moving(spark, engine):
+    """A call that leaves g/Farm for g/Barn in the second version of three, over references and instructions."""
+    from dataclasses import replace
+
+    make = spark.createDataFrame
+    decls = [(v, "mojmap", o, 0, s, [], m) for v in ("2.0", "2.1", "3.0") for o, s, m in (*DECLS, ("g/Barn", [], [("water", "()V")]), ("org/orchard/flora/fruit/Pome", ["org/orchard/flora/Tree"], [("rot", "()V")]), ("org/orchard/flora/Tree", [], [("shade", "()V")]))]
+    sun, farm, barn = ("g/Sun", "shine:()V"), ("g/Farm", "water", "()V"), ("g/Barn", "water", "()V")
+    at = {"2.0": farm, "2.1": barn, "3.0": barn}
+    refs = [(v, "mojmap", *sun, *site, "call", None, 1) for v, site in at.items()] + [("2.0", "mojmap", "g/Fruit", "seed:J", "g/Farm", "dig", "()V", "get", None, 1)]
+    code = [("2.0", "mojmap", "g/Farm", "water", "()V", "g/Sun:shine:()V")]
+    tree = [("2.0", "method", 901, 1, "s", "(Lkb;)V", "m_90", "()V", "()V", "shade", "shade", "shade")]
+    members = engine.members.unionByName(make(tree, schema.MEMBERS))
+    contents = [("h1", "ripe apples"), ("h2", "ripe pears and ripe plums"), ("h3", "bark")]
+    words = [("lang/en.json", "fruit.apple", "Ripe Apple", 0, 1), ("lang/en.json", "fruit.pear", "Pear", 1, 2)]
+    return replace(engine, decls=make(decls, schema.DECLS), refs=make(refs, schema.REFS), instructions=make(code, schema.INSTRUCTIONS), members=members, contents=make(contents, schema.CONTENTS), translations=make(words, schema.TRANSLATIONS))
+
+
+def test_moved_calls(moving):
+    assert rows(moving.diff_references("2.0", "2.1", "g/Sun:shine:()V", "mojmap"), "change", "site", "moved_to") == [("added", "g/Barn#water", None), ("moved", "g/Farm#water", "g/Barn#water"), ("removed", "g/Farm#water", None)]
+    assert moving.diff_references("2.1", "3.0", "g/Sun", "mojmap").count() == 0
+    v = lambda at, **k: rows(moving.validate_spans("mojmap", "g/Farm", "water", "()V", at, "2.0", "3.0", **k), "from", "to", "versions", "status", "at_count", "moved_to", "reason")
+    assert v("g/Sun:shine:()V") == [("2.0", "2.0", 1, "ok", 1, None, None), ("2.1", "3.0", 2, "call_moved", None, "g/Barn#water", None)]
+    assert v("g/Sun:shine")[1][5:] == (None, "at-without-descriptor")
+    assert v("g/Sun:shine:()V", collapse="status")[1][:4] == ("2.1", "3.0", 2, "call_moved")
+
+
+def test_reference_targets(moving):
+    assert moving.normalise_target("2.0", "mojmap", "g/Granny:seed:J") == "g/Fruit:seed:J" and moving.normalise_target("2.0", "mojmap", "g/Granny:no:J") == "g/Granny:no:J"
+    got = {r[0]: r[1:] for r in rows(moving.resolve_targets("2.0", "mojmap", ["g/Sun", "g/Sun:shine:()V", "g/Sun:shine", "g/Sun:shine:(I)V", "g/Sun:none:()V", "g/Moon"]), "target", "resolved", "candidates")}
+    keys_ = ["g/Sun:shine:()V"]
+    assert got == {"g/Sun": (True, []), "g/Sun:shine:()V": (True, []), "g/Sun:shine": (False, keys_), "g/Sun:shine:(I)V": (False, keys_), "g/Sun:none:()V": (True, []), "g/Moon": (False, [])}
+
+
+def test_member_history(moving):
+    h = lambda q, ns="yarn": moving.history(q, ns)
+    spans = h("orchard/fruit/Apple:harvest")
+    assert rows(spans, "from", "to", "type", "present", "owner") == [("2.0", "2.0", "method", True, "orchard/fruit/Apple"), ("2.1", "3.0", "method", True, "orchard/fruit/Apple")]
+    first = spans.first()["members"][0]
+    assert (first["yarn"], first["mojmap"], first["mojmap_descriptor"]) == ("pick", "pluck", "(Lorg/orchard/flora/Tree;)Lorg/orchard/flora/fruit/Pome;")
+    assert rows(h("orchard.fruit.Apple:weight:I"), "type", "present", "versions") == [("field", True, 2), ("field", False, 1)]
+    assert rows(h("orchard/fruit/Apple:none"), "type", "present", "versions") == [("unknown", False, 3)]
+    assert rows(h("no/Such:none"), "type", "owner", "versions") == [("unknown", None, 3)]
+    above = rows(h("org/orchard/flora/fruit/Pome:shade", "mojmap"), "from", "to", "type", "present", "reason", "declared_in")
+    assert above == [("2.0", "2.0", "method", False, "inherited", "org/orchard/flora/Tree"), ("2.1", "3.0", "method", False, None, None)]
+
+
+def test_diff_classes(engine):
+    names = ["orchard/fruit/Apple", "orchard/tool/Press"]
+    assert sorted(rows(engine.diff_classes("2.0", "2.1", names), "bucket", "kind", "truncated")) == [("added", "class", False), ("renamed", "method", False)]
+    cut = rows(engine.diff_classes("2.0", "2.1", names + ["orchard/misc/Twin"], limit=1), "bucket", "kind", "truncated")
+    assert sorted(cut) == [("added", "class", True), ("renamed", "method", True)]
+    assert sorted(rows(engine.diff_classes_summary("2.0", "2.1", names), "kind", "bucket", "n")) == [("class", "added", 1), ("method", "renamed", 1)]
+    with pytest.raises(QueryError):
+        engine.diff_classes("2.0", "2.1", ["x"] * 26)
+
+
+def test_search_includes_inherited_members(moving):
+    found = rows(moving.search("Pome#shade", "2.0", ns="mojmap"), "mojmap_name")
+    assert found == [("org/orchard/flora/Tree#shade",)]
+    assert moving.search("Cask#shade", "2.0", ns="mojmap").count() == 0
+
+
+def test_search_resources(moving):
+    assert rows(moving.search_resources("ripe"), "path", "blob") == [("fruit.csv", "h1"), ("fruit.csv", "h2")]  # 2.2 / 1.975 against 4.4 / 3.9875 times the same
+    assert rows(moving.search_resources("ripe", ord_=0), "blob") == [("h1",)]
+    assert rows(moving.search_resources("ripe", "translation"), "key", "value") == [("fruit.apple", "Ripe Apple")]
+    assert moving.search_resources("ripe", "translation", ord_=2).count() == 0
+    with pytest.raises(QueryError):
+        moving.search_resources("--")
+
+
+def test_gates(engine):
+    assert engine.first_unavailable("2.0", ["yarn", "mojmap", "obf"]) is None
+    assert rows(engine.candidates("2.1", "x/Twin", "yarn"), "name") == [("orchard/misc/Twin",)] * 2
+    assert rows(engine.unknown_versions(["2.0", "9"]), "version_id") == [("9",)]
+    assert rows(engine.without_references(["2.0", "3.0"], "mojmap"), "version_id") == [("2.0",)]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from verspan.functions.text import map_types, real_name
 from verspan.operators import correspondence as C
 from verspan.operators import diff as D
 from verspan.operators import graph as G
+from verspan.operators import references as R
 from verspan.operators import search as X
 from verspan.operators import spans as S
 
@@ -25,6 +27,10 @@ from verspan.operators import spans as S
 NAMESPACES = {"yarn": "yarn_name", "named": "yarn_name", "mojmap": "mojmap_name", "intermediary": "intermediary_name", "obf": "obf_name", "obfuscated": "obf_name", "official": "obf_name"}
 
 
+#: The most entries of one request, by what it asks.
+CAPS = {"queries": 25, "post queries": 50, "body": 2000, "versions": 60, "scanned versions": 25, "targets": 50, "classes": 25}
+
+
 class QueryError(ValueError):
     """A request that can't be answered: unknown version, namespace or parameter."""
 
@@ -33,6 +39,13 @@ class QueryError(ValueError):
         self.status = status
 
 
+def capped(values: list, what: str) -> list:
+    """The values, if they are no more than one request may ask for."""
+    if len(values) > CAPS[what]:
+        raise QueryError(f"at most {CAPS[what]} {what}")
+    return values
+
+
 def column_of(ns: str, fallback: str | None = None) -> str:
     if ns in NAMESPACES:
         return NAMESPACES[ns]
@@ -67,6 +80,8 @@ class Engine:
     source_text: DataFrame | None = None
     bodies: DataFrame | None = None
     instructions: DataFrame | None = None
+    contents: DataFrame | None = None
+    translations: DataFrame | None = None
 
     # versions
 
@@ -130,6 +145,27 @@ class Engine:
         self.version(version_id)
         return self._classes(version_id).select("obf_name", "intermediary_name", "yarn_name", "mojmap_name", "package_path", "simple_name", "presence").orderBy("yarn_name", "mojmap_name")
 
+    def unknown_versions(self, wanted: list[str]) -> DataFrame:
+        """The wanted versions that there are none of."""
+        return self.spark.createDataFrame([(v,) for v in wanted], "version_id string").join(self.versions.select("version_id"), "version_id", "left_anti")
+
+    def without_references(self, wanted: list[str], ns: str) -> DataFrame:
+        """The wanted versions whose references are not built for a namespace."""
+        built = self.refs.where((F.col("ns") == ns) & F.col("version_id").isin(wanted)).select("version_id")
+        return self.spark.createDataFrame([(v,) for v in wanted], "version_id string").join(built, "version_id", "left_anti")
+
+    def first_unavailable(self, version_id: str, namespaces: list[str]) -> str | None:
+        """The first namespace that a version has no names in; obfuscated names are always there."""
+        v = self.version(version_id)
+        has = {"yarn_name": v["has_yarn"], "mojmap_name": v["has_mojmap"], "intermediary_name": v["has_intermediary"], "obf_name": True}
+        return next((n for n in namespaces if not has[column_of(n)]), None)
+
+    def candidates(self, version_id: str, class_name: str, ns: str, limit: int = 10) -> DataFrame:
+        """(name): classes with the simple name of one that isn't there."""
+        name = column_of(ns)
+        hit = F.substring_index(F.substring_index(name, "/", -1), "$", -1) == re.split(r"[/$]", class_name)[-1]
+        return self._classes(version_id).where(hit).select(F.col(name).alias("name")).orderBy("name").limit(limit)
+
     # differences
 
     def identity(self, old: str, new: str) -> str | None:
@@ -194,6 +230,21 @@ class Engine:
         Keys are ``name#descriptor`` by the first naming there is; of duplicates the
         last stays. A class on one side only pairs with the one class of its identity.
         """
+        return D.cut_buckets(self._diff_class(old, new, class_name, ns), ["kind", "key"], limit).drop("pos")
+
+    def diff_classes(self, old: str, new: str, class_names: list[str], ns: str = "yarn", limit: int = 200) -> DataFrame:
+        """``diff_class`` of several classes: each is cut, then their buckets together; truncated, for all rows alike, if any cut took a row."""
+        one = [D.cut_buckets(self._diff_class(old, new, c, ns), ["kind", "key"], limit).withColumn("class_pos", F.lit(i)) for i, c in enumerate(capped(class_names, "classes"))]
+        both = reduce(DataFrame.unionByName, one)
+        cut = D.cut_buckets(both.drop("pos", "truncated"), ["class_pos", "kind", "key"], limit).drop("pos", "class_pos")
+        any_cut = both.groupBy("bucket").agg((F.bool_or("truncated") | (F.count("*") > limit)).alias("t")).agg(F.bool_or("t").alias("truncated"))
+        return cut.drop("truncated").join(F.broadcast(any_cut))
+
+    def diff_classes_summary(self, old: str, new: str, class_names: list[str], ns: str = "yarn") -> DataFrame:
+        """(kind, bucket, n) summed over the classes, before any cut."""
+        return D.summary(reduce(DataFrame.unionByName, [self._diff_class(old, new, c, ns) for c in capped(class_names, "classes")]))
+
+    def _diff_class(self, old: str, new: str, class_name: str, ns: str) -> DataFrame:
         name, key = column_of(ns, "yarn"), self.identity(old, new)
         sides = {v: self._classes(v).where(F.col(name) == class_name).limit(1).collect() for v in (old, new)}
         if key and key != name:
@@ -214,7 +265,7 @@ class Engine:
             bucket = "renamed" if all(x[0] for x in own) else "added" if own[1][0] else "removed"
             c = self.spark.createDataFrame([(bucket, str(own[0][0] or own[1][0]), "class", own[0][1], own[1][1])], "bucket string, key string, kind string, old_name string, new_name string")
             d = d.unionByName(c)
-        return D.cut_buckets(d, ["kind", "key"], limit).drop("pos")
+        return d
 
     def diff_patch(self, old: str, new: str, mapping: str, path: str | None = None, function: str | None = None, context: int = 3, ignore_space: bool = False) -> DataFrame:
         """(path, patch) of all changed files, or of one function of them."""
@@ -248,56 +299,174 @@ class Engine:
         return S.collapse(grid.join(h, ["query", "version_id"], "left"), ["query"], "rank", ["hash"], ends).orderBy("query", "from_v").drop("from_v", "to_v")
 
     def validate(self, ns: str, owner: str, method: str, descriptor: str | None, at: str | None, start: str, end: str) -> DataFrame:
-        """(version_id, status, at_count, moved_to) for an injection point over a range of versions."""
+        """(version_id, status, at_count, closest, moved_to, reason) for an injection point over a range of versions.
+
+        ok: declared (and, with ``at``, calling it); call_moved: declared without the call;
+        renamed: another descriptor, here or above; inherited: declared above; else missing.
+        One row a version; versions are few, so the moves of calls are looked up one by one.
+        """
         v = self.version_range(start, end).select("version_id", "rank")
         i = self.instructions.where((F.col("ns") == ns) & (F.col("owner") == owner))
-        wanted = F.col("method") == method
-        wanted = wanted & (F.col("descriptor") == descriptor) if descriptor else wanted
         hit = F.col("target").eqNullSafe(at) | F.coalesce(F.startswith("target", F.lit(f"{at}:")), F.lit(False)) if at else F.lit(False)
-        found = i.groupBy("version_id").agg(F.bool_or(wanted).alias("has"), F.bool_or(F.col("method") == method).alias("named"), F.count_if(wanted & hit).alias("hits"), F.collect_set(F.when(hit, F.col("method"))).alias("holders"))
+        asked = (F.col("method") == method) & ((F.col("descriptor") == descriptor) if descriptor else F.lit(True))
+        calls = i.where(hit).groupBy("version_id").agg(F.count_if(asked).alias("hits"), F.collect_set(F.struct("method", "descriptor")).alias("holders"))
+        d = self.decls.where(F.col("ns") == ns).join(F.broadcast(v.select("version_id")), "version_id", "left_semi")
         # supertypes of every version at once, nearest first; a node is a class of a version
         at_version = lambda c: F.concat_ws("\n", "version_id", c)
-        d = self.decls.where(F.col("ns") == ns).join(F.broadcast(v.select("version_id")), "version_id", "left_semi")
-        edges = d.select(at_version("owner").alias("child"), F.explode("supertypes").alias("s"), "version_id").select("child", at_version("s").alias("parent"))
-        up = G.closure(edges, d.where(F.col("owner") == owner).select(at_version("owner").alias("root")).distinct(), "child", "parent").where("depth > 0")
-        declared = d.select("version_id", "owner", F.explode("members").alias("m")).where((F.col("m.name") == method) & ((F.col("m.descriptor") == descriptor) if descriptor else F.lit(True)))
-        inherited = up.join(declared.select(at_version("owner").alias("node"), "version_id", "owner").distinct(), "node").groupBy("version_id").agg(F.min_by("owner", F.struct("depth", "owner")).alias("above"))
-        known = self.decls.where((F.col("ns") == ns) & (F.col("owner") == owner)).select("version_id", F.lit(True).alias("known")).distinct()
-        all_ = v.join(found, "version_id", "left").join(inherited, "version_id", "left").join(known, "version_id", "left")
-        has, hits = F.coalesce("has", F.lit(False)), F.coalesce("hits", F.lit(0))
-        status = F.when(F.col("known").isNull(), "missing").when(has & (F.lit(at is None) | (hits > 0)), "ok").when(has, "call_moved").when(F.coalesce("named", F.lit(False)), "renamed").when(F.col("above").isNotNull(), "inherited").otherwise("missing")
-        moved = F.when(status.isin("call_moved", "missing") & (F.size("holders") == 1), F.get("holders", F.lit(0)))
-        return all_.orderBy("rank").select("version_id", status.alias("status"), F.when((status == "ok") & F.lit(at is not None), hits).alias("at_count"), moved.alias("moved_to"), F.when(status == "inherited", F.col("above")).alias("closest"))
+        edges = d.select(at_version("owner").alias("child"), F.explode("supertypes").alias("s"), "version_id").where("s <> 'java/lang/Object'").select("child", at_version("s").alias("parent"))
+        up = G.closure(edges, d.where(F.col("owner") == owner).select(at_version("owner").alias("root")).distinct(), "child", "parent")
+        declared = d.select("version_id", "owner", F.posexplode("members").alias("p", "m")).where((F.col("m.name") == method) & F.startswith("m.descriptor", F.lit("(")))
+        exact = (F.col("m.descriptor") == descriptor) if descriptor else F.lit(True)
+        near = up.join(declared.select(at_version("owner").alias("node"), "version_id", F.concat_ws(":", "owner", "m.name", "m.descriptor").alias("key"), exact.alias("exact"), "p"), "node")
+        order = F.struct("depth", "node", "p")
+        best = lambda when: F.min_by("key", F.when(when, order))
+        here = F.col("depth") == 0
+        near = near.groupBy("version_id").agg(F.bool_or(here & F.col("exact")).alias("has"), best(here).alias("named"), best(~here & F.col("exact")).alias("above"), best(~here).alias("above_named"))
+        known = d.where(F.col("owner") == owner).select("version_id", F.lit(True).alias("known")).distinct()
+        all_ = v.join(calls, "version_id", "left").join(near, "version_id", "left").join(known, "version_id", "left")
+        hits = F.coalesce("hits", F.lit(0))
+        status = F.when(F.col("known").isNull(), "missing").when(F.col("has") & (F.lit(at is None) | (hits > 0)), "ok").when(F.col("has"), "call_moved").when(F.col("named").isNotNull(), "renamed").when(F.col("above").isNotNull(), "inherited").when(F.col("above_named").isNotNull(), "renamed").otherwise("missing")
+        closest = F.when(status == "inherited", F.col("above")).when(status == "renamed", F.coalesce("named", "above_named"))
+        moved = F.when((status == "call_moved") | (status == "missing") & F.col("known"), F.when(F.size("holders") == 1, F.concat(F.lit(f"{owner}#"), F.col("holders")[0]["method"])))
+        reason = F.when(F.col("known").isNull(), "unknown-owner").when(status == "missing", "unknown-target")
+        out = all_.select("version_id", "rank", status.alias("status"), F.when((status == "ok") & F.lit(at is not None), hits).alias("at_count"), closest.alias("closest"), moved.alias("moved_to"), reason.alias("reason"))
+        return self._moves_located(out, ns, owner, method, at).orderBy("rank").drop("rank")
+
+    def _moves_located(self, verdicts: DataFrame, ns: str, owner: str, method: str, at: str | None) -> DataFrame:
+        """Where a call left the class: the site that pairs with the hooked one since the last version that was ok."""
+        rows, last, built = [r.asDict() for r in verdicts.orderBy("rank").collect()], None, None
+        for r in rows:
+            if r["status"] == "ok":
+                last = r["version_id"]
+            if r["status"] != "call_moved" or r["moved_to"]:
+                continue
+            if built is None:
+                built = set() if self.refs is None else {x["version_id"] for x in self.refs.where(F.col("ns") == ns).select("version_id").distinct().collect()}
+            if last is None:
+                r["reason"] = "no-baseline"
+            elif at.count(":") == 1:
+                r["reason"] = "at-without-descriptor"
+            elif not {last, r["version_id"]} <= built:
+                r["reason"] = "no-named-jar"
+            else:
+                pair = self.diff_references(last, r["version_id"], at, ns).where((F.col("change") == "moved") & (F.col("site") == f"{owner}#{method}")).first()
+                r["moved_to"], r["reason"] = (pair["moved_to"], None) if pair else (None, "unpaired")
+        return self.spark.createDataFrame(rows, verdicts.schema)
+
+    def validate_spans(self, ns: str, owner: str, method: str, descriptor: str | None, at: str | None, start: str, end: str, collapse: str = "verdict") -> DataFrame:
+        """Runs of versions with an equal verdict, or an equal status; by status a run of several has no count."""
+        order = self.version_range(start, end).select("version_id", "rank")
+        v = self.validate(ns, owner, method, descriptor, at, start, end).join(order, "version_id").withColumn("q", F.lit(0))
+        rest = ["at_count", "closest", "moved_to", "reason"]
+        ends = [F.min_by("version_id", "rank").alias("from"), F.max_by("version_id", "rank").alias("to")]
+        if collapse == "verdict":
+            out = S.collapse(v, ["q"], "rank", ["status", *rest], ends)
+        else:
+            out = S.collapse(v, ["q"], "rank", ["status"], ends + [F.min_by(c, "rank").alias(c) for c in rest]).withColumn("at_count", F.when(F.col("versions") == 1, F.col("at_count")))
+        return out.orderBy("from_v").select("from", "to", "versions", "status", *rest)
 
     # history
 
     def history(self, query: str, ns: str = "mojmap", start: str | None = None, end: str | None = None, releases_only: bool = False, include_variants: bool = True) -> DataFrame:
-        """Spans of equal state of a class, followed over renames by its identity and by unique moves."""
+        """Spans of equal state of a class, followed over renames by its identity and by unique moves.
+
+        A member ``owner:name[:descriptor]`` has the spans of ``member_history``.
+        """
+        if query.partition(":")[2]:
+            return self.member_history(query, ns, start, end, releases_only, include_variants)
         name = column_of(ns, "mojmap")
-        owner = query if "/" in query else query.replace(".", "/")
-        ranked = self.ordered_versions().select("version_id", "rank", "has_intermediary")
-        c = self.classes.join(F.broadcast(ranked), "version_id")
-        rows = None
-        tries = [owner]
-        while "/" in tries[-1]:
-            head, _, tail = tries[-1].rpartition("/")
-            tries.append(f"{head}${tail}")
-        for q in tries:
-            by_name = c.where(F.col(name) == q)
-            if not by_name.isEmpty():
-                rows = self._anchored(c, by_name, name, q)
-                break
+        one = self._owner_rows(name, query.partition(":")[0])
         wanted = self.version_range(start, end, include_variants, releases_only).select("version_id", "rank")
         state = ["present", "intermediary_name", "yarn_name", "mojmap_name"]
-        if rows is None:
+        if one is None:
             line = wanted.select("version_id", "rank", F.lit(False).alias("present"), *[F.lit(None).cast("string").alias(s) for s in state[1:]])
         else:
-            one = C.first_wins(rows.withColumn("_n", -F.col("class_id")), ["version_id"], ["_n"])
             line = wanted.join(one.select("version_id", F.lit(True).alias("present"), "intermediary_name", real_name(F.col("yarn_name")).alias("yarn_name"), "mojmap_name"), "version_id", "left").withColumn("present", F.coalesce("present", F.lit(False)))
         line = line.withColumn("query", F.lit(query))
         ends = [F.min_by("version_id", "rank").alias("from"), F.max_by("version_id", "rank").alias("to")]
         return S.collapse(line, ["query"], "rank", state, ends).orderBy("from_v").drop("from_v", "to_v")
 
+    def member_history(self, query: str, ns: str = "mojmap", start: str | None = None, end: str | None = None, releases_only: bool = False, include_variants: bool = True) -> DataFrame:
+        """(query, type, present, owner, members, reason, declared_in, from, to, versions) of ``owner:name[:descriptor]``.
+
+        All overloads come together, a descriptor is not matched on; owner and member are
+        followed over renames, methods come before fields. A member that only a supertype
+        declares, found where the owner is newest, is not present and ``inherited``; one
+        that nothing declares is of type unknown.
+        """
+        name = column_of(ns, "mojmap")
+        owner, member = query.split(":")[:2]
+        own = self._owner_rows(name, owner)
+        wanted = self.version_range(start, end, include_variants, releases_only).select("version_id", "rank")
+        kind, rows = self._member_rows(own, member, name)
+        above = None
+        if own is not None and rows is None:
+            above = self._declaring(own, member, name, wanted)
+            kind, rows = self._member_rows(above, member, name)
+        line = wanted if own is None else wanted.join(own.select("version_id", F.col(name).alias("owner")), "version_id", "left")
+        if own is None:
+            line = line.withColumn("owner", F.lit(None).cast("string"))
+        if rows is None:
+            entries = "array<struct<intermediary:string,intermediary_descriptor:string,mojmap_descriptor:string,yarn:string,mojmap:string,signature:string>>"
+            line = line.withColumn("members", F.array().cast(entries)).withColumn("declared_in", F.lit(None).cast("string"))
+        else:
+            entry = F.struct(F.col("intermediary_name").alias("intermediary"), F.col("intermediary_desc").alias("intermediary_descriptor"), "mojmap_descriptor", real_name(F.col("yarn_name")).alias("yarn"), F.col("mojmap_name").alias("mojmap"), F.coalesce("stable_desc", "obf_desc").alias("signature"))
+            at = rows.groupBy("version_id").agg(F.sort_array(F.collect_list(entry)).alias("members"))
+            line = line.join(at, "version_id", "left").withColumn("members", F.coalesce("members", F.array()))
+            there = F.lit(None).cast("string").alias("declared_in") if above is None else F.col(name).alias("declared_in")
+            line = line.join((own if above is None else above).select("version_id", there), "version_id", "left")
+        some = F.size("members") > 0
+        line = line.withColumn("declared_in", F.when(some, F.col("declared_in"))).withColumn("present", some & F.lit(above is None)).withColumn("reason", F.when(some & F.lit(above is not None), "inherited"))
+        line = line.withColumn("query", F.lit(query)).withColumn("type", F.lit(kind))
+        ends = [F.min_by("version_id", "rank").alias("from"), F.max_by("version_id", "rank").alias("to")]
+        return S.collapse(line, ["query", "type"], "rank", ["present", "owner", "members", "reason", "declared_in"], ends).orderBy("from_v").drop("from_v", "to_v")
+
+    def _owner_rows(self, name: str, owner: str) -> DataFrame | None:
+        """One row of a class for each version that has it; inner classes may be spelt with slashes or dots."""
+        ranked = self.ordered_versions().select("version_id", "rank", "has_intermediary")
+        c = self.classes.join(F.broadcast(ranked), "version_id")
+        q = owner if "/" in owner else owner.replace(".", "/")
+        while True:
+            by_name = c.where(F.col(name) == q)
+            if not by_name.isEmpty():
+                return C.first_wins(self._anchored(c, by_name, name, q).withColumn("_n", -F.col("class_id")), ["version_id"], ["_n"])
+            if "/" not in q:
+                return None
+            head, _, tail = q.rpartition("/")
+            q = f"{head}${tail}"
+
+    def _member_rows(self, own: DataFrame | None, member: str, name: str) -> tuple[str, DataFrame | None]:
+        """(kind, rows) of a member in each version of its owner, by name or by the identity of its newest match."""
+        if own is None:
+            return "unknown", None
+        m = self.members.join(own.select("version_id", "class_id", "rank"), ["version_id", "class_id"])
+        for kind in ("method", "field"):
+            k = m.where(F.col("kind") == kind)
+            im = F.max_by("intermediary_name", F.when(F.col("intermediary_name").isNotNull(), F.col("rank")))
+            found = k.where(F.col(name) == member).agg(F.count("*").alias("n"), im.alias("im")).first()
+            if found["n"]:
+                same = F.col(name) == member
+                return kind, self._mojmap_descriptors(k.where(same if found["im"] is None else same | (F.col("intermediary_name") == found["im"])))
+        return "unknown", None
+
+    def _mojmap_descriptors(self, rows: DataFrame) -> DataFrame:
+        """Add ``mojmap_descriptor``; a class that has no such name keeps its own."""
+        types = rows.select("version_id", "member_id", F.explode(F.array_distinct(F.regexp_extract_all("obf_desc", F.lit("L([^;]+);"), 1))).alias("obf_name"))
+        named = types.join(self.classes.where("mojmap_name is not null").select("version_id", "obf_name", "mojmap_name"), ["version_id", "obf_name"]).groupBy("version_id", "member_id", "obf_name").agg(F.min("mojmap_name").alias("to"))
+        maps = named.groupBy("version_id", "member_id").agg(F.map_from_entries(F.collect_list(F.struct("obf_name", "to"))).alias("_names"))
+        names = F.coalesce("_names", F.create_map().cast("map<string,string>"))
+        return rows.join(maps, ["version_id", "member_id"], "left").withColumn("mojmap_descriptor", map_types(F.col("obf_desc"), names)).drop("_names")
+
+    def _declaring(self, own: DataFrame, member: str, name: str, wanted: DataFrame) -> DataFrame | None:
+        """Rows of the nearest supertype that declares a member, found at the newest wanted version of the class."""
+        newest = own.join(wanted.select("version_id"), "version_id", "left_semi").orderBy(F.desc("rank")).first()
+        if newest is None or self.decls is None:
+            return None
+        d = self.decls.where((F.col("version_id") == newest["version_id"]) & (F.col("ns") == ("yarn" if name == "yarn_name" else "mojmap")))
+        up = G.closure(d.select("owner", F.explode("supertypes").alias("parent")), self.spark.createDataFrame([(newest[name],)], "root string"), "owner", "parent").where("depth > 0")
+        hit = up.join(d.where(F.exists("members", lambda m: m["name"] == member)).select(F.col("owner").alias("node")), "node").orderBy("depth", "node").first()
+        return hit and self._owner_rows(name, hit["node"])
+
     def _anchored(self, c: DataFrame, by_name: DataFrame, name: str, q: str) -> DataFrame:
         a = by_name.agg(F.max_by("intermediary_name", F.when(F.col("intermediary_name").isNotNull(), F.col("rank"))).alias("im"), F.min("rank").alias("oldest")).first()
         im = a["im"] or self._neighbour(c, name, q, a["oldest"])
@@ -347,8 +516,7 @@ class Engine:
         keyed = e.withColumn("row", F.struct("kind_rank", "id")).withColumn("text", text)
         if split:
             owner, member = split
-            owners = self._elements(version_id).where("kind = 'class'").where(F.concat_ws(" ", *cols).ilike(f"%{owner}%")).select(F.col("id").alias("owner_id"))
-            keyed = keyed.join(owners, "owner_id", "left_semi")
+            keyed = keyed.join(self._owner_candidates(version_id, whole, owner, cols, text), "owner_id", "left_semi")
             words = [member]
         else:
             words = [query] if exact else query.replace("/", " ").split()
@@ -363,6 +531,24 @@ class Engine:
         kind_order = F.when(F.lit(bool(split)) & (F.col("kind_rank") == 0), 3).otherwise(F.col("kind_rank"))
         return X.page(found.withColumn("score", X.squash(F.col("score"))), [kind_order, F.desc("score"), "id"], limit, offset).select("kind", "id", "owner_id", "yarn_name", "mojmap_name", "intermediary_name", "obf_name", "score")
 
+    def _owner_candidates(self, version_id: str, whole: DataFrame, owner: str, cols: list[str], text: Column, most: int = 200) -> DataFrame:
+        """(owner_id) of the best classes for the owner's part of a query, with the supertypes that they inherit members of."""
+        c = whole.where("kind = 'class'").withColumn("text", text)
+        words = owner.replace("/", " ").split()
+        ranked = whole.withColumn("row", F.struct("kind_rank", "id")).withColumn("text", text)
+        hits = X.bm25(ranked, "row", "text", [(w, i == len(words) - 1) for i, w in enumerate(words)]) if words and all(re.search(r"[^\W_]", w) for w in words) else None
+        like = c.where(F.concat_ws("\n", *cols).ilike(f"%{owner}%")).select("id", F.lit(0.0).alias("score"))
+        best = like if hits is None else X.with_fallback(c.join(hits.where("row.kind_rank = 0").select(F.col("row.id").alias("id"), "score"), "id").select("id", "score"), like)
+        best = X.page(best, [F.desc("score"), "id"], most).select("id")
+        out = best
+        for ns in ("yarn", "mojmap") if self.decls is not None else ():
+            name = column_of(ns)
+            if name in cols:
+                d = self.decls.where((F.col("version_id") == version_id) & (F.col("ns") == ns)).select("owner", F.explode("supertypes").alias("parent"))
+                up = G.closure(d, c.join(best, "id", "left_semi").where(F.col(name).isNotNull()).select(F.col(name).alias("root")), "owner", "parent")
+                out = out.union(c.join(up.select(F.col("node").alias(name)).distinct(), name, "left_semi").select("id"))
+        return out.distinct().select(F.col("id").alias("owner_id"))
+
     # lookups
 
     def translate(self, version_id: str, keys: DataFrame, source: str, target: str) -> DataFrame:
@@ -426,6 +612,49 @@ class Engine:
         r = self.refs.where(F.col("version_id").isin(versions) & (F.col("ns") == ns))
         return r.join(F.broadcast(t), ["owner", "member"]).select("version_id", "target", "ref_owner", "ref_member", "ref_descriptor", "ref_kind", "ref_synthetic", "cnt").orderBy("version_id", "target", "ref_owner", "ref_member", "ref_synthetic", "ref_descriptor")
 
+    def normalise_target(self, version_id: str, ns: str, target: str) -> str:
+        """The key that references are held under: its owner, or the nearest supertype that declares the member."""
+        owner, _, member = target.partition(":")
+        if not member or self.decls is None:
+            return target
+        d = self.decls.where((F.col("version_id") == version_id) & (F.col("ns") == ns))
+        up = G.closure(d.select("owner", F.explode("supertypes").alias("parent")), self.spark.createDataFrame([(owner,)], "root string"), "owner", "parent")
+        has = F.exists("members", lambda m: F.concat_ws(":", m["name"], m["descriptor"]) == member)
+        hit = up.join(d.where(has).select(F.col("owner").alias("node")), "node").orderBy("depth", "node").first()
+        return f"{hit['node']}:{member}" if hit else target
+
+    def resolve_targets(self, version_id: str, ns: str, targets: list[str]) -> DataFrame:
+        """(target, resolved, candidates): whether a key can match, and the keys of the same name that it would match instead."""
+        t = self.spark.createDataFrame([(x, x.partition(":")[0], x.partition(":")[2]) for x in capped(targets, "targets")], "target string, owner string, wanted string")
+        r = self.refs.where((F.col("version_id") == version_id) & (F.col("ns") == ns)).select("owner", "member").distinct()
+        m = t.join(r, "owner", "left")
+        same = F.startswith("member", F.concat(F.substring_index("wanted", ":", 1), F.lit(":")))
+        m = m.groupBy("target", "owner", "wanted").agg(F.count("member").alias("n"), F.bool_or(F.col("member") == F.col("wanted")).alias("hit"), F.sort_array(F.collect_set(F.when(same, F.concat_ws(":", "owner", "member")))).alias("c"))
+        exact = (F.col("wanted") == "") | F.col("hit")
+        resolved = (F.col("n") > 0) & (exact | F.contains("wanted", F.lit(":")) & (F.size("c") == 0))
+        return m.select("target", resolved.alias("resolved"), F.when((F.col("n") > 0) & ~exact, F.col("c")).otherwise(F.array().cast("array<string>")).alias("candidates"))
+
+    def diff_references(self, old: str, new: str, query: str, ns: str) -> DataFrame:
+        """(change, site, targets, moved_to) of the calling sites ``owner#member`` of a class or member.
+
+        Moves pair a removed with an added site that reach the same targets; both stay
+        removed and added as well.
+        """
+        def sites(v: str) -> DataFrame:
+            owner, _, member = self.normalise_target(v, ns, query).partition(":")
+            r = self.refs.where((F.col("version_id") == v) & (F.col("ns") == ns) & (F.col("owner") == owner) & F.col("ref_member").isNotNull())
+            r = r.where(F.col("member") == member) if member else r.where("member <> ''")
+            return R.sites(r, ["ref_owner", "ref_member"], "member")
+
+        site = ["ref_owner", "ref_member"]
+        removed, added = R.site_diff(sites(old), sites(new), site)
+        name = lambda c="": F.concat_ws("#", f"{c}ref_owner", f"{c}ref_member")
+        pairs = R.pair_moves(removed, added, site, [["targets", "ref_member"], ["targets", "ref_owner"], ["targets"]])
+        none = F.lit(None).cast("string").alias("moved_to")
+        side = lambda d, c: d.select(F.lit(c).alias("change"), name().alias("site"), "targets", none)
+        moved = removed.join(pairs.select("old.*", "new"), site).select(F.lit("moved").alias("change"), name().alias("site"), "targets", name("new.").alias("moved_to"))
+        return side(added, "added").unionByName(side(removed, "removed")).unionByName(moved).orderBy("change", "site")
+
     def call_chains(self, version_id: str, ns: str, target: str, depth: int = 3, most: int = 200) -> DataFrame:
         """Chains of callers of ``owner:name:descriptor``, outermost first."""
         if not 1 <= depth <= 5:
@@ -442,6 +671,24 @@ class Engine:
     def resource_diff(self, old: int, new: int, prefix: str = "") -> DataFrame:
         return S.interval_diff(self.runs.where(F.col("path").startswith(prefix)), ["path"], "blob", old, new).orderBy("path")
 
+    def search_resources(self, query: str, kind: str = "content", ord_: int | None = None, limit: int = 50) -> DataFrame:
+        """The best contents (path, from_ord, to_ord, blob) or translations (path, from_ord, to_ord, key, value), every word as a phrase.
+
+        What isn't alive at ``ord_`` goes before the best are taken.
+        """
+        words = [(w, False) for w in query.split() if re.search(r"[^\W_]", w)]
+        if not words:
+            raise QueryError("nothing to search for")
+        if kind == "translation":
+            t = self.translations.withColumn("row", F.struct("path", "key", "from_ord"))
+            hits = X.bm25(t.withColumn("text", F.concat_ws(" ", "key", "value")), "row", "text", words)
+            alive = t if ord_ is None else S.at_point(t, ord_)
+            return X.page(alive.join(hits, "row"), [F.desc("score"), "row"], limit).select("path", "from_ord", "to_ord", "key", "value")
+        alive = self.runs if ord_ is None else S.at_point(self.runs, ord_)
+        hits = X.bm25(self.contents, "blob", "text", words).join(alive.select(F.col("blob").alias("row")), "row", "left_semi")
+        best = X.page(hits, [F.desc("score"), "row"], limit)
+        return alive.join(F.broadcast(best), alive["blob"] == best["row"]).orderBy(F.desc("score"), "blob", "path", "from_ord").limit(limit).select("path", "from_ord", "to_ord", "blob")
+
     def resource_history(self, path: str) -> DataFrame:
         return self.runs.where(F.col("path") == path).orderBy("from_ord")
 

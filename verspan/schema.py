@@ -12,3 +12,5 @@ RUNS = "path string, blob string, kind string, size bigint, from_ord int, to_ord
 SOURCE_TEXT = "version_id string, mapping_type string, relative_path string, text string"
 BODIES = "version_id string, ns string, owner string, member string, descriptor string, body string"
 INSTRUCTIONS = "version_id string, ns string, owner string, method string, descriptor string, target string"
+CONTENTS = "blob string, text string"
+TRANSLATIONS = "path string, key string, value string, from_ord int, to_ord int"
