@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verspan.llm import chat, decontaminate, html_extract, jaccard_join, langid, line_dedup, lm_score, packing, topk, warc
+from verspan.llm import alignment, chat, decontaminate, html_extract, jaccard_join, langid, line_dedup, lm_score, packing, topk, url_filter, warc, whitening
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_chat_format": chat.op9_chat_format,
     "op10_topk": topk.op10_topk,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_token_alignment": alignment.op12_token_alignment,
+    "op13_url_filter": url_filter.op13_url_filter,
 }
 ORACLES = {
     "op2_jaccard_join": jaccard_join.ORACLE,
@@ -22,4 +25,5 @@ ORACLES = {
     "op8_line_dedup": line_dedup.ORACLE,
     "op9_chat_format": chat.ORACLE,
     "op10_topk": topk.ORACLE,
+    "op13_url_filter": url_filter.ORACLE,
 }
