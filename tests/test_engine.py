@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from verspan import schema
 from verspan.engine import Engine, QueryError, split_owner_member
@@ -236,3 +237,61 @@ def test_gates(engine):
     assert rows(engine.candidates("2.1", "x/Twin", "yarn"), "name") == [("orchard/misc/Twin",)] * 2
     assert rows(engine.unknown_versions(["2.0", "9"]), "version_id") == [("9",)]
     assert rows(engine.without_references(["2.0", "3.0"], "mojmap"), "version_id") == [("2.0",)]
+
+
+def test_search_from_the_index(engine, spark, tmp_path):
+    """The index answers as the scan does; a version without one is scanned."""
+    from dataclasses import replace
+
+    asked = [dict(query="orchard", ns="yarn"), dict(query="Apple#har", ns="yarn"), dict(query="rchar", ns="yarn"), dict(query="rchar", ns="yarn", exact=True), dict(query="orchard fruit"), dict(query="pome", kind="class"), dict(query="orchard.ro", limit=2, offset=1), dict(query="--"), dict(query="nothing at all", exact=True)]
+    other = replace(engine)
+    assert other.build_search_index(f"file://{tmp_path}/index", ["2.0", "3.0"]) == ["2.0", "3.0"] and other.build_search_index(f"file://{tmp_path}/index") == ["2.1"]
+    other.build_search_index(f"file://{tmp_path}/index")
+    shown = lambda df: [(r["kind"], r["id"], round(r["score"], 9)) for r in df.collect()]
+    for q in asked:
+        for v in ("2.0", "2.1", "3.0"):
+            assert shown(other.search(version_id=v, **q)) == shown(engine.search(version_id=v, **q))
+
+
+def test_search_finds_letters_without_their_marks(engine, spark, tmp_path):
+    from dataclasses import replace
+
+    marked = replace(engine, classes=engine.classes.withColumn("yarn_name", F.replace("yarn_name", F.lit("Apple"), F.lit("Äpple"))))
+    marked.build_search_index(f"file://{tmp_path}/index")
+    assert rows(marked.search("apple", "3.0", kind="class", ns="yarn"), "yarn_name") == rows(marked.search("äpple", "3.0", kind="class", ns="yarn"), "yarn_name") == [("orchard/fruit/Äpple",)]
+
+
+def test_side_indexes(engine, spark, tmp_path):
+    """Everything that reads declarations and references gives the same from the side indexes, and of what isn't built by a scan."""
+    from dataclasses import replace
+
+    other = replace(engine)
+    built = other.build_side_indexes(f"file://{tmp_path}/side", [("3.0", "mojmap")])
+    assert built == {"decls": [("3.0", "mojmap")], "refs": [("3.0", "mojmap")]}
+    assert other.build_side_indexes(f"file://{tmp_path}/side", [("3.0", "mojmap")]) == {"decls": [], "refs": []}
+    empty = engine.decls.limit(0)
+    other.decls, other.refs = empty, engine.refs.limit(0)
+    ask = [
+        lambda e: e.exists("3.0", "mojmap", keys(spark, "g/Fruit:seed:J", "g/Apple:grow:()V", "g/Nope:x")),
+        lambda e: e.hierarchy("3.0", "mojmap", "g/Fruit"), lambda e: e.references(["3.0"], ["g/Fruit:grow:()V", "g/Fruit:seed:J"], "mojmap"), lambda e: e.call_chains("3.0", "mojmap", "g/Fruit:grow:()V"),
+        lambda e: e.resolve_targets("3.0", "mojmap", ["g/Fruit:grow:()V", "g/Fruit:none"]),
+    ]
+    for f in ask:
+        want = sorted(map(str, f(engine).collect()))
+        assert want and sorted(map(str, f(other).collect())) == want
+    assert other.exists("2.0", "mojmap", keys(spark, "g/Fruit:seed:J")).first()["exists"] is False  # not built, and the scanned table is empty
+
+
+def test_body_hash_by_intermediary_names(engine, spark):
+    """A class that is renamed between versions leaves the hash of what names it alone; a renamed member doesn't."""
+    from dataclasses import replace
+
+    call = "182 {%s} %s ({%s})V\n177"
+    bodies = [("2.1", "yarn", "o/Q", "run", "()V", call % ("orchard/place/Cellar", "stock", "orchard/fruit/Apple")), ("3.0", "yarn", "o/Q", "run", "()V", call % ("orchard/place/Vault", "stock", "orchard/fruit/Apple")),
+              ("2.1", "yarn", "o/Q", "go", "()V", call % ("orchard/place/Cellar", "stock", "java/lang/String")), ("3.0", "yarn", "o/Q", "go", "()V", call % ("orchard/place/Vault", "stack", "java/lang/String"))]
+    e = replace(engine, bodies=spark.createDataFrame(bodies, schema.BODIES))
+    spans = lambda n: rows(e.body_hash("yarn", ["o/Q:run", "o/Q:go"], "2.1", "3.0", n), "query", "versions")
+    assert sorted(spans("none")) == [("o/Q:go", 1), ("o/Q:go", 1), ("o/Q:run", 1), ("o/Q:run", 1)]
+    assert sorted(spans("intermediary")) == [("o/Q:go", 1), ("o/Q:go", 1), ("o/Q:run", 2)]
+    with pytest.raises(QueryError):
+        e.body_hash("yarn", ["o/Q:run"], "2.1", "3.0", "nothing")

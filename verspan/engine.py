@@ -15,17 +15,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verspan.functions.text import map_types, real_name
+from verspan import schema
+from verspan.functions.text import body_hash, map_types, real_name, rename_types, types_in
 from verspan.operators import correspondence as C
 from verspan.operators import diff as D
 from verspan.operators import graph as G
 from verspan.operators import references as R
 from verspan.operators import search as X
 from verspan.operators import spans as S
+from verspan.store.search_index import SearchIndex
+from verspan.store.side_index import SideIndex
 
 #: Namespaces and the columns that hold them, with their other spellings.
 NAMESPACES = {"yarn": "yarn_name", "named": "yarn_name", "mojmap": "mojmap_name", "intermediary": "intermediary_name", "obf": "obf_name", "obfuscated": "obf_name", "official": "obf_name"}
 
+#: The columns of names that are searched, beside the simple name.
+SEARCHED = ["yarn_name", "mojmap_name", "intermediary_name", "obf_name"]
 
 #: The most entries of one request, by what it asks.
 CAPS = {"queries": 25, "post queries": 50, "body": 2000, "versions": 60, "scanned versions": 25, "targets": 50, "classes": 25}
@@ -82,6 +87,37 @@ class Engine:
     instructions: DataFrame | None = None
     contents: DataFrame | None = None
     translations: DataFrame | None = None
+    index: SearchIndex | None = None
+    decl_index: SideIndex | None = None
+    ref_index: SideIndex | None = None
+
+    # side indexes
+
+    def build_side_indexes(self, path: str, pairs: list[tuple[str, str]], force: bool = False) -> dict[str, list[tuple[str, str]]]:
+        """Builds declarations and references of (version, namespace) pairs that are not built below ``path`` yet, and reads there from now on."""
+        out = {}
+        if self.decls is not None:
+            self.decl_index = SideIndex(self.spark, f"{path}/decls", schema.DECLS, "owner")
+            out["decls"] = self.decl_index.build(self.decls, pairs, force)
+        if self.refs is not None:
+            self.ref_index = SideIndex(self.spark, f"{path}/refs", schema.REFS, "owner")
+            out["refs"] = self.ref_index.build(self.refs, pairs, force)
+        return out
+
+    def _side(self, index: SideIndex | None, whole: DataFrame, versions: list[str], ns: str, owners: list[str] | None) -> DataFrame:
+        """Rows of versions, of some owners only if given: from the index where it has them, by a scan where not."""
+        found, rest = index.rows(versions, ns, owners) if index else (None, versions)
+        if not rest:
+            return found
+        scan = whole.where(F.col("version_id").isin(rest) & (F.col("ns") == ns))
+        scan = scan if owners is None else scan.where(F.col("owner").isin(owners))
+        return scan if found is None else found.unionByName(scan.select(*found.columns))
+
+    def _decls(self, version_id: str, ns: str, owners: list[str] | None = None) -> DataFrame:
+        return self._side(self.decl_index, self.decls, [version_id], ns, owners)
+
+    def _refs(self, versions: list[str], ns: str, owners: list[str] | None = None) -> DataFrame:
+        return self._side(self.ref_index, self.refs, versions, ns, owners)
 
     # versions
 
@@ -286,14 +322,23 @@ class Engine:
         t = self.source_text.where((F.col("mapping_type") == mapping) & (F.col("relative_path") == path)).join(F.broadcast(v), "version_id")
         return blame_lines(t, "relative_path", "rank", "text").join(v.select(F.col("rank").cast("long").alias("version"), F.col("base").alias("version_id")), "version").select("line_no", "line", "version_id").orderBy("line_no")
 
-    def body_hash(self, ns: str, queries: list[str], start: str | None = None, end: str | None = None, normalize: bool = False) -> DataFrame:
-        """Spans of equal body hashes of ``owner:name[:descriptor]``; without a descriptor all overloads count."""
-        from verspan.functions.text import body_hash, squeeze
+    def body_hash(self, ns: str, queries: list[str], start: str | None = None, end: str | None = None, normalize: str = "none") -> DataFrame:
+        """Spans of equal body hashes of ``owner:name[:descriptor]``; without a descriptor all overloads count.
 
-        q = self.spark.createDataFrame([(x, *(x.split(":", 2) + [None, None])[:3]) for x in queries], "query string, owner string, member string, d string")
+        normalize="intermediary": classes that a body names are hashed by their intermediary names, so that
+        a renamed or moved class changes no hash; the names of members stay.
+        """
+        if normalize not in ("none", "intermediary"):
+            raise QueryError(f"unknown normalisation {normalize!r}")
+        q = self.spark.createDataFrame([(x, *(x.split(":", 2) + [None, None])[:3]) for x in capped(queries, "post queries")], "query string, owner string, member string, d string")
         b = self.bodies.where(F.col("ns") == ns).join(F.broadcast(q), ["owner", "member"]).where("d is null or d = descriptor")
-        text = squeeze(F.col("body")) if normalize else F.col("body")
-        h = b.groupBy("query", "version_id").agg(body_hash(F.collect_list(F.struct("descriptor", text.alias("body")))).alias("hash"))
+        if normalize == "intermediary":
+            name = "yarn_name" if column_of(ns) == "yarn_name" else "mojmap_name"
+            used = b.select("version_id", F.explode(types_in(F.col("body"))).alias(name)).distinct()  # only what the bodies name
+            known = self.classes.join(used, ["version_id", name]).where("intermediary_name is not null").groupBy("version_id", name).agg(F.max_by("intermediary_name", "class_id").alias("to"))
+            maps = known.groupBy("version_id").agg(F.map_from_entries(F.collect_list(F.struct(name, "to"))).alias("names"))
+            b = b.join(maps, "version_id", "left").withColumn("body", F.when(F.col("names").isNull(), F.col("body")).otherwise(rename_types(F.col("body"), F.col("names"))))
+        h = b.groupBy("query", "version_id").agg(body_hash(F.collect_list(F.struct("descriptor", "body"))).alias("hash"))
         grid = self.version_range(start, end).select("version_id", "rank").join(F.broadcast(q.select("query")))
         ends = [F.min_by("version_id", "rank").alias("from"), F.max_by("version_id", "rank").alias("to")]
         return S.collapse(grid.join(h, ["query", "version_id"], "left"), ["query"], "rank", ["hash"], ends).orderBy("query", "from_v").drop("from_v", "to_v")
@@ -490,16 +535,44 @@ class Engine:
 
     # search
 
-    def _elements(self, version_id: str) -> DataFrame:
-        """Classes, methods and fields of a version with qualified names in all namespaces."""
-        names = ["yarn_name", "mojmap_name", "intermediary_name", "obf_name"]
-        c = self._classes(version_id)
-        one = c.select(F.lit(0).alias("kind_rank"), F.lit("class").alias("kind"), F.col("class_id").alias("id"), F.lit(None).cast("bigint").alias("owner_id"), "simple_name", *names)
-        own = c.select("class_id", *[F.col(n).alias(f"o_{n}") for n in names])
-        m = self._members(version_id).join(own, "class_id")
-        two = m.select(F.when(F.col("kind") == "method", 1).otherwise(2).alias("kind_rank"), "kind", F.col("member_id").alias("id"), F.col("class_id").alias("owner_id"), "simple_name", *[C.qualified(F.col(f"o_{n}"), F.col(n)).alias(n) for n in names])
+    def build_search_index(self, path: str, versions: list[str] | None = None, force: bool = False) -> list[str]:
+        """Indexes the names of the versions that have no index below ``path`` yet and searches there from now on; the versions built."""
+        self.index = SearchIndex(self.spark, path, [*SEARCHED, "simple_name"], "struct<kind_rank: int, id: bigint>")
+        wanted = versions or [r["version_id"] for r in self.versions.select("version_id").collect()]
+        rows = self._elements_of(wanted).select(F.col("version_id").alias("version"), F.struct("kind_rank", "id").alias("row"), *SEARCHED, "simple_name")
+        return self.index.build(rows, wanted, force)
+
+    def _elements_of(self, versions: list[str]) -> DataFrame:
+        """Classes, methods and fields of versions with qualified names in all namespaces."""
+        names = SEARCHED
+        c = self.classes.where(F.col("version_id").isin(versions))
+        one = c.select("version_id", F.lit(0).alias("kind_rank"), F.lit("class").alias("kind"), F.col("class_id").alias("id"), F.lit(None).cast("bigint").alias("owner_id"), "simple_name", *names)
+        own = c.select("version_id", "class_id", *[F.col(n).alias(f"o_{n}") for n in names])
+        m = self.members.where(F.col("version_id").isin(versions)).join(own, ["version_id", "class_id"])
+        two = m.select("version_id", F.when(F.col("kind") == "method", 1).otherwise(2).alias("kind_rank"), "kind", F.col("member_id").alias("id"), F.col("class_id").alias("owner_id"), "simple_name", *[C.qualified(F.col(f"o_{n}"), F.col(n)).alias(n) for n in names])
         return one.unionByName(two)
 
+    def _elements(self, version_id: str) -> DataFrame:
+        return self._elements_of([version_id]).drop("version_id")
+
+    def _ranked(self, version_id: str, whole: DataFrame, words: list[str], cols: list[str], prefix: bool = True) -> DataFrame | None:
+        """(row, score) of a version's elements that hold all words, from the index where the version has one; None if no word has a token."""
+        if not words or not all(re.search(r"[^\W_]", w) for w in words):
+            return None
+        phrases = [(w, prefix and i == len(words) - 1) for i, w in enumerate(words)]
+        if self._indexed(version_id):
+            return self.index.bm25(version_id, phrases, [*cols, "simple_name"]).select("row", "score")
+        return X.bm25(whole.withColumn("row", F.struct("kind_rank", "id")).withColumn("text", F.concat_ws(" ", *cols, "simple_name")), "row", "text", phrases)
+
+    def _indexed(self, version_id: str) -> bool:
+        return self.index is not None and version_id in self.index.versions()
+
+    def _or_else(self, version_id: str, primary: DataFrame, fallback: DataFrame) -> DataFrame:
+        """The fallback if nothing is found: by a look at the index, or within one plan that scans anyway."""
+        if self._indexed(version_id):
+            return fallback if primary.isEmpty() else primary
+        return X.with_fallback(primary, fallback)
+
     def search(self, query: str, version_id: str | None = None, kind: str = "all", ns: str = "all", limit: int = 20, offset: int = 0, exact: bool = False, include_synthetic: bool = False) -> DataFrame:
         """Ranked page of names: kind, then BM25; a substring search where no token matches."""
         version_id = version_id or self.latest_release()
@@ -507,44 +580,41 @@ class Engine:
         e = whole = self._elements(version_id)
         if kind != "all":
             e = e.where(F.col("kind") == kind)
-        cols = ["yarn_name", "mojmap_name", "intermediary_name", "obf_name"] if ns == "all" else [column_of(ns)]
+        cols = SEARCHED if ns == "all" else [column_of(ns)]
         if not include_synthetic:
             for n in cols:
                 e = e.where(D.not_synthetic(F.col(n)))
         split = None if exact else split_owner_member(query)
-        text = F.concat_ws(" ", *cols, "simple_name")
-        keyed = e.withColumn("row", F.struct("kind_rank", "id")).withColumn("text", text)
+        keyed = e.withColumn("row", F.struct("kind_rank", "id"))
         if split:
             owner, member = split
-            keyed = keyed.join(self._owner_candidates(version_id, whole, owner, cols, text), "owner_id", "left_semi")
+            keyed = keyed.join(self._owner_candidates(version_id, whole, owner, cols), "owner_id", "left_semi")
             words = [member]
         else:
             words = [query] if exact else query.replace("/", " ").split()
         # ranked over all of the version's names, whatever is asked to be seen of them
-        hits = X.bm25(whole.withColumn("row", F.struct("kind_rank", "id")).withColumn("text", text), "row", "text", [(w, not exact and i == len(words) - 1) for i, w in enumerate(words)]) if words and all(re.search(r"[^\W_]", w) for w in words) else None
+        hits = self._ranked(version_id, whole, words, cols, prefix=not exact)
         found = keyed.join(hits, "row") if hits is not None else None
         if not exact:
             like = keyed.where(F.concat_ws("\n", *cols).ilike(f"%{words[-1] if split else query}%")).withColumn("score", F.lit(0.0))
-            found = like if found is None else X.with_fallback(found.select(*like.columns), like)
+            found = like if found is None else self._or_else(version_id, found.select(*like.columns), like)
         elif found is None:
             found = keyed.limit(0).withColumn("score", F.lit(0.0))
         kind_order = F.when(F.lit(bool(split)) & (F.col("kind_rank") == 0), 3).otherwise(F.col("kind_rank"))
         return X.page(found.withColumn("score", X.squash(F.col("score"))), [kind_order, F.desc("score"), "id"], limit, offset).select("kind", "id", "owner_id", "yarn_name", "mojmap_name", "intermediary_name", "obf_name", "score")
 
-    def _owner_candidates(self, version_id: str, whole: DataFrame, owner: str, cols: list[str], text: Column, most: int = 200) -> DataFrame:
+    def _owner_candidates(self, version_id: str, whole: DataFrame, owner: str, cols: list[str], most: int = 200) -> DataFrame:
         """(owner_id) of the best classes for the owner's part of a query, with the supertypes that they inherit members of."""
-        c = whole.where("kind = 'class'").withColumn("text", text)
-        words = owner.replace("/", " ").split()
-        ranked = whole.withColumn("row", F.struct("kind_rank", "id")).withColumn("text", text)
-        hits = X.bm25(ranked, "row", "text", [(w, i == len(words) - 1) for i, w in enumerate(words)]) if words and all(re.search(r"[^\W_]", w) for w in words) else None
+        c = whole.where("kind = 'class'")
+        hits = self._ranked(version_id, whole, owner.replace("/", " ").split(), cols)
         like = c.where(F.concat_ws("\n", *cols).ilike(f"%{owner}%")).select("id", F.lit(0.0).alias("score"))
-        best = like if hits is None else X.with_fallback(c.join(hits.where("row.kind_rank = 0").select(F.col("row.id").alias("id"), "score"), "id").select("id", "score"), like)
+        best = like if hits is None else self._or_else(version_id, c.join(hits.where("row.kind_rank = 0").select(F.col("row.id").alias("id"), "score"), "id").select("id", "score"), like)
         best = X.page(best, [F.desc("score"), "id"], most).select("id")
         out = best
         for ns in ("yarn", "mojmap") if self.decls is not None else ():
             name = column_of(ns)
             if name in cols:
-                d = self.decls.where((F.col("version_id") == version_id) & (F.col("ns") == ns)).select("owner", F.explode("supertypes").alias("parent"))
+                d = self._decls(version_id, ns).select("owner", F.explode("supertypes").alias("parent"))
                 up = G.closure(d, c.join(best, "id", "left_semi").where(F.col(name).isNotNull()).select(F.col(name).alias("root")), "owner", "parent")
                 out = out.union(c.join(up.select(F.col("node").alias(name)).distinct(), name, "left_semi").select("id"))
         return out.distinct().select(F.col("id").alias("owner_id"))
@@ -579,7 +649,7 @@ class Engine:
 
     def exists(self, version_id: str, ns: str, keys: DataFrame) -> DataFrame:
         """(key, exists, reason, nearest): a miss gets the nearest declaration."""
-        d = self.decls.where((F.col("version_id") == version_id) & (F.col("ns") == ns))
+        d = self._decls(version_id, ns)
         flat = d.select("owner", F.explode("members").alias("m")).select("owner", "m.name", "m.descriptor")
         parts = F.split("key", ":", 3)
         k = keys.select(F.col(keys.columns[0]).alias("key")).distinct().select("key", F.get(parts, F.lit(0)).alias("owner"), F.get(parts, F.lit(1)).alias("name"), F.get(parts, F.lit(2)).alias("descriptor"))
@@ -597,7 +667,7 @@ class Engine:
 
     def hierarchy(self, version_id: str, ns: str, root: str) -> DataFrame:
         """Edges (parent, child) above and below a class; java/lang/Object is left out above."""
-        d = self.decls.where((F.col("version_id") == version_id) & (F.col("ns") == ns))
+        d = self._decls(version_id, ns)
         known = d.select(F.col("owner").alias("parent"))
         e = d.select(F.explode("supertypes").alias("parent"), F.col("owner").alias("child")).join(known, "parent", "left_semi")
         r = self.spark.createDataFrame([(root,)], "root string")
@@ -609,7 +679,7 @@ class Engine:
     def references(self, versions: list[str], targets: list[str], ns: str) -> DataFrame:
         """Referrers of each target in each version, ordered; no row for a target without any."""
         t = self.spark.createDataFrame([(x, *(x.split(":", 1) + [""])[:2]) for x in targets], "target string, owner string, member string")
-        r = self.refs.where(F.col("version_id").isin(versions) & (F.col("ns") == ns))
+        r = self._refs(versions, ns, list({x.partition(":")[0] for x in targets}))
         return r.join(F.broadcast(t), ["owner", "member"]).select("version_id", "target", "ref_owner", "ref_member", "ref_descriptor", "ref_kind", "ref_synthetic", "cnt").orderBy("version_id", "target", "ref_owner", "ref_member", "ref_synthetic", "ref_descriptor")
 
     def normalise_target(self, version_id: str, ns: str, target: str) -> str:
@@ -617,7 +687,7 @@ class Engine:
         owner, _, member = target.partition(":")
         if not member or self.decls is None:
             return target
-        d = self.decls.where((F.col("version_id") == version_id) & (F.col("ns") == ns))
+        d = self._decls(version_id, ns)
         up = G.closure(d.select("owner", F.explode("supertypes").alias("parent")), self.spark.createDataFrame([(owner,)], "root string"), "owner", "parent")
         has = F.exists("members", lambda m: F.concat_ws(":", m["name"], m["descriptor"]) == member)
         hit = up.join(d.where(has).select(F.col("owner").alias("node")), "node").orderBy("depth", "node").first()
@@ -626,7 +696,7 @@ class Engine:
     def resolve_targets(self, version_id: str, ns: str, targets: list[str]) -> DataFrame:
         """(target, resolved, candidates): whether a key can match, and the keys of the same name that it would match instead."""
         t = self.spark.createDataFrame([(x, x.partition(":")[0], x.partition(":")[2]) for x in capped(targets, "targets")], "target string, owner string, wanted string")
-        r = self.refs.where((F.col("version_id") == version_id) & (F.col("ns") == ns)).select("owner", "member").distinct()
+        r = self._refs([version_id], ns, list({x.partition(":")[0] for x in targets})).select("owner", "member").distinct()
         m = t.join(r, "owner", "left")
         same = F.startswith("member", F.concat(F.substring_index("wanted", ":", 1), F.lit(":")))
         m = m.groupBy("target", "owner", "wanted").agg(F.count("member").alias("n"), F.bool_or(F.col("member") == F.col("wanted")).alias("hit"), F.sort_array(F.collect_set(F.when(same, F.concat_ws(":", "owner", "member")))).alias("c"))
@@ -642,7 +712,7 @@ class Engine:
         """
         def sites(v: str) -> DataFrame:
             owner, _, member = self.normalise_target(v, ns, query).partition(":")
-            r = self.refs.where((F.col("version_id") == v) & (F.col("ns") == ns) & (F.col("owner") == owner) & F.col("ref_member").isNotNull())
+            r = self._refs([v], ns, [owner]).where("ref_member is not null")
             r = r.where(F.col("member") == member) if member else r.where("member <> ''")
             return R.sites(r, ["ref_owner", "ref_member"], "member")
 
@@ -659,7 +729,7 @@ class Engine:
         """Chains of callers of ``owner:name:descriptor``, outermost first."""
         if not 1 <= depth <= 5:
             raise QueryError("depth is 1 to 5")
-        r = self.refs.where((F.col("version_id") == version_id) & (F.col("ns") == ns) & F.col("ref_member").isNotNull())
+        r = self._refs([version_id], ns).where("ref_member is not null")
         e = r.select(F.concat_ws(":", "owner", "member").alias("callee"), F.concat_ws(":", "ref_owner", "ref_member", "ref_descriptor").alias("caller"))
         return G.call_chains(e, self.spark.createDataFrame([(target,)], "target string"), "callee", "caller", depth, most=most)
 

@@ -17,6 +17,18 @@ def map_types(descriptor: Column, names: Column) -> Column:
     return F.array_join(F.transform(parts, one), "")
 
 
+def types_in(body: Column) -> Column:
+    """The classes that a method body names, each once."""
+    return F.array_distinct(F.regexp_extract_all(body, F.lit(r"\{([^{}]*)\}"), 1))
+
+
+def rename_types(body: Column, names: Column) -> Column:
+    """A method body with its classes renamed by a map; others stay."""
+    parts = F.regexp_extract_all(body, F.lit(r"\{[^{}]*\}|[^{}]+"), 0)
+    inner = lambda p: F.substring(p, F.lit(2), F.length(p) - 2)
+    return F.array_join(F.transform(parts, lambda p: F.when(p.startswith("{"), F.concat(F.lit("{"), F.coalesce(F.try_element_at(names, inner(p)), inner(p)), F.lit("}"))).otherwise(p)), "")
+
+
 def simple_name(name: Column) -> Column:
     return F.substring_index(F.substring_index(name, "/", -1), "$", -1)
 

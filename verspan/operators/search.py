@@ -1,4 +1,4 @@
-"""Full-text search over postings: tokens, BM25, phrases, prefixes, fallback, paging."""
+"""Full-text search over rows: tokens, BM25, phrases, prefixes, fallback, paging; ``verspan.store.search_index`` keeps them."""
 
 from __future__ import annotations
 
@@ -15,11 +15,6 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
-def postings(rows: DataFrame, row_id: str, text: str) -> DataFrame:
-    """(row, pos, token) of each token."""
-    return rows.select(F.col(row_id).alias("row"), F.posexplode(tokens(F.col(text))).alias("pos", "token"))
-
-
 def row_stats(rows: DataFrame, row_id: str, text: str) -> DataFrame:
     return rows.select(F.col(row_id).alias("row"), F.size(tokens(F.coalesce(F.col(text), F.lit("")))).cast("long").alias("dl"))
 

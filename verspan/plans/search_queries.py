@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from verspan.operators import search as X
 from verspan.plans.bindings import table
 from verspan.plans.registry import query
+from verspan.shared import derived
+from verspan.store.search_index import SearchIndex
 
 _TOKENS = """
 WITH t AS (SELECT doc_id, source, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS ts FROM documents),
@@ -18,27 +20,44 @@ def _score(tf: str, df: str) -> str:
     return f"greatest(ln((n - {df} + 0.5) / ({df} + 0.5)), 1e-6) * {tf} * 2.2 / ({tf} + 1.2 * (0.25 + 0.75 * dl / avgdl))"
 
 
+def text_index(spark: SparkSession, sf_dir: str, force: bool = False) -> SearchIndex:
+    """The index of the documents, built where there is none yet."""
+    docs = table(spark, sf_dir, "documents").select(F.lit(CORPUS).alias("version"), F.col("doc_id").alias("row"), "text")
+    index = SearchIndex(spark, derived(spark, "text-index", f"{sf_dir}/documents.parquet"), ["text"])
+    index.build(docs, [CORPUS], force)
+    return index
+
+
+#: The documents are one corpus, so one version of the index.
+CORPUS = "documents"
+
+
+@query("SELECT 'documents' AS version, count(*) AS n, sum(len(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')))::BIGINT AS tokens FROM documents", model=False)
+def search_index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Builds the stored index anew and returns what its registry says: rows and tokens of each version."""
+    built = text_index(spark, sf_dir, force=True).versions()
+    return spark.createDataFrame([(v, b["n"], sum(b["lens"])) for v, b in built.items()], "version string, n long, tokens long")
+
+
 @query(_TOKENS + f""",
 h AS (SELECT doc_id, len(ts) AS dl, len([x FOR x IN ts IF x LIKE 'the%']) AS tf FROM t), d AS (SELECT count(*) AS df FROM h WHERE tf > 0)
 SELECT doc_id, round({_score('tf', 'df')}, 6) AS score FROM h, c, d WHERE tf > 0""", model=False)
 def search_bm25_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", [("the", True)]).select(F.col("row").alias("doc_id"), F.round("score", 6).alias("score"))
+    return text_index(spark, sf_dir).bm25(CORPUS, [("the", True)], exact=True).select(F.col("row").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(_TOKENS + f""",
 h AS (SELECT doc_id, len(ts) AS dl, len([i FOR i IN generate_series(1, len(ts) - 1) IF ts[i] = 'of' AND ts[i + 1] = 'the']) AS tf FROM t), d AS (SELECT count(*) AS df FROM h WHERE tf > 0)
 SELECT doc_id, tf::BIGINT AS tf, round({_score('tf', 'df')}, 6) AS score FROM h, c, d WHERE tf > 0""", model=False)
 def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    s = X.bm25(docs, "doc_id", "text", [("of the", False)])
-    return s.join(X.phrase_tf(docs, "doc_id", "text", "of the"), "row").select(F.col("row").alias("doc_id"), "tf", F.round("score", 6).alias("score"))
+    return text_index(spark, sf_dir).bm25(CORPUS, [("of the", False)], exact=True).select(F.col("row").alias("doc_id"), F.col("tf0").alias("tf"), F.round("score", 6).alias("score"))
 
 
 @query(_TOKENS + f""",
 h AS (SELECT doc_id, len(ts) AS dl, len([x FOR x IN ts IF x = 'with']) AS t1, len([x FOR x IN ts IF x LIKE 'er%']) AS t2 FROM t), d AS (SELECT count(*) FILTER (t1 > 0) AS d1, count(*) FILTER (t2 > 0) AS d2 FROM h)
 SELECT doc_id, round({_score('t1', 'd1')} + {_score('t2', 'd2')}, 6) AS score FROM h, c, d WHERE t1 > 0 AND t2 > 0""", model=False)
 def search_multi_term(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", [("with", False), ("er", True)]).select(F.col("row").alias("doc_id"), F.round("score", 6).alias("score"))
+    return text_index(spark, sf_dir).bm25(CORPUS, [("with", False), ("er", True)], exact=True).select(F.col("row").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query("SELECT p_partkey AS k, p_name AS name FROM part WHERE p_name ILIKE '%idge%' OR p_brand ILIKE '%idge%'", model=False)
@@ -57,7 +76,7 @@ def search_owner_member(spark: SparkSession, sf_dir: str) -> DataFrame:
     """owner#member: the best owners first, then members whose owner is among them."""
     docs = table(spark, sf_dir, "documents")
     owners = docs.where("source like 'src1%'").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(5)
-    hits = X.bm25(docs, "doc_id", "text", [("and", True)]).withColumnRenamed("row", "doc_id")
+    hits = text_index(spark, sf_dir).bm25(CORPUS, [("and", True)], exact=True).select("row", "score").withColumnRenamed("row", "doc_id")
     return hits.join(docs.select("doc_id", "source"), "doc_id").join(owners, "source", "left_semi").select("doc_id", "source", F.round("score", 6).alias("score"))
 
 
@@ -69,7 +88,7 @@ def search_version_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows alive at a version are kept before the top k is taken."""
     docs = table(spark, sf_dir, "documents")
     alive = docs.where("doc_id % 3 = 1").select(F.col("doc_id").alias("row"))
-    hits = X.bm25(docs, "doc_id", "text", [("the", True)]).join(alive, "row", "left_semi")
+    hits = text_index(spark, sf_dir).bm25(CORPUS, [("the", True)], exact=True).join(alive, "row", "left_semi")
     return X.page(hits, [F.round("score", 9).desc(), F.col("row")], 10).select(F.col("row").alias("doc_id"), F.round(X.squash(F.col("score")), 6).alias("score"))
 
 
@@ -97,7 +116,7 @@ def search_resource_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     runs = at_point(docs.select(F.col("doc_id").alias("row"), (F.col("doc_id") % 7).alias("from_ord"), (F.col("doc_id") % 7 + F.col("doc_id") % 3).alias("to_ord")), 4)
-    hits = X.bm25(docs, "doc_id", "text", [("is", False), ("on", False)]).join(runs, "row")
+    hits = text_index(spark, sf_dir).bm25(CORPUS, [("is", False), ("on", False)], exact=True).join(runs, "row")
     name = lambda c: F.concat(F.lit("v"), F.col(c).cast("string")).alias(c.replace("ord", "v"))
     return X.page(hits, [F.round("score", 9).desc(), F.col("row")], 15).select(F.col("row").alias("doc_id"), name("from_ord"), name("to_ord"), F.round("score", 6).alias("score"))
 

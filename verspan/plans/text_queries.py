@@ -110,7 +110,7 @@ def classfile_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_NATIONS + """, d AS (SELECT * FROM (VALUES ('rule', '(I)V'), ('lambda$rule$0', '()V')) x(member, descriptor))
-SELECT c AS owner, member, substr(sha256(concat_ws(chr(10), descriptor, '184 ' || t || ' rule (I)V', '186 run ()Ljava/lang/Runnable;', '177')), 1, 16) AS hash FROM n, d""", model=False)
+SELECT c AS owner, member, substr(sha256(concat_ws(chr(10), descriptor, '184 {' || t || '} rule (I)V', '186 run (){java/lang/Runnable} {java/lang/invoke/LambdaMetafactory} metafactory ()V {' || c || '} rule (I)V', '177')), 1, 16) AS hash FROM n, d""", model=False)
 def classfile_body_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hash of each method of class files over its instructions by name."""
     from verspan.functions.text import body_hash

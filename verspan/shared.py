@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -22,3 +23,16 @@ def ready(spark: SparkSession) -> None:
     """Lets DataFrames be checkpointed to the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def derived(spark: SparkSession, name: str, *sources: str) -> str:
+    """A place for what is derived from source files: another one if any of them is written anew."""
+    jvm, conf, told = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), hashlib.sha256()
+    for source in sources:
+        path = jvm.org.apache.hadoop.fs.Path(source)
+        files, each = [], path.getFileSystem(conf).listFiles(path, True)
+        while each.hasNext():
+            f = each.next()
+            files.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+        told.update("\n".join(sorted(files)).encode())
+    return f"{shared_dir(spark)}/{name}-{told.hexdigest()[:32]}"
