@@ -119,7 +119,11 @@ def test_exists(engine, spark):
 
 
 def test_graphs(engine):
-    assert sorted(rows(engine.hierarchy("3.0", "mojmap", "g/Fruit"), "parent", "child")) == [("g/Apple", "g/Granny"), ("g/Edible", "g/Fruit"), ("g/Fruit", "g/Apple"), ("g/Fruit", "g/Pear"), ("g/Plant", "g/Fruit")]
+    nodes, edges = engine.hierarchy("3.0", "mojmap", "g/Fruit")
+    assert rows(edges, "parent", "child") == [("g/Apple", "g/Granny"), ("g/Edible", "g/Fruit"), ("g/Fruit", "g/Apple"), ("g/Fruit", "g/Pear"), ("g/Plant", "g/Fruit")]
+    assert rows(nodes, "simple_name") == [("Apple",), ("Edible",), ("Fruit",), ("Granny",), ("Pear",), ("Plant",)]
+    with pytest.raises(QueryError):
+        engine.hierarchy("3.0", "mojmap", "g/Unknown")
     assert rows(engine.references(["3.0"], ["g/Fruit:grow:()V"], "mojmap"), "ref_owner", "cnt") == [("g/Farm", 3)]
     assert rows(engine.call_chains("3.0", "mojmap", "g/Fruit:grow:()V"), "chain") == [("g/Day:dawn:()V > g/Farm:water:()V",)]
 
@@ -273,7 +277,7 @@ def test_side_indexes(engine, spark, tmp_path):
     other.decls, other.refs = empty, engine.refs.limit(0)
     ask = [
         lambda e: e.exists("3.0", "mojmap", keys(spark, "g/Fruit:seed:J", "g/Apple:grow:()V", "g/Nope:x")),
-        lambda e: e.hierarchy("3.0", "mojmap", "g/Fruit"), lambda e: e.references(["3.0"], ["g/Fruit:grow:()V", "g/Fruit:seed:J"], "mojmap"), lambda e: e.call_chains("3.0", "mojmap", "g/Fruit:grow:()V"),
+        lambda e: e.hierarchy("3.0", "mojmap", "g/Fruit")[1], lambda e: e.references(["3.0"], ["g/Fruit:grow:()V", "g/Fruit:seed:J"], "mojmap"), lambda e: e.call_chains("3.0", "mojmap", "g/Fruit:grow:()V"),
         lambda e: e.resolve_targets("3.0", "mojmap", ["g/Fruit:grow:()V", "g/Fruit:none"]),
     ]
     for f in ask:
@@ -295,3 +299,37 @@ def test_body_hash_by_intermediary_names(engine, spark):
     assert sorted(spans("intermediary")) == [("o/Q:go", 1), ("o/Q:go", 1), ("o/Q:run", 2)]
     with pytest.raises(QueryError):
         e.body_hash("yarn", ["o/Q:run"], "2.1", "3.0", "nothing")
+
+
+def test_hierarchies_of_all_classes(engine, spark):
+    """Flags of nodes; the whole graph of every class at once equals that of each."""
+    from dataclasses import replace
+
+    access = {"h/A": 0x421, "h/I": 0x601, "h/B": 1, "h/C": 1, "h/D": 0x10, "java/lang/Object": 1}
+    supers = {"h/A": ["java/lang/Object"], "h/I": ["java/lang/Object"], "h/B": ["h/A", "h/I"], "h/C": ["h/B", "far/Lib"], "h/D": ["h/B", "h/I"], "java/lang/Object": []}
+    e = replace(engine, decls=spark.createDataFrame([("3.0", "mojmap", o, access[o], s, [], []) for o, s in supers.items()], schema.DECLS))
+    nodes, edges = e.hierarchy("3.0", "mojmap", "h/B")
+    assert [tuple(r) for r in nodes.collect()] == [("h/A", "A", False, True), ("h/B", "B", False, False), ("h/C", "C", False, False), ("h/D", "D", False, False), ("h/I", "I", True, True)]
+    assert rows(edges, "parent", "child") == [("h/A", "h/B"), ("h/B", "h/C"), ("h/B", "h/D"), ("h/I", "h/B")]
+    all_nodes, all_edges = e.hierarchies("3.0", "mojmap")
+    for root in supers:
+        one = e.hierarchies("3.0", "mojmap", [root])
+        for whole, own in zip((all_nodes, all_edges), one):
+            assert sorted(map(str, whole.where(F.col("root") == root).collect())) == sorted(map(str, own.collect()))
+    label = {r["owner"]: r for r in e.superclass_labels("mojmap").collect()}
+    below = lambda x, y: label[y]["first"] < label[x]["first"] <= label[y]["last"]
+    up = {x: s[0] if s and s[0] in supers else None for x, s in supers.items()}
+    for x in supers:
+        chain, at = set(), up[x]
+        while at:
+            chain.add(at)
+            at = up[at]
+        assert {y for y in supers if below(x, y)} == chain and label[x]["depth"] == len(chain)
+
+
+def test_tree_labels_of_a_deep_chain_and_a_cycle(spark):
+    from verspan.operators.graph import tree_labels
+
+    t = [("v", f"n{i}", f"n{i - 1}" if i else None) for i in range(100)] + [("v", "x", "y"), ("v", "y", "x"), ("v", "z", "x"), ("w", "n5", "n4")]
+    got = {(r["v"], r["k"]): (r["depth"], r["first"], r["last"]) for r in tree_labels(spark.createDataFrame(t, "v string, k string, p string"), ["v"], "k", "p").collect()}
+    assert got == {("v", f"n{i}"): (i, i + 1, 100) for i in range(100)} | {("w", "n5"): (0, 1, 1)}

@@ -120,3 +120,28 @@ def test_more_than_2000_edits(lines):
     assert [a[i] for t, i, _ in script if t != "+"] == a and [b[j] for t, _, j in script if t != "-"] == b
     held = L.blame([(1, "\n".join(a)), (2, "\n".join(b))])
     assert held == [(x, 1 if i % 3 else 2) for i, x in enumerate(b)]
+
+
+def test_blame_of_a_long_history_over_many_tasks(spark):
+    """One path holds nearly all versions; ranges of them are folded apart and composed."""
+    rng, text, rows = random.Random(12), [f"line {i}" for i in range(30)], []
+    for v in range(3000):
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(text) + 1)
+            text[at : at + rng.randrange(2)] = [rng.choice(["same", "other", f"new {v}"])] * rng.randrange(3)
+        rows.append(("hot", v, "\n".join(text) if v % 500 else None if v else "\n".join(text)))
+    rows += [("one", 7, "a\nb"), ("gone", 1, "x"), ("gone", 2, None), (None, 1, "p"), (None, 2, "p\nq"), ("late", None, "z\ny"), ("late", 3, "y")]
+    by_path = {}
+    for p, v, t in rows:
+        by_path.setdefault(p, []).append((v, t))
+    want = sorted((str(p), n + 1, x, v) for p, vs in by_path.items() for n, (x, v) in enumerate(L.blame(sorted(vs, key=lambda r: (r[0] is None, r[0] or 0)))))
+    df = spark.createDataFrame(rows, "p string, v long, t string").repartition(3)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = [(str(r["path"]), r["line_no"], r["line"], None if r["version"] is None else int(r["version"])) for r in L.blame_lines(df, "p", "v", "t").collect()]
+    finally:
+        for k, x in old.items():
+            spark.conf.set(k, x)
+    assert sorted(got, key=str) == sorted(want, key=str)

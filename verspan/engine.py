@@ -23,6 +23,7 @@ from verspan.operators import graph as G
 from verspan.operators import references as R
 from verspan.operators import search as X
 from verspan.operators import spans as S
+from verspan.shared import stored
 from verspan.store.search_index import SearchIndex
 from verspan.store.side_index import SideIndex
 
@@ -665,16 +666,36 @@ class Engine:
         best = C.first_wins(inherited.unionByName(other), ["key"], ["p", "o", "nearest"]).select("key", "reason", "nearest")
         return hit.join(best, "key", "left")
 
-    def hierarchy(self, version_id: str, ns: str, root: str) -> DataFrame:
-        """Edges (parent, child) above and below a class; java/lang/Object is left out above."""
+    def hierarchies(self, version_id: str, ns: str, roots: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+        """Nodes (root, name, simple_name, is_interface, is_abstract) and edges (root, parent, child) above and below each of the roots, all at once.
+
+        Without roots every class is one. Above, java/lang/Object and what the version doesn't declare are left
+        out; a root that it doesn't declare has no rows.
+        """
         d = self._decls(version_id, ns)
         known = d.select(F.col("owner").alias("parent"))
-        e = d.select(F.explode("supertypes").alias("parent"), F.col("owner").alias("child")).join(known, "parent", "left_semi")
-        r = self.spark.createDataFrame([(root,)], "root string")
-        up = G.closure(e.where("parent <> 'java/lang/Object'"), r, "child", "parent").select("node")
-        down = G.closure(e, r, "parent", "child").select("node")
-        inside = lambda nodes: e.join(nodes.withColumnRenamed("node", "parent"), "parent", "left_semi").join(nodes.withColumnRenamed("node", "child"), "child", "left_semi")
-        return inside(up).union(inside(down)).distinct().select("parent", "child")
+        e = stored(d.select(F.explode("supertypes").alias("parent"), F.col("owner").alias("child")).join(known, "parent", "left_semi").distinct(), "edges")
+        r = d.select(F.col("owner").alias("root")) if roots is None else d.where(F.col("owner").isin(roots)).select(F.col("owner").alias("root"))
+        up = G.closure(e.where("parent <> 'java/lang/Object'"), r, "child", "parent").select("root", "node")
+        down = G.closure(e, r, "parent", "child").select("root", "node")
+        above = up.join(e.where("parent <> 'java/lang/Object'"), F.col("node") == F.col("child")).select("root", "parent", "child")
+        below = down.join(e, F.col("node") == F.col("parent")).select("root", "parent", "child")
+        flag = lambda bit: (F.coalesce(F.col("access"), F.lit(0)).bitwiseAND(bit) != 0)
+        nodes = up.union(down).distinct().join(d.select(F.col("owner").alias("node"), "access"), "node")
+        nodes = nodes.select("root", F.col("node").alias("name"), F.substring_index("node", "/", -1).alias("simple_name"), flag(0x200).alias("is_interface"), flag(0x400).alias("is_abstract"))
+        return nodes, above.union(below).distinct()
+
+    def hierarchy(self, version_id: str, ns: str, root: str) -> tuple[DataFrame, DataFrame]:
+        """Nodes and edges above and below one class, which the version must declare."""
+        if self._decls(version_id, ns, [root]).isEmpty():
+            raise QueryError(f"unknown class {root!r}", 404)
+        nodes, edges = self.hierarchies(version_id, ns, [root])
+        return nodes.drop("root").orderBy("name"), edges.drop("root").orderBy("parent", "child")
+
+    def superclass_labels(self, ns: str) -> DataFrame:
+        """(version_id, owner, depth, first, last): classes under their superclasses, numbered so that a class's subclasses lie between its ends."""
+        d = self.decls.where(F.col("ns") == ns).select("version_id", "owner", F.get("supertypes", F.lit(0)).alias("parent"))
+        return G.tree_labels(d, ["version_id"], "owner", "parent")
 
     def references(self, versions: list[str], targets: list[str], ns: str) -> DataFrame:
         """Referrers of each target in each version, ordered; no row for a target without any."""
@@ -710,16 +731,17 @@ class Engine:
         Moves pair a removed with an added site that reach the same targets; both stay
         removed and added as well.
         """
-        def sites(v: str) -> DataFrame:
+        def edges(v: str, side: str) -> DataFrame:
             owner, _, member = self.normalise_target(v, ns, query).partition(":")
             r = self._refs([v], ns, [owner]).where("ref_member is not null")
             r = r.where(F.col("member") == member) if member else r.where("member <> ''")
-            return R.sites(r, ["ref_owner", "ref_member"], "member")
+            return r.select("ref_owner", "ref_member", "member", F.lit(side).alias("side"))
 
         site = ["ref_owner", "ref_member"]
-        removed, added = R.site_diff(sites(old), sites(new), site)
+        changed = stored(R.one_sided(edges(old, "old").unionByName(edges(new, "new")), site, "member"), "sites")
+        removed, added = (changed.where(F.col("side") == x) for x in ("old", "new"))
         name = lambda c="": F.concat_ws("#", f"{c}ref_owner", f"{c}ref_member")
-        pairs = R.pair_moves(removed, added, site, [["targets", "ref_member"], ["targets", "ref_owner"], ["targets"]])
+        pairs = R.pair_moves(changed, site, [["targets", "ref_member"], ["targets", "ref_owner"], ["targets"]])
         none = F.lit(None).cast("string").alias("moved_to")
         side = lambda d, c: d.select(F.lit(c).alias("change"), name().alias("site"), "targets", none)
         moved = removed.join(pairs.select("old.*", "new"), site).select(F.lit("moved").alias("change"), name().alias("site"), "targets", name("new.").alias("moved_to"))

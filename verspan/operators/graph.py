@@ -6,10 +6,10 @@ is new is checkpointed to the shared folder, so that plans stay short at any dep
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verspan.shared import ready
+from verspan.shared import ready, stored
 
 
 #: Steps after which the parts of a closure are put together in one checkpoint.
@@ -49,8 +49,6 @@ def call_chains(refs: DataFrame, targets: DataFrame, callee: str, caller: str, d
     A path ends at the depth, at a frame without callers, or with the frame that
     closes a cycle. The first ``most`` paths of each target by text stay.
     """
-    from pyspark.sql import Window
-
     e = refs.select(F.col(callee).alias("at"), F.col(caller).alias("up")).where("at is not null and up is not null").distinct()
     live = targets.select(F.col(targets.columns[0]).alias("target"), F.col(targets.columns[0]).alias("at"), F.array().cast("array<string>").alias("path"), F.array(F.col(targets.columns[0])).alias("seen"))
     done = None
@@ -71,3 +69,26 @@ def nearest_declaring(entities: DataFrame, ancestors: DataFrame, declared: DataF
     hit = entities.select(F.col(entities.columns[0]).alias("root")).join(ancestors, "root").join(declared.select(F.col(owner).alias("node"), F.col(value).alias("value")), "node")
     best = F.min_by(F.struct(F.col("node").alias("declared_in"), "depth", "value"), F.struct("depth", "node"))
     return hit.groupBy("root").agg(best.alias("b")).select("root", "b.declared_in", "b.depth", "b.value")
+
+
+def tree_labels(nodes: DataFrame, by: list[str], node: str, parent: str) -> DataFrame:
+    """(by, node, depth, first, last) of forests: x lies below y if and only if y.first < x.first <= y.last.
+
+    nodes: one row for each node, its parent null or unknown at the top. Each node's path to the top
+    doubles with each round of joins, so the number of rounds is the logarithm of the depth; nodes are
+    then numbered by their paths, forest by forest. A node whose path runs into a cycle has no label.
+    """
+    own = nodes.select(*by, F.col(node).alias("node"), F.col(parent).alias("up")).dropDuplicates([*by, "node"])
+    known = own.select(*by, F.col("node").alias("up"), F.lit(True).alias("_known"))
+    # path: from below ``up`` to the node; what has no ``up`` left is at the top
+    state = stored(own.join(known, [*by, "up"], "left").select(*by, "node", F.when(F.col("_known"), F.col("up")).alias("up"), F.array("node").alias("path")), "paths")
+    open_ = state.where("up is not null").count()
+    while open_:
+        above = state.select(*by, F.col("node").alias("up"), F.col("up").alias("next"), F.col("path").alias("upper"))
+        state = stored(state.join(above, [*by, "up"], "left").select(*by, "node", F.when(F.col("up").isNotNull(), F.col("next")).alias("up"), F.when(F.col("up").isNull(), F.col("path")).otherwise(F.concat("upper", "path")).alias("path"))
+                       .where(F.size(F.array_distinct("path")) == F.size("path")), "paths")
+        open_ = state.where("up is not null").count()
+    size = state.select(*by, F.explode("path").alias("node")).groupBy(*by, "node").agg(F.count("*").alias("_size"))
+    first = F.row_number().over(Window.partitionBy(*by).orderBy("path"))
+    numbered = state.withColumn("first", first.cast("long")).join(size, [*by, "node"])
+    return numbered.select(*by, F.col("node").alias(node), (F.size("path") - 1).cast("long").alias("depth"), "first", (F.col("first") + F.col("_size") - 1).alias("last"))

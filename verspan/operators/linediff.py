@@ -10,12 +10,16 @@ from __future__ import annotations
 import math
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verspan.shared import stored
+
 #: Numbers of a trace, as the reference bounds it: its rounds are this by 2 (n + m) + 1.
 TRACE = 16_000_000
 
@@ -210,12 +214,74 @@ def slice_column(text: Column, name: str) -> Column:
     return run(text)
 
 
-def blame_lines(texts: DataFrame, path: str, version: str, text: str) -> DataFrame:
-    """(path, line_no, line, version) of each path's last text."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("version")
-        out = blame([(v, None if pd.isna(t) else t) for v, t in zip(pdf["version"], pdf["text"])])
-        return pd.DataFrame({"path": pdf["path"].iloc[0], "line_no": range(1, len(out) + 1), "line": [x for x, _ in out], "version": [v for _, v in out]})
+_SEGMENT = "path string, first long, text string, last string, origin array<int>, version array<long>"
+_ENTERED = "path string, place int, last string, origin array<int>, version array<long>"
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Folds the sorted versions of each path that a task has: first and last text, and for each last line the first text's line that it is, or the version that brought it."""
+    names = [f.split()[0] for f in _SEGMENT.split(", ")]
+    held: dict | None = None
+
+    def out(h: dict) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+        row = (h["path"], h["first"], h["text"], h["last"], [i for i, _ in h["lines"]], [v for _, v in h["lines"]])
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names)
 
+    for b in batches:
+        for path, version, text in zip(*(b.column(c).to_pylist() for c in ("path", "version", "text"))):
+            new = split_lines(text)
+            if held is None or held["path"] != path:
+                if held is not None:
+                    yield out(held)
+                held = {"path": path, "first": version, "text": text, "lines": [(i, None) for i in range(len(new))]}
+            else:
+                held["lines"] = [(-1, version) if t == "+" else held["lines"][i] for t, i, _ in edits(held["split"], new) if t != "-"]
+            held["last"], held["split"] = text, new
+    if held is not None:
+        yield out(held)
+
+
+def _entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Origins in the segment's first text become origins in the last text of the segment before; its new lines get the segment's first version."""
+    names = [f.split()[0] for f in _ENTERED.split(", ")]
+    for b in batches:
+        origins, versions = [], []
+        for before, text, first, origin, version in zip(*(b.column(c).to_pylist() for c in ("before", "text", "first", "origin", "version"))):
+            old = [None if t == "+" else i for t, i, _ in edits(split_lines(before), split_lines(text)) if t != "-"]
+            back = [old[i] if i >= 0 else None for i in origin]
+            origins.append([-1 if x is None else x for x in back])
+            versions.append([(first if i >= 0 else v) if x is None else None for i, x, v in zip(origin, back, version)])
+        yield pa.RecordBatch.from_arrays([b.column("path"), b.column("place"), b.column("last"), pa.array(origins, pa.list_(pa.int32())), pa.array(versions, pa.list_(pa.int64()))], names)
+
+
+def _followed(segments: pa.Table) -> pa.Table:
+    """The segments of a path in order, as numbers only: a line's version is its own, or that of the line it was before."""
+    rows = sorted(segments.to_pylist(), key=lambda r: r["place"])
+    held: list = []
+    for r in rows:
+        held = [held[i] if i >= 0 else v for i, v in zip(r["origin"], r["version"])]
+    lines = split_lines(rows[-1]["last"])
+    columns = [[rows[0]["path"]] * len(lines), range(1, len(lines) + 1), lines, held]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int64()))], ["path", "line_no", "line", "version"])
+
+
+def blame_lines(texts: DataFrame, path: str, version: str, text: str) -> DataFrame:
+    """(path, line_no, line, version) of each path's last text: the version that brought each line.
+
+    Rows are dealt out by ranges of path and version, so that a path with very many versions
+    is spread over tasks; a task folds its versions one after the other and holds two texts.
+    What a task found of a path is a map from the lines of its first text to those of its
+    last; maps of segments that follow each other are joined at their ends and composed,
+    at most one for each task, as arrays of numbers. Versions in order, a null one last;
+    a null text has no lines.
+    """
+    order = [F.col("path"), F.asc_nulls_last("version")]
     rows = texts.select(F.col(path).cast("string").alias("path"), F.col(version).cast("long").alias("version"), F.col(text).alias("text"))
-    return rows.groupBy("path").applyInPandas(run, "path string, line_no long, line string, version long")
+    segments = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").mapInArrow(_segments, _SEGMENT)
+    segments = stored(segments.withColumn("task", F.spark_partition_id()), "segments")
+    w = Window.partitionBy("path").orderBy(F.asc_nulls_last("first"), "task")
+    placed = segments.withColumn("place", F.row_number().over(w)).withColumn("before", F.lag("last").over(w)).withColumn("latest", F.lead("task").over(w).isNull())
+    # of all but the latest segment only numbers go on
+    entered = placed.select("path", "first", "before", "text", F.when(F.col("latest"), F.col("last")).alias("last"), "origin", "version", "place")
+    return entered.mapInArrow(_entered, _ENTERED).groupBy("path").applyInArrow(_followed, "path string, line_no long, line string, version long")

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verspan import schema
+from verspan.engine import Engine
 from verspan.operators import graph as G
 from verspan.operators import references as R
-from verspan.plans.bindings import hierarchy, lines_of, references, table
+from verspan.plans.bindings import hierarchy, lines_of, references, table, versions
 from verspan.plans.registry import query
+from verspan.shared import derived, stored
+from verspan.store.side_index import SideIndex
 
 
 @query("""
@@ -64,9 +68,8 @@ SELECT * FROM p1 UNION ALL SELECT * FROM q2 UNION ALL SELECT * FROM p3"""
 @query(_SITES)
 def references_diff_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = lines_of(spark, sf_dir).where("v in (1995, 1996)").select("v", "owner", F.col("l_linenumber").cast("long").alias("method"), F.col("l_partkey").cast("string").alias("t"))
-    s = R.sites(li, ["v", "owner", "method"], "t")
-    removed, added = R.site_diff(s.where("v = 1995").drop("v"), s.where("v = 1996").drop("v"), ["owner", "method"])
-    pairs = R.pair_moves(removed, added, ["owner", "method"], [["targets", "method"], ["targets", "owner"], ["targets"]])
+    changed = R.one_sided(li.withColumn("side", F.when(F.col("v") == 1995, "old").otherwise("new")), ["owner", "method"], "t")
+    pairs = R.pair_moves(stored(changed, "sites"), ["owner", "method"], [["targets", "method"], ["targets", "owner"], ["targets"]])
     return pairs.select(F.col("old.owner").alias("old_owner"), F.col("old.method").alias("old_method"), F.col("new.owner").alias("new_owner"), F.col("new.method").alias("new_method"), "round")
 
 
@@ -109,3 +112,59 @@ def validate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("sup")).distinct().join(F.broadcast(all_v)).select(F.explode("vs").alias("v"), "part", "sup")
     verdict = F.when(F.col("at_count") > 0, "ok").when(F.col("others") == 1, "call_moved").when(F.col("others") > 1, "renamed").otherwise("missing")
     return k.join(e, ["v", "part", "sup"], "left").join(n, ["v", "part"], "left").select("v", "part", "sup", verdict.alias("verdict"), "at_count", F.when(F.col("at_count").isNull() & (F.col("others") == 1), F.col("moved")).alias("moved_to"))
+
+
+def _side_refs(spark: SparkSession, sf_dir: str) -> SideIndex:
+    """References of parts by year, a pair for each year; only years without an index are built."""
+    rows = R.multiplicity(lines_of(spark, sf_dir).select(F.col("v").cast("string").alias("version_id"), F.lit("part").alias("ns"), F.col("l_partkey").cast("string").alias("owner"), F.col("l_suppkey").alias("ref_owner")), ["version_id", "ns", "owner", "ref_owner"])
+    index = SideIndex(spark, derived(spark, "side-refs", f"{sf_dir}/lineitem.parquet", f"{sf_dir}/orders.parquet"), "version_id string, ns string, owner string, ref_owner bigint, cnt bigint", "owner")
+    index.build(rows, [(str(r["v"]), "part") for r in versions(spark, sf_dir).select("v").collect()])  # a row for each year
+    return index
+
+
+@query(" SELECT v::VARCHAR AS version_id, l_partkey::VARCHAR AS owner, l_suppkey AS ref_owner, count(*) AS cnt FROM lines GROUP BY ALL")
+def side_index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of the side index of references, every year's."""
+    return _side_refs(spark, sf_dir).store.read().select("version_id", "owner", "ref_owner", "cnt")
+
+
+@query(" SELECT v::VARCHAR AS version_id, l_partkey::VARCHAR AS owner, l_suppkey AS ref_owner, count(*) AS cnt FROM lines WHERE l_partkey IN (7, 11, 999999999) AND v IN (1995, 1997) GROUP BY ALL")
+def side_index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stated owners in stated versions, from their buckets; a year that isn't there is named as not built."""
+    found, rest = _side_refs(spark, sf_dir).rows(["1995", "1997", "1000"], "part", ["7", "11", "999999999"])
+    assert rest == ["1000"]
+    return found.select("version_id", "owner", "ref_owner", "cnt")
+
+
+@query(" SELECT v::VARCHAR AS version_id, count(*) AS n FROM (SELECT DISTINCT v, l_partkey, l_suppkey FROM lines) GROUP BY v")
+def counts_at_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each year as they were counted while its part was written; nothing is scanned for it."""
+    built = _side_refs(spark, sf_dir).store.built()
+    return spark.createDataFrame([(p.partition("|")[0], b["rows"]) for p, b in built.items()], "version_id string, n long")
+
+
+@query("""
+, n AS (SELECT DISTINCT child AS node, parent AS up FROM tree UNION SELECT DISTINCT parent, NULL FROM tree WHERE parent NOT IN (SELECT child FROM tree)),
+p AS (SELECT node, [node] AS path FROM n WHERE up IS NULL UNION ALL SELECT n.node, list_append(p.path, n.node) FROM p JOIN n ON n.up = p.node),
+f AS (SELECT node, path, row_number() OVER (ORDER BY path) AS first FROM p), c AS (SELECT unnest(path) AS node, count(*) AS size FROM p GROUP BY 1)
+SELECT node, len(path) - 1 AS depth, first, first + size - 1 AS last FROM f JOIN c USING (node)""", recursive=True)
+def hierarchy_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node's interval: what lies below a node is what its interval holds, without a walk."""
+    t = hierarchy(spark, sf_dir)
+    top = t.select("parent").distinct().join(t.select(F.col("child").alias("parent")), "parent", "left_anti").select(F.col("parent").alias("node"), F.lit(None).cast("string").alias("up"))
+    nodes = t.select(F.col("child").alias("node"), F.col("parent").alias("up")).union(top).withColumn("v", F.lit(0))
+    return G.tree_labels(nodes, ["v"], "node", "up").drop("v")
+
+
+@query("""
+, u AS (SELECT DISTINCT parent AS node FROM tree UNION SELECT child FROM tree), up AS (SELECT node AS root, node FROM u UNION SELECT up.root, t.parent FROM up JOIN tree t ON t.child = up.node),
+d AS (SELECT root AS node, node AS root FROM up)
+SELECT root, count(DISTINCT node)::BIGINT AS nodes, (count(DISTINCT node) - 1)::BIGINT AS edges FROM (SELECT root, node FROM up UNION SELECT root, node FROM d) GROUP BY root""", recursive=True)
+def hierarchy_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph above and below every class at once, by the engine over declarations: how many nodes and edges."""
+    t = hierarchy(spark, sf_dir)
+    owners = t.select(F.col("child").alias("owner"), F.array("parent").alias("supertypes")).union(t.select("parent").distinct().join(t.select(F.col("child").alias("parent")), "parent", "left_anti").select("parent", F.array().cast("array<string>")))
+    decls = owners.select(F.lit("1").alias("version_id"), F.lit("all").alias("ns"), "owner", F.lit(1).alias("access"), "supertypes", F.array().cast("array<string>").alias("subtypes"), F.array().cast("array<struct<name: string, descriptor: string>>").alias("members"))
+    none = spark.createDataFrame([], schema.VERSIONS)
+    nodes, edges = Engine(spark, none, spark.createDataFrame([], schema.CLASSES), spark.createDataFrame([], schema.MEMBERS), decls).hierarchies("1", "all")
+    return nodes.groupBy("root").agg(F.count("*").alias("nodes")).join(edges.groupBy("root").agg(F.count("*").alias("edges")), "root")

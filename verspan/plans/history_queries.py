@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from verspan.operators import correspondence as C
 from verspan.operators import spans as S
 from verspan.plans.bindings import classes, members, orders, table, versions
 from verspan.plans.registry import query
+from verspan.shared import shared_dir
+from verspan.store.runs import GrowingRuns, changes_of
 
 _ISLANDS = """
 grid AS (SELECT e.k, v.v FROM (SELECT DISTINCT k FROM classes) e, versions v),
@@ -172,3 +176,37 @@ def blame_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct values numbered by first occurrence; they are few after the aggregation."""
     f = orders(spark, sf_dir).groupBy(F.col("o_orderpriority").alias("name")).agg(F.min(F.struct("o_orderdate", "o_orderkey")).alias("first"))
     return f.select("name", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("idx"))
+
+
+@query("""
+WITH c AS (SELECT event_type AS branch, user_id::VARCHAR AS path, event_id AS ord, CASE WHEN value >= 20 THEN floor(value / 25)::BIGINT::VARCHAR END AS value FROM events),
+h AS (SELECT branch, max(ord) AS head FROM c GROUP BY branch),
+m AS (SELECT *, CASE WHEN lag(1) OVER w IS NULL OR value IS DISTINCT FROM lag(value) OVER w THEN 1 ELSE 0 END AS new FROM c WINDOW w AS (PARTITION BY branch, path ORDER BY ord)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY branch, path ORDER BY ord) AS island FROM m),
+r AS (SELECT branch, path, value, min(ord) AS from_ord FROM i GROUP BY branch, path, island, value),
+e AS (SELECT *, lead(from_ord) OVER (PARTITION BY branch, path ORDER BY from_ord) - 1 AS until FROM r)
+SELECT branch, path, value, from_ord, coalesce(until, head) AS to_ord FROM e JOIN h USING (branch) WHERE value IS NOT NULL""", model=False)
+def resource_runs_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs kept between batches: the events come in four, each opens, extends and closes what the ones before left; the rows are those of one pass.
+
+    A branch is a type of events, a path its user, a value a band of the event's value, low ones delete.
+    """
+    band = F.when(F.col("value") >= 20, F.floor(F.col("value") / 25).cast("bigint").cast("string"))
+    changes = table(spark, sf_dir, "events").select(F.col("event_type").alias("branch"), F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("ord"), band.alias("value"))
+    last = changes.agg(F.max("ord")).first()[0]
+    runs = GrowingRuns(spark, f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}")
+    for i in range(4 if last is not None else 0):
+        runs.update(changes.where((F.col("ord") > i * last // 4 - (i == 0)) & (F.col("ord") <= (i + 1) * last // 4)))
+    return runs.read()
+
+
+@query("""
+, s AS (SELECT v, k, name, 1 AS n FROM classes), all_v AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS ord FROM versions),
+b AS (SELECT k, c.v, name, ord, lag(ord) OVER w AS before, lag(name) OVER w AS old, lead(ord) OVER w AS later FROM classes c JOIN all_v USING (v) WINDOW w AS (PARTITION BY k ORDER BY ord)), l AS (SELECT max(ord) AS last FROM all_v)
+SELECT k::VARCHAR AS path, ord, name AS value FROM b WHERE before IS NULL OR before <> ord - 1 OR old IS DISTINCT FROM name
+UNION ALL SELECT k::VARCHAR, ord + 1, NULL FROM b, l WHERE ord < last AND (later IS NULL OR later <> ord + 1)""")
+def listing_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full listings of each version made into the changes between them: new and changed values, and what went."""
+    order = versions(spark, sf_dir).select("v", (F.dense_rank().over(Window.orderBy("v")) - 1).cast("long").alias("ord"))  # the versions are few
+    c = classes(spark, sf_dir).join(F.broadcast(order), "v").select(F.lit("all").alias("branch"), "ord", F.col("k").cast("string").alias("path"), F.col("name").alias("value"))
+    return changes_of(c, order.select(F.lit("all").alias("branch"), "ord")).select("path", "ord", "value")

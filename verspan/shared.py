@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,3 +37,10 @@ def derived(spark: SparkSession, name: str, *sources: str) -> str:
             files.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
         told.update("\n".join(sorted(files)).encode())
     return f"{shared_dir(spark)}/{name}-{told.hexdigest()[:32]}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read again: its work is done once and its lineage ends."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

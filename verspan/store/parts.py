@@ -32,20 +32,20 @@ class PartStore:
         fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         inner = [f for f in fields if f.name not in (part, *self.sub)]
         self.columns = [f.name for f in fields]
+        self._seen: tuple[list[str], dict[str, dict]] = [], {}
         self.schema = T.StructType([*inner, T.StructField("build", T.StringType()), *(fields[c] for c in (part, *self.sub))])
 
     # the registry
 
-    def _exists(self, path: str) -> bool:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
     def built(self) -> dict[str, dict]:
-        """Each part's last build and its counts."""
-        if not self._exists(f"{self.path}/registry"):
-            return {}
-        rows = self.spark.read.schema(REGISTRY).parquet(f"{self.path}/registry").orderBy("at", "build").collect()  # a row for each build of a part
-        return {r["part"]: {"build": r["build"], **json.loads(r["counts"])} for r in rows}
+        """Each part's last build and its counts; read again only if the registry has grown."""
+        conf, folder = self.spark.sparkContext._jsc.hadoopConfiguration(), self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/registry")
+        fs = folder.getFileSystem(conf)
+        files = sorted(f.getPath().getName() for f in fs.listStatus(folder)) if fs.exists(folder) else []
+        if files != self._seen[0]:
+            rows = self.spark.read.schema(REGISTRY).parquet(f"{self.path}/registry").orderBy("at", "build").collect() if files else []  # a row for each build of a part
+            self._seen = files, {r["part"]: {"build": r["build"], **json.loads(r["counts"])} for r in rows}
+        return self._seen[1]
 
     def missing(self, parts: Iterable[str], force: bool = False) -> list[str]:
         have = {} if force else self.built()

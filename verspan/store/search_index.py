@@ -57,7 +57,10 @@ def words_of(phrase: str) -> list[str]:
 
 
 def _pieces(text: Column) -> Column:
-    return F.regexp_extract_all(F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{Mn}+", ""), F.lit(r"[\p{L}\p{N}]+"), 0)
+    """(written, token) of each token: folding maps letters to letters, so that both spellings have the same tokens."""
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{Mn}+", "")
+    tokens = lambda t: F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}]+"), 0)
+    return F.arrays_zip(tokens(F.lower(plain)).alias("written"), tokens(F.lower(F.translate(plain, *accents()))).alias("token"))
 
 
 def _lead(token: Column) -> Column:
@@ -77,14 +80,17 @@ class SearchIndex:
         todo = self.store.missing(versions, force)
         if not todo:
             return []
-        pieces = rows.where(F.col("version").isin(todo)).select("version", "row", *[_pieces(F.col(c)).alias(f"_{i}") for i, c in enumerate(self.columns)])
+        rows = rows.where(F.col("version").isin(todo))
+        many = self.spark.sparkContext.defaultParallelism
+        if rows.rdd.getNumPartitions() < many:  # a few large files would be split by as few tasks
+            rows = rows.repartition(many)
+        pieces = rows.select("version", "row", *[_pieces(F.col(c)).alias(f"_{i}") for i, c in enumerate(self.columns)])
         pieces = pieces.withColumn("lens", F.array(*[F.size(f"_{i}") for i in range(len(self.columns))]))
-        entry = lambda i: F.transform(f"_{i}", lambda w, p: F.struct(w.alias("written"), F.lit(i).alias("col"), p.alias("pos")))
-        marker = F.array(F.struct(F.lit("").alias("written"), F.lit(-1).alias("col"), F.lit(-1).alias("pos")))
+        entry = lambda i: F.transform(f"_{i}", lambda w, p: F.struct(w["token"].alias("token"), w["written"].alias("written"), F.lit(i).alias("col"), p.alias("pos")))
+        marker = F.array(F.struct(F.lit("").alias("token"), F.lit("").alias("written"), F.lit(-1).alias("col"), F.lit(-1).alias("pos")))
         each = pieces.select("version", "row", "lens", F.explode(F.concat(marker, *[entry(i) for i in range(len(self.columns))])).alias("e")).select("version", "row", "lens", "e.*")
-        token = folded(F.col("written"))
-        lead = F.when(F.col("col") < 0, ROWS).otherwise(_lead(token))
-        out = each.select("version", lead.alias("lead"), token.alias("token"), F.lower("written").alias("written"), "row", "col", "pos", "lens")
+        lead = F.when(F.col("col") < 0, ROWS).otherwise(_lead(F.col("token")))
+        out = each.select("version", lead.alias("lead"), "token", "written", "row", "col", "pos", "lens")
         self.store.write(out, todo)
         self._count(todo)
         return todo
@@ -120,12 +126,13 @@ class SearchIndex:
         terms = [(i, j, w, prefix and j == len(ws) - 1) for i, (ws, prefix) in enumerate(split) for j, w in enumerate(ws)]
         found = self._found(version, [(w, p) for _, _, w, p in terms], exact).where(F.col("col").isin(cols))
         speaks = F.array_compact(F.array(*[F.when(_term(w, p, exact), F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))) for i, j, w, p in terms]))
-        each = found.repartition("row").select("row", "lens", "col", "pos", F.explode(speaks).alias("s"))
-        begins = each.groupBy("row", "col", F.col("s.i").alias("i"), (F.col("pos") - F.col("s.j")).alias("at")).agg(F.count("*").alias("said"), F.first("lens").alias("lens"))
-        sizes = F.array(*[F.lit(len(ws)) for ws, _ in split])
         dl = reduce(lambda x, y: x + y, [F.col("lens")[c] for c in cols]).cast("bigint")
+        each = found.select("row", dl.alias("dl"), "col", "pos", speaks.alias("s")).repartition("row").select("row", "dl", "col", "pos", F.explode("s").alias("s"))
+        begins = each.groupBy("row", "col", F.col("s.i").alias("i"), (F.col("pos") - F.col("s.j")).alias("at")).agg(F.count("*").alias("said"), F.max("dl").alias("dl"))
+        sizes = F.array(*[F.lit(len(ws)) for ws, _ in split])
         tf = [F.count_if(F.col("i") == i).alias(f"tf{i}") for i in range(len(split))]
-        return begins.where(F.col("said") == sizes[F.col("i")]).groupBy("row").agg(F.first(dl).alias("dl"), *tf)
+        hits = begins.where(F.col("said") == sizes[F.col("i")]).groupBy("row").agg(F.max("dl").alias("dl"), *tf)
+        return hits.where("dl > 0")  # all have; it keeps what counts them the same plan as what scores them, so that one exchange does for both
 
     def bm25(self, version: str, phrases: Sequence[tuple[str, bool]], columns: Sequence[str] | None = None, exact: bool = False) -> DataFrame:
         """(row, score, tf0, ...) of rows that hold all phrases; the corpus figures are the registry's."""
