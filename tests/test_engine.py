@@ -333,3 +333,19 @@ def test_tree_labels_of_a_deep_chain_and_a_cycle(spark):
     t = [("v", f"n{i}", f"n{i - 1}" if i else None) for i in range(100)] + [("v", "x", "y"), ("v", "y", "x"), ("v", "z", "x"), ("w", "n5", "n4")]
     got = {(r["v"], r["k"]): (r["depth"], r["first"], r["last"]) for r in tree_labels(spark.createDataFrame(t, "v string, k string, p string"), ["v"], "k", "p").collect()}
     assert got == {("v", f"n{i}"): (i, i + 1, 100) for i in range(100)} | {("w", "n5"): (0, 1, 1)}
+
+
+def test_caps_and_names_of_versions(engine, spark):
+    from dataclasses import replace
+
+    many = spark.createDataFrame([(f"9.{i}", "release", None, None, "now", True, True, True, i, None, None, None, None) for i in range(70)], schema.VERSIONS)
+    wide = replace(engine, versions=many, resource_versions=spark.createDataFrame([(0, "m0", "First", "2.0", None, None), (1, "m1", "Second", None, None, None)], schema.RESOURCE_VERSIONS))
+    for ask in (lambda: wide.body_hash("mojmap", ["g/Farm:till"]), lambda: wide.validate("mojmap", "g/Farm", "water", None, None, "9.0", "9.69"), lambda: wide.references([f"9.{i}" for i in range(26)], ["a:b"], "mojmap"),
+                lambda: wide.references(["9.0"], [f"a:{i}" for i in range(2001)], "mojmap"), lambda: wide.body_hash("mojmap", [f"a:{i}" for i in range(51)], "9.0", "9.1"), lambda: wide.call_chains("3.0", "mojmap", "a:b", depth=6),
+                lambda: wide.exists("3.0", "mojmap", keys(spark, *[f"a:{i}" for i in range(2001)]))):
+        with pytest.raises(QueryError):
+            ask()
+    assert wide.body_hash("mojmap", ["g/Farm:till"], "9.0", "9.59").count() == 1
+    assert [wide.ord_of(x) for x in ("m0", "Second", "2.0")] == [0, 1, 0]
+    with pytest.raises(QueryError):
+        wide.ord_of("Third")

@@ -54,3 +54,35 @@ def test_list_files(spark, tmp_path):
     (tmp_path / "d" / "a.tiny").write_text("x")
     (tmp_path / "b.txt").write_text("y")
     assert [r["path"].rpartition("/")[2] for r in L.list_files(spark, str(tmp_path), "*.tiny").collect()] == ["a.tiny"]
+
+
+def test_versions_ranked_and_variants(spark):
+    from verspan.functions.text import is_commit_id, is_stable, named_index
+    from verspan.sources.listing import ranked, universe, with_variants
+
+    v = spark.createDataFrame([("1.10", 0, None), ("1.9", 1, None), ("1.9_unobfuscated", None, None), ("odd_unobfuscated", 3, None), ("1.10-pre1", 4, None)], "version_id string, sort_index int, variant_of string")
+    got = {r["version_id"]: (r["sort_index"], r["moved"], r["variant_of"]) for r in with_variants(ranked(v)).collect()}
+    assert sorted(got, key=lambda k: got[k][0]) == ["1.9_unobfuscated", "1.9", "1.10-pre1", "1.10", "odd_unobfuscated"] and {x[0] for x in got.values()} == set(range(5))
+    assert got["1.9_unobfuscated"][2] == "1.9" and got["odd_unobfuscated"][2] is None and got["1.10-pre1"][0] < got["1.10"][0]
+    assert not any(r["moved"] for r in ranked(ranked(v).drop("moved")).collect())
+    ids = lambda *xs: spark.createDataFrame([(x,) for x in xs], "version_id string")
+    assert [r["version_id"] for r in universe([ids("1.10", "zzz"), ids("1.9", "1.10", "gone")], ids("1.9", "1.10", "zzz")).collect()] == ["1.9", "1.10", "zzz"]
+    stable = spark.createDataFrame([("1.9", None), ("1.9_unobfuscated", "release"), ("1.10", "snapshot"), ("25w01a", "release")], "v string, k string").select("v", is_stable(F.col("v"), F.col("k")).alias("s"))
+    assert dict(map(tuple, stable.collect())) == {"1.9": True, "1.9_unobfuscated": False, "1.10": False, "25w01a": True}
+    tokens = spark.createDataFrame([("a" * 40,), ("A" * 40,), ("0" * 64,), ("0" * 41,), ("main",)], "t string").select(is_commit_id(F.col("t")).alias("x"))
+    assert [r["x"] for r in tokens.collect()] == [True, False, True, False, False]
+    spaces = spark.createDataFrame([(["official", "yarn", "x"],), (["official", "named"],), (["official", "other", "last"],)], "n array<string>").select(named_index(F.col("n"), "yarn").alias("i"))
+    assert [r["i"] for r in spaces.collect()] == [1, 1, 2]
+
+
+def test_decorated_members(spark):
+    from verspan.operators.correspondence import decorated, official_as_mojmap
+    from verspan.sources.tiny import parse_tiny
+
+    text = "tiny\t2\t0\tofficial\tintermediary\nc\tg/Tree\tc_1\n\tm\t(Lg/Leaf;)Lg/Tree;\tgrow\tm_1\n\tf\tI\tage\tf_1\nc\tg/Leaf\tc_2\n"
+    mapping = parse_tiny(spark.createDataFrame([("a", text)], "path string, value string"))
+    scanned = spark.createDataFrame([("g/Tree", "grow", "(Lg/Leaf;)Lg/Tree;"), ("g/Tree", "age", "I"), ("g/Tree", "age", "J"), ("g/New", "age", "I")], "owner string, name string, descriptor string")
+    got = {(r["owner"], r["name"], r["descriptor"]): (r["intermediary_name"], r["intermediary_desc"]) for r in decorated(scanned, mapping).collect()}
+    assert got == {("g/Tree", "grow", "(Lg/Leaf;)Lg/Tree;"): ("m_1", "(Lc_2;)Lc_1;"), ("g/Tree", "age", "I"): ("f_1", "I"), ("g/Tree", "age", "J"): (None, None), ("g/New", "age", "I"): (None, None)}
+    rows = spark.createDataFrame([("a", None, "yarn_only")], "obf_name string, mojmap_name string, presence string")
+    assert tuple(official_as_mojmap(rows).first()) == ("a", "a", "both")

@@ -34,7 +34,7 @@ NAMESPACES = {"yarn": "yarn_name", "named": "yarn_name", "mojmap": "mojmap_name"
 SEARCHED = ["yarn_name", "mojmap_name", "intermediary_name", "obf_name"]
 
 #: The most entries of one request, by what it asks.
-CAPS = {"queries": 25, "post queries": 50, "body": 2000, "versions": 60, "scanned versions": 25, "targets": 50, "classes": 25}
+CAPS = {"queries": 25, "post queries": 50, "body": 2000, "versions": 60, "scanned versions": 25, "targets": 50, "classes": 25, "depth": 5}
 
 
 class QueryError(ValueError):
@@ -52,6 +52,13 @@ def capped(values: list, what: str) -> list:
     return values
 
 
+def capped_rows(keys: DataFrame, what: str = "body") -> DataFrame:
+    """The keys of a request's body, if they are no more than it may hold."""
+    if keys.limit(CAPS[what] + 1).count() > CAPS[what]:
+        raise QueryError(f"at most {CAPS[what]} keys")
+    return keys
+
+
 def column_of(ns: str, fallback: str | None = None) -> str:
     if ns in NAMESPACES:
         return NAMESPACES[ns]
@@ -91,6 +98,7 @@ class Engine:
     index: SearchIndex | None = None
     decl_index: SideIndex | None = None
     ref_index: SideIndex | None = None
+    resource_versions: DataFrame | None = None
 
     # side indexes
 
@@ -165,6 +173,14 @@ class Engine:
             v = v.where(F.col("rank") <= hi)
         return self._filtered(v, include_variants, releases_only)
 
+    def _some_versions(self, start: str | None, end: str | None, releases_only: bool = False) -> DataFrame:
+        """A range that a request may read version by version: (version_id, rank)."""
+        v = self.version_range(start, end, releases_only=releases_only).select("version_id", "rank")
+        n = v.count()
+        if n > CAPS["versions"]:
+            raise QueryError(f"the range holds {n} versions, at most {CAPS['versions']} can be asked for")
+        return v
+
     def version(self, version_id: str):
         v = self.versions.where(F.col("version_id") == version_id).first()
         if v is None:
@@ -340,7 +356,7 @@ class Engine:
             maps = known.groupBy("version_id").agg(F.map_from_entries(F.collect_list(F.struct(name, "to"))).alias("names"))
             b = b.join(maps, "version_id", "left").withColumn("body", F.when(F.col("names").isNull(), F.col("body")).otherwise(rename_types(F.col("body"), F.col("names"))))
         h = b.groupBy("query", "version_id").agg(body_hash(F.collect_list(F.struct("descriptor", "body"))).alias("hash"))
-        grid = self.version_range(start, end).select("version_id", "rank").join(F.broadcast(q.select("query")))
+        grid = self._some_versions(start, end).join(F.broadcast(q.select("query")))
         ends = [F.min_by("version_id", "rank").alias("from"), F.max_by("version_id", "rank").alias("to")]
         return S.collapse(grid.join(h, ["query", "version_id"], "left"), ["query"], "rank", ["hash"], ends).orderBy("query", "from_v").drop("from_v", "to_v")
 
@@ -351,7 +367,7 @@ class Engine:
         renamed: another descriptor, here or above; inherited: declared above; else missing.
         One row a version; versions are few, so the moves of calls are looked up one by one.
         """
-        v = self.version_range(start, end).select("version_id", "rank")
+        v = self._some_versions(start, end)
         i = self.instructions.where((F.col("ns") == ns) & (F.col("owner") == owner))
         hit = F.col("target").eqNullSafe(at) | F.coalesce(F.startswith("target", F.lit(f"{at}:")), F.lit(False)) if at else F.lit(False)
         asked = (F.col("method") == method) & ((F.col("descriptor") == descriptor) if descriptor else F.lit(True))
@@ -630,7 +646,7 @@ class Engine:
         pairs = lambda x, y: C.unique_or_null(c.where(F.col(x).isNotNull() & F.col(y).isNotNull()), [x], y, "to").where("to is not null").agg(F.map_from_entries(F.collect_list(F.struct(F.col(x), F.col("to")))).alias("m"))
         maps = pairs(a, "obf_name").withColumnRenamed("m", "fwd").join(pairs("obf_name", b).withColumnRenamed("m", "back"))
         parts = F.split("key", ":", 3)
-        k = keys.select(F.col(keys.columns[0]).alias("key")).distinct().select("key", F.get(parts, F.lit(0)).alias("owner"), F.get(parts, F.lit(1)).alias("name"), F.get(parts, F.lit(2)).alias("d")).join(F.broadcast(maps))
+        k = capped_rows(keys).select(F.col(keys.columns[0]).alias("key")).distinct().select("key", F.get(parts, F.lit(0)).alias("owner"), F.get(parts, F.lit(1)).alias("name"), F.get(parts, F.lit(2)).alias("d")).join(F.broadcast(maps))
         k = k.withColumn("od", map_types(F.col("d"), F.col("fwd")))
         owners = C.unique_or_null(c.where(F.col(a).isNotNull()).select(F.col(a).alias("owner"), F.struct("class_id", F.col(b).alias("to")).alias("x")), ["owner"], "x", "hit")
         k = k.join(owners, "owner", "left")
@@ -653,7 +669,7 @@ class Engine:
         d = self._decls(version_id, ns)
         flat = d.select("owner", F.explode("members").alias("m")).select("owner", "m.name", "m.descriptor")
         parts = F.split("key", ":", 3)
-        k = keys.select(F.col(keys.columns[0]).alias("key")).distinct().select("key", F.get(parts, F.lit(0)).alias("owner"), F.get(parts, F.lit(1)).alias("name"), F.get(parts, F.lit(2)).alias("descriptor"))
+        k = capped_rows(keys).select(F.col(keys.columns[0]).alias("key")).distinct().select("key", F.get(parts, F.lit(0)).alias("owner"), F.get(parts, F.lit(1)).alias("name"), F.get(parts, F.lit(2)).alias("descriptor"))
         k = k.join(d.select("owner", F.lit(True).alias("known")), "owner", "left")
         hit = k.join(flat.withColumn("hit", F.lit(True)), ["owner", "name", "descriptor"], "left").select("key", F.coalesce("hit", F.col("name").isNull() & F.col("known"), F.lit(False)).alias("exists"))
         miss = k.join(hit.where("not exists"), "key", "left_semi").where("name is not null and known")
@@ -699,7 +715,8 @@ class Engine:
 
     def references(self, versions: list[str], targets: list[str], ns: str) -> DataFrame:
         """Referrers of each target in each version, ordered; no row for a target without any."""
-        t = self.spark.createDataFrame([(x, *(x.split(":", 1) + [""])[:2]) for x in targets], "target string, owner string, member string")
+        t = self.spark.createDataFrame([(x, *(x.split(":", 1) + [""])[:2]) for x in capped(targets, "body")], "target string, owner string, member string")
+        capped([v for v in versions if self.ref_index is None or not self.ref_index.has(v, ns)], "scanned versions")
         r = self._refs(versions, ns, list({x.partition(":")[0] for x in targets}))
         return r.join(F.broadcast(t), ["owner", "member"]).select("version_id", "target", "ref_owner", "ref_member", "ref_descriptor", "ref_kind", "ref_synthetic", "cnt").orderBy("version_id", "target", "ref_owner", "ref_member", "ref_synthetic", "ref_descriptor")
 
@@ -749,14 +766,22 @@ class Engine:
 
     def call_chains(self, version_id: str, ns: str, target: str, depth: int = 3, most: int = 200) -> DataFrame:
         """Chains of callers of ``owner:name:descriptor``, outermost first."""
-        if not 1 <= depth <= 5:
-            raise QueryError("depth is 1 to 5")
+        if not 1 <= depth <= CAPS["depth"]:
+            raise QueryError(f"depth is 1 to {CAPS['depth']}")
         r = self._refs([version_id], ns).where("ref_member is not null")
         e = r.select(F.concat_ws(":", "owner", "member").alias("callee"), F.concat_ws(":", "ref_owner", "ref_member", "ref_descriptor").alias("caller"))
         return G.call_chains(e, self.spark.createDataFrame([(target,)], "target string"), "callee", "caller", depth, most=most)
 
     # resources
 
+    def ord_of(self, version: str) -> int:
+        """The ordinal of a version named by any of its three ids."""
+        v = self.resource_versions
+        hit = v.where((F.col("mcmeta_id") == version) | (F.col("name") == version) | (F.col("version_id") == version)).agg(F.min("ord")).first()[0]
+        if hit is None:
+            raise QueryError(f"unknown version {version!r}", 404)
+        return hit
+
     def resource_tree(self, ord_: int, prefix: str = "") -> DataFrame:
         return S.directory(S.at_point(self.runs, ord_), prefix).orderBy(F.desc("is_dir"), "name")
 
@@ -783,8 +808,3 @@ class Engine:
 
     def resource_history(self, path: str) -> DataFrame:
         return self.runs.where(F.col("path") == path).orderBy("from_ord")
-
-
-def preferred(*names: str) -> Column:
-    """The first name there is, in the order given."""
-    return F.coalesce(*names)

@@ -96,6 +96,31 @@ def release_type(version: Column) -> Column:
     return kind.when(version.rlike(r"^\d+\.\d+(\.\d+)?$"), "release").otherwise("snapshot")
 
 
+#: Fixed value: how a version is named that is built from another one's names.
+VARIANT = "_unobfuscated"
+
+
+def variant_base(version: Column) -> Column:
+    """The version that a variant is named after; null for others."""
+    return F.when(version.endswith(VARIANT), F.substring(version, F.lit(1), F.length(version) - len(VARIANT)))
+
+
+def is_stable(version: Column, kind: Column) -> Column:
+    """Releases that are no variants; without a known kind the id says it."""
+    return variant_base(version).isNull() & (F.coalesce(kind, release_type(version)) == "release")
+
+
+def is_commit_id(token: Column) -> Column:
+    """40 or 64 hexadecimal digits in lower case."""
+    return token.rlike("^[0-9a-f]{40}([0-9a-f]{24})?$")
+
+
+def named_index(namespaces: Column, *aliases: str) -> Column:
+    """Place of the named namespace: the first that is called ``named`` or by an alias, else the last; from 0."""
+    found = F.array_position(F.transform(namespaces, lambda n: n.isin("named", *aliases)), True)
+    return F.when(found > 0, found - 1).otherwise(F.size(namespaces) - 1)
+
+
 def content_type(path: Column) -> Column:
     kinds = {"json": "application/json", "mcmeta": "application/json", "png": "image/png", "ogg": "audio/ogg", "txt": "text/plain", "html": "text/html", "nbt": "application/octet-stream"}
     ext, out = F.lower(F.substring_index(path, ".", -1)), None

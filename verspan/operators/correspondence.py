@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verspan.functions.text import map_types
+
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     r = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -66,3 +68,26 @@ def first_found(lookups: list[DataFrame], keys: list[str]) -> DataFrame:
 
 def qualified(owner: Column, member: Column) -> Column:
     return F.when(owner.isNotNull() & member.isNotNull(), F.concat(owner, F.lit("#"), member))
+
+
+def decorated(scanned: DataFrame, mapping: DataFrame, namespace: str = "intermediary") -> DataFrame:
+    """Scanned members (owner, name, descriptor, ...) with ``intermediary_name`` and ``intermediary_desc``, null where the mapping has none.
+
+    mapping: rows of ``parse_tiny`` whose first namespace is what the scanned names are in. Of members
+    that share owner, name and descriptor the last by its names counts. Descriptors are renamed by the
+    mapping's classes, a map of one version's names.
+    """
+    to = F.coalesce(F.try_element_at("names", F.lit(namespace)), F.element_at(F.map_values("names"), -1))
+    own = F.element_at(F.map_values("names"), 1)
+    classes = mapping.where("kind = 'class'").where(to.isNotNull()).groupBy(own.alias("c")).agg(F.max(to).alias("t"))
+    maps = classes.agg(F.map_from_entries(F.collect_list(F.struct("c", "t"))).alias("_map"))
+    members = mapping.where("kind <> 'class'").groupBy("owner", own.alias("name"), "descriptor").agg(F.max(to).alias("intermediary_name"))
+    members = members.where("owner is not null and name is not null and descriptor is not null").withColumn("_hit", F.lit(True))
+    out = scanned.join(members, ["owner", "name", "descriptor"], "left").join(F.broadcast(maps))  # one row: the names of one version's classes
+    return out.withColumn("intermediary_desc", F.when(F.col("_hit"), map_types(F.col("descriptor"), F.col("_map")))).drop("_map", "_hit")
+
+
+def official_as_mojmap(rows: DataFrame) -> DataFrame:
+    """Rows of a version whose official names are the real ones: they are its mojmap names, and it is present on both sides."""
+    out = rows.withColumn("mojmap_name", F.col("obf_name"))
+    return out.withColumn("presence", F.lit("both")) if "presence" in rows.columns else out

@@ -6,9 +6,11 @@ Spark's binaryFile source without reading contents.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from verspan.functions.text import semver, variant_base
+
 
 def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
@@ -21,9 +23,10 @@ def file_name(path: Column) -> Column:
 
 def first_by_prefix(listing: DataFrame, prefixes: DataFrame) -> DataFrame:
     """(version_id, path): the first file by name that begins with the version's prefix; ``prefixes``: (version_id, prefix)."""
-    named = listing.withColumn("name", file_name(F.col("path")))
-    # joined on the name up to the version's dash, then rechecked by the whole prefix
-    hit = named.join(F.broadcast(prefixes), F.col("name").startswith(F.col("prefix")))
+    name = file_name(F.col("path"))
+    # all beginnings of a name, so that the join is one of equals
+    named = listing.select("path", name.alias("name"), F.explode(F.transform(F.sequence(F.lit(0), F.length(name)), lambda n: F.substring(name, F.lit(1), n))).alias("prefix"))
+    hit = named.join(prefixes, "prefix")
     return hit.groupBy("version_id").agg(F.min_by("path", "name").alias("path"))
 
 
@@ -55,11 +58,26 @@ def preferred(sources: list[DataFrame], spellings: dict[str, str] | None = None)
 
 
 def universe(listings: list[DataFrame], resolvable: DataFrame) -> DataFrame:
-    """Distinct version ids of all listings that can be resolved."""
+    """Distinct version ids of all listings that can be resolved, in the order of their semantic versions, unknown ones last."""
     out = listings[0].select("version_id")
     for x in listings[1:]:
         out = out.union(x.select("version_id"))
-    return out.distinct().join(resolvable.select("version_id").distinct(), "version_id", "left_semi")
+    return out.distinct().join(resolvable.select("version_id").distinct(), "version_id", "left_semi").orderBy(F.asc_nulls_last(semver(F.col("version_id"))), "version_id")
+
+
+def ranked(versions: DataFrame, rank: str = "sort_index") -> DataFrame:
+    """The versions with their rank rewritten, and ``moved``: whether it differs from the one that was stored.
+
+    A version that comes in the middle shifts all that follow, so all ranks are rewritten; the table is small.
+    """
+    now = F.row_number().over(Window.orderBy(F.asc_nulls_last(semver(F.col("version_id"))), "version_id")) - 1
+    return versions.withColumn("_now", now).withColumn("moved", ~F.col(rank).eqNullSafe(F.col("_now"))).withColumn(rank, F.col("_now")).drop("_now")
+
+
+def with_variants(versions: DataFrame) -> DataFrame:
+    """Adds ``variant_of``: the version that a variant was made of, if that one is there as well."""
+    known = versions.select(F.col("version_id").alias("_base"))
+    return versions.drop("variant_of").join(known, variant_base(F.col("version_id")) == F.col("_base"), "left").withColumnRenamed("_base", "variant_of")
 
 
 def resolve(versions: DataFrame, yarn: DataFrame, intermediary: DataFrame, mojmap: DataFrame) -> DataFrame:
