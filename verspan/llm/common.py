@@ -80,16 +80,36 @@ TEXT_ROWS = 2000
 _ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+#: How modules empty what they keep in a worker between tasks.
+CACHES: dict[str, Callable[[], object]] = {}
+
+
+def drop_caches(but: str) -> None:
+    """Empties what other modules' tasks have left in this worker: it lives on, and their next task may never come."""
+    for module, clear in CACHES.items():
+        if module != but:
+            clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def tidy(f: Callable) -> Callable:
-    """At a task's end the worker gives freed memory back, as it lives on for tasks of other kinds."""
+    """A worker lives on for tasks of other kinds: a task begins without their caches, and at its end freed memory is given back."""
+    module = f.__module__
+
     def run(batches):
+        drop_caches(module)
         try:
             yield from f(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-            if trim:
-                trim(0)
+            give_back()
     return run
 
 

@@ -29,7 +29,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,16 +37,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verspan.llm.common import map_texts, stored, table
+from verspan.llm.common import CACHES, map_texts, stored, table
 
 CAPACITY, END_ID = 2048, 0
 TOKENIZER = "byte_bpe_50k.json"
-#: Parts of a generation whose ids a worker keeps, and documents tokenised at once; only speed depends on them.
-PART_CACHE, AT_ONCE = 500_000, 400
+#: Parts of a generation whose ids a worker keeps, their characters and bytes of ids, and documents tokenised at once; only speed depends on them.
+PART_CACHE, PART_BYTES, AT_ONCE = 500_000, 48 << 20, 400
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
 
 _CUT = re.compile(r" (?=\S)")
 _state: dict = {}
+CACHES[__name__] = _state.clear
 
 
 def tokenizer_path() -> str:
@@ -67,7 +68,7 @@ def tokenizer(path: str):
         bytes_of = np.zeros(tok.get_vocab_size(), np.int64)
         for token, i in tok.get_vocab().items():
             bytes_of[i] = len(token)  # a token is written with one character for each byte
-        _state.update(path=path, tok=tok, bytes_of=bytes_of, added=re.compile("|".join(added)) if added else None, young={}, old={})
+        _state.update(path=path, tok=tok, bytes_of=bytes_of, added=re.compile("|".join(added)) if added else None, young={}, old={}, held=0)
     return _state["tok"]
 
 
@@ -88,9 +89,13 @@ def ids_of(docs: list[str | None], path: str) -> list[bytes]:
         whole = ids.tobytes()
         return [whole[a:b] for a, b in zip([0, *cuts], cuts)]
 
+    def keep(keys: Collection[str], ids: Collection[bytes]) -> None:
+        young.update(zip(keys, ids))
+        _state["held"] += sum(map(len, keys)) + sum(map(len, ids))
+
     def learned(keys: list[str], parts: list[str]) -> None:
         if parts:
-            young.update(zip(keys, asked_at_once(parts)))
+            keep(keys, asked_at_once(parts))
 
     # the first part has nothing before it; others are keyed without their blank, or by their line feed
     cut = [[""] if not t else [t] if "\0" in t or added and added.search(t) else t.replace("\n", " \n").split(" ") for t in docs]
@@ -106,7 +111,7 @@ def ids_of(docs: list[str | None], path: str) -> list[bytes]:
     if again:
         need = set().union(*tails).difference(young)
     known = need & old.keys()
-    young.update(zip(known, map(old.__getitem__, known)))
+    keep(known, [old[p] for p in known])
     need -= known
     lines, rough = [p for p in need if p[0] == "\n"], [p for p in need if p[0] == "\0"] if again else []
     plain = list(need.difference(lines, rough))
@@ -114,8 +119,8 @@ def ids_of(docs: list[str | None], path: str) -> list[bytes]:
     learned(lines, lines)
     learned(plain, [" " + p for p in plain])
     out = [h + b"".join(map(young.__getitem__, c)) for h, c in zip(asked([c[0] for c in cut]), tails)]
-    if len(young) > PART_CACHE:
-        _state.update(young={}, old=young)
+    if len(young) > PART_CACHE or _state["held"] > PART_BYTES:
+        _state.update(young={}, old=young, held=0)
     return out
 
 
