@@ -1,8 +1,7 @@
 """Differences between two versions of a keyed table.
 
-A null key never matches: its row is always added and always removed, which is what
-anti joins give. Renames join the two sides on the key; keys are shuffled once for
-each side, and small sides are broadcast by Spark on measured size.
+A null key never matches: its row is always added and always removed, which is what a
+full join gives. Keys are shuffled once for each side.
 """
 
 from __future__ import annotations
@@ -12,13 +11,15 @@ from pyspark.sql import functions as F
 
 
 def diff_by_key(old: DataFrame, new: DataFrame, keys: list[str], name: str, both_named: bool = False) -> DataFrame:
-    """(bucket, keys, old_name, new_name); ``both_named``: a rename needs a name on both sides."""
-    null = F.lit(None).cast(old.schema[name].dataType)
-    added = new.join(old.select(*keys).distinct(), keys, "left_anti").select(F.lit("added").alias("bucket"), *keys, null.alias("old_name"), F.col(name).alias("new_name"))
-    removed = old.join(new.select(*keys).distinct(), keys, "left_anti").select(F.lit("removed").alias("bucket"), *keys, F.col(name).alias("old_name"), null.alias("new_name"))
-    both = old.select(*keys, F.col(name).alias("old_name")).join(new.select(*keys, F.col(name).alias("new_name")), keys)
+    """(bucket, keys, old_name, new_name); ``both_named``: a rename needs a name on both sides.
+
+    One full join, for which each side is shuffled once; a null key meets nothing there either.
+    """
+    a = old.select(*keys, F.col(name).alias("old_name"), F.lit(True).alias("_old"))
+    b = new.select(*keys, F.col(name).alias("new_name"), F.lit(True).alias("_new"))
     differs = F.col("old_name") != F.col("new_name") if both_named else F.coalesce("old_name", F.lit("")) != F.coalesce("new_name", F.lit(""))
-    return added.unionByName(removed).unionByName(both.where(differs).select(F.lit("renamed").alias("bucket"), *keys, "old_name", "new_name"))
+    bucket = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(differs, "renamed")
+    return a.join(b, keys, "full").withColumn("bucket", bucket).where("bucket is not null").select("bucket", *keys, "old_name", "new_name")
 
 
 def keyed_records(rows: DataFrame, parts: list[str], order: list[str]) -> DataFrame:

@@ -15,25 +15,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").withColumn("v", F.year("o_orderdate").cast("long"))
+def orders(spark: SparkSession, sf_dir: str, years: tuple[int, int] | None = None) -> DataFrame:
+    """Orders with their version; years: the first and last one, as a range of dates that the scan can skip by."""
+    o = table(spark, sf_dir, "orders")
+    if years:
+        o = o.where((F.col("o_orderdate") >= F.lit(f"{years[0]}-01-01").cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit(f"{years[1] + 1}-01-01").cast("timestamp_ntz")))
+    return o.withColumn("v", F.year("o_orderdate").cast("long"))
 
 
-def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def classes(spark: SparkSession, sf_dir: str, years: tuple[int, int] | None = None) -> DataFrame:
     """(v, k, name)"""
-    return orders(spark, sf_dir).groupBy("v", F.col("o_custkey").alias("k")).agg(F.max_by("o_orderpriority", F.struct("o_orderdate", "o_orderkey")).alias("name"))
+    return orders(spark, sf_dir, years).groupBy("v", F.col("o_custkey").alias("k")).agg(F.max_by("o_orderpriority", F.struct("o_orderdate", "o_orderkey")).alias("name"))
 
 
-def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lines_of(spark: SparkSession, sf_dir: str, years: tuple[int, int] | None = None) -> DataFrame:
     """Lines with the year and customer of their order."""
-    o = orders(spark, sf_dir).select("o_orderkey", "v", F.col("o_custkey").alias("owner"), "o_orderdate")
+    o = orders(spark, sf_dir, years).select("o_orderkey", "v", F.col("o_custkey").alias("owner"), "o_orderdate")
     return table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
-def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+def members(spark: SparkSession, sf_dir: str, years: tuple[int, int] | None = None) -> DataFrame:
     """(v, owner, slot, bucket, name)"""
     keys = ["v", "owner", F.col("l_linenumber").cast("long").alias("slot"), (F.col("l_partkey") % 3).alias("bucket")]
-    return lines_of(spark, sf_dir).groupBy(*keys).agg(F.max_by(F.concat("l_returnflag", "l_linestatus"), F.struct("o_orderdate", "l_orderkey", F.concat("l_returnflag", "l_linestatus"))).alias("name"))
+    return lines_of(spark, sf_dir, years).groupBy(*keys).agg(F.max_by(F.concat("l_returnflag", "l_linestatus"), F.struct("o_orderdate", "l_orderkey", F.concat("l_returnflag", "l_linestatus"))).alias("name"))
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:

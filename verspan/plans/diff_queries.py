@@ -16,8 +16,7 @@ SELECT 'added' AS bucket, k, NULL AS old_name, name AS new_name FROM b WHERE k N
 UNION ALL SELECT 'removed', k, name, NULL FROM a WHERE k NOT IN (SELECT k FROM b)
 UNION ALL SELECT 'renamed', a.k, a.name, b.name FROM a JOIN b ON a.k = b.k WHERE coalesce(a.name, '') <> coalesce(b.name, '')""")
 def diff_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = classes(spark, sf_dir)
-    return D.diff_by_key(c.where("v = 1995"), c.where("v = 1996"), ["k"], "name")
+    return D.diff_by_key(classes(spark, sf_dir, (1995, 1995)), classes(spark, sf_dir, (1996, 1996)), ["k"], "name")
 
 
 def _null_keys(df: DataFrame) -> DataFrame:
@@ -31,15 +30,15 @@ SELECT 'added' AS bucket_, owner, slot, bucket, NULL AS old_name, name AS new_na
 UNION ALL SELECT 'removed', owner, slot, bucket, name, NULL FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.owner = b.owner AND a.slot = b.slot AND a.bucket = b.bucket)
 UNION ALL SELECT 'renamed', a.owner, a.slot, a.bucket, a.name, b.name FROM a JOIN b ON a.owner = b.owner AND a.slot = b.slot AND a.bucket = b.bucket WHERE a.name <> b.name""")
 def diff_members_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _null_keys(members(spark, sf_dir)).withColumnRenamed("bucket", "part_bucket")
-    out = D.diff_by_key(m.where("v = 1995"), m.where("v = 1996"), ["owner", "slot", "part_bucket"], "name", both_named=True)
+    side = lambda y: _null_keys(members(spark, sf_dir, (y, y))).withColumnRenamed("bucket", "part_bucket")
+    out = D.diff_by_key(side(1995), side(1996), ["owner", "slot", "part_bucket"], "name", both_named=True)
     return out.withColumnsRenamed({"bucket": "bucket_", "part_bucket": "bucket"})
 
 
 def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, m = classes(spark, sf_dir), members(spark, sf_dir).withColumn("k", F.concat_ws("#", "owner", "slot", "bucket")).select("v", "k", "name")
-    one = D.diff_by_key(c.where("v = 1995"), c.where("v = 1996"), ["k"], "name").withColumn("k", F.col("k").cast("string")).withColumn("kind", F.lit("class"))
-    two = D.diff_by_key(m.where("v = 1995"), m.where("v = 1996"), ["k"], "name", both_named=True).withColumn("kind", F.lit("member"))
+    m = lambda y: members(spark, sf_dir, (y, y)).withColumn("k", F.concat_ws("#", "owner", "slot", "bucket")).select("v", "k", "name")
+    one = D.diff_by_key(classes(spark, sf_dir, (1995, 1995)), classes(spark, sf_dir, (1996, 1996)), ["k"], "name").withColumn("k", F.col("k").cast("string")).withColumn("kind", F.lit("class"))
+    two = D.diff_by_key(m(1995), m(1996), ["k"], "name", both_named=True).withColumn("kind", F.lit("member"))
     return one.unionByName(two)
 
 
@@ -76,7 +75,7 @@ n AS (SELECT path, count(*) FILTER (w AND NOT o) AS members_added, count(*) FILT
 SELECT path, CASE WHEN a.sha IS NULL THEN 'added' WHEN b.sha IS NULL THEN 'removed' ELSE 'modified' END AS change, members_added, members_removed
 FROM (SELECT * FROM f WHERE v = 1995) a FULL JOIN (SELECT * FROM f WHERE v = 1996) b USING (path) JOIN n USING (path) WHERE a.sha IS DISTINCT FROM b.sha""")
 def diff_files_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = members(spark, sf_dir).where("v in (1995, 1996)")
+    m = members(spark, sf_dir, (1995, 1996))
     text = F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "slot", "bucket", "name"))), "\n")
     f = m.groupBy("v", F.col("owner").alias("path")).agg(F.sha2(text, 256).alias("sha"))
     k = m.groupBy(F.col("owner").alias("path"), "slot", "bucket").agg(F.bool_or(F.col("v") == 1995).alias("o"), F.bool_or(F.col("v") == 1996).alias("w"))
@@ -85,8 +84,8 @@ def diff_files_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf_dir: str, owners) -> tuple[DataFrame, DataFrame]:
-    li = lines_of(spark, sf_dir).where(owners).select("v", "owner", "l_linenumber", "o_orderdate", "l_orderkey", F.concat("l_returnflag", "l_linestatus").alias("name"), (F.col("l_partkey") % 3).alias("bucket"))
-    rec = D.keyed_records(li.where("v in (1995, 1996)"), ["owner", "l_linenumber", "bucket", "v"], ["o_orderdate", "l_orderkey", "name"])
+    li = lines_of(spark, sf_dir, (1995, 1996)).where(owners).select("v", "owner", "l_linenumber", "o_orderdate", "l_orderkey", F.concat("l_returnflag", "l_linestatus").alias("name"), (F.col("l_partkey") % 3).alias("bucket"))
+    rec = D.keyed_records(li, ["owner", "l_linenumber", "bucket", "v"], ["o_orderdate", "l_orderkey", "name"])
     rec = rec.withColumn("key", F.concat_ws("#", "owner", "l_linenumber", "bucket")).select("v", "key", "owner", "name")
     return rec.where("v = 1995"), rec.where("v = 1996")
 

@@ -67,7 +67,7 @@ SELECT * FROM p1 UNION ALL SELECT * FROM q2 UNION ALL SELECT * FROM p3"""
 
 @query(_SITES)
 def references_diff_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = lines_of(spark, sf_dir).where("v in (1995, 1996)").select("v", "owner", F.col("l_linenumber").cast("long").alias("method"), F.col("l_partkey").cast("string").alias("t"))
+    li = lines_of(spark, sf_dir, (1995, 1996)).select("v", "owner", F.col("l_linenumber").cast("long").alias("method"), F.col("l_partkey").cast("string").alias("t"))
     changed = R.one_sided(li.withColumn("side", F.when(F.col("v") == 1995, "old").otherwise("new")), ["owner", "method"], "t")
     pairs = R.pair_moves(stored(changed, "sites"), ["owner", "method"], [["targets", "method"], ["targets", "owner"], ["targets"]])
     return pairs.select(F.col("old.owner").alias("old_owner"), F.col("old.method").alias("old_method"), F.col("new.owner").alias("new_owner"), F.col("new.method").alias("new_method"), "round")
