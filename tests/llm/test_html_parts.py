@@ -76,3 +76,22 @@ def test_broken_pages_take_linear_time(part):
     began = time.time()
     main_text(part * 50_000)
     assert time.time() - began < 20
+
+
+def test_names_weigh_but_do_not_decide():
+    """Article text whose names only hold a noise word stays; a short box with such a name goes; a whole name decides."""
+    p = "The quick brown fox, it is said, jumps over the lazy dog; nobody knows why. It did so again, and again. "
+    page = f"""<html><body><div class="page"><article><h1>Title</h1><p>{p * 3}</p><p class="notice-board-story">{p * 2}</p>
+    <div class="comment-free review"><p>{p * 2}</p></div><section id="related-work"><p>{p * 2}</p></section>
+    <div class="related-links"><div>Hot now</div><div>More</div></div><div class="comment"><p>{p}</p></div><p>{p * 3}</p></article></div></body></html>"""
+    got = html_extract.main_text(page)
+    assert got.count("quick brown") == 3 + 2 + 2 + 2 + 3 and "Hot now" not in got and got.startswith("Title")
+
+
+def test_deep_pages_are_linear():
+    import time
+
+    began = time.time()
+    assert "deep text" in html_extract.main_text("<div>" * 100_000 + "deep text, it is. " * 20)
+    html_extract.main_text("<div><p>x " * 100_000)
+    assert time.time() - began < 10

@@ -2,7 +2,10 @@
 
 A page is read once into text nodes, each with its path from the root (tag names, a
 div, section or span with its first class or id). Nodes below elements that are never
-article text by their tag, role, class or id are left out at once. For each path the
+article text by their tag or by a role, class or id that is one of a few names are left
+out at once. A name that only holds such a word (``related-work``) weighs but doesn't
+decide: its paths are steps of their own, and stay only if their ratios, halved, are over
+the threshold. For each path the
 text length, the punctuation, the text inside links and the number of nodes are
 summed; length and punctuation for each node are the two ratios. The ratios are
 smoothed over similar paths (a path's weight halves with each step from one to the
@@ -48,6 +51,8 @@ SCOPE = frozenset("html body article main section div td th ul ol dl table aside
 CONTAINERS = frozenset("html body main article div td".split())
 #: The share of the seeds' text that the article's element holds.
 NEARLY_ALL = 0.9
+#: What a name that holds a noise word leaves of a path's score.
+DOUBT = 0.5
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(>|$|(?=<))", re.S)
@@ -57,10 +62,10 @@ _WHITE = re.compile(r"[ \t\n\x0b\x0c\r]+")
 
 
 class Paths:
-    """The tree of paths: for each its parent, step, tag, depth and the path of the block around it."""
+    """The tree of paths: for each its parent, step, tag, depth, the path of the block around it and whether a name speaks against it."""
 
     def __init__(self):
-        self.parent, self.tag, self.depth, self.block, self._known = [0], [""], [0], [0], {}
+        self.parent, self.tag, self.depth, self.block, self.doubtful, self._known = [0], [""], [0], [0], [False], {}
 
     def child(self, parent: int, step: str, tag: str) -> int:
         known = self._known.get((parent, step))
@@ -70,6 +75,7 @@ class Paths:
             self.tag.append(tag)
             self.depth.append(self.depth[parent] + 1)
             self.block.append(known if tag in BLOCK else self.block[parent])
+            self.doubtful.append(self.doubtful[parent] or step.endswith("?"))
         return known
 
 
@@ -83,17 +89,21 @@ class Node:
 
 
 def _step(tag: str, attrs: str, within_article: bool) -> tuple[str, bool]:
-    """(path step, whether the element is noise)."""
-    noise = tag in NOISE or tag == "header" and not within_article
+    """(path step, whether the element is noise); the step of an element whose names only hold a noise word ends with ``?``."""
+    noise, doubtful = tag in NOISE or tag == "header" and not within_article, False
     step = tag
     if attrs and "=" in attrs:
         for name, value in _ATTR.findall(attrs):
-            names = _WORD.findall(value.lower())
-            if names and tag in ("div", "section", "span", "ul", "table") and step == tag:
-                step = f"{tag}.{names[0]}"
-            if tag not in ("html", "body", "article", "main") and not NOISE_NAMES.isdisjoint(names):
-                noise = True
-    return step, noise
+            value = value.lower()
+            words = _WORD.findall(value)
+            if words and tag in ("div", "section", "span", "ul", "table") and step == tag:
+                step = f"{tag}.{words[0]}"
+            if tag not in ("html", "body", "article", "main"):
+                if not NOISE_NAMES.isdisjoint(value.strip("\"'").split()):
+                    noise = True
+                elif not NOISE_NAMES.isdisjoint(words):
+                    doubtful = True
+    return step + "?" * doubtful, noise
 
 
 def text_nodes(page: str) -> tuple[list[Node], Paths]:
@@ -206,8 +216,10 @@ def content_paths(nodes: list[Node], paths: Paths) -> set[int]:
             s[3] += k if n.link else 0
     if not sums:
         return set()
-    fused = fused_ratios(sums, paths)
-    seeds = {p for p, ok in zip(sums, fused >= min(fused.std(), fused.max())) if ok}
+    fused = fused_ratios(sums, paths) * np.array([DOUBT if paths.doubtful[p] else 1.0 for p in sums])
+    threshold = min(fused.std(), fused.max())
+    over = {p for p, ok in zip(sums, fused >= threshold) if ok}
+    seeds = {p for p in over if not paths.doubtful[p]} or over
     # text of the seeds at every container around them; a cell with text of its own is data, not a container
     size = len(paths.parent)
     direct, held = [0.0] * size, [0.0] * size
@@ -220,9 +232,10 @@ def content_paths(nodes: list[Node], paths: Paths) -> set[int]:
     around = [v for v in range(size) if not v or paths.tag[v] in CONTAINERS]
     weight = {v: held[v] - direct[v] * (paths.tag[v] == "td") for v in around}
     root = max((v for v in around if weight[v] >= NEARLY_ALL * held[0]), key=lambda v: (paths.depth[v], weight[v]))
-    above = {root}
-    while above and (v := min(above)):
-        above.add(paths.parent[v])
+    above, v = {root}, root
+    while v:
+        v = paths.parent[v]
+        above.add(v)
     page = all(paths.tag[v] in ("", "html", "body") for v in above)
     part = [0] * size  # for what lies below the root: the root's child that it is in
     for v in range(1, size):
@@ -237,6 +250,8 @@ def content_paths(nodes: list[Node], paths: Paths) -> set[int]:
     def content(p: int) -> bool:
         if p != root and not part[p] or page and p != root and paths.tag[part[p]] in CONTAINERS and not held[part[p]]:
             return False
+        if paths.doubtful[p] and not paths.doubtful[root] and p not in over:
+            return False
         own = links[paths.block[p]]
         return own[1] <= 0.5 * own[0]
 
