@@ -246,7 +246,7 @@ def test_cross_parsing_against_brute_force(monkeypatch, lane):
     first = np.cumsum(each) - each
     begins = np.zeros(len(lanes), np.bool_)
     begins[first] = True
-    got = np.add.reduceat(m.phrases(lanes, begins), first, axis=0)
+    got = np.add.reduceat(m.phrases(lanes, begins)[0], first, axis=0)
     assert got.tolist() == [[brute_phrases(t, s.strip()) for s in text.values()] for t in many]
 
 

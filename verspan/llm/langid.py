@@ -41,6 +41,8 @@ from verspan.llm.common import map_texts, table
 #: Bounds of the sample of a language: documents, and symbols of them together.
 SAMPLE_DOCS, SAMPLE_CHARS = 40, 20_000
 LANE, LANES = 256, 6_000
+#: Rounds in which all lanes that disagree are parsed at once, before they are gone through one after the other.
+ROUNDS = 4
 UND = "und"
 _tables: dict = {}
 
@@ -124,11 +126,16 @@ class Automata:
         lost = again == 0  # an unknown symbol is a phrase of its own
         return np.where(ends, np.where(lost, root, again), to), ends * ((state != root) + lost.astype(np.int32))
 
-    def phrases(self, lanes: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """Phrases that end in each lane, for each language; lanes: (lanes, LANE) of symbols, -1 beyond the end.
+    def phrases(self, lanes: np.ndarray, begins: np.ndarray, carried: np.ndarray | None = None, over: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that end in each lane, for each language, and the state at its end; lanes: (lanes, LANE) of symbols, -1 beyond the end.
 
-        begins: whether a lane is the first of its text; only a text's last lane is shorter
-        than LANE, and a phrase open at its end counts.
+        begins: whether a lane is the first of its text; only a text's last lane is shorter than LANE. carried: the
+        states that texts begin with, if they go on from before; over: whether they end here, so that a phrase that
+        is open then counts.
+
+        Each lane is parsed as if a phrase began with it; then from the state that the lane before ends in, until both
+        parses agree, which is soon in most texts. Where they don't within ``ROUNDS`` rounds, as in texts that repeat
+        themselves, the state is carried through the lanes that still disagree, once from left to right.
         """
         roots = np.array(self.roots, np.int32)
         n, k = len(lanes), len(roots)
@@ -146,13 +153,12 @@ class Automata:
             if m:
                 states[i + 1, :m], more = self._step(states[i, :m], roots, lanes[i, :m, None])
                 counts[i + 1, :m] += more
-        total, end = counts[LANE].copy(), states[LANE].copy()
-        # then the open phrase of the lane before, until both parses agree
-        follow = np.flatnonzero(~begins)
-        row, col = np.repeat(place[follow], k), np.tile(np.arange(k), len(follow))
-        prior = np.repeat(place[follow - 1], k)
+        starts = np.repeat(roots[None, :], int(begins.sum()), 0) if carried is None else carried
+        total, end = counts[LANE].copy(), np.concatenate([states[LANE], starts])
+        before = np.where(begins, n + np.cumsum(begins) - 1, np.r_[0, place[:-1]] if n else place)  # whose end a lane goes on from
+        row, col, prior = np.repeat(place, k), np.tile(np.arange(k), n), np.repeat(before, k)
         came = np.repeat(roots[None, :], n, 0)  # the state that each lane was last parsed from
-        while len(row):
+        for _ in range(ROUNDS):
             new = end[prior, col] != came[row, col]
             r, c, s = row[new], col[new], end[prior[new], col[new]]
             if not len(r):
@@ -174,10 +180,47 @@ class Automata:
             met = s == states[LANE, r, c]
             total[r, c] = np.where(met, total[r, c] + own - counts[LANE, r, c], own)
             end[r, c] = s
-        total, end = total[place], end[place]
+        self._carried(lanes, lasts, begins, place, before, states, counts, came, total, end)
+        total, end = total[place], end[:n][place]
         final = np.r_[begins[1:], True] if n else begins
-        total[final] += end[final] != roots
-        return total
+        if over:
+            total[final] += end[final] != roots
+        return total, end
+
+    def _carried(self, lanes, lasts, begins, place, before, states, counts, came, total, end) -> None:
+        """What is left: lane by lane, each parsed anew once at most; lanes that repeat themselves are looked up."""
+        follow, width = memoryview(self.next), self.width
+        for c, root in enumerate(self.roots):
+            late = np.flatnonzero(end[before, c] != came[place, c])
+            known: dict[tuple[bytes, int], tuple[int, int]] = {}
+            done = -1
+            for first in late.tolist():
+                at = first
+                while at > done and at < len(place) and (at == first or not begins[at]):
+                    r, s = int(place[at]), int(end[before[at], c])
+                    if s == came[r, c]:
+                        break
+                    done, came[r, c] = at, s
+                    lane = lanes[: lasts[r], r].tobytes()
+                    if (lane, s) not in known:
+                        known[lane, s] = self._one(follow, width, int(root), lanes[: lasts[r], r].tolist(), s, states[:, r, c], counts[:, r, c])
+                    end[r, c], total[r, c] = known[lane, s]
+                    at += 1
+
+    @staticmethod
+    def _one(follow, width: int, root: int, symbols: list[int], s: int, states: np.ndarray, counts: np.ndarray) -> tuple[int, int]:
+        """(state, phrases) at the end of one lane of one language, parsed from a state."""
+        n, plain = 0, states.tolist()
+        for i, x in enumerate(symbols):
+            if s == plain[i]:
+                return plain[-1], n + int(counts[-1] - counts[i])
+            to = follow[s * width + x]
+            if not to:
+                to = follow[root * width + x]
+                n += (s != root) + (not to)
+                to = to or root
+            s = to
+        return s, n
 
 
 def _lanes(sym: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -204,11 +247,24 @@ def classify(texts: list[str | None], model: Automata) -> list[tuple[str, float]
         first = np.cumsum(each) - each
         begins = np.zeros(len(lanes), np.bool_)
         begins[first] = True
-        cost = np.add.reduceat(model.phrases(lanes, begins), first, axis=0) * model.cost
+        told(which, np.add.reduceat(model.phrases(lanes, begins)[0], first, axis=0))
+
+    def told(where: list[int], phrases: np.ndarray) -> None:
+        cost = phrases * model.cost
         share = 1 / np.exp(cost.min(1, keepdims=True) - cost).sum(1)
-        for i, k, p in zip(which, cost.argmin(1).tolist(), share.tolist()):
+        for i, k, p in zip(where, cost.argmin(1).tolist(), share.tolist()):
             out[i] = (model.langs[k], p)
 
+    def by_pieces(s: np.ndarray) -> np.ndarray:
+        """Phrases of a text of more lanes than are held at once: its pieces one after the other, the state carried on."""
+        total, state, step = 0, None, LANES * LANE
+        for at in range(0, len(s), step):
+            lanes, each = _lanes([s[at : at + step]])
+            begins = np.arange(len(lanes)) == 0
+            found, end = model.phrases(lanes, begins, state, at + step >= len(s))
+            total, state = total + found.sum(0, dtype=np.int64), end[-1:]
+        return total[None, :]
+
     for i, t in enumerate(texts):
         if not t:
             continue
@@ -220,6 +276,9 @@ def classify(texts: list[str | None], model: Automata) -> list[tuple[str, float]
             out[i] = (model.langs[0], 1 / len(model.langs))
             continue
         s = s[np.r_[True, (s[1:] != 0) | (s[:-1] != 0)]]
+        if len(s) > LANES * LANE:
+            told([i], by_pieces(s))
+            continue
         which.append(i)
         sym.append(s)
         held += -(-len(s) // LANE)
