@@ -103,20 +103,29 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     return stored(rows.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(_write(folder), "path string, records long"), "archives")
 
 
-def records_of(stream) -> Iterator[bytes]:
-    """Records of a gzip stream of one member or many, inflated once and bit by bit."""
-    z, held, need = zlib.decompressobj(31), bytearray(), None
-    done = True
-    while True:
-        raw = stream.read(STEP)
-        if not raw:
-            break
+def inflated(stream) -> Iterator[bytes]:
+    """A gzip stream of one member or many, inflated once; at most ``STEP`` bytes at a time, whatever they were packed into."""
+    z, open_ = zlib.decompressobj(31), False
+    while raw := stream.read(STEP):
         while raw:
-            held += z.decompress(raw)
-            done = z.eof
-            raw = z.unused_data if z.eof else b""
+            open_ = True
+            out = z.decompress(raw, STEP)
+            raw = z.unconsumed_tail
             if z.eof:
-                z = zlib.decompressobj(31)
+                raw, z, open_ = z.unused_data, zlib.decompressobj(31), False
+            if out:
+                yield out
+    while open_ and (out := z.decompress(z.unconsumed_tail, STEP)):  # what was packed but not asked for yet
+        yield out
+    if open_ and not z.eof:
+        raise ValueError("the archive ends within a record")
+
+
+def records_of(stream) -> Iterator[bytes]:
+    """Records of an archive; what is held is one record and a step."""
+    held, need = bytearray(), None
+    for chunk in inflated(stream):
+        held += chunk
         while True:
             if need is None:
                 end = held.find(b"\r\n\r\n")
@@ -128,7 +137,7 @@ def records_of(stream) -> Iterator[bytes]:
             yield bytes(held[:need])
             del held[:need]
             need = None
-    if held or not done:
+    if held:
         raise ValueError("the archive ends within a record")
 
 
@@ -164,9 +173,11 @@ def _read(with_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, file = None, None
         for b in batches:
-            out = []
+            out: list[tuple] = []
             for path, offset, length in zip(b.column("path").to_pylist(), b.column("offset").to_pylist(), b.column("length").to_pylist()):
                 if path != now:
+                    if file is not None:
+                        file.close()
                     fs, at = _fs(path)
                     now, file = path, fs.open_input_file(at)
                 file.seek(offset)
@@ -182,6 +193,8 @@ def _read(with_payload: bool):
             if out:
                 types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"])
+        if file is not None:
+            file.close()
     return run
 
 
