@@ -29,3 +29,28 @@ def test_a_bigram_seen_once_counts(spark):
     seen = lambda c, both: np.log10(s * both + (1 - s) * (c + 1) / (n + v + 1))
     assert abs(got[9] - (seen(1, 1) + seen(1, 1) + seen(1, 0))) < 1e-9
     assert abs(got[16] - (seen(1, 0) + seen(1, 0) + seen(1, 0))) < 1e-9
+
+
+def test_scores_are_close_to_those_of_exact_counts(spark):
+    """Real texts of sf0.01: the model's log probability a token against the same mixture over exact counts; the error comes of quantised counts and false positives."""
+    from collections import Counter
+
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    train = docs.where(~lm_score.held_out(docs["doc_id"]))
+    inside = {r["doc_id"] for r in train.select("doc_id").collect()}
+    words = {i: [*(t or "").encode().lower().split(), None] for i, t in rows}
+    one, two = Counter(), Counter()
+    for i in inside:
+        w = words[i]
+        one.update(w)
+        two.update(zip([None, *w], w))
+    n, v, s = sum(one.values()), len(one), lm_score.SHARE
+    p = lambda b, x: s * min(two[b, x], one[b]) / max(one[b], 1) + (1 - s) * min((one[x] + 1) / (n + v + 1), 1)
+    errors, scores = [], []
+    for r in lm_score.score_texts(docs, train).collect():
+        w = words[r["doc_id"]]
+        want = sum(np.log10(p(b, x)) for b, x in zip([None, *w], w))
+        errors.append(abs(r["score"] - want) / len(w))
+        scores.append(want / len(w))
+    assert np.mean(errors) < 0.03 and max(errors) < 0.25 and -3 < np.mean(scores) < -1
