@@ -86,3 +86,50 @@ def test_decorated_members(spark):
     assert got == {("g/Tree", "grow", "(Lg/Leaf;)Lg/Tree;"): ("m_1", "(Lc_2;)Lc_1;"), ("g/Tree", "age", "I"): ("f_1", "I"), ("g/Tree", "age", "J"): (None, None), ("g/New", "age", "I"): (None, None)}
     rows = spark.createDataFrame([("a", None, "yarn_only")], "obf_name string, mojmap_name string, presence string")
     assert tuple(official_as_mojmap(rows).first()) == ("a", "a", "both")
+
+
+def test_an_archive_is_read_by_several_tasks(spark, tmp_path):
+    """A jar of 10,000 classes is dealt out; its rows are those of the whole-file reader."""
+    import zipfile
+
+    from verspan.sources.archives import register
+    from verspan.sources.classfile import read_declarations, simple_class
+    from verspan.sources.tiny import parse_tiny
+
+    (tmp_path / "more").mkdir()
+    with zipfile.ZipFile(tmp_path / "big.jar", "w", zipfile.ZIP_DEFLATED) as z:
+        for i in range(10_000):
+            z.writestr(f"p/C{i}.class", simple_class(f"p/C{i}", "p/Base", [("x", "I")]))
+        z.writestr("mappings/mappings.tiny", "tiny\t2\t0\tofficial\tnamed\nc\ta\tp/C1\n")
+    with zipfile.ZipFile(tmp_path / "more" / "small.jar", "w") as z:
+        z.writestr("q/D.class", simple_class("q/D", "p/C1"))
+        z.writestr("readme.txt", "no class")
+    register(spark)
+    read = lambda **o: spark.read.format("archive_entries").options(**o).load(f"file://{tmp_path}")
+    entries = read(splitBytes=200_000)
+    assert entries.rdd.getNumPartitions() > 5
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jar").load(f"file://{tmp_path}")
+    shown = lambda files: sorted(map(str, read_declarations(files).collect()))
+    got = shown(entries)
+    assert len(got) == 10_001 and got == shown(whole) == shown(read())
+    tiny = parse_tiny(read(pattern="*.tiny").selectExpr("path", "cast(content as string) as value"))
+    assert [r["owner"] for r in tiny.collect()] == ["a"]
+    (tmp_path / "none").mkdir()
+    assert spark.read.format("archive_entries").load(f"file://{tmp_path}/none").count() == 0
+
+
+def test_single_classes_on_demand(spark, tmp_path):
+    import zipfile
+
+    from verspan.sources.archives import headers_above, hit_counts, register
+    from verspan.sources.classfile import simple_class
+
+    with zipfile.ZipFile(tmp_path / "a.jar", "w") as z:
+        for name, parent in (("p/A", "p/B"), ("p/B", "p/C"), ("p/C", "java/lang/Object"), ("p/X", "p/A")):
+            z.writestr(f"{name}.class", simple_class(name, parent, [], [("run", "()V"), ("stop", "(I)V")], [("p/T", "go", "()V")] * 2 + [("p/T", "go", "(I)V")]))
+    register(spark)
+    path = f"file://{tmp_path}"
+    assert {r["owner"]: r["supertypes"] for r in headers_above(spark, path, ["p/A", "p/none"]).collect()} == {"p/A": ["p/B"], "p/B": ["p/C"], "p/C": ["java/lang/Object"]}
+    shown = lambda at: sorted(tuple(r) for r in hit_counts(spark, path, "p/X", at).collect())
+    assert shown("p/T:go:()V") == [("run", "()V", 2), ("stop", "(I)V", 2)] and shown("p/T:go") == [("run", "()V", 3), ("stop", "(I)V", 3)] and shown("p/U") == [("run", "()V", 0), ("stop", "(I)V", 0)]
+    assert hit_counts(spark, path, "p/none", "p/T:go").count() == 0

@@ -28,7 +28,14 @@ def line_diff_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", L.patch_column(F.col("path"), F.col("old"), F.col("new")).alias("patch"))
 
 
-@query()
+@query("""
+WITH c AS (SELECT doc_id, '@Override' || chr(10) || 'void run(' || lang || ') {' || chr(10) || replace(text, '(', '[') || chr(10) || '}' || chr(10) || 'void other() { }' || chr(10) AS code FROM documents),
+l AS (SELECT doc_id, string_split(replace(replace(code, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))[:-2] AS ls FROM c),
+u AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i, len(ls) AS n FROM l),
+d AS (SELECT *, sum(CASE WHEN i > 1 THEN len(replace(line, '}', '')) - len(replace(line, '{', '')) ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS depth FROM u),
+e AS (SELECT doc_id, coalesce(min(i) FILTER (i > 1 AND depth <= 0), max(n)) AS stop FROM d GROUP BY doc_id),
+t AS (SELECT doc_id, (sum(len(line)) + any_value(stop) - 1)::INTEGER AS chars FROM d JOIN e USING (doc_id) WHERE i <= stop GROUP BY doc_id)
+SELECT documents.doc_id, chars FROM documents LEFT JOIN t USING (doc_id)""", model=False)
 def function_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("@Override\nvoid run("), F.col("lang"), F.lit(") {\n"), F.replace("text", F.lit("("), F.lit("[")), F.lit("\n}\nvoid other() { }\n")).alias("code"))
     return d.select("doc_id", F.length(L.slice_column(F.col("code"), "a/B#run")).alias("chars"))
@@ -68,7 +75,9 @@ def token_at_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("stop", F.col("start") + F.length("token"))
 
 
-@query()
+@query("""
+WITH n AS (SELECT 'g/' || replace(n_name, ' ', '_') AS owner, 'g/R' || n_regionkey AS supertype FROM nation)
+SELECT owner, 1057 AS access, supertype, kind, name, descriptor FROM n, (VALUES ('field', 'area', 'I'), ('method', 'rule', '(I)V')) m(kind, name, descriptor)""", model=False)
 def classfile_decls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class files made of the nation table: owner, supertypes and members read back from their bytes."""
     from verspan.sources.classfile import read_declarations, simple_class
@@ -79,7 +88,7 @@ def classfile_decls(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(files, pa.binary())], ["content"])
 
     n = table(spark, sf_dir, "nation").select(F.replace("n_name", F.lit(" "), F.lit("_")).alias("name"), F.col("n_regionkey").alias("region")).mapInArrow(made, "content binary")
-    return read_declarations(n, "content")
+    return read_declarations(n, "content").select("owner", "access", F.get("supertypes", F.lit(0)).alias("supertype"), F.explode("members").alias("m")).select("owner", "access", "supertype", "m.*")
 
 
 def _linked_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,14 +129,16 @@ def classfile_body_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.groupBy("owner", "member").agg(body_hash(F.collect_list(F.struct("descriptor", "body"))).alias("hash"))
 
 
-@query()
+@query("""
+SELECT 'file' || r_regionkey AS path, 'class' AS kind, 'r' || r_regionkey AS owner, NULL AS descriptor, 'r' || r_regionkey AS official, 'class_' || r_regionkey AS intermediary, 'geo/R' || r_regionkey AS named FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)
+UNION ALL SELECT 'file' || n_regionkey, 'method', 'r' || n_regionkey, '()I', 'm' || n_nationkey, 'method_' || n_nationkey, n_name FROM nation""", model=False)
 def tiny_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mapping text made of the nation table, parsed by lines with the class carried forward."""
     from verspan.sources.tiny import parse_tiny
 
     n = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list(F.format_string("\tm\t()I\tm%s\tmethod_%s\t%s", F.col("n_nationkey").cast("string"), F.col("n_nationkey").cast("string"), "n_name"))), "\n").alias("ms"))
     t = n.select(F.concat(F.lit("file"), F.col("n_regionkey").cast("string")).alias("path"), F.concat(F.lit("tiny\t2\t0\tofficial\tintermediary\tnamed\n"), F.format_string("c\tr%s\tclass_%s\tgeo/R%s\n", *[F.col("n_regionkey").cast("string")] * 3), F.col("ms")).alias("value"))
-    return parse_tiny(t)
+    return parse_tiny(t).select("path", "kind", "owner", "descriptor", *[F.col("names")[n].alias(n) for n in ("official", "intermediary", "named")])
 
 
 @query("SELECT year(o_orderdate)::BIGINT AS v, count(*) AS n FROM orders GROUP BY 1", model=False)

@@ -329,6 +329,18 @@ def read_references(files: DataFrame, content: str = "content") -> DataFrame:
     return files.select(content).mapInArrow(run, REFERENCES).join(known, "owner", "left_semi")
 
 
+def read_instructions(files: DataFrame, content: str = "content") -> DataFrame:
+    """(owner, member, descriptor, target) of each instruction that refers to a member or names a class, methods as they are named."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                for c in map(ClassFile, classes_in(x) if x else ()):
+                    rows = [(c.name, m, d, ":".join([owner, *([n, desc] if n else [])])) for m, d, owner, n, desc, kind in c.refs if m is not None and (n or kind in ("new", "type"))]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], ["owner", "member", "descriptor", "target"])
+
+    return files.select(content).mapInArrow(run, "owner string, member string, descriptor string, target string")
+
+
 def read_bodies(files: DataFrame, content: str = "content") -> DataFrame:
     """(owner, member, descriptor, body): the instructions of each method with the names that they use."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
