@@ -349,3 +349,8 @@ def test_caps_and_names_of_versions(engine, spark):
     assert [wide.ord_of(x) for x in ("m0", "Second", "2.0")] == [0, 1, 0]
     with pytest.raises(QueryError):
         wide.ord_of("Third")
+
+
+def test_resource_file(engine):
+    assert rows(engine.resource_file("fruit.csv", 1), "blob", "content_type") == [("h2", "application/octet-stream")]
+    assert rows(engine.resource_file("img/leaf.png", 0), "blob", "content_type") == [("h3", "image/png")] and engine.resource_file("img/leaf.png", 2).count() == 0

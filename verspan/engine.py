@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verspan import schema
-from verspan.functions.text import body_hash, map_types, real_name, rename_types, types_in
+from verspan.functions.text import body_hash, content_type, map_types, real_name, rename_types, types_in
 from verspan.operators import correspondence as C
 from verspan.operators import diff as D
 from verspan.operators import graph as G
@@ -396,7 +396,7 @@ class Engine:
 
     def _moves_located(self, verdicts: DataFrame, ns: str, owner: str, method: str, at: str | None) -> DataFrame:
         """Where a call left the class: the site that pairs with the hooked one since the last version that was ok."""
-        rows, last, built = [r.asDict() for r in verdicts.orderBy("rank").collect()], None, None
+        rows, last, built, asked = [r.asDict() for r in verdicts.orderBy("rank").collect()], None, None, {}
         for r in rows:
             if r["status"] == "ok":
                 last = r["version_id"]
@@ -411,10 +411,44 @@ class Engine:
             elif not {last, r["version_id"]} <= built:
                 r["reason"] = "no-named-jar"
             else:
-                pair = self.diff_references(last, r["version_id"], at, ns).where((F.col("change") == "moved") & (F.col("site") == f"{owner}#{method}")).first()
-                r["moved_to"], r["reason"] = (pair["moved_to"], None) if pair else (None, "unpaired")
+                asked[r["version_id"]] = (last, r["version_id"])
+        if asked:  # all pairs of versions at once
+            site = ["pair", "ref_owner", "ref_member"]
+            moved = self._moves(self._changed_sites(list(asked.values()), at, ns)).where((F.concat_ws("#", "old.ref_owner", "old.ref_member") == f"{owner}#{method}"))
+            found = {list(asked)[r["pair"]]: r["to"] for r in moved.select(F.col(f"old.{site[0]}").alias("pair"), F.concat_ws("#", "new.ref_owner", "new.ref_member").alias("to")).collect()}
+            for r in rows:
+                if r["version_id"] in asked:
+                    r["moved_to"], r["reason"] = found.get(r["version_id"]), None if r["version_id"] in found else "unpaired"
         return self.spark.createDataFrame(rows, verdicts.schema)
 
+    def _changed_sites(self, pairs: list[tuple[str, str]], query: str, ns: str) -> DataFrame:
+        """(side, pair, ref_owner, ref_member, targets) of the sites that refer to a class or member in one version of a pair only."""
+        versions = sorted({v for p in pairs for v in p})
+        places = self._normalised(versions, ns, query)
+        owners, member = self.spark.createDataFrame(list(places.items()), "version_id string, owner string"), query.partition(":")[2]
+        r = self._refs(versions, ns, sorted(set(places.values()))).where("ref_member is not null").where(F.col("member") == member if member else "member <> ''")
+        sides = self.spark.createDataFrame([(i, side, v) for i, p in enumerate(pairs) for side, v in zip(("old", "new"), p)], "pair int, side string, version_id string")
+        edges = r.join(F.broadcast(owners), ["version_id", "owner"], "left_semi").join(F.broadcast(sides), "version_id")  # a row for each version asked for
+        return stored(R.one_sided(edges, ["pair", "ref_owner", "ref_member"], "member"), "sites")
+
+    @staticmethod
+    def _moves(changed: DataFrame) -> DataFrame:
+        return R.pair_moves(changed, ["pair", "ref_owner", "ref_member"], [["pair", "targets", "ref_member"], ["pair", "targets", "ref_owner"], ["pair", "targets"]])
+
+    def _normalised(self, versions: list[str], ns: str, target: str) -> dict[str, str]:
+        """The class whose references a target's are held under, for each version: its owner, or the nearest supertype that declares the member."""
+        owner, _, member = target.partition(":")
+        found = dict.fromkeys(versions, owner)
+        if member and self.decls is not None:
+            d = self._side(self.decl_index, self.decls, versions, ns, None)
+            at_version = lambda c: F.concat_ws("\n", "version_id", c)
+            edges = d.select(at_version("owner").alias("child"), "version_id", F.explode("supertypes").alias("s")).select("child", at_version("s").alias("parent"))
+            up = G.closure(edges, self.spark.createDataFrame([(f"{v}\n{owner}",) for v in versions], "root string"), "child", "parent")
+            has = F.exists("members", lambda m: F.concat_ws(":", m["name"], m["descriptor"]) == member)
+            hit = up.join(d.where(has).select(at_version("owner").alias("node"), "version_id", "owner"), "node")
+            found |= {r["version_id"]: r["o"] for r in hit.groupBy("version_id").agg(F.min_by("owner", F.struct("depth", "node")).alias("o")).collect()}  # a row for each version
+        return found
+
     def validate_spans(self, ns: str, owner: str, method: str, descriptor: str | None, at: str | None, start: str, end: str, collapse: str = "verdict") -> DataFrame:
         """Runs of versions with an equal verdict, or an equal status; by status a run of several has no count."""
         order = self.version_range(start, end).select("version_id", "rank")
@@ -487,28 +521,28 @@ class Engine:
         """One row of a class for each version that has it; inner classes may be spelt with slashes or dots."""
         ranked = self.ordered_versions().select("version_id", "rank", "has_intermediary")
         c = self.classes.join(F.broadcast(ranked), "version_id")
-        q = owner if "/" in owner else owner.replace(".", "/")
-        while True:
-            by_name = c.where(F.col(name) == q)
-            if not by_name.isEmpty():
-                return C.first_wins(self._anchored(c, by_name, name, q).withColumn("_n", -F.col("class_id")), ["version_id"], ["_n"])
-            if "/" not in q:
-                return None
-            head, _, tail = q.rpartition("/")
-            q = f"{head}${tail}"
+        spelt = [owner if "/" in owner else owner.replace(".", "/")]
+        while "/" in spelt[-1]:
+            head, _, tail = spelt[-1].rpartition("/")
+            spelt.append(f"{head}${tail}")
+        there = {r[0] for r in c.where(F.col(name).isin(spelt)).select(name).distinct().collect()}  # some of the spellings
+        q = next((x for x in spelt if x in there), None)
+        if q is None:
+            return None
+        return C.first_wins(self._anchored(c, c.where(F.col(name) == q), name, q).withColumn("_n", -F.col("class_id")), ["version_id"], ["_n"])
 
     def _member_rows(self, own: DataFrame | None, member: str, name: str) -> tuple[str, DataFrame | None]:
         """(kind, rows) of a member in each version of its owner, by name or by the identity of its newest match."""
         if own is None:
             return "unknown", None
         m = self.members.join(own.select("version_id", "class_id", "rank"), ["version_id", "class_id"])
+        im = F.max_by("intermediary_name", F.when(F.col("intermediary_name").isNotNull(), F.col("rank"))).alias("im")
+        found = {r["kind"]: r["im"] for r in m.where(F.col(name) == member).groupBy("kind").agg(im).collect()}  # two kinds
         for kind in ("method", "field"):
-            k = m.where(F.col("kind") == kind)
-            im = F.max_by("intermediary_name", F.when(F.col("intermediary_name").isNotNull(), F.col("rank")))
-            found = k.where(F.col(name) == member).agg(F.count("*").alias("n"), im.alias("im")).first()
-            if found["n"]:
+            if kind in found:
                 same = F.col(name) == member
-                return kind, self._mojmap_descriptors(k.where(same if found["im"] is None else same | (F.col("intermediary_name") == found["im"])))
+                k = m.where(F.col("kind") == kind)
+                return kind, self._mojmap_descriptors(k.where(same if found[kind] is None else same | (F.col("intermediary_name") == found[kind])))
         return "unknown", None
 
     def _mojmap_descriptors(self, rows: DataFrame) -> DataFrame:
@@ -642,17 +676,22 @@ class Engine:
         """(key, result): class or member keys ``owner[:name[:descriptor]]`` in another namespace; null if ambiguous or unknown."""
         a, b = column_of(source), column_of(target)
         c = self._classes(version_id)
-        # names of the classes of one version; a name that two of them share translates to nothing
-        pairs = lambda x, y: C.unique_or_null(c.where(F.col(x).isNotNull() & F.col(y).isNotNull()), [x], y, "to").where("to is not null").agg(F.map_from_entries(F.collect_list(F.struct(F.col(x), F.col("to")))).alias("m"))
-        maps = pairs(a, "obf_name").withColumnRenamed("m", "fwd").join(pairs("obf_name", b).withColumnRenamed("m", "back"))
         parts = F.split("key", ":", 3)
-        k = capped_rows(keys).select(F.col(keys.columns[0]).alias("key")).distinct().select("key", F.get(parts, F.lit(0)).alias("owner"), F.get(parts, F.lit(1)).alias("name"), F.get(parts, F.lit(2)).alias("d")).join(F.broadcast(maps))
-        k = k.withColumn("od", map_types(F.col("d"), F.col("fwd")))
+        k = capped_rows(keys).select(F.col(keys.columns[0]).alias("key")).distinct().select("key", F.get(parts, F.lit(0)).alias("owner"), F.get(parts, F.lit(1)).alias("name"), F.get(parts, F.lit(2)).alias("d"))
+
+        def names(descriptors: DataFrame, x: str, y: str, out: str) -> DataFrame:
+            """One row, the names of the classes that a request's descriptors name; a name that two classes share translates to nothing."""
+            used = descriptors.select(F.explode(F.array_distinct(F.regexp_extract_all("d", F.lit("L([^;]+);"), 1))).alias(x)).distinct()
+            pairs = C.unique_or_null(c.where(F.col(x).isNotNull() & F.col(y).isNotNull()).join(used, x), [x], y, "to").where("to is not null")
+            return pairs.agg(F.map_from_entries(F.collect_list(F.struct(F.col(x), F.col("to")))).alias(out))
+
+        k = k.join(F.broadcast(names(k, a, "obf_name", "fwd"))).withColumn("od", map_types(F.col("d"), F.col("fwd")))
         owners = C.unique_or_null(c.where(F.col(a).isNotNull()).select(F.col(a).alias("owner"), F.struct("class_id", F.col(b).alias("to")).alias("x")), ["owner"], "x", "hit")
         k = k.join(owners, "owner", "left")
         m = self._members(version_id).select("class_id", F.col(a).alias("name"), "obf_desc", F.col(b).alias("m_to"))
         hits = k.where("name is not null and hit is not null").select("key", "name", "od", F.col("hit.class_id").alias("class_id")).join(m, ["class_id", "name"]).where("od is null or od = obf_desc")
         one = C.unique_or_null(hits.select("key", F.struct("m_to", "obf_desc").alias("x")), ["key"], "x", "m")
+        one = one.join(F.broadcast(names(one.select(F.col("m.obf_desc").alias("d")), "obf_name", b, "back")))
         desc = F.when(F.col("d").isNotNull(), F.concat(F.lit(":"), map_types(F.col("m.obf_desc"), F.col("back")))).otherwise("")
         result = F.when(F.col("name").isNull(), F.col("hit.to")).otherwise(F.concat(F.col("hit.to"), F.lit(":"), F.col("m.m_to"), desc))
         return k.join(one, "key", "left").select("key", result.alias("result"))
@@ -722,14 +761,8 @@ class Engine:
 
     def normalise_target(self, version_id: str, ns: str, target: str) -> str:
         """The key that references are held under: its owner, or the nearest supertype that declares the member."""
-        owner, _, member = target.partition(":")
-        if not member or self.decls is None:
-            return target
-        d = self._decls(version_id, ns)
-        up = G.closure(d.select("owner", F.explode("supertypes").alias("parent")), self.spark.createDataFrame([(owner,)], "root string"), "owner", "parent")
-        has = F.exists("members", lambda m: F.concat_ws(":", m["name"], m["descriptor"]) == member)
-        hit = up.join(d.where(has).select(F.col("owner").alias("node")), "node").orderBy("depth", "node").first()
-        return f"{hit['node']}:{member}" if hit else target
+        member = target.partition(":")[2]
+        return f"{self._normalised([version_id], ns, target)[version_id]}:{member}" if member else target
 
     def resolve_targets(self, version_id: str, ns: str, targets: list[str]) -> DataFrame:
         """(target, resolved, candidates): whether a key can match, and the keys of the same name that it would match instead."""
@@ -748,17 +781,11 @@ class Engine:
         Moves pair a removed with an added site that reach the same targets; both stay
         removed and added as well.
         """
-        def edges(v: str, side: str) -> DataFrame:
-            owner, _, member = self.normalise_target(v, ns, query).partition(":")
-            r = self._refs([v], ns, [owner]).where("ref_member is not null")
-            r = r.where(F.col("member") == member) if member else r.where("member <> ''")
-            return r.select("ref_owner", "ref_member", "member", F.lit(side).alias("side"))
-
         site = ["ref_owner", "ref_member"]
-        changed = stored(R.one_sided(edges(old, "old").unionByName(edges(new, "new")), site, "member"), "sites")
+        changed = self._changed_sites([(old, new)], query, ns)
         removed, added = (changed.where(F.col("side") == x) for x in ("old", "new"))
         name = lambda c="": F.concat_ws("#", f"{c}ref_owner", f"{c}ref_member")
-        pairs = R.pair_moves(changed, site, [["targets", "ref_member"], ["targets", "ref_owner"], ["targets"]])
+        pairs = self._moves(changed)
         none = F.lit(None).cast("string").alias("moved_to")
         side = lambda d, c: d.select(F.lit(c).alias("change"), name().alias("site"), "targets", none)
         moved = removed.join(pairs.select("old.*", "new"), site).select(F.lit("moved").alias("change"), name().alias("site"), "targets", name("new.").alias("moved_to"))
@@ -785,6 +812,10 @@ class Engine:
     def resource_tree(self, ord_: int, prefix: str = "") -> DataFrame:
         return S.directory(S.at_point(self.runs, ord_), prefix).orderBy(F.desc("is_dir"), "name")
 
+    def resource_file(self, path: str, ord_: int) -> DataFrame:
+        """(path, blob, kind, size, content_type) of a file as it is at an ordinal; no row if it isn't there."""
+        return S.at_point(self.runs.where(F.col("path") == path), ord_).select("path", "blob", "kind", "size", content_type(F.col("path")).alias("content_type"))
+
     def resource_diff(self, old: int, new: int, prefix: str = "") -> DataFrame:
         return S.interval_diff(self.runs.where(F.col("path").startswith(prefix)), ["path"], "blob", old, new).orderBy("path")
 

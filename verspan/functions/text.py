@@ -61,12 +61,6 @@ def squeeze(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), r"\s+", " ")
 
 
-def lines(text: Column) -> Column:
-    """Lines with CRLF and CR as LF, without an empty last one."""
-    unix = F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "\r", "\n")
-    return F.split(F.regexp_replace(unix, r"\n$", ""), "\n", -1)
-
-
 def body_hash(bodies: Column) -> Column:
     """16 hexadecimal digits of SHA-256 over an array of (descriptor, body) in order of the descriptors."""
     texts = F.transform(F.array_sort(bodies), lambda b: F.concat(b["descriptor"], F.lit("\n"), strip_lambda_index(b["body"])))
