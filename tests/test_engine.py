@@ -354,3 +354,22 @@ def test_caps_and_names_of_versions(engine, spark):
 def test_resource_file(engine):
     assert rows(engine.resource_file("fruit.csv", 1), "blob", "content_type") == [("h2", "application/octet-stream")]
     assert rows(engine.resource_file("img/leaf.png", 0), "blob", "content_type") == [("h3", "image/png")] and engine.resource_file("img/leaf.png", 2).count() == 0
+
+
+def test_search_resources_from_the_index(moving, tmp_path):
+    from dataclasses import replace
+
+    other = replace(moving)
+    other.build_resource_index(f"file://{tmp_path}/resources")
+    for ask in (dict(query="ripe"), dict(query="ripe", ord_=0), dict(query="ripe", kind="translation"), dict(query="ripe", kind="translation", ord_=2), dict(query="nothing")):
+        assert list(map(str, other.search_resources(**ask).collect())) == list(map(str, moving.search_resources(**ask).collect()))
+
+
+def test_counts_of_versions(engine, spark):
+    """Stored counts are taken as they are; versions without them are counted."""
+    from dataclasses import replace
+
+    known = engine.versions.withColumns({n: F.when(F.col("version_id") == "2.0", 9).cast("bigint") for n in ("class_count", "method_count", "field_count")})
+    assert rows(replace(engine, versions=known).list_versions(), "version_id", "class_count", "method_count", "field_count") == [("2.0", 9, 9, 9), ("2.1", 6, 2, 1), ("3.0", 4, 3, 0)]
+    whole = known.fillna(1, ["class_count", "method_count", "field_count"])
+    assert rows(replace(engine, versions=whole, classes=None, members=None).list_versions(), "class_count") == [(9,), (1,), (1,)]  # nothing is scanned

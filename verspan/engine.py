@@ -33,6 +33,9 @@ NAMESPACES = {"yarn": "yarn_name", "named": "yarn_name", "mojmap": "mojmap_name"
 #: The columns of names that are searched, beside the simple name.
 SEARCHED = ["yarn_name", "mojmap_name", "intermediary_name", "obf_name"]
 
+#: All resources are one corpus.
+RESOURCES = "resources"
+
 #: The most entries of one request, by what it asks.
 CAPS = {"queries": 25, "post queries": 50, "body": 2000, "versions": 60, "scanned versions": 25, "targets": 50, "classes": 25, "depth": 5}
 
@@ -99,6 +102,8 @@ class Engine:
     decl_index: SideIndex | None = None
     ref_index: SideIndex | None = None
     resource_versions: DataFrame | None = None
+    content_index: SearchIndex | None = None
+    translation_index: SearchIndex | None = None
 
     # side indexes
 
@@ -136,11 +141,16 @@ class Engine:
 
     def list_versions(self, include_variants: bool = True, releases_only: bool = False, release_type: str | None = None, id_prefix: str | None = None) -> DataFrame:
         v = self.ordered_versions()
-        counts = self.classes.groupBy("version_id").agg(F.count("*").alias("_c"))
-        m = self.members.groupBy("version_id").agg(F.count_if(F.col("kind") == "method").alias("_m"), F.count_if(F.col("kind") == "field").alias("_f"))
-        v = v.join(counts, "version_id", "left").join(m, "version_id", "left")
-        for stored, found in (("class_count", "_c"), ("method_count", "_m"), ("field_count", "_f")):
-            v = v.withColumn(stored, F.coalesce(stored, found, F.lit(0)))
+        names = (("class_count", "_c"), ("method_count", "_m"), ("field_count", "_f"))
+        # what was counted when a version was written is taken; only versions without counts are scanned
+        unknown = [r["version_id"] for r in self.versions.where(" or ".join(f"{n} is null" for n, _ in names)).select("version_id").collect()]
+        of = lambda t: t.where(F.col("version_id").isin(unknown)).groupBy("version_id")
+        if unknown:
+            counts = of(self.classes).agg(F.count("*").alias("_c"))
+            m = of(self.members).agg(F.count_if(F.col("kind") == "method").alias("_m"), F.count_if(F.col("kind") == "field").alias("_f"))
+            v = v.join(counts, "version_id", "left").join(m, "version_id", "left")
+            for stored_count, found in names:
+                v = v.withColumn(stored_count, F.coalesce(stored_count, found, F.lit(0)))
         return self._filtered(v.drop("_c", "_m", "_f"), include_variants, releases_only, release_type, id_prefix).orderBy("rank")
 
     @staticmethod
@@ -829,13 +839,25 @@ class Engine:
             raise QueryError("nothing to search for")
         if kind == "translation":
             t = self.translations.withColumn("row", F.struct("path", "key", "from_ord"))
-            hits = X.bm25(t.withColumn("text", F.concat_ws(" ", "key", "value")), "row", "text", words)
+            hits = self.translation_index.bm25(RESOURCES, words).select("row", "score") if self.translation_index else X.bm25(t.withColumn("text", F.concat_ws(" ", "key", "value")), "row", "text", words)
             alive = t if ord_ is None else S.at_point(t, ord_)
             return X.page(alive.join(hits, "row"), [F.desc("score"), "row"], limit).select("path", "from_ord", "to_ord", "key", "value")
         alive = self.runs if ord_ is None else S.at_point(self.runs, ord_)
-        hits = X.bm25(self.contents, "blob", "text", words).join(alive.select(F.col("blob").alias("row")), "row", "left_semi")
+        hits = self.content_index.bm25(RESOURCES, words).select("row", "score") if self.content_index else X.bm25(self.contents, "blob", "text", words)
+        hits = hits.join(alive.select(F.col("blob").alias("row")), "row", "left_semi")
         best = X.page(hits, [F.desc("score"), "row"], limit)
         return alive.join(F.broadcast(best), alive["blob"] == best["row"]).orderBy(F.desc("score"), "blob", "path", "from_ord").limit(limit).select("path", "from_ord", "to_ord", "blob")
 
+    def build_resource_index(self, path: str, force: bool = False) -> None:
+        """Indexes contents and translations below ``path``, if that isn't done yet, and searches there from now on."""
+        as_version = lambda df: df.withColumn("version", F.lit(RESOURCES))
+        if self.contents is not None:
+            self.content_index = SearchIndex(self.spark, f"{path}/contents", ["text"], "string")
+            self.content_index.build(as_version(self.contents.withColumnRenamed("blob", "row")), [RESOURCES], force)
+        if self.translations is not None:
+            self.translation_index = SearchIndex(self.spark, f"{path}/translations", ["text"], "struct<path: string, key: string, from_ord: int>")
+            rows = self.translations.select(F.struct("path", "key", "from_ord").alias("row"), F.concat_ws(" ", "key", "value").alias("text"))
+            self.translation_index.build(as_version(rows), [RESOURCES], force)
+
     def resource_history(self, path: str) -> DataFrame:
         return self.runs.where(F.col("path") == path).orderBy("from_ord")

@@ -133,3 +133,11 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     df = docs.select(F.explode(F.array_distinct(X.tokens(F.coalesce("text", F.lit(""))))).alias("token")).groupBy("token").agg(F.count("*").alias("df")).where("df >= 100")
     return df.join(F.broadcast(X.corpus_stats(docs, "doc_id", "text"))).select("token", "df", "n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query("""
+WITH t AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{L}\\p{N}]+') AS ts FROM documents), h AS (SELECT doc_id, len(ts) AS dl, len([x FOR x IN ts IF x LIKE 'uber%']) AS t1, len([x FOR x IN ts IF x = 'e']) AS t2 FROM t)
+SELECT doc_id, dl, t1 AS tf0, t2 AS tf1 FROM h WHERE t1 > 0 OR t2 > 0""", model=False)
+def search_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters with diacritics are found by the plain ones and the other way round."""
+    return text_index(spark, sf_dir).hits(CORPUS, [("Über", True), ("é", False)]).withColumnRenamed("row", "doc_id")
