@@ -42,7 +42,7 @@ from verspan.llm.common import CACHES, map_texts, stored, table
 CAPACITY, END_ID = 2048, 0
 TOKENIZER = "byte_bpe_50k.json"
 #: Parts of a generation whose ids a worker keeps, their characters and bytes of ids, and documents tokenised at once; only speed depends on them.
-PART_CACHE, PART_BYTES, AT_ONCE = 500_000, 48 << 20, 400
+PART_CACHE, PART_BYTES, AT_ONCE = 1_000_000, 48 << 20, 400
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
 
 _CUT = re.compile(r" (?=\S)")
