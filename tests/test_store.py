@@ -49,6 +49,15 @@ def test_parts(spark, place):
     assert tuples(store.read(["2020", "a b"])) == [("2020", 13, "x"), ("a b", 1, "x"), ("a b", 2, "y")]
 
 
+def test_many_parts_in_several_builds(spark, place, monkeypatch):
+    monkeypatch.setattr("verspan.store.parts.AT_ONCE", 3)
+    rows = spark.createDataFrame([(f"v{i % 8}", i) for i in range(40)], "v string, k int")
+    store = PartStore(spark, place, "v string, k int", "v")
+    assert store.write(rows, [f"v{i}" for i in range(8)]) == [f"v{i}" for i in range(8)]
+    assert len({b["build"] for b in store.built().values()}) == 3 and {b["rows"] for b in store.built().values()} == {5}
+    assert tuples(store.read()) == tuples(rows) and tuples(store.read(["v7"])) == [("v7", i) for i in (15, 23, 31, 39, 7)]
+
+
 def test_parts_torn_build(spark, place, monkeypatch):
     rows = spark.createDataFrame([("a", 1)], "v string, k int")
     store = PartStore(spark, place, "v string, k int", "v")

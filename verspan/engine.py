@@ -814,7 +814,7 @@ class Engine:
     def ord_of(self, version: str) -> int:
         """The ordinal of a version named by any of its three ids."""
         v = self.resource_versions
-        hit = v.where((F.col("mcmeta_id") == version) | (F.col("name") == version) | (F.col("version_id") == version)).agg(F.min("ord")).first()[0]
+        hit = v.where((F.col("source_id") == version) | (F.col("name") == version) | (F.col("version_id") == version)).agg(F.min("ord")).first()[0]
         if hit is None:
             raise QueryError(f"unknown version {version!r}", 404)
         return hit

@@ -14,4 +14,4 @@ BODIES = "version_id string, ns string, owner string, member string, descriptor
 INSTRUCTIONS = "version_id string, ns string, owner string, method string, descriptor string, target string"
 CONTENTS = "blob string, text string"
 TRANSLATIONS = "path string, key string, value string, from_ord int, to_ord int"
-RESOURCE_VERSIONS = "ord int, mcmeta_id string, name string, version_id string, release_type string, release_time string"
+RESOURCE_VERSIONS = "ord int, source_id string, name string, version_id string, release_type string, release_time string"

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 REGISTRY = "part string, build string, at long, counts string"
+#: Parts of one build at most: each part's counts are columns of its plan.
+AT_ONCE = 64
 
 
 class PartStore:
@@ -62,6 +64,8 @@ class PartStore:
         parts = list(dict.fromkeys(parts))
         if not parts:
             return []
+        if len(parts) > AT_ONCE:
+            return [p for i in range(0, len(parts), AT_ONCE) for p in self.write(rows, parts[i : i + AT_ONCE], counts)]
         build, seen = uuid.uuid4().hex, Observation()
         keys = [self.part, *self.sub]
         rows = rows.select(*self.columns).where(F.col(self.part).isin(parts))
