@@ -97,6 +97,17 @@ def test_index_equals_scan(spark, place):
     assert index.versions()["v1"]["n"] == rows.where("version = 'v1'").count()
 
 
+def test_index_has_a_posting_for_each_token_of_a_row(spark, place):
+    rows = spark.createDataFrame([(1, "v", "The the élan the elan"), (2, "v", None)], "row long, version string, text string")
+    index = SearchIndex(spark, place, ["text"])
+    index.build(rows, ["v"])
+    kept = index.store.read(["v"]).where("lead <> 'rows'")
+    assert tuples(kept, "row", "token", "written", "pos", "lens") == [(1, "elan", "élan", [2], [5]), (1, "elan", None, [4], [5]), (1, "the", None, [0, 1, 3], [5])]
+    assert tuples(index.postings("v", "elan", False), "row", "written", "pos") == [(1, "elan", 4), (1, "élan", 2)]
+    hits = index.hits("v", [("the", False), ("élan", False)], exact=True)
+    assert tuples(hits, "row", "dl", "tf0", "tf1") == [(1, 5, 3, 1)]
+
+
 def test_index_reads_what_its_terms_can_be_in(spark, place):
     rows = spark.createDataFrame([(i, "v1", " ".join(WORDS)) for i in range(20)], "row long, version string, text string")
     index = SearchIndex(spark, place, ["text"])

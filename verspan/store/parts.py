@@ -55,9 +55,10 @@ class PartStore:
 
     # rows
 
-    def write(self, rows: DataFrame, parts: Iterable[str], counts: dict[str, Column] | None = None) -> list[str]:
+    def write(self, rows: DataFrame, parts: Iterable[str], counts: dict[str, Column] | None = None, lie: bool = False) -> list[str]:
         """Builds these parts from the rows that belong to them, a part without rows too.
 
+        lie: each task writes the rows that it has, none are shuffled; a task then has a file in each folder of its rows.
         counts: conditions whose rows are counted for each part while they are written, in the stage that
         writes, where a task that is run again counts once.
         """
@@ -65,11 +66,12 @@ class PartStore:
         if not parts:
             return []
         if len(parts) > AT_ONCE:
-            return [p for i in range(0, len(parts), AT_ONCE) for p in self.write(rows, parts[i : i + AT_ONCE], counts)]
+            return [p for i in range(0, len(parts), AT_ONCE) for p in self.write(rows, parts[i : i + AT_ONCE], counts, lie)]
         build, seen = uuid.uuid4().hex, Observation()
         keys = [self.part, *self.sub]
         rows = rows.select(*self.columns).where(F.col(self.part).isin(parts))
-        rows = rows.hint("rebalance", *keys)  # AQE splits what is large and joins what is small
+        if not lie:
+            rows = rows.hint("rebalance", *keys)  # AQE splits what is large and joins what is small
         asked = {"rows": F.lit(True), **(counts or {})}
         told = {f"{i}:{name}": F.count_if((F.col(self.part) == p) & c).alias(f"{i}:{name}") for i, p in enumerate(parts) for name, c in asked.items()}
         rows.observe(seen, *told.values()).sortWithinPartitions(*keys, *self.order).write.partitionBy(*keys).option("compression", "zstd").parquet(f"{self.path}/data/build={build}")

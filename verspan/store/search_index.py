@@ -1,15 +1,18 @@
 """A stored search index: postings by version and first character, lengths beside them.
 
-Each occurrence of a token is a row: the token with case and diacritics folded, as it is
-written, its column and position, and the lengths of all columns of its row, so that a
-search needs no other table. Postings lie in a folder for each version and first
-character, sorted by token, so that a search reads the few folders and row groups that its
-terms can be in. Each row also has a marker in the folder ``ROWS``; a version's number of
+A posting is a row: a token with case and diacritics folded, as it is written where that
+differs, its column, all its positions there, and the lengths of all columns of its row, so
+that a search needs no other table. The occurrences of a token in a text are brought
+together where the text lies, and each task writes its own postings, so that a build
+shuffles no postings; texts of several versions are brought together by version before.
+Postings lie in a folder for each version and first character, in files sorted by token, so
+that a search reads the few folders and row groups that its terms can be in. Each row also has a marker in the folder ``ROWS``; a version's number of
 rows and total lengths are summed up from them once and kept in the registry.
 
-A phrase is found by where it would begin: an occurrence of its j-th word at position p
-speaks for p - j, and a beginning that all words speak for is a hit. One exchange by row
-does for all phrases of a query. Terms are found in one column each.
+Single words are counted by row, in each file before the exchange. A phrase is found by where
+it would begin: an occurrence of its j-th word at position p speaks for p - j, and a beginning
+that all words speak for is a hit. One exchange by row does for all phrases of a query. Terms
+are found in one column each.
 """
 
 from __future__ import annotations
@@ -72,8 +75,8 @@ class SearchIndex:
 
     def __init__(self, spark: SparkSession, path: str, columns: Sequence[str], row_type: str = "bigint"):
         self.spark, self.columns = spark, list(columns)
-        schema = f"version string, lead string, token string, written string, row {row_type}, col int, pos int, lens array<int>"
-        self.store = PartStore(spark, path, schema, "version", ["lead"], ["token", "row", "col", "pos"])
+        schema = f"version string, lead string, token string, written string, row {row_type}, col int, pos array<int>, lens array<int>"
+        self.store = PartStore(spark, f"{path.rstrip('/')}/postings", schema, "version", ["lead"], ["token", "row", "col"])
 
     def build(self, rows: DataFrame, versions: Iterable[str], force: bool = False) -> list[str]:
         """Indexes the versions that have no index yet, of rows with ``version``, ``row`` and the text columns."""
@@ -81,17 +84,23 @@ class SearchIndex:
         if not todo:
             return []
         rows = rows.where(F.col("version").isin(todo))
-        many = self.spark.sparkContext.defaultParallelism
-        if rows.rdd.getNumPartitions() < many:  # a few large files would be split by as few tasks
-            rows = rows.repartition(many)
+        # the texts, not their postings, are dealt out, in tasks of bounded size; a task has few versions, so that it writes few files
+        rows = rows.select("version", "row", *self.columns).hint("rebalance", *(["version"] if len(todo) > 1 else []))
         pieces = rows.select("version", "row", *[_pieces(F.col(c)).alias(f"_{i}") for i, c in enumerate(self.columns)])
         pieces = pieces.withColumn("lens", F.array(*[F.size(f"_{i}") for i in range(len(self.columns))]))
-        entry = lambda i: F.transform(f"_{i}", lambda w, p: F.struct(w["token"].alias("token"), w["written"].alias("written"), F.lit(i).alias("col"), p.alias("pos")))
-        marker = F.array(F.struct(F.lit("").alias("token"), F.lit("").alias("written"), F.lit(-1).alias("col"), F.lit(-1).alias("pos")))
-        each = pieces.select("version", "row", "lens", F.explode(F.concat(marker, *[entry(i) for i in range(len(self.columns))])).alias("e")).select("version", "row", "lens", "e.*")
+        key = lambda token, written, col: F.struct(token.alias("token"), written.alias("written"), col.cast("int").alias("col"))
+        entry = lambda i: F.transform(f"_{i}", lambda w, p: F.struct(key(w["token"], F.nullif(w["written"], w["token"]), F.lit(i)).alias("key"), p.alias("pos")))
+        # the occurrences of a row in order: a posting begins where the key changes
+        sorted_ = pieces.select("version", "row", "lens", F.sort_array(F.concat(*[entry(i) for i in range(len(self.columns))])).alias("s"))
+        changes = lambda e, k: F.when((k == 0) | ~F.get("s", k - 1)["key"].eqNullSafe(e["key"]), k)
+        begun = sorted_.withColumn("b", F.array_compact(F.transform("s", changes)))
+        until = lambda j: F.coalesce(F.get("b", j + 1), F.size("s"))
+        posting = lambda k, j: F.struct(F.get("s", k)["key"].alias("key"), F.transform(F.slice("s", k + 1, until(j) - k), lambda e: e["pos"]).alias("pos"))
+        marker = F.array(F.struct(key(F.lit(""), F.lit(None).cast("string"), F.lit(-1)).alias("key"), F.array().cast("array<int>").alias("pos")))
+        each = begun.select("version", "row", "lens", F.explode(F.concat(marker, F.transform("b", posting))).alias("e")).select("version", "row", "lens", "e.key.*", "e.pos")
         lead = F.when(F.col("col") < 0, ROWS).otherwise(_lead(F.col("token")))
         out = each.select("version", lead.alias("lead"), "token", "written", "row", "col", "pos", "lens")
-        self.store.write(out, todo)
+        self.store.write(out, todo, lie=True)
         self._count(todo)
         return todo
 
@@ -111,7 +120,8 @@ class SearchIndex:
 
     def postings(self, version: str, word: str, prefix: bool, exact: bool = False) -> DataFrame:
         """Occurrences of a word; exact: with case folded only."""
-        return self._found(version, [(word, prefix)], exact).drop("lead")
+        found = self._found(version, [(word, prefix)], exact)
+        return found.select("version", "token", F.coalesce("written", "token").alias("written"), "row", "col", F.explode("pos").alias("pos"), "lens")
 
     def _found(self, version: str, words: Sequence[tuple[str, bool]], exact: bool) -> DataFrame:
         """Postings of any of the words, by filters that prune folders and row groups."""
@@ -125,13 +135,17 @@ class SearchIndex:
         cols = [self.columns.index(c) for c in columns] if columns else list(range(len(self.columns)))
         terms = [(i, j, w, prefix and j == len(ws) - 1) for i, (ws, prefix) in enumerate(split) for j, w in enumerate(ws)]
         found = self._found(version, [(w, p) for _, _, w, p in terms], exact).where(F.col("col").isin(cols))
-        speaks = F.array_compact(F.array(*[F.when(_term(w, p, exact), F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))) for i, j, w, p in terms]))
         dl = reduce(lambda x, y: x + y, [F.col("lens")[c] for c in cols]).cast("bigint")
-        each = found.select("row", dl.alias("dl"), "col", "pos", speaks.alias("s")).repartition("row").select("row", "dl", "col", "pos", F.explode("s").alias("s"))
-        begins = each.groupBy("row", "col", F.col("s.i").alias("i"), (F.col("pos") - F.col("s.j")).alias("at")).agg(F.count("*").alias("said"), F.max("dl").alias("dl"))
-        sizes = F.array(*[F.lit(len(ws)) for ws, _ in split])
-        tf = [F.count_if(F.col("i") == i).alias(f"tf{i}") for i in range(len(split))]
-        hits = begins.where(F.col("said") == sizes[F.col("i")]).groupBy("row").agg(F.max("dl").alias("dl"), *tf)
+        if all(len(ws) == 1 for ws, _ in split):
+            tf = [F.sum(F.when(_term(w, p, exact), F.size("pos")).otherwise(0)).alias(f"tf{i}") for i, _, w, p in terms]
+            hits = found.groupBy("row").agg(F.max(dl).alias("dl"), *tf)
+        else:
+            speaks = F.array_compact(F.array(*[F.when(_term(w, p, exact), F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))) for i, j, w, p in terms]))
+            each = found.select("row", dl.alias("dl"), "col", "pos", speaks.alias("s")).repartition("row").select("row", "dl", "col", F.explode("pos").alias("pos"), "s").select("row", "dl", "col", "pos", F.explode("s").alias("s"))
+            begins = each.groupBy("row", "col", F.col("s.i").alias("i"), (F.col("pos") - F.col("s.j")).alias("at")).agg(F.count("*").alias("said"), F.max("dl").alias("dl"))
+            sizes = F.array(*[F.lit(len(ws)) for ws, _ in split])
+            tf = [F.count_if(F.col("i") == i).alias(f"tf{i}") for i in range(len(split))]
+            hits = begins.where(F.col("said") == sizes[F.col("i")]).groupBy("row").agg(F.max("dl").alias("dl"), *tf)
         return hits.where("dl > 0")  # all have; it keeps what counts them the same plan as what scores them, so that one exchange does for both
 
     def bm25(self, version: str, phrases: Sequence[tuple[str, bool]], columns: Sequence[str] | None = None, exact: bool = False) -> DataFrame:
@@ -156,5 +170,6 @@ def _term(word: str, prefix: bool, exact: bool) -> Column:
     here = F.col("lead") == lead
     here &= F.col("token").startswith(token) if prefix else F.col("token") == token
     if exact:
-        here &= F.col("written").startswith(word.lower()) if prefix else F.col("written") == word.lower()
+        written = F.coalesce("written", "token")
+        here &= written.startswith(word.lower()) if prefix else written == word.lower()
     return here
