@@ -34,6 +34,22 @@ def lines_of(spark: SparkSession, sf_dir: str, years: tuple[int, int] | None = N
     return table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
+#: Lines of a task where all lines are grouped: what a task holds stays the same at any size of the input.
+LINES_AT_ONCE = 500_000
+
+
+def tasks_for(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks that the lines are dealt out to, from the number of rows in the files' footers."""
+    return max(1, -(-table(spark, sf_dir, "lineitem").count() // LINES_AT_ONCE))
+
+
+def part_lines(spark: SparkSession, sf_dir: str, tasks: int, outer: bool = False) -> DataFrame:
+    """(part, sup, v) of the lines, joined in ``tasks`` tasks; outer: also of lines without an order, v is null."""
+    o = orders(spark, sf_dir).select(F.col("o_orderkey").alias("l_orderkey"), "v").repartition(tasks, "l_orderkey")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("sup")).repartition(tasks, "l_orderkey")
+    return li.join(o.hint("merge"), "l_orderkey", "left" if outer else "inner").select("part", "sup", "v")
+
+
 def members(spark: SparkSession, sf_dir: str, years: tuple[int, int] | None = None) -> DataFrame:
     """(v, owner, slot, bucket, name)"""
     keys = ["v", "owner", F.col("l_linenumber").cast("long").alias("slot"), (F.col("l_partkey") % 3).alias("bucket")]

@@ -9,7 +9,7 @@ from verspan import schema
 from verspan.engine import Engine
 from verspan.operators import graph as G
 from verspan.operators import references as R
-from verspan.plans.bindings import hierarchy, lines_of, references, table, versions
+from verspan.plans.bindings import hierarchy, lines_of, part_lines, references, table, tasks_for, versions
 from verspan.plans.registry import query
 from verspan.shared import derived, stored
 from verspan.store.side_index import SideIndex
@@ -116,7 +116,9 @@ def validate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _side_refs(spark: SparkSession, sf_dir: str) -> SideIndex:
     """References of parts by year, a pair for each year; only years without an index are built."""
-    rows = R.multiplicity(lines_of(spark, sf_dir).select(F.col("v").cast("string").alias("version_id"), F.lit("part").alias("ns"), F.col("l_partkey").cast("string").alias("owner"), F.col("l_suppkey").alias("ref_owner")), ["version_id", "ns", "owner", "ref_owner"])
+    tasks = tasks_for(spark, sf_dir)
+    counted = R.multiplicity(part_lines(spark, sf_dir, tasks).repartition(tasks, "part", "sup", "v"), ["v", "part", "sup"])  # by numbers; they are named afterwards
+    rows = counted.select(F.col("v").cast("string").alias("version_id"), F.lit("part").alias("ns"), F.col("part").cast("string").alias("owner"), F.col("sup").alias("ref_owner"), "cnt")
     index = SideIndex(spark, derived(spark, "side-refs", f"{sf_dir}/lineitem.parquet", f"{sf_dir}/orders.parquet"), "version_id string, ns string, owner string, ref_owner bigint, cnt bigint", "owner")
     index.build(rows, [(str(r["v"]), "part") for r in versions(spark, sf_dir).select("v").collect()])  # a row for each year
     return index
