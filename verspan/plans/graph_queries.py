@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verspan import schema
@@ -102,16 +104,25 @@ e AS (SELECT v, l_partkey AS part, l_suppkey AS sup, count(*) AS hits FROM lines
 SELECT k.v, k.part, k.sup, CASE WHEN e.hits > 0 THEN 'ok' WHEN n.others = 1 THEN 'call_moved' WHEN n.others > 1 THEN 'renamed' ELSE 'missing' END AS verdict, e.hits AS at_count, CASE WHEN e.hits IS NULL AND n.others = 1 THEN n.moved END AS moved_to
 FROM k LEFT JOIN e ON e.v = k.v AND e.part = k.part AND e.sup = k.sup LEFT JOIN n ON n.v = k.v AND n.part = k.part""")
 def validate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdict ladder for stated targets: hits, a single other holder, several, none."""
-    from verspan.plans.bindings import versions
-
-    li = lines_of(spark, sf_dir).select("v", F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("sup"))
-    e = R.multiplicity(li, ["v", "part", "sup"], "at_count")
-    n = e.groupBy("v", "part").agg(F.count("*").alias("others"), F.min("sup").alias("moved"))
-    all_v = versions(spark, sf_dir).agg(F.collect_set("v").alias("vs"))
-    k = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("sup")).distinct().join(F.broadcast(all_v)).select(F.explode("vs").alias("v"), "part", "sup")
+    """The verdict ladder for stated targets: hits, a single other holder, several, none.
+
+    A line is shuffled to its order and then to its part; a part's pairs, their counts of each
+    version and its holders are found where its lines lie, and versions are added to what is found.
+    """
+    tasks = tasks_for(spark, sf_dir)
+    lines = part_lines(spark, sf_dir, tasks, outer=True).repartition(tasks, "part")
+    e = lines.groupBy("part", "sup", "v").agg(F.count("*").alias("n"))
+    by_version, by_part, named = Window.partitionBy("part", "v"), Window.partitionBy("part"), F.col("v").isNotNull()
+    e = e.withColumn("others", F.count("*").over(by_version)).withColumn("moved", F.min("sup").over(by_version))
+    e = e.withColumn("held", F.collect_set(F.when(named, F.struct("v", F.struct("others", "moved").alias("h")))).over(by_part))  # one for each version
+    counts = F.map_from_entries(F.collect_list(F.when(named, F.struct("v", "n"))))
+    pairs = e.groupBy("part", "sup").agg(counts.alias("hits"), F.map_from_entries(F.any_value("held")).alias("held"))
+    all_v = versions(spark, sf_dir).agg(F.collect_list(F.struct("v")).alias("vs"))  # structs keep a null version
+    k = pairs.join(F.broadcast(all_v)).select("part", "sup", "hits", "held", F.explode("vs.v").alias("v"))
+    at = lambda m, *keys: F.when(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in ("v", *keys)]), F.try_element_at(m, F.coalesce("v", F.lit(0))))
+    k = k.select("v", "part", "sup", at(F.col("hits"), "part", "sup").alias("at_count"), at(F.col("held"), "part").alias("h")).select("v", "part", "sup", "at_count", "h.others", "h.moved")
     verdict = F.when(F.col("at_count") > 0, "ok").when(F.col("others") == 1, "call_moved").when(F.col("others") > 1, "renamed").otherwise("missing")
-    return k.join(e, ["v", "part", "sup"], "left").join(n, ["v", "part"], "left").select("v", "part", "sup", verdict.alias("verdict"), "at_count", F.when(F.col("at_count").isNull() & (F.col("others") == 1), F.col("moved")).alias("moved_to"))
+    return k.select("v", "part", "sup", verdict.alias("verdict"), "at_count", F.when(F.col("at_count").isNull() & (F.col("others") == 1), F.col("moved")).alias("moved_to"))
 
 
 def _side_refs(spark: SparkSession, sf_dir: str) -> SideIndex:
