@@ -108,6 +108,16 @@ def test_index_has_a_posting_for_each_token_of_a_row(spark, place):
     assert tuples(hits, "row", "dl", "tf0", "tf1") == [(1, 5, 3, 1)]
 
 
+def test_single_words_are_summed_before_they_are_shuffled(spark, place):
+    """As an engine's search of names asks them."""
+    index = SearchIndex(spark, place, ["x", "y"], "struct<kind: int, id: int>")
+    index.build(spark.createDataFrame([((1, 2), "v", "c1 c1", "c12")], "row struct<kind: int, id: int>, version string, x string, y string"), ["v"])
+    found = index.hits("v", [("c1", True)])
+    plan = plan_of(found)
+    assert "Generate" not in plan and "partial_sum" in plan.split("Exchange")[1]
+    assert [(tuple(r["row"]), r["dl"], r["tf0"]) for r in found.collect()] == [((1, 2), 3, 3)]
+
+
 def test_index_reads_what_its_terms_can_be_in(spark, place):
     rows = spark.createDataFrame([(i, "v1", " ".join(WORDS)) for i in range(20)], "row long, version string, text string")
     index = SearchIndex(spark, place, ["text"])
