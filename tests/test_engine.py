@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from verspan import schema
 from verspan.engine import Engine, QueryError, split_owner_member
+from verspan.store.parts import PartStore
 
 #: versions, obfuscated, intermediary and the two named spellings
 CLASSES = [
@@ -257,6 +258,24 @@ def test_search_from_the_index(engine, spark, tmp_path):
         assert shown(other.search(version_id=v, **q)) == shown(engine.search(version_id=v, **q))
 
 
+def test_search_from_the_index_reads_no_tables(engine, tmp_path, monkeypatch):
+    """The elements are stored beside their index: tables are joined once, when it is built, and ranked once in a search."""
+    from dataclasses import replace
+
+    built, unread = replace(engine), F.raise_error(F.lit("read")).isNull()
+    assert built.build_search_index(f"file://{tmp_path}/index", ["3.0"]) == ["3.0"]
+    built.classes, built.members = engine.classes.where(unread), engine.members.where(unread)
+    asked = [dict(query="orchard", ns="yarn"), dict(query="orchard", ns="yarn", limit=2, offset=3), dict(query="orchard", ns="yarn", offset=99), dict(query="rchar", ns="yarn", offset=2), dict(query="har", kind="method", ns="yarn")]
+    for q in asked:
+        assert built.search(version_id="3.0", **q).collect() == engine.search(version_id="3.0", **q).collect()
+    assert engine.search("orchard", "3.0", offset=99).count() == 0 and engine.search("orchard", "3.0").count() > 0
+    # an index without stored elements gets them, one that has them is left as it is
+    older = replace(engine)
+    monkeypatch.setattr("verspan.engine.PartStore", lambda s, path, *a, **k: PartStore(s, f"{path}-anew", *a, **k))
+    assert older.build_search_index(f"file://{tmp_path}/index", ["3.0"]) == [] and older.elements.missing(["3.0"]) == []
+    assert older.search("orchard", "3.0", ns="yarn").collect() == engine.search("orchard", "3.0", ns="yarn").collect()
+
+
 def test_search_finds_letters_without_their_marks(engine, spark, tmp_path):
     from dataclasses import replace
 

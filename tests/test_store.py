@@ -118,6 +118,19 @@ def test_single_words_are_summed_before_they_are_shuffled(spark, place):
     assert [(tuple(r["row"]), r["dl"], r["tf0"]) for r in found.collect()] == [((1, 2), 3, 3)]
 
 
+def test_builds_deal_out_a_bounded_number_of_tokens(spark, place, monkeypatch):
+    """A task's postings are sorted in memory, however well its texts are compressed."""
+    monkeypatch.setattr("verspan.store.search_index.TOKENS_AT_ONCE", 100)
+    seen, write = [], PartStore.write
+    monkeypatch.setattr(PartStore, "write", lambda self, rows, *a, **k: seen.append(rows) or write(self, rows, *a, **k))
+    rows = spark.createDataFrame([(i, v, "a b " * 5, None) for i in range(45) for v in ("v", "w")], "row long, version string, x string, y string")
+    for n, versions in enumerate((["v"], ["v", "w"]), 1):
+        index = SearchIndex(spark, f"{place}-{n}", ["x", "y"])
+        index.build(rows, versions)
+        assert seen[-1].rdd.getNumPartitions() == -(-45 * n * 11 // 100)  # with a marker for each row
+        assert index.hits("v", [("a", False)]).count() == 45 and {v: b["n"] for v, b in index.versions().items()} == dict.fromkeys(versions, 45)
+
+
 def test_index_reads_what_its_terms_can_be_in(spark, place):
     rows = spark.createDataFrame([(i, "v1", " ".join(WORDS)) for i in range(20)], "row long, version string, text string")
     index = SearchIndex(spark, place, ["text"])

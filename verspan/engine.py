@@ -24,6 +24,7 @@ from verspan.operators import references as R
 from verspan.operators import search as X
 from verspan.operators import spans as S
 from verspan.shared import stored
+from verspan.store.parts import PartStore
 from verspan.store.search_index import SearchIndex
 from verspan.store.side_index import SideIndex
 
@@ -33,6 +34,9 @@ NAMESPACES = {"yarn": "yarn_name", "named": "yarn_name", "mojmap": "mojmap_name"
 #: The columns of names that are searched, beside the simple name.
 SEARCHED = ["yarn_name", "mojmap_name", "intermediary_name", "obf_name"]
 
+#: What is searched, as it is stored beside its index.
+ELEMENTS = "version_id string, kind_rank int, kind string, id bigint, owner_id bigint, simple_name string, " + ", ".join(f"{n} string" for n in SEARCHED)
+
 #: All resources are one corpus.
 RESOURCES = "resources"
 
@@ -99,6 +103,7 @@ class Engine:
     contents: DataFrame | None = None
     translations: DataFrame | None = None
     index: SearchIndex | None = None
+    elements: PartStore | None = None
     decl_index: SideIndex | None = None
     ref_index: SideIndex | None = None
     resource_versions: DataFrame | None = None
@@ -597,11 +602,18 @@ class Engine:
     # search
 
     def build_search_index(self, path: str, versions: list[str] | None = None, force: bool = False) -> list[str]:
-        """Indexes the names of the versions that have no index below ``path`` yet and searches there from now on; the versions built."""
+        """Indexes the names of the versions that have no index below ``path`` yet and searches there from now on; the versions built.
+
+        The elements are stored first: the index is built from them and a search reads their names there, so that the tables are joined once.
+        """
         self.index = SearchIndex(self.spark, path, [*SEARCHED, "simple_name"], "struct<kind_rank: int, id: bigint>")
+        self.elements = PartStore(self.spark, f"{path.rstrip('/')}/elements", ELEMENTS, "version_id", order=["kind_rank", "id"])
         wanted = versions or [r["version_id"] for r in self.versions.select("version_id").collect()]
-        rows = self._elements_of(wanted).select(F.col("version_id").alias("version"), F.struct("kind_rank", "id").alias("row"), *SEARCHED, "simple_name")
-        return self.index.build(rows, wanted, force)
+        todo = self.index.store.missing(wanted, force)
+        fresh = [v for v in dict.fromkeys(wanted) if v in {*todo, *self.elements.missing(wanted)}]
+        self.elements.write(self._elements_of(fresh), fresh, lie=len(fresh) == 1)
+        rows = self.elements.read(todo).select(F.col("version_id").alias("version"), F.struct("kind_rank", "id").alias("row"), *SEARCHED, "simple_name")
+        return self.index.build(rows, todo, force=True)
 
     def _elements_of(self, versions: list[str]) -> DataFrame:
         """Classes, methods and fields of versions with qualified names in all namespaces."""
@@ -614,7 +626,8 @@ class Engine:
         return one.unionByName(two)
 
     def _elements(self, version_id: str) -> DataFrame:
-        return self._elements_of([version_id]).drop("version_id")
+        rows = self.elements.read([version_id]) if self._indexed(version_id) else self._elements_of([version_id])
+        return rows.drop("version_id")
 
     def _ranked(self, version_id: str, whole: DataFrame, words: list[str], cols: list[str], prefix: bool = True) -> DataFrame | None:
         """(row, score) of a version's elements that hold all words, from the index where the version has one; None if no word has a token."""
@@ -655,13 +668,22 @@ class Engine:
             words = [query] if exact else query.replace("/", " ").split()
         # ranked over all of the version's names, whatever is asked to be seen of them
         hits = self._ranked(version_id, whole, words, cols, prefix=not exact)
-        found = keyed.join(hits, "row") if hits is not None else None
+        kind_order = F.when(F.lit(bool(split)) & (F.col("kind_rank") == 0), 3).otherwise(F.col("kind_rank"))
+        order = [kind_order, F.desc(X.squash(F.col("score"))), "id"]
+        found = best = None
+        if hits is not None and self._indexed(version_id):  # ranked once, by rows without names; names are added to the best of them
+            best = stored(X.page(keyed.select("row", "kind_rank", "id").join(hits, "row"), order, limit + offset), "search-page")
+            found = keyed.join(F.broadcast(best.select("row", "score").dropDuplicates(["row"])), "row")
+        elif hits is not None:
+            found = keyed.join(hits, "row")
         if not exact:
             like = keyed.where(F.concat_ws("\n", *cols).ilike(f"%{words[-1] if split else query}%")).withColumn("score", F.lit(0.0))
-            found = like if found is None else self._or_else(version_id, found.select(*like.columns), like)
+            if best is not None:
+                found = like if best.isEmpty() else found
+            else:
+                found = like if found is None else X.with_fallback(found.select(*like.columns), like)
         elif found is None:
             found = keyed.limit(0).withColumn("score", F.lit(0.0))
-        kind_order = F.when(F.lit(bool(split)) & (F.col("kind_rank") == 0), 3).otherwise(F.col("kind_rank"))
         return X.page(found.withColumn("score", X.squash(F.col("score"))), [kind_order, F.desc("score"), "id"], limit, offset).select("kind", "id", "owner_id", "yarn_name", "mojmap_name", "intermediary_name", "obf_name", "score")
 
     def _owner_candidates(self, version_id: str, whole: DataFrame, owner: str, cols: list[str], most: int = 200) -> DataFrame:

@@ -4,8 +4,9 @@ A posting is a row: a token with case and diacritics folded, as it is written wh
 differs, its column, all its positions there, and the lengths of all columns of its row, so
 that a search needs no other table. The occurrences of a token in a text are brought
 together where the text lies, and each task writes its own postings, so that a build
-shuffles no postings; texts of several versions are brought together by version before.
-Postings lie in a folder for each version and first character, in files sorted by token, so
+shuffles no postings. The tokens are counted first and the texts dealt out to tasks of a
+bounded number of them, those of several versions by version, so that a task's postings
+are sorted in memory. Postings lie in a folder for each version and first character, in files sorted by token, so
 that a search reads the few folders and row groups that its terms can be in. Each row also has a marker in the folder ``ROWS``; a version's number of
 rows and total lengths are summed up from them once and kept in the registry.
 
@@ -29,6 +30,9 @@ from pyspark.sql import functions as F
 from verspan.operators.search import B, K1, LEAST_IDF
 from verspan.store.parts import PartStore
 
+TOKEN = r"[\p{L}\p{N}]+"
+#: Tokens of a task of a build, whose postings it sorts in some 200 bytes each; a task of fewer than the least isn't worth its files.
+TOKENS_AT_ONCE, LEAST_TOKENS = 2_000_000, 100_000
 #: The folder of the markers; that of tokens that don't begin with a letter a-z or a digit.
 ROWS, OTHER = "rows", "other"
 
@@ -62,7 +66,7 @@ def words_of(phrase: str) -> list[str]:
 def _pieces(text: Column) -> Column:
     """(written, token) of each token: folding maps letters to letters, so that both spellings have the same tokens."""
     plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{Mn}+", "")
-    tokens = lambda t: F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}]+"), 0)
+    tokens = lambda t: F.regexp_extract_all(t, F.lit(TOKEN), 0)
     return F.arrays_zip(tokens(F.lower(plain)).alias("written"), tokens(F.lower(F.translate(plain, *accents()))).alias("token"))
 
 
@@ -83,9 +87,7 @@ class SearchIndex:
         todo = self.store.missing(versions, force)
         if not todo:
             return []
-        rows = rows.where(F.col("version").isin(todo))
-        # the texts, not their postings, are dealt out, in tasks of bounded size; a task has few versions, so that it writes few files
-        rows = rows.select("version", "row", *self.columns).hint("rebalance", *(["version"] if len(todo) > 1 else []))
+        rows = self._dealt(rows.where(F.col("version").isin(todo)).select("version", "row", *self.columns), len(todo))
         pieces = rows.select("version", "row", *[_pieces(F.col(c)).alias(f"_{i}") for i, c in enumerate(self.columns)])
         pieces = pieces.withColumn("lens", F.array(*[F.size(f"_{i}") for i in range(len(self.columns))]))
         key = lambda token, written, col: F.struct(token.alias("token"), written.alias("written"), col.cast("int").alias("col"))
@@ -104,6 +106,13 @@ class SearchIndex:
         self._count(todo)
         return todo
 
+    def _dealt(self, rows: DataFrame, versions: int) -> DataFrame:
+        """The texts, not their postings, in tasks of a bounded number of tokens; a task has few versions, so that it writes few files."""
+        tokens = reduce(lambda x, y: x + y, [F.coalesce(F.regexp_count(F.col(c), F.lit(TOKEN)), F.lit(0)) for c in self.columns], F.lit(1))
+        n = rows.agg(F.sum(tokens.cast("bigint")).alias("n")).first()["n"] or 1
+        tasks = max(-(-n // TOKENS_AT_ONCE), min(self.spark.sparkContext.defaultParallelism, -(-n // LEAST_TOKENS)))
+        return rows.repartition(tasks, "row") if versions == 1 else rows.repartitionByRange(tasks, "version", F.hash("row"))
+
     def _count(self, versions: list[str]) -> None:
         """Rows and total lengths of versions just written, from their markers, into the registry."""
         marks = self.store.read(versions).where(F.col("lead") == ROWS)
